@@ -5,15 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import bpe, language_id, quality_rules
 from .common import table
 
 
+#: The vocabulary of op2; a deployment points this at its own copy.
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(VOCABULARY))
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digest(docs, vocabulary_path()).select("doc_id", "bpe.n_tokens", "bpe.ids_sha256", "bpe.decoded_sha256")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language_id.held_out("doc_id"))
+    model = language_id.train(docs.where("not held_out and doc_id is not null"))
+    return language_id.identify(docs, model).select("doc_id", "held_out", F.col("language.lang").alias("lang_pred"), "language.score")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return quality_rules.judge(docs.select("doc_id", "text", "lang"), keep=["doc_id"]).select("doc_id", *[F.col(f"quality.{f}") for f in fields])
 
 
-QUERIES = {"op10_quality_rules": op10_quality_rules}
+QUERIES = {
+    "op2_bpe": op2_bpe,
+    "op9_language_id": op9_language_id,
+    "op10_quality_rules": op10_quality_rules,
+}
 ORACLE: dict[str, str] = {}
