@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, quality_rules
+from . import bpe, language_id, license_scan, packing, quality_rules, secret_scan
 from .common import table
 
 
@@ -24,6 +24,30 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(docs, vocabulary_path()).select("doc_id", "bpe.n_tokens", "bpe.ids_sha256", "bpe.decoded_sha256")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fields = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return license_scan.scan(docs).select("doc_id", *[f"license.{f}" for f in fields])
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = secret_scan.train(*secret_scan.labelled(docs))
+    found = secret_scan.scan(docs, net)
+
+    def joined(spans: str) -> Column:
+        return F.array_join(F.transform(f"secrets.{spans}", lambda s: F.concat_ws(":", s["kind"], s["begin"], s["end"])), ",")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("secrets.base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", number("assign"), number("access"), number("hex"), F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language_id.held_out("doc_id"))
     model = language_id.train(docs.where("not held_out and doc_id is not null"))
@@ -38,6 +62,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_bpe": op2_bpe,
+    "op3_license_scan": op3_license_scan,
+    "op4_packing": op4_packing,
+    "op7_secret_scan": op7_secret_scan,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
 }
