@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, license_scan, line_dedup, packing, quality_rules, secret_scan
+from . import bpe, language_id, license_scan, line_dedup, near_dedup, packing, quality_rules, secret_scan
 from .common import table
 
 
@@ -19,6 +19,11 @@ def vocabulary_path() -> str:
     return str(public_tokenizers.path(VOCABULARY))
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.near_duplicates(docs, size=3, percent=85)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digest(docs, vocabulary_path()).select("doc_id", "bpe.n_tokens", "bpe.ids_sha256", "bpe.decoded_sha256")
@@ -66,6 +71,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_bpe": op2_bpe,
     "op3_license_scan": op3_license_scan,
     "op4_packing": op4_packing,
