@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, license_scan, line_dedup, near_dedup, packing, quality_rules, secret_scan
+from . import bpe, language_id, license_scan, line_dedup, near_dedup, packing, quality_rules, secret_scan, url_filter, vector_search
 from .common import table
 
 
@@ -39,6 +39,15 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op6_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vector_search.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     net = secret_scan.train(*secret_scan.labelled(docs))
@@ -75,6 +84,8 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_license_scan": op3_license_scan,
     "op4_packing": op4_packing,
+    "op5_url_filter": op5_url_filter,
+    "op6_vector_search": op6_vector_search,
     "op7_secret_scan": op7_secret_scan,
     "op8_line_dedup": op8_line_dedup,
     "op9_language_id": op9_language_id,
