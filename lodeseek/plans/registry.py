@@ -1,5 +1,422 @@
 """The queries of the search engine and their DuckDB counterparts."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geo, text
+from ..functions.locale import GENERIC, POLISH, polish_locative
+from ..operators import candidates, index, lookups, ranking, resolver
+from ..operators.mapping import EntityMapping, map_entities
+from ..sources.tables import read_sf
+from ..streaming import events
+from . import fixtures as fx
+from . import oracle as o
+from .engine import Search, SearchConfig
+
 FLAGSHIP = "search_text"
-QUERIES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+CONFIG = SearchConfig(locale=POLISH)
+
+
+def query(sql: str | None) -> Callable:
+    """Register a query under its function's name, with its SQL."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with synthetic coordinates, which the tables lack."""
+    key = F.col("p_partkey")
+    raw = read_sf(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand", (49.0 + key * 7919 % 5800 / 1000.0).alias("lat"), (14.1 + key * 104729 % 10000 / 1000.0).alias("lng"))
+    return raw
+
+
+MAPPING = EntityMapping("p_partkey", "p_name", categories="p_type", location="p_brand", lat="lat", lng="lng")
+
+
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return map_entities(parts(spark, sf_dir), MAPPING)
+
+
+def searched(spark: SparkSession, sf_dir: str, config: SearchConfig = CONFIG) -> Search:
+    return Search(entities(spark, sf_dir), fx.queries(spark), fx.synonyms(spark), config)
+
+
+def r6(c: str | Column) -> Column:
+    return F.round(c, 6)
+
+
+# Text
+
+
+@query(f"SELECT doc_id, {o.fold('text').replace(o.fold('text'), 'strip_accents(text)')} AS plain FROM documents")
+def strip_diacritics(spark, sf_dir):
+    return read_sf(spark, sf_dir, "documents").select("doc_id", text.strip_diacritics(F.col("text")).alias("plain"))
+
+
+@query(f"SELECT doc_id, {o.normalize('text')} AS normalized FROM documents")
+def normalize_text(spark, sf_dir):
+    return read_sf(spark, sf_dir, "documents").select("doc_id", text.normalize(F.col("text")).alias("normalized"))
+
+
+@query(f"SELECT doc_id, {o.normalize('text', True)} AS normalized FROM documents")
+def normalize_pl(spark, sf_dir):
+    return read_sf(spark, sf_dir, "documents").select("doc_id", POLISH.normalize(F.col("text")).alias("normalized"))
+
+
+@query(o.chain(f"SELECT id, list_sort({o.trigrams('name_n')}) AS trigrams FROM ent", o.ENTITIES))
+def trigrams(spark, sf_dir):
+    return entities(spark, sf_dir).select("id", F.sort_array(text.trigrams_of(F.col("name_n"))).alias("trigrams"))
+
+
+@query(o.chain(f"SELECT id, round({o.jaccard('a', 'b')}, 6) AS similarity FROM (SELECT id, {o.trigrams('name_n')} AS a, {o.trigrams(o.normalize(chr(39) + 'red widgets' + chr(39)))} AS b FROM ent)", o.ENTITIES))
+def trigram_similarity(spark, sf_dir):
+    wanted = text.trigrams_of(text.normalize(F.lit("red widgets")))
+    return entities(spark, sf_dir).select("id", r6(text.jaccard(text.trigrams_of(F.col("name_n")), wanted)).alias("similarity"))
+
+
+@query("SELECT p_partkey AS id, levenshtein(p_name, p_type) AS distance FROM part")
+def levenshtein_distance(spark, sf_dir):
+    return read_sf(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.levenshtein("p_name", "p_type").cast("long").alias("distance"))
+
+
+@query(o.chain(f"SELECT id, round({o.similarity('name_n', 'categories_n')}, 6) AS similarity FROM ent", o.ENTITIES))
+def levenshtein_similarity(spark, sf_dir):
+    return entities(spark, sf_dir).select("id", r6(text.levenshtein_similarity(F.col("name_n"), F.col("categories_n"))).alias("similarity"))
+
+
+_CODES = "lpad((c_custkey % 100)::VARCHAR, 2, '0') || CASE WHEN c_custkey % 3 = 0 THEN '-' ELSE '' END || lpad((c_custkey * 7 % 1000)::VARCHAR, CASE WHEN c_custkey % 5 = 0 THEN 4 ELSE 3 END, '0')"
+
+
+@query(f"SELECT c_custkey AS id, regexp_matches(trim({_CODES}), '^\\d{{2}}-?\\d{{3}}$') AS is_postcode FROM customer")
+def is_postcode(spark, sf_dir):
+    key = F.col("c_custkey")
+    code = F.concat(F.lpad((key % 100).cast("string"), 2, "0"), F.when(key % 3 == 0, "-").otherwise(""), F.when(key % 5 == 0, F.lpad((key * 7 % 1000).cast("string"), 4, "0")).otherwise(F.lpad((key * 7 % 1000).cast("string"), 3, "0")))
+    return read_sf(spark, sf_dir, "customer").select(key.alias("id"), text.is_postcode(code).alias("is_postcode"))
+
+
+@query(o.chain("SELECT query_id, list_sort(ts) AS terms, array_to_string(list_transform(ts, lambda t: '\"' || t || '\"*'), ' OR ') AS fts_query FROM qt", o.ROUTED, o.TERMS))
+def fts_query_build(spark, sf_dir):
+    expanded = searched(spark, sf_dir).expanded
+    terms = text.fts_terms(F.col("tokens"))
+    return expanded.select("query_id", F.sort_array(terms).alias("terms"), text.fts_query(terms).alias("fts_query"))
+
+
+@query("SELECT DISTINCT p_size AS n, CASE WHEN p_size <= 3 THEN greatest(1, p_size - 1) ELSE greatest(2, ceil(p_size * 0.45)::INT) END AS overlap FROM part")
+def trigram_min_overlap(spark, sf_dir):
+    return read_sf(spark, sf_dir, "part").select(F.col("p_size").alias("n")).distinct().select("n", text.min_overlap(F.col("n")).alias("overlap"))
+
+
+# Locale
+
+
+@query(f"WITH {fx.values('q0', 'query_id, query, a, b, c, d, e, f', fx.QUERIES)} SELECT query_id, {o.has_intent(chr(99) + 'oalesce(query, ' + chr(39) * 2 + ')')} AS geo_intent, {o.without_intent('coalesce(query, ' + chr(39) * 2 + ')')} AS stripped FROM q0")
+def geo_intent(spark, sf_dir):
+    q = F.coalesce("query", F.lit(""))
+    return fx.queries(spark).select("query_id", POLISH.has_geo_intent(q).alias("geo_intent"), POLISH.strip_geo_intent(q).alias("stripped"))
+
+
+@query(f"WITH {fx.values('r', 'query_id, query', fx.RAW)}, n AS (SELECT query_id, {o.normalize('query', True)} AS normalized FROM r) SELECT query_id, {o.without_stop_words('normalized')} AS bare FROM n")
+def strip_stop_words(spark, sf_dir):
+    return fx.frame(spark, fx.RAW, "query_id long, query string").select("query_id", POLISH.strip_stop_words(POLISH.normalize(F.col("query"))).alias("bare"))
+
+
+@query("WITH " + fx.values("s", "query_id, token, stems", [(i, t, out) for (i, t), out in zip(fx.STEM_INPUT, fx.STEM_OUTPUT, strict=True)]) + " SELECT * FROM s")
+def location_stems(spark, sf_dir):
+    return fx.frame(spark, fx.STEM_INPUT, "query_id long, token string").select("query_id", "token", POLISH.stems(F.col("token")).alias("stems"))
+
+
+@query("WITH " + fx.values("s", "query_id, name, locative", [(i, n, out) for (i, n), out in zip(fx.CITIES, fx.CITY_LOCATIVES, strict=True)]) + " SELECT * FROM s")
+def locative_case(spark, sf_dir):
+    return fx.frame(spark, fx.CITIES, "query_id long, name string").select("query_id", "name", polish_locative(F.col("name")).alias("locative"))
+
+
+# Geo
+
+
+@query(o.chain(f"SELECT id, round({o.haversine('51.5', '18.2', 'lat', 'lng')}, 6) AS km, floor({o.haversine('51.5', '18.2', 'lat', 'lng')} * 1.3 / 4.8 * 60 + 0.5)::INT AS minutes FROM ent", o.ENTITIES))
+def haversine(spark, sf_dir):
+    km = geo.haversine_km(F.lit(51.5), F.lit(18.2), F.col("lat"), F.col("lng"))
+    return entities(spark, sf_dir).select("id", r6(km).alias("km"), geo.walking_minutes(km).alias("minutes"))
+
+
+@query(o.chain("SELECT id FROM ent WHERE lat BETWEEN 51.5 - 60 / 111.32 AND 51.5 + 60 / 111.32 AND lng BETWEEN 18.2 - 60 / (111.32 * cos(radians(51.5))) AND 18.2 + 60 / (111.32 * cos(radians(51.5)))", o.ENTITIES))
+def bbox_filter(spark, sf_dir):
+    b = geo.bounding_box(F.lit(51.5), F.lit(18.2), F.lit(60.0))
+    return entities(spark, sf_dir).where(F.col("lat").between(b["min_lat"], b["max_lat"]) & F.col("lng").between(b["min_lng"], b["max_lng"])).select("id")
+
+
+@query("SELECT p_partkey AS id, CASE WHEN km < 1 THEN floor(km * 1000 + 0.5)::BIGINT || ' m' ELSE floor(km * 10 + 0.5)::BIGINT // 10 || '.' || floor(km * 10 + 0.5)::BIGINT % 10 || ' km' END AS distance, CASE WHEN m < 60 THEN m || ' min walk' WHEN m % 60 = 0 THEN m // 60 || ' hr walk' ELSE m // 60 || ' hr ' || m % 60 || ' min walk' END AS walk FROM (SELECT p_partkey, p_partkey % 97 / 8.0 AS km, (p_partkey % 241)::INT AS m FROM part)")
+def format_geo(spark, sf_dir):
+    key = F.col("p_partkey")
+    return read_sf(spark, sf_dir, "part").select(key.alias("id"), geo.format_distance(key % 97 / 8.0).alias("distance"), geo.format_walking_time((key % 241).cast("int")).alias("walk"))
+
+
+_SCAN = "SELECT query_id, id, round(distance_km, 6) AS distance_km, pos FROM {}"
+
+
+@query(o.chain(_SCAN.format("gscan"), o.ENTITIES, o.ROUTED, o.SCANS))
+def geo_only_search(spark, sf_dir):
+    return searched(spark, sf_dir).by_point.withColumn("distance_km", r6("distance_km"))
+
+
+@query(o.chain(_SCAN.format("lscan"), o.ENTITIES, o.ROUTED, o.SCANS))
+def location_scan(spark, sf_dir):
+    return searched(spark, sf_dir).by_location.withColumn("distance_km", r6("distance_km"))
+
+
+_NEAR = o.haversine("p.lat::DOUBLE", "p.lng::DOUBLE", "s.lat::DOUBLE", "s.lng::DOUBLE")
+
+
+@query(f"WITH {fx.values('p', 'query_id, lat, lng, exclude_slug', fx.POINTS)}, {fx.values('s', 'slug, name, lat, lng, count, ordinal', fx.STATS)}, d AS (SELECT query_id, slug, name, count, {_NEAR} AS d, row_number() OVER (PARTITION BY query_id ORDER BY {_NEAR}, ordinal) AS n FROM p, s WHERE count > 0 AND s.lat IS NOT NULL AND slug IS DISTINCT FROM exclude_slug AND p.lat IS NOT NULL) SELECT query_id, slug, name, floor(d + 0.5)::BIGINT AS distance_km, count FROM d WHERE n = 1")
+def nearest_location(spark, sf_dir):
+    stats = fx.frame(spark, fx.STATS, "slug string, name string, lat double, lng double, count long, ordinal int")
+    points = fx.frame(spark, fx.POINTS, "query_id long, lat double, lng double, exclude_slug string").where("lat is not null and lng is not null")
+    return resolver.nearest_location(points, stats)
+
+
+# Index
+
+
+@query(o.chain("SELECT * FROM ent", o.ENTITIES))
+def scan_entities(spark, sf_dir):
+    return entities(spark, sf_dir)
+
+
+@query(o.chain(f"SELECT id, field, unnest({o.trigrams('text')}) AS trigram FROM ft", o.ENTITIES, o.TEXTS))
+def trigram_index_build(spark, sf_dir):
+    return index.trigram_index(entities(spark, sf_dir))
+
+
+@query(o.chain("SELECT token, id, field, count(*)::INT AS tf, list(pos::INT ORDER BY pos) AS positions FROM tok GROUP BY 1, 2, 3", o.ENTITIES, o.TEXTS))
+def fts_index_build(spark, sf_dir):
+    return index.text_index(entities(spark, sf_dir)).postings
+
+
+@query(o.chain("SELECT id, concat_ws(' ', nullif(name_n, ''), nullif(categories_n, ''), nullif(location_n, '')) AS search_text FROM ent", o.ENTITIES))
+def search_text_build(spark, sf_dir):
+    return index.search_text(entities(spark, sf_dir))
+
+
+@query(f"SELECT p_partkey AS id, {o.normalize('upper(p_name) || chr(32) || p_size')} AS name_n, len({o.trigrams(o.normalize('upper(p_name) || chr(32) || p_size'))}) AS n_trigrams FROM part")
+def renormalize_entities(spark, sf_dir):
+    raw = read_sf(spark, sf_dir, "part")
+    mapping = EntityMapping("p_partkey", "p_name")
+    renewed, grams, _ = index.renormalize(raw, mapping, lambda df: df.withColumn("p_name", F.concat(F.upper("p_name"), F.lit(" "), F.col("p_size").cast("string"))))
+    counts = grams.where("field = 'name'").groupBy("id").agg(F.count(F.lit(1)).alias("n_trigrams"))
+    return renewed.join(counts, "id", "left").select("id", "name_n", F.coalesce("n_trigrams", F.lit(0)).alias("n_trigrams"))
+
+
+@query("SELECT count(*) AS in_entities, count(*) FILTER (WHERE p_partkey % 10 <> 0) + count(*) FILTER (WHERE p_partkey % 7 = 0) AS in_index, count(*) FILTER (WHERE p_partkey % 10 = 0) AS missing_from_index, count(*) FILTER (WHERE p_partkey % 7 = 0) AS orphaned_in_index FROM part")
+def fts_sync_check(spark, sf_dir):
+    rows = read_sf(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    indexed = rows.where("id % 10 <> 0").union(rows.where("id % 7 = 0").select((-F.col("id") - 1).alias("id")))
+    return index.sync_report(rows, indexed)
+
+
+@query("SELECT count(*) AS in_entities, count(*) FILTER (WHERE p_size % 9 <> 0) AS in_index, count(*) FILTER (WHERE p_size % 9 = 0) AS missing_from_index, 0 AS orphaned_in_index FROM part")
+def vector_sync_check(spark, sf_dir):
+    return index.null_vectors(read_sf(spark, sf_dir, "part").withColumn("vector", F.when(F.col("p_size") % 9 != 0, F.col("p_name"))), "vector")
+
+
+# Candidates
+
+
+@query(o.chain("SELECT id FROM ent WHERE location_slug = 'brand-7'", o.ENTITIES))
+def filter_location(spark, sf_dir):
+    return entities(spark, sf_dir).where(candidates.at_location(F.col("location_slug"), F.lit("brand-7"))).select("id")
+
+
+@query(o.chain("SELECT id FROM ent WHERE contains(categories_n, 'econ')", o.ENTITIES))
+def filter_category(spark, sf_dir):
+    return entities(spark, sf_dir).where(candidates.in_category(F.col("categories_n"), F.lit("Econ-"), GENERIC)).select("id")
+
+
+@query(o.chain("SELECT DISTINCT term AS prefix, token FROM terms JOIN (SELECT DISTINCT token FROM tok) ON starts_with(token, term) WHERE NOT contains(term, ' ')", o.ENTITIES, o.TEXTS, o.ROUTED, o.TERMS))
+def fts_prefix_match(spark, sf_dir):
+    s = searched(spark, sf_dir)
+    prefixes = s.terms.where("not contains(term, ' ')").select(F.col("term").alias("prefix"))
+    return candidates.prefix_matches(prefixes, index.text_index(s.entities).postings.select("token").distinct())
+
+
+@query(o.chain("SELECT query_id, id, round(fts_rank, 6) AS fts_rank, pos FROM fts", *o.UP_TO_FTS))
+def fts_bm25_topk(spark, sf_dir):
+    return searched(spark, sf_dir).fts.withColumn("fts_rank", r6("fts_rank"))
+
+
+@query(o.chain("SELECT query_id, id, round(fts_rank, 6) AS fts_rank, pos FROM fts", *o.UP_TO_FTS[:-1], o.fts("-")))
+def fts_match_positive_rank(spark, sf_dir):
+    return searched(spark, sf_dir, SearchConfig(locale=POLISH, positive_rank=True)).fts.withColumn("fts_rank", r6("fts_rank"))
+
+
+@query(o.chain("SELECT query_id, id, round(fuzzy_score, 6) AS fuzzy_score, pos FROM fuzzy", *o.UP_TO_FTS, o.FUZZY))
+def trigram_fuzzy(spark, sf_dir):
+    return searched(spark, sf_dir).fuzzy.withColumn("fuzzy_score", r6("fuzzy_score"))
+
+
+_SIMILAR = f"""sq AS (SELECT query_id, lim, location_slug AS q_location, {o.trigrams('normalized')} AS g FROM gq WHERE run_fuzzy),
+se AS (SELECT query_id, lim, g, id, {o.trigrams('name_n')} AS gn, {o.trigrams('categories_n')} AS gc, {o.trigrams('location_n')} AS gl FROM sq JOIN ent ON q_location IS NULL OR location_slug = q_location),
+sim AS (SELECT query_id, lim, id, greatest({o.jaccard('g', 'gn')}, {o.jaccard('g', 'gc')}, {o.jaccard('g', 'gl')}) AS s FROM se)"""
+
+
+@query(o.chain("SELECT query_id, id, round(s, 6) AS fuzzy_score, pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS pos FROM sim WHERE s > 0.1) WHERE pos <= 2 * lim", *o.UP_TO_FTS, _SIMILAR))
+def trgm_similarity_scan(spark, sf_dir):
+    return searched(spark, sf_dir, SearchConfig(locale=POLISH, positive_rank=True)).fuzzy.withColumn("fuzzy_score", r6("fuzzy_score"))
+
+
+@query(o.chain("SELECT query_id, tokens FROM expanded", o.ROUTED, o.TERMS))
+def synonym_expand(spark, sf_dir):
+    return searched(spark, sf_dir).expanded.select("query_id", "tokens")
+
+
+@query(o.chain("SELECT query_id, fts_rows, run_fuzzy FROM gq", *o.UP_TO_FTS))
+def fuzzy_gate(spark, sf_dir):
+    return searched(spark, sf_dir).gated_queries.select("query_id", "fts_rows", "run_fuzzy")
+
+
+# Ranking
+
+
+@query(o.chain("SELECT query_id, id, source, pos FROM merged", *o.UP_TO_FTS, o.FUZZY, o.MERGED))
+def merge_dedup(spark, sf_dir):
+    return searched(spark, sf_dir).merged.select("query_id", "id", "source", "pos")
+
+
+@query(o.chain("SELECT query_id, id, round(score, 6) AS score FROM scored", *o.UP_TO_GATED[:-1]))
+def score_blend(spark, sf_dir):
+    return searched(spark, sf_dir).scored.select("query_id", "id", r6("score").alias("score"))
+
+
+@query(o.chain("SELECT query_id, id, source FROM gated", *o.UP_TO_GATED))
+def quality_gate(spark, sf_dir):
+    return searched(spark, sf_dir).gated.select("query_id", "id", "source")
+
+
+@query(o.chain(f"SELECT id, CASE WHEN km <= 150 THEN 'primary' WHEN km <= 300 THEN 'nearby' END AS section FROM (SELECT id, {o.haversine('51.5', '18.2', 'lat', 'lng')} AS km FROM ent)", o.ENTITIES))
+def radius_split(spark, sf_dir):
+    km = geo.haversine_km(F.lit(51.5), F.lit(18.2), F.col("lat"), F.col("lng"))
+    return entities(spark, sf_dir).select("id", ranking.section(km, 150.0, 300.0).alias("section"))
+
+
+@query(o.chain("""SELECT query_id, section, rank, id, name, slug, lat, lng, round(distance_km, 6) AS distance_km, walking_min, round(score, 6) AS score FROM pages
+  UNION ALL SELECT query_id, 'primary', pos::INT, s.id, name, slug, lat, lng, round(distance_km, 6), floor(distance_km * 1.3 / 4.8 * 60 + 0.5)::INT, NULL FROM scans s JOIN ent ON ent.id = s.id""", *o.EVERYTHING))
+def search_text(spark, sf_dir):
+    return searched(spark, sf_dir).results().withColumns({"distance_km": r6("distance_km"), "score": r6("score")})
+
+
+@query(o.chain("""SELECT q.query_id, CASE WHEN route = 'text' THEN CASE WHEN location_slug IS NULL AND lat IS NOT NULL AND lng IS NOT NULL THEN coalesce(total, 0) = 0 ELSE coalesce(shown, 0) = 0 END WHEN route = 'geo' THEN coalesce(scanned, 0) = 0 ELSE false END AS no_local_results,
+  CASE WHEN route = 'text' THEN normalized END AS searched_place, CASE WHEN route = 'text' THEN coalesce(total, 0) ELSE coalesce(scanned, 0) END AS total_found
+  FROM q LEFT JOIN (SELECT query_id, count(*) AS total FROM placed GROUP BY 1) USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS shown FROM pages GROUP BY 1) USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS scanned FROM scans GROUP BY 1) USING (query_id)""", *o.EVERYTHING))
+def search_summary(spark, sf_dir):
+    return searched(spark, sf_dir).summary()
+
+
+@query(o.chain("SELECT query_id, route, geo_intent, normalized FROM q", o.ROUTED))
+def route_queries(spark, sf_dir):
+    return searched(spark, sf_dir).queries.select("query_id", "route", "geo_intent", "normalized")
+
+
+# Resolver
+
+
+def _locations(spark: SparkSession) -> DataFrame:
+    return lookups.location_lookup(fx.frame(spark, fx.LOCATIONS, "name_n string, slug string, ordinal int"))
+
+
+def _categories(spark: SparkSession) -> DataFrame:
+    return lookups.category_lookup(fx.frame(spark, fx.CATEGORIES, "name_n string, slug string, aliases_n string, ordinal int"))
+
+
+_LOC = fx.values("lo", "name_n, slug, ordinal", fx.LOCATIONS) + ", loc AS (SELECT name_n AS name, max_by(slug, ordinal) AS slug FROM lo GROUP BY 1)"
+_CAT = fx.values("ca", "name_n, slug, aliases_n, ordinal", fx.CATEGORIES) + """,
+cn AS (SELECT name_n AS name, slug, ordinal * 10 AS p FROM ca UNION ALL SELECT unnest(list_filter(string_split(coalesce(aliases_n, ''), ' '), lambda t: t <> '')), slug, ordinal * 10 + 1 FROM ca),
+cd AS (SELECT unnest(list_filter(string_split(name_n, ' '), lambda t: length(t) > 2)) AS name, slug, ordinal FROM ca),
+cat AS (SELECT name, max_by(slug, p) AS slug FROM cn GROUP BY 1 UNION ALL SELECT name, min_by(slug, ordinal) FROM cd WHERE name NOT IN (SELECT name FROM cn) GROUP BY 1)"""
+#: Endings as in the locale's stems, for tokens of one word.
+_STEMS = "list_filter([" + ", ".join(f"CASE WHEN ends_with(t, '{a}') AND length(t) - {len(a) - len(b)} >= 3 THEN left(t, length(t) - {len(a)}) || '{b}' END" for a, b in (("owie", "ow"), ("odzi", "odz"), ("owej", "owa"), ("ach", ""), ("ami", ""), ("nie", "n"), ("cie", "c"), ("zie", "z"), ("skie", "sk"), ("y", ""), ("i", ""), ("e", ""), ("u", ""))) + "], lambda s: s IS NOT NULL)"
+_PARSED = f"""{fx.values('r', 'query_id, query', fx.RAW)},
+p0 AS (SELECT query_id, query, {o.normalize('query', True)} AS normalized FROM r),
+p1 AS (SELECT *, {o.without_stop_words('normalized')} AS bare FROM p0),
+p2 AS (SELECT *, bare <> '' AND {o.has_intent("coalesce(query, '')")} AS geo_intent FROM p1),
+p3 AS (SELECT *, CASE WHEN geo_intent THEN {o.without_intent('bare')} ELSE bare END AS w0 FROM p2),
+p4 AS (SELECT *, CASE WHEN regexp_matches(w0, '\\b\\d{{2}}-?\\d{{3}}\\b') THEN regexp_extract(w0, '\\b(\\d{{2}})-?(\\d{{3}})\\b', 1) || '-' || regexp_extract(w0, '\\b(\\d{{2}})-?(\\d{{3}})\\b', 2) END AS postal FROM p3),
+p5 AS (SELECT *, CASE WHEN postal IS NULL THEN w0 ELSE trim(regexp_replace(regexp_replace(w0, '\\b\\d{{2}}-?\\d{{3}}\\b', ''), '\\s+', ' ', 'g')) END AS working FROM p4),
+pt AS (SELECT *, list_filter(string_split(working, ' '), lambda t: t <> '') AS tokens FROM p5),
+pe AS (SELECT query_id, tokens, unnest(tokens) AS t, generate_subscripts(tokens, 1) AS i FROM pt),
+ps AS (SELECT query_id, t, i, {_STEMS} AS st FROM pe),
+pc AS (SELECT query_id, t || ' ' || tokens[i + 1] AS name, t || ' ' || tokens[i + 1] AS matched, i AS p FROM pe WHERE i < len(tokens) UNION ALL SELECT query_id, t, t, 100000 + i * 100 FROM pe UNION ALL SELECT query_id, s, t, 100000 + i * 100 + k FROM (SELECT query_id, t, i, unnest(st) AS s, generate_subscripts(st, 1) AS k FROM ps) WHERE s <> t)"""
+_MATCH = "SELECT query_id, min_by(matched, p) AS matched, min_by(slug, p) AS slug FROM pc JOIN {} USING (name) WHERE slug <> '' GROUP BY 1"
+
+
+def _tokens(spark: SparkSession) -> DataFrame:
+    return fx.frame(spark, fx.RAW, "query_id long, query string").select("query_id", F.filter(F.split(POLISH.strip_stop_words(POLISH.normalize(F.col("query"))), " "), lambda t: t != "").alias("tokens"))
+
+
+@query(o.chain(_MATCH.format("loc"), _LOC, _PARSED))
+def resolve_location(spark, sf_dir):
+    return resolver.match_tokens(_tokens(spark), _locations(spark), POLISH)
+
+
+@query(o.chain(_MATCH.format("cat"), _CAT, _PARSED))
+def resolve_category(spark, sf_dir):
+    return resolver.match_tokens(_tokens(spark), _categories(spark), POLISH)
+
+
+@query(o.chain("SELECT query_id, normalized, working, geo_intent, postal, l.matched AS location_matched, l.slug AS location, c.matched AS category_matched, c.slug AS category, list_filter(tokens, lambda t: t IS DISTINCT FROM l.matched AND t IS DISTINCT FROM c.matched) AS rest FROM pt LEFT JOIN ml l USING (query_id) LEFT JOIN mc c USING (query_id)", _LOC, _CAT, _PARSED, f"ml AS ({_MATCH.format('loc')})", f"mc AS ({_MATCH.format('cat')})"))
+def parse_query(spark, sf_dir):
+    rows = fx.frame(spark, fx.RAW, "query_id long, query string")
+    parsed = resolver.parse_queries(rows, _locations(spark), _categories(spark), POLISH)
+    return parsed.select("query_id", "normalized", "working", "geo_intent", "postal", F.col("location.matched").alias("location_matched"), F.col("location.slug").alias("location"), F.col("category.matched").alias("category_matched"), F.col("category.slug").alias("category"), "rest")
+
+
+def _areas(spark: SparkSession) -> DataFrame:
+    return lookups.area_lookup(fx.frame(spark, fx.AREAS, "location_slug string, areas_json string"), POLISH)
+
+
+_AREAS = fx.values("ar", "location_slug, areas_json", fx.AREAS) + f", al AS (SELECT location_slug, list_transform(coalesce(from_json(nullif(areas_json, ''), '[\"VARCHAR\"]'), []::VARCHAR[]), lambda a: {o.normalize('a', True)}) AS areas FROM ar)"
+
+
+@query(o.chain(f"SELECT query_id, list_filter(coalesce(areas, []::VARCHAR[]), lambda a: contains(' ' || {o.normalize('query', True)} || ' ', ' ' || a || ' '))[1] AS area FROM aq LEFT JOIN al USING (location_slug)", _AREAS, fx.values("aq", "query_id, query, location_slug", fx.AREA_QUERIES)))
+def match_area(spark, sf_dir):
+    return resolver.match_area(fx.frame(spark, fx.AREA_QUERIES, "query_id long, query string, location_slug string"), _areas(spark), POLISH)
+
+
+@query(o.chain("SELECT * FROM al", _AREAS))
+def lookups_areas(spark, sf_dir):
+    return _areas(spark)
+
+
+@query(o.chain("SELECT * FROM loc", _LOC))
+def lookups_locations(spark, sf_dir):
+    return _locations(spark)
+
+
+@query(o.chain("SELECT * FROM cat", _CAT))
+def lookups_categories(spark, sf_dir):
+    return _categories(spark)
+
+
+@query(o.chain("SELECT unnest(map_keys(m)) AS name, unnest(map_values(m)) AS slug FROM st WHERE n = (SELECT max(n) FROM st)", _LOC, fx.values("ps", "alias, canonical, category, ordinal", fx.PLACE_SYNONYMS), f"""pn AS (SELECT {o.normalize('alias', True)} AS a, {o.normalize('canonical', True)} AS c, row_number() OVER (ORDER BY ordinal) AS k FROM ps WHERE category IN ('city', 'location')),
+st(n, m) AS (SELECT 0::BIGINT, map_from_entries(list((name, slug))) FROM loc UNION ALL SELECT n + 1, CASE WHEN coalesce(m[c], '') <> '' THEN map_concat(m, MAP {{a: m[c]}}) ELSE m END FROM st JOIN pn ON k = n + 1)""", recursive=True))
+def lookups_synonyms(spark, sf_dir):
+    return lookups.with_synonyms(_locations(spark), fx.frame(spark, fx.PLACE_SYNONYMS, "alias string, canonical string, category string, ordinal int"), ("city", "location"), POLISH)
+
+
+# Events (an extension)
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def search_event_rollup(spark, sf_dir):
+    return events.rollup(read_sf(spark, sf_dir, "events"))
