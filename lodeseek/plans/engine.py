@@ -41,6 +41,12 @@ def build_indexes(entities: DataFrame) -> Indexes:
     return Indexes(text_index(entities), trigram_index(entities))
 
 
+def persist_indexes(indexes: Indexes) -> Indexes:
+    """The indexes, computed at first use and kept in memory or on disk."""
+    text = indexes.text
+    return Indexes(TextIndex(text.postings.persist(), text.docs.persist()), indexes.trigrams.persist())
+
+
 def routed(queries: DataFrame, config: SearchConfig) -> DataFrame:
     """queries with geo_intent, normalized and route: location, geo, none or text. limit and offset get their defaults, 20 and 0."""
     locale = config.locale
@@ -54,12 +60,16 @@ def routed(queries: DataFrame, config: SearchConfig) -> DataFrame:
 
 
 class Search:
-    """The stages of a batch, each a DataFrame; only what is asked for is computed."""
+    """The stages of a batch, each a DataFrame; only what is asked for is computed.
+
+    The routed queries and the full-text rows (3 x limit for each query at most) are read by several stages and persisted;
+    close() frees them. Indexes are best built once, persisted or written, and handed in.
+    """
 
     def __init__(self, entities: DataFrame, queries: DataFrame, synonyms: DataFrame, config: SearchConfig = SearchConfig(), indexes: Indexes | None = None):
         self.entities, self.config, self.synonyms = entities, config, synonyms
         self.indexes = indexes or build_indexes(entities)
-        self.queries = routed(queries, config)
+        self.queries = routed(queries, config).persist()
 
     @cached_property
     def text(self) -> DataFrame:
@@ -80,7 +90,7 @@ class Search:
     @cached_property
     def fts(self) -> DataFrame:
         top = candidates.fts_top(self.ranked, self.text, self.entities, self.config.locale)
-        return top.withColumn("fts_rank", -F.col("fts_rank")) if self.config.positive_rank else top
+        return (top.withColumn("fts_rank", -F.col("fts_rank")) if self.config.positive_rank else top).persist()
 
     @cached_property
     def gated_queries(self) -> DataFrame:
@@ -126,6 +136,11 @@ class Search:
     def by_point(self) -> DataFrame:
         return candidates.geo_scan(self.queries.where("route = 'geo'"), self.entities, self.config.primary_km)
 
+    def close(self) -> None:
+        self.queries.unpersist()
+        if "fts" in self.__dict__:
+            self.fts.unpersist()
+
     def results(self) -> DataFrame:
         """query_id, section, rank, id, name, slug, lat, lng, distance_km, walking_min, score (null for scans)."""
         columns = ["query_id", "section", "rank", "id", "name", "slug", "lat", "lng", "distance_km", "walking_min", "score"]
