@@ -57,7 +57,7 @@ def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
         if not words:
             out.append(np.zeros(0, np.int64))
             continue
-        for w in set(words) - known.keys():
+        for w in {w for w in words if w not in known}:
             known[w] = xxhash.xxh3_64_intdigest(w)
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         n = min(size, len(h))
