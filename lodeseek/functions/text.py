@@ -9,6 +9,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 MARKS = "[\\u0300-\\u036f]"
 
@@ -35,7 +36,7 @@ def strip_diacritics(text: Column, extra: dict[str, str] | None = None) -> Colum
     return F.regexp_replace(F.translate(text, "".join(extra) + source, "".join(extra.values()) + target), MARKS, "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_diacritics_exact(text: pd.Series) -> pd.Series:
     """The same with full decomposition, also of Hangul and other characters that become several."""
     return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFD", t) if not "̀" <= c <= "ͯ"))

@@ -15,7 +15,7 @@ from ..sources.tables import read_sf
 from ..streaming import events
 from . import fixtures as fx
 from . import oracle as o
-from .engine import Indexes, Search, SearchConfig, build_indexes, persist_indexes
+from .engine import Search, SearchConfig, build_indexes, persist_indexes
 
 FLAGSHIP = "search_text"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,17 +50,16 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_entities(parts(spark, sf_dir), MAPPING)
 
 
-_PREPARED: dict[tuple[str, str], tuple[DataFrame, Indexes]] = {}
+_PREPARED: dict[tuple, Search] = {}
 
 
 def searched(spark: SparkSession, sf_dir: str, config: SearchConfig = CONFIG) -> Search:
-    """The fixture's batch over prepared entities and indexes, which a session builds once for each folder."""
-    key = spark.sparkContext.applicationId, sf_dir
+    """The fixture's batch, which a session prepares once for each folder and configuration: entities, indexes and what several stages read stay persisted."""
+    key = spark.sparkContext.applicationId, sf_dir, config.positive_rank
     if key not in _PREPARED:
         rows = entities(spark, sf_dir).persist()
-        _PREPARED[key] = rows, persist_indexes(build_indexes(rows))
-    rows, indexes = _PREPARED[key]
-    return Search(rows, fx.queries(spark), fx.synonyms(spark), config, indexes)
+        _PREPARED[key] = Search(rows, fx.queries(spark), fx.synonyms(spark), config, persist_indexes(build_indexes(rows)))
+    return _PREPARED[key]
 
 
 def r6(c: str | Column) -> Column:
