@@ -1,0 +1,82 @@
+"""DuckDB SQL of the corpus queries that SQL can express, written apart from the operators."""
+
+from __future__ import annotations
+
+from . import quality_rules as q
+from . import url_filter as u
+
+LINE_DEDUP = """
+    WITH docs AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+    entries AS (SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line FROM docs),
+    lines AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY pos) AS i FROM entries WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+    runs AS (SELECT *, CASE WHEN lead(line, 2) OVER w IS NOT NULL THEN struct_pack(a := line, b := lead(line) OVER w, c := lead(line, 2) OVER w) END AS run FROM lines WINDOW w AS (PARTITION BY doc_id, text ORDER BY pos)),
+    marked AS (SELECT *, length(line) >= 40 AND row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) > 1 AS one, run IS NOT NULL AND row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) > 1 AS many FROM runs),
+    gone AS (SELECT *, one OR many OR coalesce(lag(many) OVER w, false) OR coalesce(lag(many, 2) OVER w, false) AS del FROM marked WINDOW w AS (PARTITION BY doc_id, text ORDER BY pos)),
+    back AS (SELECT e.doc_id, e.text, count(*) FILTER (WHERE g.pos IS NOT NULL) AS n_lines, count(*) FILTER (WHERE g.del) AS n_deleted, string_agg(e.line, chr(10) ORDER BY e.pos) FILTER (WHERE NOT coalesce(g.del, false)) AS kept
+             FROM entries e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.text = g.text AND e.pos = g.pos GROUP BY 1, 2)
+    SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_deleted, 0) AS n_deleted, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text
+    FROM documents d LEFT JOIN back b ON d.doc_id = b.doc_id AND d.text = b.text
+"""
+
+_WORDS = ", ".join(f"('{w}', {i}), ('{w.capitalize()}', {i})" for i, w in enumerate(dict.fromkeys(q.COMMON_WORDS)))
+_CLASSES = ", ".join(f"length(t) - length(regexp_replace(t, '{p}', '', 'g')) AS n_{k}" for k, p in q.CLASSES.items())
+
+
+def _distance(name: str, doc: str, ref: str) -> str:
+    """Of histograms in long form: doc(rid, bin, n), ref(lang, bin, n). Bins that a row lacks add the reference's share, as if once."""
+    return f"""{name}_d AS (SELECT rid, bin, n, n / sum(n) OVER (PARTITION BY rid) AS p, sum(n) OVER (PARTITION BY rid) AS total FROM {doc}),
+    {name}_r AS (SELECT lang, bin, n / sum(n) OVER (PARTITION BY lang) AS q FROM {ref}),
+    {name} AS (SELECT rid, total, sqrt(greatest(0, (sum(p * log2(2 * p / (p + coalesce(q, 0))) + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) + 1 - coalesce(sum(q), 0)) / 2)) AS dist
+      FROM {name}_d JOIN base USING (rid) LEFT JOIN {name}_r USING (lang, bin) GROUP BY 1, 2)"""
+
+
+QUALITY_RULES = f"""
+    WITH base AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS lang FROM documents),
+    w AS (SELECT rid, lang, t, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM base),
+    c AS (SELECT rid, lang, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(t) AS len, len(lines) - len(list_distinct(lines)) AS n_dup_lines, {_CLASSES} FROM w),
+    win AS (SELECT rid, unnest(list_transform(range(1, len(words) - 1), lambda i: [words[i], words[i + 1], words[i + 2]])) AS win, unnest(range(1, len(words) - 1)) AS i FROM w),
+    dup AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS n FROM win) WHERE n > 1),
+    rep AS (SELECT rid, count(*) AS n_repeat_words FROM (SELECT DISTINCT rid, unnest([i, i + 1, i + 2]) AS i FROM dup) GROUP BY 1),
+    vocabulary(word, bin) AS (VALUES {_WORDS}),
+    common AS (SELECT rid, bin, count(*)::DOUBLE AS n FROM (SELECT rid, unnest(words) AS word FROM w) JOIN vocabulary USING (word) GROUP BY 1, 2),
+    chars AS (SELECT rid, unnest([0, 1, 2, 3, 4, 5]) AS bin, unnest([n_capital, n_digit, n_stop, n_symbol, len - word_chars, word_chars - n_capital - n_digit - n_stop - n_symbol])::DOUBLE AS n FROM c),
+    char_doc AS (SELECT * FROM chars WHERE n > 0),
+    char_ref AS (SELECT lang, bin, sum(n) AS n FROM chars JOIN base USING (rid) GROUP BY 1, 2),
+    word_ref AS (SELECT lang, bin, sum(n) AS n FROM common JOIN base USING (rid) GROUP BY 1, 2),
+    known AS (SELECT lang, count(*) >= {q.MIN_REFERENCE_DOCS} AS enough FROM base GROUP BY 1),
+    {_distance('cd', 'char_doc', 'char_ref')},
+    {_distance('wd', 'common', 'word_ref')},
+    f AS (SELECT doc_id, n_words, word_chars, n_symbol AS n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, enough AND len >= {q.MIN_CHARS} AND coalesce(cd.dist, 0) > {q.MAX_CHAR_DISTANCE} OR enough AND coalesce(wd.total, 0) >= {q.MIN_COMMON} AND coalesce(wd.dist, 0) > {q.MAX_WORD_DISTANCE} AS far
+      FROM c JOIN base USING (rid, lang) JOIN known USING (lang) LEFT JOIN rep USING (rid) LEFT JOIN cd USING (rid) LEFT JOIN wd USING (rid))
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT far AS kept FROM f
+"""
+
+
+def _host(x: str) -> str:
+    return f"CASE WHEN contains({x}, '://') THEN translate(regexp_extract({x}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END"
+
+
+def _path(x: str) -> str:
+    return f"CASE WHEN contains({x}, '://') THEN regexp_extract({x}, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END"
+
+
+def _address(x: str) -> str:
+    return f"CASE WHEN contains({x}, '://') THEN lower(regexp_extract({x}, '(?s)^(.*?)://', 1)) || '://' || {_host(x)} || coalesce(nullif({_path(x)}, ''), '/') || regexp_extract({x}, '(?s)^[^?#]*(\\?[^#]*)', 1) END"
+
+
+_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in u.RULES)
+URL_FILTER = f"""
+    WITH RECURSIVE r(rid, page_id, url, html) AS (SELECT row_number() OVER (), page_id, url, html FROM pages),
+    b AS (SELECT rid, page_id, url, coalesce({_host('url')}, '') AS host, coalesce({_path('url')}, '') AS path, {_address('url')} AS node FROM r),
+    rules(verdict, h, p) AS (VALUES {_RULES}),
+    fit AS (SELECT rid, max_by(h || p, length(h || p)) AS rule, max_by(verdict, length(h || p)) AS verdict FROM b JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY 1),
+    tags AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\b[^>]*>')) AS tag FROM r),
+    targets AS (SELECT url, regexp_extract(tag, '(?is)\\bhref\\s*=\\s*["'']?\\s*([^"''>]*)', 1) AS target FROM tags WHERE regexp_matches(tag, '(?is)^<link\\b[^>]*\\brel\\s*=\\s*["'']?\\s*canonical\\b')
+      UNION ALL SELECT url, regexp_extract(tag, '(?is)\\burl\\s*=\\s*["'']?\\s*([^"''>\\s]+)', 1) FROM tags WHERE regexp_matches(tag, '(?is)^<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?\\s*refresh\\b')),
+    whole AS (SELECT url, CASE WHEN contains(target, '://') THEN target WHEN starts_with(target, '//') THEN regexp_extract(url, '(?s)^(.*?)://', 1) || ':' || target WHEN starts_with(target, '/') THEN regexp_extract(url, '(?s)^(.*?)://', 1) || '://' || {_host('url')} || target END AS target FROM targets WHERE target <> ''),
+    e AS (SELECT {_address('url')} AS a, {_address('target')} AS z FROM whole),
+    both_ways AS (SELECT a, z FROM e WHERE a <> z UNION SELECT z, a FROM e WHERE a <> z),
+    reach(a, z) AS (SELECT a, z FROM both_ways UNION SELECT reach.a, x.z FROM reach JOIN both_ways x ON x.a = reach.z),
+    given AS (SELECT reach.a AS node, max(CASE fit.verdict WHEN 'allow' THEN 2 WHEN 'block' THEN 1 END) AS v FROM reach JOIN b ON b.node = reach.z JOIN fit ON fit.rid = b.rid GROUP BY 1)
+    SELECT page_id, host, path, rule, coalesce(fit.verdict, CASE WHEN given.v = 1 THEN 'block' END, 'allow') AS verdict FROM b LEFT JOIN fit USING (rid) LEFT JOIN given ON given.node = b.node
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, license_scan, line_dedup, near_dedup, packing, quality_rules, secret_scan, url_filter, vector_search
+from . import bpe, language_id, license_scan, line_dedup, near_dedup, oracle, packing, quality_rules, secret_scan, url_filter, vector_search
 from .common import table
 
 
@@ -92,16 +92,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE: dict[str, str] = {
-    "op8_line_dedup": """
-        WITH docs AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
-        entries AS (SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line FROM docs),
-        lines AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY pos) AS i FROM entries WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
-        runs AS (SELECT *, CASE WHEN lead(line, 2) OVER w IS NOT NULL THEN struct_pack(a := line, b := lead(line) OVER w, c := lead(line, 2) OVER w) END AS run FROM lines WINDOW w AS (PARTITION BY doc_id, text ORDER BY pos)),
-        marked AS (SELECT *, length(line) >= 40 AND row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) > 1 AS one, run IS NOT NULL AND row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) > 1 AS many FROM runs),
-        gone AS (SELECT *, one OR many OR coalesce(lag(many) OVER w, false) OR coalesce(lag(many, 2) OVER w, false) AS del FROM marked WINDOW w AS (PARTITION BY doc_id, text ORDER BY pos)),
-        back AS (SELECT e.doc_id, e.text, count(*) FILTER (WHERE g.pos IS NOT NULL) AS n_lines, count(*) FILTER (WHERE g.del) AS n_deleted, string_agg(e.line, chr(10) ORDER BY e.pos) FILTER (WHERE NOT coalesce(g.del, false)) AS kept
-                 FROM entries e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.text = g.text AND e.pos = g.pos GROUP BY 1, 2)
-        SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_deleted, 0) AS n_deleted, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text
-        FROM documents d LEFT JOIN back b ON d.doc_id = b.doc_id AND d.text = b.text
-    """,
+    "op5_url_filter": oracle.URL_FILTER,
+    "op8_line_dedup": oracle.LINE_DEDUP,
+    "op10_quality_rules": oracle.QUALITY_RULES,
 }
