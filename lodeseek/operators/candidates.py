@@ -65,9 +65,12 @@ def term_hits(terms: DataFrame, index: TextIndex) -> DataFrame:
     return single.unionByName(phrases.groupBy("term", "id").agg(F.count(F.lit(1)).alias("f")))
 
 
-def bm25(terms: DataFrame, index: TextIndex) -> DataFrame:
-    """(query_id, id, fts_rank): Okapi BM25, negative, lower is better. Numbers of documents and lengths are those of the whole index, whatever is filtered later."""
-    hits = term_hits(terms, index)
+def bm25(terms: DataFrame, index: TextIndex, hits: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, fts_rank): Okapi BM25, negative, lower is better. Numbers of documents and lengths are those of the whole index, whatever is filtered later.
+
+    hits, from term_hits, is read twice: hand it in persisted where that pays.
+    """
+    hits = term_hits(terms, index) if hits is None else hits
     corpus = index.docs.agg(F.count(F.lit(1)).cast("double").alias("docs"), F.avg("doc_len").alias("mean_len"))
     seen = hits.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("n"))
     idf = F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))

@@ -62,8 +62,8 @@ def routed(queries: DataFrame, config: SearchConfig) -> DataFrame:
 class Search:
     """The stages of a batch, each a DataFrame; only what is asked for is computed.
 
-    The routed queries and the full-text rows (3 x limit for each query at most) are read by several stages and persisted;
-    close() frees them. Indexes are best built once, persisted or written, and handed in.
+    The routed queries, their terms and hits, and the full-text rows (3 x limit for each query at most) are read by several stages and
+    persisted; close() frees them. Indexes are best built once, persisted or written, and handed in.
     """
 
     def __init__(self, entities: DataFrame, queries: DataFrame, synonyms: DataFrame, config: SearchConfig = SearchConfig(), indexes: Indexes | None = None):
@@ -81,11 +81,15 @@ class Search:
 
     @cached_property
     def terms(self) -> DataFrame:
-        return candidates.query_terms(self.expanded, self.config.max_terms)
+        return candidates.query_terms(self.expanded, self.config.max_terms).persist()
+
+    @cached_property
+    def hits(self) -> DataFrame:
+        return candidates.term_hits(self.terms, self.indexes.text).persist()
 
     @cached_property
     def ranked(self) -> DataFrame:
-        return candidates.bm25(self.terms, self.indexes.text)
+        return candidates.bm25(self.terms, self.indexes.text, self.hits)
 
     @cached_property
     def fts(self) -> DataFrame:
@@ -138,8 +142,8 @@ class Search:
 
     def close(self) -> None:
         self.queries.unpersist()
-        if "fts" in self.__dict__:
-            self.fts.unpersist()
+        for name in {"terms", "hits", "fts"} & self.__dict__.keys():
+            getattr(self, name).unpersist()
 
     def results(self) -> DataFrame:
         """query_id, section, rank, id, name, slug, lat, lng, distance_km, walking_min, score (null for scans)."""
