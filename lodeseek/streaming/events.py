@@ -13,11 +13,12 @@ def rollup(events: DataFrame, window: str = "1 hour") -> DataFrame:
 
 def streaming_rollup(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """The same of a stream, with approximate numbers of users (streams have no exact distinct counts); windows close once the watermark passes."""
-    marked = events.withWatermark("ts", late)
+    marked = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return marked.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("user_id").alias("users"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "users", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """(user_id, session_start, session_end, n): session windows by user; works on batches and streams."""
-    frame = events.withWatermark("ts", late) if events.isStreaming else events
+    frame = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    frame = frame.withWatermark("ts", late) if events.isStreaming else frame
     return frame.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
