@@ -10,8 +10,8 @@ representative first, by a digest of the set. Then:
    estimated from the sketch of its union (of the k least values of both, the share that both have), and what may be similar is
    verified with the exact Jaccard similarity of the full sets. Links give components.
 3. What a leader didn't link: members of one short list in different components meet each other. In long lists members apart from the
-   list's largest component meet members of other components, by the lists of their least values, so that a large
-   group of copies costs no more than its few strays times its size.
+   list's largest component meet members of other components, in blocks, by the lists of their least values; only pairs
+   that may be similar leave the blocks.
 4. Links of both rounds give the final components.
 
 No group is expanded into all pairs, and no list is cut. The joins have an exchange on either side, so that adaptive execution splits hot values.
@@ -41,6 +41,9 @@ FEW_SHORT = 12
 MARGIN = 0.27
 #: In how many of its long lists, those of least value, a stray meets the other components.
 LISTS = 8
+#: Rows of a block in which strays and members of a long list meet.
+BLOCK = 256
+PADDING = np.iinfo(np.int64).max
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -115,6 +118,51 @@ def _linked(pairs: DataFrame, reps: DataFrame, docs: tuple, size: int, percent:
     return links
 
 
+def _estimates(one: np.ndarray, many: np.ndarray, k: int) -> np.ndarray:
+    """The share of the union sketch that both have, of one padded sketch and each row of many."""
+    place = np.searchsorted(one, many)
+    common = (one[np.minimum(place, k - 1)] == many) & (many != PADDING)
+    before = np.cumsum(common, 1) - common
+    shared = (common & (np.arange(k) + place - before < k)).sum(1)
+    union = (one != PADDING).sum() + (many != PADDING).sum(1) - common.sum(1)
+    return shared / np.minimum(union, k)
+
+
+def _apart(stray: DataFrame, members: DataFrame, reps: DataFrame, percent: int, k: int) -> DataFrame:
+    """Pairs (a, b) of a stray and a member of another component in one of the stray's long lists that the estimate doesn't exclude.
+
+    Strays and members of a list are dealt into blocks of about BLOCK rows, each block of strays meets each block of members, and
+    only pairs that may be similar leave. A pair is left by the first of the stray's lists that both are in.
+    """
+    sketches = reps.select("id", "n", "sketch")
+    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / BLOCK))
+    ones = stray.join(sketches, "id").groupBy("v", block.alias("x")).agg(F.collect_list(F.struct("id", "comp", "n", "sketch", "vs")).alias("ones"))
+    many = members.join(sketches, "id").groupBy("v", block.alias("y")).agg(F.collect_list(F.struct("id", "comp", "n", "sketch")).alias("many"))
+
+    def meet(batches):
+        for pdf in batches:
+            a, b = [], []
+            for v, ones, many in zip(pdf["v"], pdf["ones"], pdf["many"], strict=True):
+                ids, comps, sizes = (np.array([r[c] for r in many]) for c in ("id", "comp", "n"))
+                table = np.full((len(many), k), PADDING)
+                for i, r in enumerate(many):
+                    table[i, : len(r["sketch"])] = r["sketch"]
+                for r in ones:
+                    own = np.full(k, PADDING)
+                    own[: len(r["sketch"])] = r["sketch"]
+                    rows = np.flatnonzero((comps != r["comp"]) & (100 * np.minimum(sizes, r["n"]) >= percent * np.maximum(sizes, r["n"])))
+                    earlier = [u for u in r["vs"] if u < v]
+                    if earlier and len(rows):
+                        rows = rows[~np.isin(table[rows], earlier).any(1)]
+                    if len(rows):
+                        rows = rows[_estimates(own, table[rows], k) >= percent / 100 - MARGIN]
+                        a.append(np.maximum(ids[rows], r["id"]))
+                        b.append(np.minimum(ids[rows], r["id"]))
+            yield pd.DataFrame({"a": np.concatenate([np.zeros(0, np.int64), *a]), "b": np.concatenate([np.zeros(0, np.int64), *b])})
+
+    return ones.join(many, "v").select("v", "ones", "many").mapInPandas(meet, "a long, b long")
+
+
 def _components(links: DataFrame, reps: DataFrame) -> DataFrame:
     """(id, comp) of all representatives."""
     found = connected_components(links, "a", "b").select(F.col("node").alias("id"), "component")
@@ -157,15 +205,12 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     long = member.where(f"m > {SHORT}")
     share = long.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("c"))
     largest = materialize(share.groupBy("v").agg(F.max_by("comp", F.struct("c", -F.col("comp"))).alias("largest")), "largest")
-    stray = long.join(largest, "v").where("comp <> largest").select("v", F.col("id").alias("x"), F.col("comp").alias("cx"))
-    least = stray.groupBy("x").agg(F.slice(F.sort_array(F.collect_list("v")), 1, LISTS).alias("vs"))
-    stray = materialize(stray.join(least, "x").where(F.array_contains("vs", F.col("v"))).select("v", "x", "cx"), "strays")
-    apart = stray.join(long.select("v", F.col("id").alias("y"), F.col("comp").alias("cy")), "v").where("cx <> cy")
-    apart = apart.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-    done = first.select("a", "b")
-    rest = materialize(short.union(apart).distinct().join(stars, ["a", "b"], "left_anti"), "rest")
-    second = _linked(rest, reps, docs, size, percent, k)
-    comps = materialize(_components(done.union(second), reps), "components")
+    stray = long.join(largest, "v").where("comp <> largest").select("v", "id", "m", "comp")
+    least = stray.groupBy("id").agg(F.slice(F.sort_array(F.collect_list("v")), 1, LISTS).alias("vs"))
+    stray = materialize(stray.join(least, "id").where(F.array_contains("vs", F.col("v"))), "strays")
+    apart = materialize(_apart(stray, long.join(stray.select("v").distinct(), "v"), reps, percent, k), "apart")
+    second = _linked(short.union(apart).distinct(), reps, docs, size, percent, k)
+    comps = materialize(_components(first.union(second), reps), "components")
 
     classes = classes.join(comps, "id").select(F.col("hi").alias("h"), F.col("lo").alias("l"), F.col("comp"))
     classes = materialize(classes, "classes")
