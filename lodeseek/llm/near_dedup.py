@@ -5,8 +5,8 @@ representative first, by a digest of the set. Then:
 
 1. Inverted lists: for each retained value the representatives that retain it. Values of one representative are useless. Lists of at most
    SHORT representatives tell texts apart; longer ones come from passages that many texts share, or from large groups of copies.
-2. Each list has a leader, the member whose values are most common. All members of a short list meet its leader. A long list is used only by the members
-   most of whose values have long lists: two similar texts share most values, so any other pair meets in a short list. Each pair is
+2. Each list has a leader, the member whose values are most common. All members of a short list meet its leader. A long list is used by all members but
+   those with so few values of long lists that the estimate excludes any pair that shares no other values. Each pair is
    estimated from the sketch of its union (of the k least values of both, the share that both have), and what may be similar is
    verified with the exact Jaccard similarity of the full sets. Links give components.
 3. What a leader didn't link: members of one short list in different components meet each other. In long lists members apart from the
@@ -35,8 +35,6 @@ PERCENT = 80
 SKETCH = 32
 #: Lists of more members are long.
 SHORT = 16
-#: A member uses long lists if fewer of its values have short lists (of SKETCH).
-FEW_SHORT = 12
 #: Pairs are verified if the estimate is at most so much below the wanted similarity: four standard deviations of it.
 MARGIN = 0.27
 #: In how many of its long lists, those of least value, a stray meets the other components.
@@ -188,7 +186,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     index = materialize(values.join(sizes, "v").select("v", "id", "m"), "index")
     discard(sizes)
     traits = index.groupBy("id").agg(F.sum("m").alias("fame"), F.sum((F.col("m") > SHORT).cast("int")).alias("long"))
-    crowded = F.col("long") > (F.size("sketch") * (k - FEW_SHORT) / k)
+    # What a pair shares in long lists alone is at most `long`, and its union's sketch has no fewer values than the member's: the estimate is at most this share.
+    crowded = F.col("long") / F.size("sketch") >= percent / 100 - MARGIN
     traits = traits.join(reps.select("id", "sketch"), "id").select("id", "fame", crowded.alias("crowded"))
     index = materialize(index.join(traits, "id").where(f"m <= {SHORT} or crowded"), "used")
     leaders = materialize(index.groupBy("v").agg(F.max_by("id", F.struct("fame", -F.col("id"))).alias("leader"), F.count(F.lit(1)).alias("used")).where("used > 1"), "leaders")

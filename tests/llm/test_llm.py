@@ -82,6 +82,24 @@ def test_near_duplicates_equal_brute_force(spark):
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_near_duplicates_template_with_a_tail_that_fills_much_of_the_sketch(spark):
+    template = [f"t{i}" for i in range(102)]
+    group = [" ".join(template)] + [" ".join([*template, f"own{i}"]) for i in range(30)]
+    (inside,) = near_dedup.shingle_sets(group[:1], 3)
+
+    def tailed(seed):
+        return " ".join([*template, *(f"tail{seed}x{i}" for i in range(24))])
+
+    def outside(text):
+        (own,) = near_dedup.shingle_sets([text], 3)
+        return int((~np.isin(own[: near_dedup.SKETCH], inside)).sum())
+
+    texts = group + [t for t in map(tailed, range(4000)) if 12 <= outside(t) <= 15][:4]
+    assert len(texts) == len(group) + 4
+    got = sorted(tuple(r) for r in near_dedup.near_duplicates(frame(spark, texts), size=3, percent=80).collect())
+    assert got == brute_duplicates(texts, 3, 80) and {r[2] for r in got} == {0}
+
+
 def test_near_duplicates_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (1, "a b c d e"), (1, "a b c d e"), (2, None)], "doc_id long, text string").withColumns({c: F.lit(0) for c in ("n", "v", "id", "comp", "sketch")})
     got = sorted((tuple(r) for r in near_dedup.near_duplicates(df).collect()), key=str)
