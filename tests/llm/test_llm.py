@@ -236,6 +236,37 @@ def test_secret_scan_base_and_redaction(spark):
     assert rows[len(EDGES)].redacted == "x [SECRET]\" y" and rows[0].redacted is None and rows[len(EDGES) + 4].redacted == "[SECRET]"
 
 
+def test_secret_network_finds_what_no_base_pattern_names(spark):
+    rng = np.random.default_rng(12)
+
+    def drawn(letters, n):
+        return "".join(rng.choice(list(letters), n))
+
+    words = ["".join(rng.choice(["ver", "lan", "tion", "keit", "mor", "sel"], 5)) for _ in range(400)]
+    hexes = [f"{words[i]} uses {drawn('abcdef0123456789', 32)} in {words[-i]}" for i in range(120)]
+    keys = [f"{words[i]} wrote {drawn('abcdef0123456789', 20)}-{drawn('abcdef0123456789', 20)} for {words[-i]}" for i in range(40)]
+    plain = [f"{words[i]} and {words[i + 1]} write about {words[i + 2]}" for i in range(150)]
+    df = frame(spark, [*hexes, *keys, *plain])
+    x, y = secret_scan.labelled(df)
+    assert y.sum() == len(hexes) and len(y) == len(hexes) + len(hexes) + len(keys) + len(plain), "one ordinary word of each text, no candidate that is to be scored"
+    net = secret_scan.train(x, y)
+    held = x[np.arange(len(y)) % 5 == 4][y[np.arange(len(y)) % 5 == 4] == 1]
+    assert (net.probability(held) >= net.threshold).mean() >= secret_scan.RECALL
+    rows = secret_scan.scan(df, net).select("doc_id", "secrets.*").orderBy("doc_id").collect()
+    assert all([s.kind for s in r.spans] == ["hex"] and r.scores[0] > 0.5 for r in rows[: len(hexes)])
+    assert sum([s.kind for s in r.spans] == ["network"] for r in rows[len(hexes) : -len(plain)]) >= 0.8 * len(keys)
+    assert not any(r.spans for r in rows[-len(plain) :])
+
+
+def test_secret_threshold_is_that_of_recall():
+    rng = np.random.default_rng(13)
+    x = rng.integers(2, 90, (400, secret_scan.WIDTH)).astype(np.uint8)
+    y = np.arange(400) // 5 % 8 == 0
+    net = secret_scan.train(x, y.astype(int))
+    held = np.arange(400) % 5 == 4
+    assert net.threshold < 0.5 and (net.probability(x[held & y]) >= net.threshold).mean() >= secret_scan.RECALL
+
+
 def test_secret_network_learns():
     rng = np.random.default_rng(6)
     texts, labels = [], []
