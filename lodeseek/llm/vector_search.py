@@ -85,7 +85,11 @@ def fit(x: np.ndarray, rounds: int = ROUNDS) -> Codebooks:
 
 
 def nearest(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, codes: np.ndarray, books: Codebooks, k: int, again: int) -> list[tuple[int, int, float]]:
-    """(query, id, distance) of each query's k nearest in a block whose ids are sorted. Equal vectors are scanned once; each has its k least ids (and one) ranked."""
+    """(query, id, distance) of each query's k nearest ids in a block whose ids are sorted and whose pairs of id and vector are distinct.
+
+    Equal vectors are scanned once; each has its k least ids (and one) ranked. Of the vectors of one id the nearest counts: where ids stand more
+    than once, as many vectors are ranked again as hold `again` ids.
+    """
     kinds, first, kind = np.unique(x, axis=0, return_index=True, return_inverse=True)
     kind = kind.reshape(-1)
     order = np.argsort(kind, kind="stable")
@@ -96,14 +100,22 @@ def nearest(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.n
         scores += tables[:, s][:, codes[first, s]]
     scores -= (kinds * kinds).sum(1) / 2
     best = np.argpartition(-scores, again - 1, axis=1)[:, :again] if again < len(kinds) else np.broadcast_to(np.arange(len(kinds)), scores.shape)
+    wanted = min(again, len(np.unique(ids)))
+    repeated = len(np.unique(ids)) < len(ids)
     out = []
-    for q, own, some in zip(queries, query_ids, best, strict=True):
-        distance = np.sqrt(((kinds[some] - q) ** 2).sum(1))
+    for q, own, some, score in zip(queries, query_ids, best, scores, strict=True):
         rows = np.concatenate([order[starts[j] : min(starts[j + 1], starts[j] + k + 1)] for j in some])
+        while repeated and len(some) < len(kinds) and len(np.unique(ids[rows])) < wanted:
+            some = np.argsort(-score, kind="stable")[: 2 * len(some)]
+            rows = np.concatenate([order[starts[j] : min(starts[j + 1], starts[j] + k + 1)] for j in some])
+        distance = np.sqrt(((kinds[some] - q) ** 2).sum(1))
         far = np.repeat(distance, [min(starts[j + 1] - starts[j], k + 1) for j in some])
         other = ids[rows] != own
         rows, far = rows[other], far[other]
-        for i in np.lexsort((ids[rows], far))[:k]:
+        ranked = np.lexsort((ids[rows], far))
+        if repeated:
+            ranked = ranked[np.sort(np.unique(ids[rows[ranked]], return_index=True)[1])]
+        for i in ranked[:k]:
             out.append((int(own), int(ids[rows[i]]), float(far[i])))
     return out
 
@@ -121,16 +133,17 @@ def search(df: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: st
 
     score is the exact Euclidean distance in double precision; ties go to the smaller vec_id. Vectors that are null, empty or zero, or hold a null or
     non-finite component, take no part, nor do those whose number of components isn't the most frequent one (of equals the smallest). Rows with
-    equal vectors are all candidates; a row repeated with its id is returned once. Empty tables give no rows.
+    equal vectors are all candidates; a row repeated with its id is one candidate, and an id with several vectors stands once, with the nearest. Empty tables
+    give no rows.
     """
-    rows = materialize(_usable(df, vec_id, vector), "vectors")
-    counted = rows.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    usable = _usable(df, vec_id, vector)
+    counted = usable.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
     spark = df.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     if counted is None:
         return spark.createDataFrame([], schema)
     dim = counted["d"]
-    rows = rows.where(F.size("x") == dim)
+    rows = materialize(usable.where(F.size("x") == dim).dropDuplicates(["id", "x"]), "vectors")
     asked = _usable(queries, vec_id, vector).where(F.size("x") == dim).dropDuplicates(["id"])
     drawn = rows.select("x", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(sample).collect()
     books = fit(np.array([r["x"] for r in drawn]))

@@ -224,6 +224,23 @@ def test_vector_search_recall_ties_and_odd_vectors(spark):
     assert vector_search.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_vector_search_of_repeated_rows(spark):
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(600, 8))
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 50 = 0")
+    plain = sorted(map(tuple, vector_search.search(df, asked, again=600).collect()))
+    assert len(plain) == 12 * 10
+    near = {r[0]: r[2] for r in plain if r[1] == 1}
+    again = spark.createDataFrame(rows * 2 + [rows[i] for i in near.values()] * 30, "vec_id long, embedding array<double>").coalesce(1)
+    assert sorted(map(tuple, vector_search.search(again, asked, again=600).collect())) == plain
+    own = 5000
+    many = spark.createDataFrame(rows + [(own, [float(c) + 1e-4 * j for c in x[0]]) for j in range(1, 400)], "vec_id long, embedding array<double>").coalesce(1)
+    got = [r.vec_id for r in sorted(vector_search.search(many, asked.where("vec_id = 0")).collect(), key=lambda r: r["rank"])]
+    assert len(got) == 10 and got[0] == own and got[1:] == [r[2] for r in plain if r[0] == 0][:9]
+
+
 def test_secret_scan_base_and_redaction(spark):
     texts = [*EDGES, 'x token = "abc123def" y', "PASSWORD: short", "AKIA" + "A1" * 8, "k " + "0af3" * 8, "secret=" + "0a" * 20, "pässword password=\n"]
     df = frame(spark, texts)
