@@ -1,9 +1,9 @@
 """URL filters: rules by host and path, and block decisions that aliases inherit.
 
 A rule fits its host and all subdomains where the path starts with its own; the longest rule that fits decides. Pages without a rule inherit:
-redirects and canonical links are edges between addresses, and connected components over them make the groups of aliases. Within a group an explicit allow
-takes precedence over any block; a group with a block and no allow is blocked; all else is allowed. A page with a rule keeps the
-rule's verdict. Everything is a DataFrame expression.
+redirects and canonical links are edges between addresses, and connected components over them make the groups of aliases. Rules decide on all
+addresses of a group, whether they are pages or only targets. Within a group an explicit allow takes precedence over any block; a group with a block and no
+allow is blocked; all else is allowed. A page with a rule keeps the rule's verdict. Everything is a DataFrame expression.
 """
 
 from __future__ import annotations
@@ -60,11 +60,18 @@ def _targets(html: Column) -> Column:
 
 
 def links(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """(src, dst) addresses of canonical links and refresh redirects; targets that begin with / or // are completed from the page's URL."""
+    """(src, dst) URLs of canonical links and refresh redirects; targets that begin with / or // are completed from the page's URL."""
     named = pages.where(F.lower(html).contains("canonical") | F.lower(html).contains("refresh")).select(F.col(url).alias("url"), F.explode(_targets(F.col(html))).alias("to"))
     scheme = F.regexp_extract("url", r"(?s)^(.*?)://", 1)
     whole = F.when(F.col("to").contains("://"), F.col("to")).when(F.col("to").startswith("//"), F.concat(scheme, F.lit(":"), "to")).when(F.col("to").startswith("/"), F.concat(scheme, F.lit("://"), host_of(F.col("url")), "to"))
-    return named.select(address(F.col("url")).alias("src"), address(whole).alias("dst")).where("src is not null and dst is not null and src <> dst")
+    return named.select(F.col("url").alias("src"), whole.alias("dst"))
+
+
+def _edges(urls: DataFrame, rules) -> DataFrame:
+    """(a, b, a_allow, b_allow) of pairs of URLs with unlike addresses: hashes of these, and whether a rule that fits allows (null: none fits)."""
+    src, dst = address(F.col("src")), address(F.col("dst"))
+    marks = [(rule_of(host_of(F.col(c)), path_of(F.col(c)), rules)["verdict"] == "allow").alias(f"{n}_allow") for c, n in (("src", "a"), ("dst", "b"))]
+    return urls.where(src.isNotNull() & dst.isNotNull() & (src != dst)).select(F.xxhash64(src).alias("a"), F.xxhash64(dst).alias("b"), *marks)
 
 
 def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", *, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
@@ -76,13 +83,17 @@ def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: st
     """
     edges = links(pages, url, html)
     if redirects is not None:
-        edges = edges.union(redirects.select(address(F.col("src")).alias("src"), address(F.col("dst")).alias("dst")).where("src is not null and dst is not null and src <> dst"))
-    groups = connected_components(edges.select(F.xxhash64("src").alias("a"), F.xxhash64("dst").alias("b")), "a", "b")
+        edges = edges.union(redirects.select("src", "dst"))
+    edges = materialize(_edges(edges, rules), "links")
+    groups = connected_components(edges, "a", "b")
     host, path = host_of(F.col(url)), path_of(F.col(url))
     rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"), F.xxhash64(address(F.col(url))).alias("node"), address(F.col(url)).isNotNull().alias("known"))
     rows = rows.withColumn("own", rule_of(F.col("host"), F.col("path"), rules))
     groups = materialize(groups.select(F.col("node").alias("g_node"), "component"), "aliases")
-    marks = rows.where("own is not null and known").select("node", (F.col("own.verdict") == "allow").alias("allow")).join(groups, F.col("node") == F.col("g_node"))
+    marks = rows.where("own is not null and known").select("node", (F.col("own.verdict") == "allow").alias("allow"))
+    for end in ("a", "b"):
+        marks = marks.union(edges.where(f"{end}_allow is not null").select(end, f"{end}_allow"))
+    marks = marks.join(groups, F.col("node") == F.col("g_node"))
     verdicts = marks.groupBy("component").agg(F.max("allow").alias("any_allow"))
     inherited = materialize(groups.join(verdicts, "component").select("g_node", F.when(F.col("any_allow"), "allow").otherwise("block").alias("given")), "inherited")
     out = rows.join(inherited, (F.col("node") == F.col("g_node")) & F.col("known"), "left")

@@ -200,6 +200,17 @@ def test_url_filter_rules_and_aliases(spark):
     assert got[7] == got[8] == ("", "", None, "allow") and got[9][2:] == ("example.org/en/1", "block") and got[10][2:] == ("org/", "allow") and got[12] == ("q.org", "", None, "allow")
 
 
+def test_url_filter_targets_that_are_not_pages(spark):
+    page = '<link rel="canonical" href="{}">'
+    rows = [
+        (1, "http://a.net/1", page.format("https://x.example.org/es/1")), (2, "http://b.net/2", '<meta http-equiv="refresh" content="0; url=http://y.com/de/9">'),
+        (3, "http://c.net/3", page.format("http://y.com/de/8")), (4, "http://c.net/3", page.format("http://z.com/fr/1")), (5, "http://d.net/", page.format("http://q.org")), (6, "http://e.net/", None), (7, "http://f.net/", None),
+    ]
+    moved = spark.createDataFrame([("http://e.net/", "http://u.net/"), ("http://u.net/", "http://v.com/de/"), ("http://f.net/", None), ("http://q.org", "http://y.com/de/1")], "src string, dst string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), redirects=moved).collect()}
+    assert got == {1: (None, "block"), 2: (None, "block"), 3: (None, "allow"), 4: (None, "allow"), 5: (None, "block"), 6: (None, "block"), 7: (None, "allow")}
+
+
 def test_vector_search_recall_ties_and_odd_vectors(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(3000, 16)).astype(np.float32)
