@@ -35,10 +35,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one of least id, once."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
-    return rows.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each group of near-duplicates stays, once: the one of least id, or one without an id where none has any.
+
+    Rows are told apart by a key of their own: rows that share an id, or have none, are documents like others. Texts without a
+    word are alike with none but rows of their id.
+    """
+    rows = materialize(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed")
+    found = near_dedup.near_duplicates(rows, "__key").select(F.col("doc_id").alias("__node"), "component_id", (F.col("n_shingles") > 0).alias("__worded"))
+    both = rows.select("__key", "doc_id").join(found, F.col("__key") == F.col("__node"))
+    empty = ~F.col("__worded")
+    group = [F.when(F.col("__worded"), F.col("component_id")), F.when(empty, F.col("doc_id")), F.when(empty & F.col("doc_id").isNull(), F.col("__key"))]
+    first = both.groupBy(*[g.alias(f"__g{i}") for i, g in enumerate(group)]).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")).alias("first"))
+    kept = first.select(F.col("first.__key").alias("__kept"))
+    return rows.join(kept, F.col("__key") == F.col("__kept"), "left_semi").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -370,3 +370,13 @@ def test_pipeline_stages(spark):
     assert all(r.n_chars == len(r.text) for r in left.values())
     packed = corpus_pipeline.STAGES[4][1](spark, docs, "").collect()
     assert {r.doc_id for r in packed} == set(left) and all("".join(p.text for p in sorted(packed, key=lambda p: p.piece) if p.doc_id == i) == left[i].text for i in left)
+
+
+def test_pipeline_near_dedup_of_rows_without_an_id_or_with_a_shared_one(spark):
+    shared, lone = prose(70, 90), prose(71, 90)
+    rows = [(None, lone), (None, shared), (None, shared), (4, shared), (3, shared), (3, shared), (5, prose(72, 90)), (5, prose(73, 90)), (6, prose(74, 90)), (None, prose(74, 90)), (7, ""), (7, ""), (8, None), (None, ""), (None, prose(75, 90)), (None, prose(75, 90))]
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], DOCS)
+    left = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert left.columns == docs.columns
+    want = [(None, lone), (3, shared), (5, prose(72, 90)), (5, prose(73, 90)), (6, prose(74, 90)), (7, ""), (8, None), (None, ""), (None, prose(75, 90))]
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter(want)
