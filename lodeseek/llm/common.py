@@ -42,6 +42,11 @@ def discard(df: DataFrame) -> None:
         folder.getFileSystem(hadoop).delete(folder, True)
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def spaced(text: Column) -> Column:
     """text with a space for each character of white space; null is empty. Splitting at one fixed character needs no regular expression."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D]", " ")
@@ -76,7 +81,9 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if mark == before:
             break
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.distinct())
+    found = materialize(now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.distinct()), "components")
+    discard(now)
+    return found
 
 
 def _fingerprint(df: DataFrame) -> tuple:

@@ -3,18 +3,19 @@
 A text's set is that of its word shingles, hashed to 64 bits; its sketch is the k least hashes. Texts with equal sets collapse to one
 representative first, by a digest of the set. Then:
 
-1. Inverted lists: for each retained value the representatives that retain it. Values of one representative are useless. Lists of at most
-   SHORT representatives tell texts apart; longer ones come from passages that many texts share, or from large groups of copies.
-2. Each list has a leader, the member whose values are most common. All members of a short list meet its leader. A long list is used by all members but
-   those with so few values of long lists that the estimate excludes any pair that shares no other values. Each pair is
-   estimated from the sketch of its union (of the k least values of both, the share that both have), and what may be similar is
-   verified with the exact Jaccard similarity of the full sets. Links give components.
-3. What a leader didn't link: members of one short list in different components meet each other. In long lists members apart from the
-   list's largest component meet members of other components, in blocks, by the lists of their least values; only pairs
-   that may be similar leave the blocks.
+1. Inverted lists: a pair whose estimate passes shares `need` of a sketch's values, so it shares one of the size - need + 1 rarest of either
+   (values are ordered by the number of sketches that retain them, the same order everywhere). Only these enter the lists: a passage that
+   many unlike texts share fills no list, unless it is most of a text.
+2. Each list has a leader, the member whose values are most common, and all members meet it. Each pair is estimated from the sketch of
+   its union (of the k least values of both, the share that both have), and what may be similar is verified with the exact Jaccard
+   similarity of the full sets. Links give components.
+3. In lists with several components, members apart from the largest one meet all members of other components: in short lists as pairs, in
+   long ones in blocks of bounded size that carry the full sets. A block estimates, verifies, and lets out only the links that
+   join components there, fewer than it has rows.
 4. Links of both rounds give the final components.
 
 No group is expanded into all pairs, and no list is cut. The joins have an exchange on either side, so that adaptive execution splits hot values.
+The estimate may fall short of the similarity by four and a half standard deviations; with k=None sketches are whole sets and the result is exact.
 """
 
 from __future__ import annotations
@@ -23,24 +24,25 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, materialize
+from .common import column, connected_components, discard, materialize
 
 SHINGLE_WORDS = 5
 #: Similarity as a share of 100.
 PERCENT = 80
 SKETCH = 32
-#: Lists of more members are long.
+#: Standard deviations by which the estimate may fall short.
+DEVIATIONS = 4.5
+#: Lists of more members meet in blocks, of about so many rows and shingles.
 SHORT = 16
-#: Pairs are verified if the estimate is at most so much below the wanted similarity: four standard deviations of it.
-MARGIN = 0.27
-#: In how many of its long lists, those of least value, a stray meets the other components.
-LISTS = 8
-#: Rows of a block in which strays and members of a long list meet.
-BLOCK = 256
+BLOCK, BLOCK_SHINGLES = 256, 250_000
+#: Columns of the matrices that blocks count common shingles with, and pairs that they estimate at once.
+WIDTH, AT_ONCE = 8192, 32_768
 PADDING = np.iinfo(np.int64).max
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -75,144 +77,226 @@ def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
     return out
 
 
-def _sketched(df: DataFrame, doc_id: str, text: str, size: int, k: int) -> DataFrame:
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    hi, lo = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
+    return int(hi), int(lo)
+
+
+def _place(doc_id: str, text: str) -> Column:
+    """What finds a row's text again: a hash of its id and text."""
+    return F.xxhash64(column(doc_id).cast("long"), column(text))
+
+
+def _sketched(df: DataFrame, doc_id: str, text: str, size: int, k: int | None) -> DataFrame:
     @F.pandas_udf("n long, hi long, lo long, sketch array<long>")
-    def sketched(column: pd.Series) -> pd.DataFrame:
-        rows = []
-        for s in shingle_sets(list(column), size):
-            hi, lo = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-            rows.append((len(s), hi, lo, s[:k]))
+    def sketched(texts: pd.Series) -> pd.DataFrame:
+        rows = [(len(s), *_digest(s), s[:k]) for s in shingle_sets(list(texts), size)]
         return pd.DataFrame(rows, columns=["n", "hi", "lo", "sketch"])
 
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), sketched(F.col(text)).alias("s")).select("doc_id", "s.*")
+    return df.select(column(doc_id).cast("long").alias("doc_id"), _place(doc_id, text).alias("place"), sketched(column(text)).alias("s")).select("doc_id", "place", "s.*")
 
 
 def _sets(df: DataFrame, doc_id: str, text: str, size: int, wanted: DataFrame) -> DataFrame:
-    """(id, set) of the wanted ids."""
-    @F.pandas_udf("array<long>")
-    def full(column: pd.Series) -> pd.Series:
-        return pd.Series(shingle_sets(list(column), size), dtype=object)
+    """(id, set) of the wanted (id, place, hi, lo). A row that stands more than once gives its set once."""
+
+    @F.pandas_udf("hi long, lo long, set array<long>")
+    def full(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(*_digest(s), s) for s in shingle_sets(list(texts), size)], columns=["hi", "lo", "set"])
 
-    texts = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
-    return texts.select("id", full(F.col("text")).alias("set"))
+    texts = df.select(_place(doc_id, text).alias("place"), column(text).alias("text")).join(wanted, "place")
+    own = texts.select("place", "id", "hi", "lo", full(F.col("text")).alias("s")).where("s.hi = hi and s.lo = lo")
+    return own.groupBy("place", "id").agg(F.first("s.set").alias("set")).select("id", "set")
 
 
-def _linked(pairs: DataFrame, reps: DataFrame, docs: tuple, size: int, percent: int, k: int) -> DataFrame:
+def _least_estimate(percent: int, k: int | None) -> float:
+    """The least estimate that may stand for the wanted similarity."""
+    p = percent / 100
+    return p if k is None else max(1 / k, p - DEVIATIONS * (p * (1 - p) / k) ** 0.5)
+
+
+def _linked(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, k: int | None) -> DataFrame:
     """The pairs (a, b) whose exact similarity is enough: estimated first, then verified on full sets."""
-    sketches = reps.select("id", "n", "sketch")
-    one = sketches.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    two = sketches.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    one, two = (reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in ("a", "b"))
     near = pairs.join(one, "a").join(two, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    near = near.withColumn("union", F.slice(F.sort_array(F.array_union("sa", "sb")), 1, k))
+    union = F.sort_array(F.array_union("sa", "sb"))
+    near = near.withColumn("union", union if k is None else F.slice(union, 1, k))
     estimate = F.size(F.array_intersect(F.array_intersect("union", "sa"), F.col("sb"))) / F.size("union")
-    near = materialize(near.where(estimate >= percent / 100 - MARGIN).select("a", "b", "na", "nb"), "near")
-    wanted = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-    sets = materialize(_sets(*docs, size, wanted).dropDuplicates(["id"]), "sets")
+    near = materialize(near.where(estimate >= _least_estimate(percent, k) - 1e-9).select("a", "b", "na", "nb"), "near")
     both = near.join(sets.select(F.col("id").alias("a"), F.col("set").alias("xa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("xb")), "b")
     common = F.size(F.array_intersect("xa", "xb")).cast("long")
     links = materialize(both.select("a", "b", "na", "nb", common.alias("c")).where(100 * F.col("c") >= percent * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b"), "links")
     discard(near)
-    discard(sets)
     return links
 
 
-def _estimates(one: np.ndarray, many: np.ndarray, k: int) -> np.ndarray:
-    """The share of the union sketch that both have, of one padded sketch and each row of many."""
-    place = np.searchsorted(one, many)
-    common = (one[np.minimum(place, k - 1)] == many) & (many != PADDING)
-    before = np.cumsum(common, 1) - common
-    shared = (common & (np.arange(k) + place - before < k)).sum(1)
-    union = (one != PADDING).sum() + (many != PADDING).sum(1) - common.sum(1)
-    return shared / np.minimum(union, k)
+class _Side:
+    """One side of a meeting: ids, components, sets (as one array of values with the row of each), and values of earlier lists."""
+
+    def __init__(self, rows: pa.StructArray, k: int):
+        ids, comps, sets, earlier = rows.flatten()
+        self.ids, self.comps = ids.to_numpy(), comps.to_numpy()
+        self.sizes = pc.list_value_length(sets).to_numpy().astype(np.int64)
+        self.values, self.rows = sets.flatten().to_numpy(), np.repeat(np.arange(len(ids)), self.sizes)
+        self.earlier = earlier.flatten().to_numpy(), np.repeat(np.arange(len(ids)), pc.list_value_length(earlier).to_numpy())
+        self.table = np.full((len(ids), k), PADDING)
+        starts = np.cumsum(self.sizes) - self.sizes
+        for j in range(min(k, int(self.sizes.max()))):
+            has = self.sizes > j
+            self.table[has, j] = self.values[starts[has] + j]
+
+
+def _common(one: tuple, many: tuple, n_one: int, n_many: int) -> np.ndarray:
+    """How many values each row of one has in common with each row of many; both are (values, rows)."""
+    counts = np.zeros((n_one, n_many))
+    known = np.intersect1d(one[0], many[0])
+    places = []
+    for values, rows in (one, many):
+        at = np.minimum(np.searchsorted(known, values), max(0, len(known) - 1))
+        there = known[at] == values if len(known) else np.zeros(len(values), bool)
+        places.append((at[there], rows[there]))
+    for a in range(0, len(known), WIDTH):
+        width = min(WIDTH, len(known) - a)
+        flags = []
+        for (at, rows), n in zip(places, (n_one, n_many), strict=True):
+            inside = (at >= a) & (at < a + width)
+            flag = np.zeros((n, width), np.float32)
+            flag[rows[inside], at[inside] - a] = 1
+            flags.append(flag)
+        counts += flags[0] @ flags[1].T
+    return counts
+
+
+def _estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """For each pair of padded sketches the share of the union's sketch that both have."""
+    k = one.shape[1]
+    both = np.sort(np.concatenate([one, many], 1), 1)
+    real = both != PADDING
+    again = np.zeros(both.shape, bool)
+    again[:, 1:] = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
+    rank = np.cumsum(real & ~again, 1)
+    return (again & (rank <= k)).sum(1) / np.minimum(rank[:, -1], k)
+
+
+def _meeting(one: _Side, many: _Side, percent: int, least: float) -> list[tuple[int, int]]:
+    """Links of rows of one with rows of many in other components, enough to join whatever all such links join."""
+    sizes = one.sizes[:, None], many.sizes[None]
+    open_ = (one.comps[:, None] != many.comps[None]) & (100 * np.minimum(*sizes) >= percent * np.maximum(*sizes))
+    open_ &= _common(one.earlier, many.earlier, len(one.ids), len(many.ids)) == 0
+    a, b = np.nonzero(open_)
+    fits = [_estimates(one.table[a[i : i + AT_ONCE]], many.table[b[i : i + AT_ONCE]]) >= least - 1e-9 for i in range(0, len(a), AT_ONCE)]
+    if not fits:
+        return []
+    fits = np.concatenate(fits)
+    a, b = a[fits], b[fits]
+    if not len(a):
+        return []
+    common = _common((one.values, one.rows), (many.values, many.rows), len(one.ids), len(many.ids))[a, b]
+    true = 100 * common >= percent * (one.sizes[a] + many.sizes[b] - common)
+    a, b = a[true], b[true]
+    _, first = np.unique(np.stack([one.comps[a], many.comps[b]]), axis=1, return_index=True)
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
 
+    out = []
+    for i in first:
+        x, y = find(int(one.comps[a[i]])), find(int(many.comps[b[i]]))
+        if x != y:
+            root[x] = y
+            out.append((int(one.ids[a[i]]), int(many.ids[b[i]])))
+    return out
 
-def _apart(stray: DataFrame, members: DataFrame, reps: DataFrame, percent: int, k: int) -> DataFrame:
-    """Pairs (a, b) of a stray and a member of another component in one of the stray's long lists that the estimate doesn't exclude.
 
-    Strays and members of a list are dealt into blocks of about BLOCK rows, each block of strays meets each block of members, and
-    only pairs that may be similar leave. A pair is left by the first of the stray's lists that both are in.
-    """
-    sketches = reps.select("id", "n", "sketch")
-    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / BLOCK))
-    ones = stray.join(sketches, "id").groupBy("v", block.alias("x")).agg(F.collect_list(F.struct("id", "comp", "n", "sketch", "vs")).alias("ones"))
-    many = members.join(sketches, "id").groupBy("v", block.alias("y")).agg(F.collect_list(F.struct("id", "comp", "n", "sketch")).alias("many"))
+def _blocks(entries: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """(v, name): the entries (v, id, n, comp, earlier) of each list with their sets, in blocks of bounded size."""
+    sizes = entries.groupBy(F.col("v").alias("u")).agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    dealt = entries.join(sizes, F.col("v") == F.col("u")).join(sets, "id")
+    return dealt.groupBy("v", F.pmod(F.xxhash64("id"), "blocks").alias("block")).agg(F.collect_list(F.struct("id", "comp", "set", "earlier")).alias(name)).select("v", name)
+
+
+def _joined_in_blocks(strays: DataFrame, members: DataFrame, sets: DataFrame, percent: int, k: int | None) -> DataFrame:
+    """Links (a, b) between strays and members of other components in the same long list: each block of strays meets each block of members."""
+    least = _least_estimate(percent, k)
 
     def meet(batches):
-        for pdf in batches:
-            a, b = [], []
-            for v, ones, many in zip(pdf["v"], pdf["ones"], pdf["many"], strict=True):
-                ids, comps, sizes = (np.array([r[c] for r in many]) for c in ("id", "comp", "n"))
-                table = np.full((len(many), k), PADDING)
-                for i, r in enumerate(many):
-                    table[i, : len(r["sketch"])] = r["sketch"]
-                for r in ones:
-                    own = np.full(k, PADDING)
-                    own[: len(r["sketch"])] = r["sketch"]
-                    rows = np.flatnonzero((comps != r["comp"]) & (100 * np.minimum(sizes, r["n"]) >= percent * np.maximum(sizes, r["n"])))
-                    earlier = [u for u in r["vs"] if u < v]
-                    if earlier and len(rows):
-                        rows = rows[~np.isin(table[rows], earlier).any(1)]
-                    if len(rows):
-                        rows = rows[_estimates(own, table[rows], k) >= percent / 100 - MARGIN]
-                        a.append(np.maximum(ids[rows], r["id"]))
-                        b.append(np.minimum(ids[rows], r["id"]))
-            yield pd.DataFrame({"a": np.concatenate([np.zeros(0, np.int64), *a]), "b": np.concatenate([np.zeros(0, np.int64), *b])})
-
-    return ones.join(many, "v").select("v", "ones", "many").mapInPandas(meet, "a long, b long")
-
-
-def _components(links: DataFrame, reps: DataFrame) -> DataFrame:
-    """(id, comp) of all representatives."""
-    found = connected_components(links, "a", "b").select(F.col("node").alias("id"), "component")
-    return reps.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
-
-
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, size: int = SHINGLE_WORDS, percent: int = PERCENT, k: int = SKETCH) -> DataFrame:
+        for batch in batches:
+            links = []
+            for ones, many in zip(batch.column(0), batch.column(1), strict=True):
+                ones, many = ones.values, many.values
+                width = k or max(1, *(int(pc.max(pc.list_value_length(x.flatten()[2])).as_py()) for x in (ones, many)))
+                links += _meeting(_Side(ones, width), _Side(many, width), percent, least)
+            a, b = np.array(links, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+    return _blocks(strays, sets, "ones").join(_blocks(members, sets, "many"), "v").select("ones", "many").mapInArrow(meet, "a long, b long")
+
+
+def _components(links: DataFrame) -> DataFrame:
+    """(id, comp) of the representatives with links."""
+    return connected_components(links, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("comp"))
+
+
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, size: int = SHINGLE_WORDS, percent: int = PERCENT, k: int | None = SKETCH) -> DataFrame:
     """One row for each row of df: doc_id, n_shingles, component_id, kept.
 
-    Texts are linked where 100 * shared shingles >= percent * shingles of either. component_id is the least id reachable over links, kept whether the row is that one. Empty and
-    null texts have no shingles and are linked with nothing, so each is its own component. Repeated rows are returned as often as they stand, with equal
-    results; rows of one id with different texts are one node. A null id gives a null component and isn't kept. An empty table gives no
-    rows. Other columns aren't used.
+    Texts are linked where 100 * shared shingles >= percent * shingles of either. component_id is the least id reachable over links, the row's own
+    included, and kept whether the row has that id. Rows are told apart by their texts: repeated rows are returned as often as they stand, with equal
+    results; rows of one id with different texts aren't linked by their id. A row without an id counts as a link between others; its own component_id is null, and
+    it isn't kept. Empty and null texts have no shingles and are linked with nothing, so each is its own component. An empty table
+    gives no rows. Texts of any length are compared whole. Other columns aren't used, whatever their names.
     """
-    docs = (df, doc_id, text)
     sketched = materialize(_sketched(df, doc_id, text, size, k), "sketches")
-    full = sketched.where("n > 0 and doc_id is not null")
-    classes = materialize(full.groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("id")), "classes")
-    reps = materialize(full.join(classes.select("id", F.col("hi").alias("h"), F.col("lo").alias("l")), (F.col("doc_id") == F.col("id")) & (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l"))).select("id", "n", "sketch").dropDuplicates(["id"]), "reps")
-
-    values = reps.select("id", F.explode("sketch").alias("v"))
-    sizes = materialize(values.groupBy("v").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "sizes")
-    index = materialize(values.join(sizes, "v").select("v", "id", "m"), "index")
-    discard(sizes)
-    traits = index.groupBy("id").agg(F.sum("m").alias("fame"), F.sum((F.col("m") > SHORT).cast("int")).alias("long"))
-    # What a pair shares in long lists alone is at most `long`, and its union's sketch has no fewer values than the member's: the estimate is at most this share.
-    crowded = F.col("long") / F.size("sketch") >= percent / 100 - MARGIN
-    traits = traits.join(reps.select("id", "sketch"), "id").select("id", "fame", crowded.alias("crowded"))
-    index = materialize(index.join(traits, "id").where(f"m <= {SHORT} or crowded"), "used")
-    leaders = materialize(index.groupBy("v").agg(F.max_by("id", F.struct("fame", -F.col("id"))).alias("leader"), F.count(F.lit(1)).alias("used")).where("used > 1"), "leaders")
-    stars = index.join(leaders, "v").where("id <> leader").select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct()
-    first = _linked(stars, reps, docs, size, percent, k)
-    comps = materialize(_components(first, reps), "components")
-
-    member = materialize(index.join(leaders.select("v"), "v").join(comps, "id").select("v", "id", "m", "comp"), "members")
-    mixed = member.groupBy("v").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("v")
-    member = materialize(member.join(mixed, "v"), "mixed")
-    gathered = member.where(f"m <= {SHORT}").groupBy("v").agg(F.collect_list(F.struct("id", "comp")).alias("all"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("first")
+    reps = sketched.where("n > 0").groupBy("hi", "lo", "n").agg(first, F.count(F.lit(1)).alias("rows"), F.first("sketch").alias("sketch"))
+    reps = materialize(reps.select(F.monotonically_increasing_id().alias("id"), "hi", "lo", "n", "first.doc_id", "first.place", "rows", "sketch"), "reps")
+
+    values = reps.select("id", "n", F.explode("sketch").alias("v"))
+    counts = materialize(values.groupBy("v").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "counts")
+    shared = values.join(counts, "v").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("m", "v"))).alias("shared"))
+    retained = F.col("n") if k is None else F.least("n", F.lit(k))
+    # Values that nobody shares are the rarest, and take their places among the size - need + 1 too.
+    taken = F.size("shared") + 1 - F.ceil(retained * _least_estimate(percent, k) - 1e-9)
+    traits = shared.where(taken > 0).select("id", "n", F.aggregate("shared", F.lit(0).cast("long"), lambda s, x: s + x["m"]).alias("fame"), F.slice(F.transform("shared", lambda x: x["v"]), F.lit(1), taken.cast("int")).alias("vs"))
+    traits = materialize(traits, "traits")
+    discard(counts)
+    index = traits.select("id", "n", "fame", F.posexplode("vs").alias("at", "v"), "vs")
+    lists = materialize(index.groupBy("v").agg(F.max_by("id", F.struct("fame", -F.col("id"))).alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1"), "lists")
+    entries = materialize(index.join(lists, "v").select("v", "id", "n", "leader", "m", F.slice("vs", F.lit(1), F.col("at")).alias("earlier")), "entries")
+    discard(traits)
+    discard(lists)
+    wanted = entries.select("id").distinct()
+    sets = materialize(_sets(df, doc_id, text, size, reps.select("id", "place", "hi", "lo").join(wanted, "id", "left_semi")), "sets")
+    stars = entries.where("id <> leader").select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct()
+    links = _linked(stars, reps, sets, percent, k)
+    comps = _components(links)
+
+    members = entries.join(comps, "id", "left").select("v", "id", "n", "m", "earlier", F.coalesce("comp", "id").alias("comp"))
+    shares = members.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("v").agg(F.max_by("comp", F.struct("c", -F.col("comp"))).alias("largest"), F.count(F.lit(1)).alias("comps"))
+    members = materialize(members.join(shares.where("comps > 1"), "v").drop("comps"), "members")
+    discard(entries)
+    discard(comps)
+    gathered = members.where(f"m <= {SHORT}").groupBy("v").agg(F.collect_list(F.struct("id", "comp")).alias("all"))
     short = gathered.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y"))
-    short = short.where("x.comp <> y.comp and x.id > y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    long = member.where(f"m > {SHORT}")
-    share = long.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("c"))
-    largest = materialize(share.groupBy("v").agg(F.max_by("comp", F.struct("c", -F.col("comp"))).alias("largest")), "largest")
-    stray = long.join(largest, "v").where("comp <> largest").select("v", "id", "m", "comp")
-    least = stray.groupBy("id").agg(F.slice(F.sort_array(F.collect_list("v")), 1, LISTS).alias("vs"))
-    stray = materialize(stray.join(least, "id").where(F.array_contains("vs", F.col("v"))), "strays")
-    apart = materialize(_apart(stray, long.join(stray.select("v").distinct(), "v"), reps, percent, k), "apart")
-    second = _linked(short.union(apart).distinct(), reps, docs, size, percent, k)
-    comps = materialize(_components(first.union(second), reps), "components")
-
-    classes = classes.join(comps, "id").select(F.col("hi").alias("h"), F.col("lo").alias("l"), F.col("comp"))
-    classes = materialize(classes, "classes")
-    joined = sketched.join(classes, (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")), "left")
-    component = F.when(F.col("n") > 0, F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+    short = short.where("x.comp <> y.comp and x.id > y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    short = _linked(short, reps, sets, percent, k)
+    long = members.where(f"m > {SHORT}")
+    blocks = materialize(_joined_in_blocks(long.where("comp <> largest"), long, sets, percent, k), "blocks")
+    comps = _components(links.union(short).union(blocks))
+    for old in (members, sets, links, short, blocks):
+        discard(old)
+
+    # Classes of several rows, or linked with others; all other rows are their own components.
+    least = comps.join(reps.select("id", "doc_id"), "id").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    grouped = reps.select("id", "hi", "lo", "rows", "doc_id").join(comps, "id", "left").join(least, "comp", "left").where("rows > 1 or comp is not null")
+    grouped = materialize(grouped.select(F.col("hi").alias("h"), F.col("lo").alias("l"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("least"), F.lit(True).alias("known")), "grouped")
+    rows = materialize(sketched.select("doc_id", "n", "hi", "lo"), "rows")
+    for old in (reps, comps, sketched):
+        discard(old)
+    worded = rows.where("n > 0").join(grouped, (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")), "left")
+    component = F.when(F.col("known"), F.col("least")).otherwise(F.col("doc_id"))
+    out = worded.select("doc_id", "n", component.alias("component")).union(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(False)).alias("kept"))
