@@ -2,18 +2,21 @@
 
 A text's lines with a word are a sequence; lines without one take no part. Distributed prefix doubling ranks the suffixes of all sequences: the rank of a
 position at depth 1 is that of its line, and at depth 2d that of the pair of ranks at depth d of the position and of the one d lines
-on. Distinct pairs are sorted by range over the cluster and numbered in that order, so equal ranks are the suffix array's intervals of a common prefix
-of at least that depth. Positions alone in their interval end there and leave the table; so does whatever has a line that occurs nowhere else.
-Doubling stops at the depth of the shortest run that counts, for a longer maximal run is the union of its windows of that
-depth. In each interval the first occurrence stays, all later ones are marked, and marked lines are deleted. A single long line is a run too.
+on (once the depth is that of the shortest run that counts, it is exactly doubled). Distinct pairs are sorted by range over the cluster and numbered in that
+order, so equal ranks are the suffix array's intervals of a common prefix of at least that depth. Positions alone in their interval leave the table;
+doubling ends when none is left. In each interval the first occurrence stays. Of a later one the lines are deleted, but for those that belong to the first too,
+where both overlap in one text. The deepest interval in which a position is a later one gives the copy that it continues; stretches of positions that
+continue the same copy are the maximal runs. A single long line is a run too.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import column, discard, materialize
 
 #: Least number of lines of a run, and least number of characters of a single line that counts as one.
 MIN_LINES = 3
@@ -26,28 +29,26 @@ def _has_word(line: Column) -> Column:
     return line.rlike(r"[^\x20\x09-\x0D]")
 
 
-def _place() -> Column:
-    return F.struct("doc", "th", "i")
-
-
 def _same_place(x: str, y: str) -> Column:
     return F.col(f"{x}.doc").eqNullSafe(F.col(f"{y}.doc")) & (F.col(f"{x}.th") == F.col(f"{y}.th")) & (F.col(f"{x}.i") == F.col(f"{y}.i"))
 
 
 def sequences(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """One row for each line with a word: doc, th, i (its place among these), pos (its place among all lines), a (its hash), chars."""
-    line = F.transform(F.split(F.col(text), "\n"), lambda x, pos: F.when(_has_word(x), F.struct(F.xxhash64(x).alias("a"), F.length(x).alias("chars"), pos.alias("pos"))))
-    rows = df.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("th"), F.posexplode(F.filter(line, lambda x: x.isNotNull())).alias("i", "line"))
-    return rows.select("doc", "th", "i", "line.pos", "line.a", "line.chars").dropDuplicates(["doc", "th", "i"])
-
-
-def _ranked(positions: DataFrame, key: list[str]) -> DataFrame:
-    """The positions that share their key with another one, with the key's rank and whether they are later than the first that has it."""
-    kinds = positions.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(_place()).alias("first")).where("n > 1").select(*key, "first")
-    ordered = kinds.repartitionByRange(*key).sortWithinPartitions(*key)
+    """One row for each line with a word: doc, th, i (its place among these), pos (its place among all lines), a and b (128 bits of hash), chars."""
+    hashed = lambda x, pos: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), F.length(x).alias("chars"), pos.alias("pos"))
+    line = F.transform(F.split(column(text), "\n"), lambda x, pos: F.when(_has_word(x), hashed(x, pos)))
+    rows = df.where(column(text).isNotNull()).select(column(doc_id).alias("doc"), F.xxhash64(column(text)).alias("th"), F.posexplode(F.filter(line, lambda x: x.isNotNull())).alias("i", "line"))
+    return rows.select("doc", "th", "i", "line.pos", "line.a", "line.b", "line.chars").dropDuplicates(["doc", "th", "i"])
+
+
+def _ranked(positions: DataFrame) -> DataFrame:
+    """The positions that share their key (a, b) with another one, with the key's rank, and the first position that has it; `later`: not that one."""
+    place = F.struct("doc", "th", "i")
+    kinds = positions.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("a", "b", "first")
+    ordered = kinds.repartitionByRange("a", "b").sortWithinPartitions("a", "b")
     kinds = materialize(ordered.withColumn("rank", F.monotonically_increasing_id()), "ranks")
-    kept = [c for c in positions.columns if c not in key]
-    ranked = materialize(positions.join(kinds, key).select(*kept, "rank", (_place() > F.col("first")).alias("later")), "ranked")
+    kept = [c for c in positions.columns if c not in ("a", "b")]
+    ranked = materialize(positions.join(kinds, ["a", "b"]).select(*kept, "rank", "first", (place > F.col("first")).alias("later")), "ranked")
     discard(kinds)
     return ranked
 
@@ -58,42 +59,97 @@ def _beside(ranked: DataFrame, by: int) -> DataFrame:
     return ranked.alias("x").join(on.alias("y"), _same_place("x", "y")).select("x.doc", "x.th", "x.i", F.col("x.rank").alias("a"), "y.b")
 
 
-def later_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row for each text with lines to delete: doc, th, and gone, the sorted places of these among all its lines, from 0."""
+def _same_text(x: Column, y: Column) -> Column:
+    return x["doc"].eqNullSafe(y["doc"]) & (x["th"] == y["th"])
+
+
+def _continued(levels: list[tuple[int, DataFrame]]) -> DataFrame:
+    """Maximal runs of later copies: doc, th, begin (among lines with a word), lines, and doc, th and place (from) of what they repeat."""
+    later = [t.where("later").select("doc", "th", "i", "first", F.lit(d).alias("depth")) for d, t in levels]
+    deepest = reduce(DataFrame.union, later).groupBy("doc", "th", "i").agg(F.max(F.struct("depth", "first")).alias("top"))
+    text = Window.partitionBy("doc", "th").orderBy("i")
+    before, own = F.lag("top.first").over(text), F.col("top.first")
+    goes_on = (F.lag("i").over(text) == F.col("i") - 1) & _same_text(before, own) & (before["i"] == own["i"] - 1)
+    numbered = deepest.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("run", F.sum("new").over(text))
+    runs = numbered.groupBy("doc", "th", "run").agg(F.min("i").alias("begin"), F.max(F.col("i") + F.col("top.depth")).alias("end"), F.min(F.struct("i", "top.first")).alias("at"))
+    return runs.select("doc", "th", "begin", (F.col("end") - F.col("begin")).alias("lines"), F.col("at.first").alias("source"))
+
+
+def _levels(df: DataFrame, doc_id: str, text: str, min_lines: int, to_the_end: bool) -> tuple[DataFrame, list[tuple[int, DataFrame]]]:
+    """The ranks at depth 1, and depths from min_lines on with the ranks there: all in which positions share an interval, or the first of them."""
     positions = materialize(sequences(df, doc_id, text), "lines")
-    single = ranked = _ranked(positions, ["a"])
+    single = ranked = _ranked(positions)
     discard(positions)
     depth = 1
     while depth < min_lines:
         step = min(depth, min_lines - depth)
-        before, ranked = ranked, _ranked(_beside(ranked, step), ["a", "b"])
+        before, ranked = ranked, _ranked(_beside(ranked, step))
         if before is not single:
             discard(before)
         depth += step
+    levels = [(depth, ranked)]
+    while to_the_end and ranked.take(1):
+        ranked = _ranked(_beside(ranked, depth))
+        depth *= 2
+        levels.append((depth, ranked))
+    return single, levels
+
+
+def repeated_runs(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, min_lines: int = MIN_LINES) -> DataFrame:
+    """The maximal runs that repeat earlier lines: doc, begin, lines, from_doc, from_begin; places count lines with a word, from 0.
+
+    A run is a stretch of positions whose longest earlier copies (to within a factor of two: of equal depth the first) follow one another. No such run, an empty table,
+    null and empty texts give no rows; a text that stands more than once with the same id counts once.
+    """
+    single, levels = _levels(df, doc_id, text, min_lines, True)
+    runs = materialize(_continued(levels), "runs")
+    for _, table in [(1, single), *levels]:
+        discard(table)
+    return runs.select("doc", "begin", "lines", F.col("source.doc").alias("from_doc"), F.col("source.i").alias("from_begin"))
+
+
+def later_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
+    """One row for each text with lines to delete: doc, th, gone, the sorted places of these among all its lines, from 0, and runs, the maximal runs
+    of later copies (begin and lines among lines with a word, and doc, th, i of what they repeat)."""
+    single, levels = _levels(df, doc_id, text, min_lines, True)
     long = single.where("later").where(F.col("chars") >= min_chars).select("doc", "th", "pos")
-    covered = ranked.where("later").select("doc", "th", F.explode(F.sequence("i", F.col("i") + (min_lines - 1))).alias("i")).distinct()
-    runs = single.alias("x").join(covered.alias("y"), _same_place("x", "y")).select("x.doc", "x.th", "x.pos")
-    return long.union(runs).groupBy("doc", "th").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    runs = materialize(_continued(levels), "runs")
+    # A run's lines are deleted, but for those of the first copy that it overlaps: they are found where it begins, at the least depth.
+    depth, least = levels[0]
+    own = F.when(_same_text(F.struct("doc", "th"), F.col("first")), F.greatest("i", F.col("first.i") + depth)).otherwise(F.col("i"))
+    covered = least.where("later").select("doc", "th", F.explode(F.sequence(own, F.col("i") + (depth - 1))).alias("i")).distinct()
+    lines = single.alias("x").join(covered.alias("y"), _same_place("x", "y")).select("x.doc", "x.th", "x.pos")
+    gone = long.union(lines).groupBy("doc", "th").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    named = runs.groupBy(F.col("doc").alias("d"), F.col("th").alias("t")).agg(F.sort_array(F.collect_list(F.struct("begin", "lines", "source"))).alias("runs"))
+    both = gone.join(named, F.col("doc").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left").select("doc", "th", "gone", "runs")
+    both = materialize(both, "gone")
+    for table in (single, runs, *(t for _, t in levels)):
+        discard(table)
+    return both
 
 
 def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", out: str = "lines", *, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """df with a struct column `out`: n_lines (with a word), n_deleted, and text without the lines that are later copies.
+    """df with a struct column `out`: n_lines (with a word), n_deleted, text without the lines that are later copies, and runs, the maximal runs
+    of later copies (begin and lines among lines with a word, and doc, th, i of what they repeat; null without one).
 
     Later: after the first occurrence in the order of id, 64-bit hash of the text, and line. Runs of at least min_lines lines are deleted, and
-    single lines of at least min_chars characters. Lines without a word stay and do not interrupt a run. Rows that share id and text are one text and get the same
-    result. Null text stays null, with no lines; a null id comes first in the order. Lines are compared by their 64-bit hashes. Other columns stay
-    as they are (one called like `out` is replaced). Nothing is deleted from an empty table.
+    single lines of at least min_chars characters. The first copy loses no line, overlapped or not. Lines without a word stay and do not interrupt a run. Rows that
+    share id and text are one text and get the same result. Null text stays null, with no lines; a null id comes first in the order. Lines are compared by 128
+    bits of hash. Texts of any length are taken whole. Other columns stay as they are, whatever their names (one called like `out` is replaced). Nothing
+    is deleted from an empty table.
     """
     columns = [c for c in df.columns if c != out]
-    gone = materialize(later_copies(df, doc_id, text, min_lines=min_lines, min_chars=min_chars), "gone").select(F.col("doc").alias(f"{_P}doc"), F.col("th").alias(f"{_P}th"), F.col("gone").alias(f"{_P}gone"))
-    rows = df.withColumns({f"{_P}key": F.col(doc_id), f"{_P}hash": F.xxhash64(text)})
+    gone = later_copies(df, doc_id, text, min_lines=min_lines, min_chars=min_chars)
+    gone = gone.select(*[F.col(c).alias(f"{_P}{c}") for c in ("doc", "th", "gone", "runs")])
+    rows = df.withColumns({f"{_P}key": column(doc_id), f"{_P}hash": F.xxhash64(column(text))})
     both = rows.join(gone, F.col(f"{_P}key").eqNullSafe(F.col(f"{_P}doc")) & (F.col(f"{_P}hash") == F.col(f"{_P}th")), "left")
-    both = both.withColumn(f"{_P}lines", F.split(F.col(text), "\n"))
+    both = both.withColumn(f"{_P}lines", F.split(column(text), "\n"))
     marks = F.col(f"{_P}gone")
     left = F.array_join(F.filter(f"{_P}lines", lambda x, i: ~F.array_contains(marks, i)), "\n")
     fields = F.struct(
         F.coalesce(F.size(F.filter(f"{_P}lines", _has_word)), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size(marks), F.lit(0)).cast("long").alias("n_deleted"),
-        F.when(marks.isNull(), F.col(text)).otherwise(left).alias("text"),
+        F.when(marks.isNull(), column(text)).otherwise(left).alias("text"),
+        F.col(f"{_P}runs").alias("runs"),
     )
-    return both.select(*[F.col(c) for c in columns], fields.alias(out))
+    return both.select(*[column(c) for c in columns], fields.alias(out))

@@ -103,9 +103,11 @@ def _sets(df: DataFrame, doc_id: str, text: str, size: int, wanted: DataFrame) -
     def full(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([(*_digest(s), s) for s in shingle_sets(list(texts), size)], columns=["hi", "lo", "set"])
 
+    # Not deterministic to the optimizer: else it makes the digests a condition of the join, and works out the sets of all texts for it.
+    full = full.asNondeterministic()
     texts = df.select(_place(doc_id, text).alias("place"), column(text).alias("text")).join(wanted, "place")
-    own = texts.select("place", "id", "hi", "lo", full(F.col("text")).alias("s")).where("s.hi = hi and s.lo = lo")
-    return own.groupBy("place", "id").agg(F.first("s.set").alias("set")).select("id", "set")
+    once = texts.groupBy("place", "id", "hi", "lo", F.hash("text").alias("other")).agg(F.first("text").alias("text"))
+    return once.select("id", "hi", "lo", full(F.col("text")).alias("s")).where("s.hi = hi and s.lo = lo").select("id", "s.set")
 
 
 def _least_estimate(percent: int, k: int | None) -> float:

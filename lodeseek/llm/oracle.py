@@ -8,10 +8,12 @@ from . import url_filter as u
 LINE_DEDUP = """
     WITH docs AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
     entries AS (SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line FROM docs),
-    lines AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY pos) AS i FROM entries WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
-    runs AS (SELECT *, CASE WHEN lead(line, 2) OVER w IS NOT NULL THEN struct_pack(a := line, b := lead(line) OVER w, c := lead(line, 2) OVER w) END AS run FROM lines WINDOW w AS (PARTITION BY doc_id, text ORDER BY pos)),
-    marked AS (SELECT *, length(line) >= 40 AND row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) > 1 AS one, run IS NOT NULL AND row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) > 1 AS many FROM runs),
-    gone AS (SELECT *, one OR many OR coalesce(lag(many) OVER w, false) OR coalesce(lag(many, 2) OVER w, false) AS del FROM marked WINDOW w AS (PARTITION BY doc_id, text ORDER BY pos)),
+    texts AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS t FROM docs),
+    lines AS (SELECT doc_id, text, t, line, pos, row_number() OVER (PARTITION BY t ORDER BY pos) AS i FROM entries JOIN texts USING (doc_id, text) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+    pairs AS (SELECT x.t, x.i, y.t AS t0, y.i AS i0, x.i - row_number() OVER (PARTITION BY x.t, y.t, x.i - y.i ORDER BY x.i) AS island FROM lines x JOIN lines y ON x.line = y.line AND (y.t < x.t OR y.t = x.t AND y.i < x.i)),
+    copies AS (SELECT *, count(*) OVER run AS n, min(i0) OVER run AS begin0 FROM pairs WINDOW run AS (PARTITION BY t, t0, i - i0, island)),
+    copied AS (SELECT DISTINCT t, i FROM copies WHERE n >= 3 AND (t <> t0 OR i >= begin0 + 3)),
+    gone AS (SELECT l.doc_id, l.text, l.pos, length(line) >= 40 AND row_number() OVER (PARTITION BY line ORDER BY l.t, l.pos) > 1 OR c.t IS NOT NULL AS del FROM lines l LEFT JOIN copied c USING (t, i)),
     back AS (SELECT e.doc_id, e.text, count(*) FILTER (WHERE g.pos IS NOT NULL) AS n_lines, count(*) FILTER (WHERE g.del) AS n_deleted, string_agg(e.line, chr(10) ORDER BY e.pos) FILTER (WHERE NOT coalesce(g.del, false)) AS kept
              FROM entries e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.text = g.text AND e.pos = g.pos GROUP BY 1, 2)
     SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_deleted, 0) AS n_deleted, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text
