@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.llm import line_dedup, near_dedup, packing, quality_rules, secret_scan
-from lodeseek.llm.common import materialize, table
+from lodeseek.llm.common import column, materialize, table
 
 
 def _with_text(rows: DataFrame, columns: list[str], text) -> DataFrame:
@@ -19,7 +19,7 @@ def _with_text(rows: DataFrame, columns: list[str], text) -> DataFrame:
     new = {"text": text}
     if "n_chars" in columns:
         new["n_chars"] = F.length(text).cast(rows.schema["n_chars"].dataType)
-    return rows.select(*[new.get(c, F.col(c)).alias(c) for c in columns])
+    return rows.select(*[new[c].alias(c) if c in new else column(c).alias(c) for c in columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     group = [F.when(F.col("__worded"), F.col("component_id")), F.when(empty, F.col("doc_id")), F.when(empty & F.col("doc_id").isNull(), F.col("__key"))]
     first = both.groupBy(*[g.alias(f"__g{i}") for i, g in enumerate(group)]).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")).alias("first"))
     kept = first.select(F.col("first.__key").alias("__kept"))
-    return rows.join(kept, F.col("__key") == F.col("__kept"), "left_semi").select(*docs.columns)
+    return rows.join(kept, F.col("__key") == F.col("__kept"), "left_semi").select(*[column(c) for c in docs.columns])
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import column as _column
+
 #: Fixed value: the pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same pattern for texts of ASCII and Latin-1 letters alone, for which the standard library's engine is faster.
@@ -267,4 +269,4 @@ def digest(df: DataFrame, path: str, text: str = "text", out: str = "bpe") -> Da
         rows = [row for run in _runs(list(column)) for row in codec(path).digests(run)]
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.withColumn(out, digested(F.col(text)))
+    return df.withColumn(out, digested(_column(text)))

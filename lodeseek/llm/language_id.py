@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import column as _column
+
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 #: Additive smoothing of bucket counts.
@@ -91,7 +93,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang") -> Model:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
 
-    rows = df.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
+    rows = df.select(_column(text).alias("text"), _column(lang).alias("lang")).where("text is not null and lang is not null")
     summed = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = tuple(sorted(summed.lang.unique()))
     table = np.zeros((BUCKETS + 1, len(languages)))
@@ -128,9 +130,9 @@ def identify(df: DataFrame, model: Model, text: str = "text", out: str = "langua
         names, scores = predict([None if t is None else t for t in column], shared.value)
         return pd.DataFrame({"lang": names, "score": scores})
 
-    return df.withColumn(out, named(F.col(text)))
+    return df.withColumn(out, named(_column(text)))
 
 
 def held_out(doc_id: str) -> Column:
     """The rows kept from training: the CRC-32 of the id as text leaves 2 when divided by 4. A null id isn't held out."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return F.coalesce(F.crc32(_column(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import column, words_of
 
 CAPACITIES = (512, 1024, 2048, 4096)
 #: What a sequence costs besides its length, and the share of a new bin's remaining room that is expected to be used.
@@ -93,8 +93,8 @@ def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, length: s
     table gives no bins. Only the id and the length are shuffled, with with_text the texts too, cut at words; a text's pieces joined are the text.
     """
     shards = max(1, -(-df.count() // rows_per_shard))
-    words = words_of(F.col(text))
-    n = F.greatest(F.coalesce(F.col(length), F.lit(0)).cast("long"), F.lit(0)) if length else F.size(words).cast("long")
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), n.alias("n"), *([F.col(text).alias("text")] if with_text else []))
+    words = words_of(column(text))
+    n = F.greatest(F.coalesce(column(length), F.lit(0)).cast("long"), F.lit(0)) if length else F.size(words).cast("long")
+    rows = df.select(column(doc_id).cast("long").alias("doc_id"), n.alias("n"), *([column(text).alias("text")] if with_text else []))
     schema = SCHEMA.replace("length long,", "length long, text string,") if with_text else SCHEMA
     return rows.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard")).applyInPandas(_packer(tuple(sorted(capacities)), overhead, fill, with_text), schema)

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, spaced
+from .common import column, materialize, spaced
 
 #: Common words of the supported languages, one bin each.
 COMMON_WORDS = (
@@ -30,8 +30,6 @@ COMMON_CHARS = r"[a-z\x20\x09-\x0D\p{Ll}\p{Lo}\p{Lm}\p{M}]+"
 #: Character classes besides these; white space and all other characters are classes too. Each is counted by what its removal takes from the rest.
 CLASSES = {"capital": r"[\p{Lu}\p{Lt}]+", "digit": r"\p{Nd}+", "stop": r"[.,;:!?]+", "symbol": r"[#*$%&|<>]+"}
 N_CLASSES = len(CLASSES) + 2
-#: Up to so many repeated windows, places are found by search among them; beyond, by sorting all windows with their places.
-SEARCHED = 1000
 MAX_CHAR_DISTANCE = 0.32
 MAX_WORD_DISTANCE = 0.95
 MIN_CHARS = 200
@@ -45,8 +43,8 @@ def _counts(df: DataFrame, text: str) -> DataFrame:
     """df with counts of its texts under private names."""
     spelled = COMMON_WORDS + [w.capitalize() for w in COMMON_WORDS]
     kinds = len(COMMON_WORDS)
-    body = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumns({f"{_P}plain": spaced(F.col(text)), f"{_P}rest": F.regexp_replace(body, COMMON_CHARS, "")})
+    body = F.coalesce(column(text), F.lit(""))
+    df = df.withColumns({f"{_P}plain": spaced(column(text)), f"{_P}rest": F.regexp_replace(body, COMMON_CHARS, "")})
     df = df.withColumn(f"{_P}words", F.array_remove(F.split(f"{_P}plain", " "), ""))
     words, n = F.col(f"{_P}words"), F.size(f"{_P}words")
     place = F.array([F.lit(w) for w in spelled])
@@ -61,17 +59,10 @@ def _counts(df: DataFrame, text: str) -> DataFrame:
         **{f"{_P}n_{k}": (F.length(f"{_P}rest") - F.length(F.regexp_replace(f"{_P}rest", p, ""))).cast("long") for k, p in CLASSES.items()},
     })
     codes, windows = F.col(f"{_P}codes"), F.col(f"{_P}windows")
-    ordered = F.sort_array(windows)
-    df = df.withColumn(f"{_P}ordered", F.when(F.size(F.array_distinct(windows)) < F.size(windows), ordered))
-    ordered = F.col(f"{_P}ordered")
-    df = df.withColumn(f"{_P}twice", F.array_distinct(F.filter(ordered, lambda x, j: x == F.get(ordered, j - 1))))
-    twice = F.col(f"{_P}twice")
-    searched = F.filter(F.transform(windows, lambda x, i: F.when(F.array_contains(twice, x), i)), lambda i: i.isNotNull())
-    df = df.withColumn(f"{_P}placed", F.when(F.size(twice) > SEARCHED, F.sort_array(F.transform(windows, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))))
+    df = df.withColumn(f"{_P}placed", F.when(F.size(F.array_distinct(windows)) < F.size(windows), F.sort_array(F.transform(windows, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))))
     placed = F.col(f"{_P}placed")
     beside = F.filter(F.transform(placed, lambda p, j: F.when((p["x"] == F.get(placed, j - 1)["x"]) | (p["x"] == F.get(placed, j + 1)["x"]), p["i"])), lambda i: i.isNotNull())
-    starts = F.when(twice.isNull(), F.array().cast("array<int>")).when(F.size(twice) > SEARCHED, beside).otherwise(searched)
-    df = df.withColumn(f"{_P}starts", starts)
+    df = df.withColumn(f"{_P}starts", F.coalesce(beside, F.array().cast("array<int>")))
     covered = F.array_distinct(F.flatten(F.transform(f"{_P}starts", lambda i: F.array(i, i + 1, i + 2))))
     spaces = F.col(f"{_P}length") - F.col(f"{_P}word_chars")
     known = [F.col(f"{_P}n_{k}") for k in CLASSES]
@@ -104,7 +95,8 @@ def _references(counts: DataFrame) -> DataFrame:
     sizes = {"chars": N_CLASSES, "common": len(COMMON_WORDS)}
     sums = [F.sum(F.col(f"{_P}{k}")[i]).alias(f"{k}{i}") for k, n in sizes.items() for i in range(n)]
     one = counts.groupBy(f"{_P}lang").agg(F.count(F.lit(1)).alias(f"{_P}docs"), *sums)
-    return one.select(f"{_P}lang", f"{_P}docs", *[F.array([F.col(f"{k}{i}") for i in range(n)]).alias(f"{_P}ref_{k}") for k, n in sizes.items()])
+    one = one.select(f"{_P}lang", f"{_P}docs", *[F.array([F.col(f"{k}{i}") for i in range(n)]).alias(f"{_P}ref_{k}") for k, n in sizes.items()])
+    return one.withColumns({f"{_P}sum_ref_{k}": _total(F.col(f"{_P}ref_{k}")).cast("double") for k in sizes})
 
 
 def judge(df: DataFrame, text: str = "text", lang: str = "lang", *, keep: list[str] | None = None, max_char_distance: float = MAX_CHAR_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE, min_chars: int = MIN_CHARS, min_common: int = MIN_COMMON, min_reference_docs: int = MIN_REFERENCE_DOCS, min_words: int = 50) -> DataFrame:
@@ -118,12 +110,14 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang", *, keep: list[s
     """
     columns = [c for c in (keep or df.columns) if c != "quality"]
     wanted = [f"{_P}{c}" for c in ("lang", "length", "n_words", "word_chars", "n_symbol", "dup_lines", "repeat", "chars", "common")]
-    counted = _counts(df, text).withColumn(f"{_P}lang", F.coalesce(F.col(lang), F.lit("")))
-    counts = materialize(counted.select(*columns, *wanted), "quality")
+    counted = _counts(df, text).withColumn(f"{_P}lang", F.coalesce(column(lang), F.lit("")))
+    # Totals are written too: worked out later, they would be so again for each bin that a filter on the result looks at.
+    counted = counted.withColumns({f"{_P}sum_{k}": _total(F.col(f"{_P}{k}")).cast("double") for k in ("chars", "common")})
+    wanted += [f"{_P}sum_chars", f"{_P}sum_common"]
+    counts = materialize(counted.select(*[column(c) for c in columns], *wanted), "quality")
     references = materialize(_references(counts), "references")
     out = counts.join(references, f"{_P}lang", "left")
     known = F.col(f"{_P}docs") >= min_reference_docs
-    out = out.withColumns({f"{_P}sum_{k}": _total(F.col(f"{_P}{k}")).cast("double") for k in ("chars", "common", "ref_chars", "ref_common")})
     chars, common = ([f"{_P}{k}", f"{_P}sum_{k}", f"{_P}ref_{k}", f"{_P}sum_ref_{k}"] for k in ("chars", "common"))
     out = out.withColumns({
         f"{_P}char_distance": F.when(known & (F.col(f"{_P}length") >= min_chars), _distance(*chars)),
@@ -132,9 +126,9 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang", *, keep: list[s
     failed = (F.col(f"{_P}n_words") < min_words) | (100 * F.col(f"{_P}repeat") > 50 * F.col(f"{_P}n_words"))
     near = (F.coalesce(F.col(f"{_P}char_distance"), F.lit(0.0)) <= max_char_distance) & (F.coalesce(F.col(f"{_P}word_distance"), F.lit(0.0)) <= max_word_distance)
     fields = {"n_words": "n_words", "word_chars": "word_chars", "n_symbols": "n_symbol", "n_dup_lines": "dup_lines", "n_repeat_words": "repeat", "char_distance": "char_distance", "word_distance": "word_distance"}
-    return out.select(*[out[c] for c in columns], F.struct(*[F.col(f"{_P}{v}").alias(k) for k, v in fields.items()], failed.alias("base_failed"), (~failed & near).alias("kept")).alias("quality"))
+    return out.select(*[column(c) for c in columns], F.struct(*[F.col(f"{_P}{v}").alias(k) for k, v in fields.items()], failed.alias("base_failed"), (~failed & near).alias("kept")).alias("quality"))
 
 
 def keep_good(df: DataFrame, text: str = "text", lang: str = "lang", **limits) -> DataFrame:
     """The rows of df that pass, with df's columns."""
-    return judge(df, text, lang, **limits).where("quality.kept").select(*[F.col(c) for c in df.columns])
+    return judge(df, text, lang, **limits).where("quality.kept").select(*[column(c) for c in df.columns])
