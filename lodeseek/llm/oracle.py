@@ -54,6 +54,55 @@ QUALITY_RULES = f"""
 """
 
 
+def _host(x: str) -> str:
+    return f"CASE WHEN contains({x}, '://') THEN translate(regexp_extract({x}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END"
+
+
+def _path(x: str) -> str:
+    return f"CASE WHEN contains({x}, '://') THEN regexp_extract({x}, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END"
+
+
+def _address(x: str) -> str:
+    return f"CASE WHEN contains({x}, '://') THEN regexp_replace({_host(x)}, ':(80|443)?$', '') || regexp_replace({_path(x)}, '/+$', '') || regexp_extract({x}, '(?s)^[^?#]*(\\?[^#]*)', 1) END"
+
+
+def _attribute(tag: str, name: str) -> str:
+    found = " || ".join(f"""regexp_extract({tag}, '(?is)\\b{name}\\s*=\\s*(?:"\\s*([^"]*)|''\\s*([^'']*)|([^\\s"''>]+))', {i})""" for i in (1, 2, 3))
+    return f"rtrim(regexp_replace({found}, '(?i)&(amp|#38|#x26);', '&', 'g'), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+def _resolved(x: str, base: str) -> str:
+    scheme = f"regexp_extract({base}, '(?s)^(.*?)://', 1)"
+    site, plain, rest = f"({scheme} || '://' || {_host(base)})", f"regexp_extract({x}, '(?s)^[^?#]*')", f"regexp_extract({x}, '(?s)^[^?#]*(.*)$', 1)"
+    whole = f"CASE WHEN starts_with({plain}, '/') THEN {plain} ELSE regexp_extract({_path(base)}, '(?s)^(.*/)', 1) || {plain} END"
+    parts = f"list_transform(string_split(regexp_replace({whole}, '^/', ''), '/'), lambda p: [p])"
+    up = f"list_reduce(list_prepend(CAST([] AS VARCHAR[]), {parts}), lambda kept, p: CASE WHEN p = ['..'] THEN kept[1:greatest(len(kept) - 1, 0)] WHEN p = ['.'] THEN kept ELSE list_concat(kept, p) END)"
+    return f"""CASE WHEN regexp_matches({x}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {x} WHEN NOT contains({base}, '://') THEN NULL WHEN starts_with({x}, '//') THEN {scheme} || ':' || {x}
+      WHEN regexp_matches({x}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN {plain} = '' THEN {site} || {_path(base)} || {rest} ELSE {site} || '/' || array_to_string({up}, '/') || {rest} END"""
+
+
+_RULES = f"""
+    WITH base AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS lang FROM documents),
+    w AS (SELECT rid, lang, t, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM base),
+    c AS (SELECT rid, lang, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(t) AS len, len(lines) - len(list_distinct(lines)) AS n_dup_lines, {_CLASSES} FROM w),
+    win AS (SELECT rid, unnest(list_transform(range(1, len(words) - 1), lambda i: [words[i], words[i + 1], words[i + 2]])) AS win, unnest(range(1, len(words) - 1)) AS i FROM w),
+    dup AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS n FROM win) WHERE n > 1),
+    rep AS (SELECT rid, count(*) AS n_repeat_words FROM (SELECT DISTINCT rid, unnest([i, i + 1, i + 2]) AS i FROM dup) GROUP BY 1),
+    vocabulary(word, bin) AS (VALUES {_WORDS}),
+    common AS (SELECT rid, bin, count(*)::DOUBLE AS n FROM (SELECT rid, unnest(words) AS word FROM w) JOIN vocabulary USING (word) GROUP BY 1, 2),
+    chars AS (SELECT rid, unnest([0, 1, 2, 3, 4, 5]) AS bin, unnest([n_capital, n_digit, n_stop, n_symbol, len - word_chars, word_chars - n_capital - n_digit - n_stop - n_symbol])::DOUBLE AS n FROM c),
+    char_doc AS (SELECT * FROM chars WHERE n > 0),
+    char_ref AS (SELECT lang, bin, sum(n) AS n FROM chars JOIN base USING (rid) GROUP BY 1, 2),
+    word_ref AS (SELECT lang, bin, sum(n) AS n FROM common JOIN base USING (rid) GROUP BY 1, 2),
+    known AS (SELECT lang, count(*) >= {q.MIN_REFERENCE_DOCS} AS enough FROM base GROUP BY 1),
+    {_distance('cd', 'char_doc', 'char_ref')},
+    {_distance('wd', 'common', 'word_ref')},
+    f AS (SELECT doc_id, n_words, word_chars, n_symbol AS n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, enough AND len >= {q.MIN_CHARS} AND coalesce(cd.dist, 0) > {q.MAX_CHAR_DISTANCE} OR enough AND coalesce(wd.total, 0) >= {q.MIN_COMMON} AND coalesce(wd.dist, 0) > {q.MAX_WORD_DISTANCE} AS far
+      FROM c JOIN base USING (rid, lang) JOIN known USING (lang) LEFT JOIN rep USING (rid) LEFT JOIN cd USING (rid) LEFT JOIN wd USING (rid))
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT far AS kept FROM f
+"""
+
+
 def _host(x: str) -> str:
     return f"CASE WHEN contains({x}, '://') THEN translate(regexp_extract({x}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END"
 
@@ -72,13 +121,18 @@ URL_FILTER = f"""
     b AS (SELECT rid, page_id, url, coalesce({_host('url')}, '') AS host, coalesce({_path('url')}, '') AS path, {_address('url')} AS node FROM r),
     rules(verdict, h, p) AS (VALUES {_RULES}),
     fit AS (SELECT rid, max_by(h || p, length(h || p)) AS rule, max_by(verdict, length(h || p)) AS verdict FROM b JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY 1),
-    tags AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\b[^>]*>')) AS tag FROM r),
-    targets AS (SELECT url, regexp_extract(tag, '(?is)\\bhref\\s*=\\s*["'']?\\s*([^"''>]*)', 1) AS target FROM tags WHERE regexp_matches(tag, '(?is)^<link\\b[^>]*\\brel\\s*=\\s*["'']?\\s*canonical\\b')
-      UNION ALL SELECT url, regexp_extract(tag, '(?is)\\burl\\s*=\\s*["'']?\\s*([^"''>\\s]+)', 1) FROM tags WHERE regexp_matches(tag, '(?is)^<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?\\s*refresh\\b')),
-    whole AS (SELECT url, CASE WHEN contains(target, '://') THEN target WHEN starts_with(target, '//') THEN regexp_extract(url, '(?s)^(.*?)://', 1) || ':' || target WHEN starts_with(target, '/') THEN regexp_extract(url, '(?s)^(.*?)://', 1) || '://' || {_host('url')} || target END AS target FROM targets WHERE target <> ''),
-    e AS (SELECT {_address('url')} AS a, {_address('target')} AS z FROM whole),
+    tags AS (SELECT rid, url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta|base)\\b[^>]*>')) AS tag, generate_subscripts(regexp_extract_all(html, '(?is)<(?:link|meta|base)\\b[^>]*>'), 1) AS n FROM r),
+    bases AS (SELECT rid, min_by({_attribute('tag', 'href')}, n) AS href FROM tags WHERE regexp_matches(tag, '(?i)^<base') AND {_attribute('tag', 'href')} <> '' GROUP BY 1),
+    targets AS (SELECT rid, url, {_attribute('tag', 'href')} AS target FROM tags WHERE regexp_matches(tag, '(?i)^<link') AND regexp_matches({_attribute('tag', 'rel')}, '(?i)(^|\\s)canonical(\\s|$)')
+      UNION ALL SELECT rid, url, {_attribute('tag', 'content')} FROM tags WHERE regexp_matches(tag, '(?i)^<meta') AND regexp_matches({_attribute('tag', 'property')}, '(?i)^og:url$')
+      UNION ALL SELECT rid, url, regexp_extract({_attribute('tag', 'content')}, '(?i)\\burl\\s*=\\s*["'']?\\s*([^"''\\s]+)', 1) FROM tags WHERE regexp_matches(tag, '(?i)^<meta') AND regexp_matches({_attribute('tag', 'http-equiv')}, '(?i)^refresh$')),
+    named AS (SELECT t.url, target, coalesce({_resolved('href', 't.url')}, t.url) AS base FROM targets t LEFT JOIN bases USING (rid) WHERE target <> ''),
+    whole AS (SELECT url, {_resolved('target', 'base')} AS target FROM named),
+    e AS (SELECT {_address('url')} AS a, {_address('target')} AS z, url, target FROM whole),
+    ends AS (SELECT a AS node, {_host('url')} AS host, {_path('url')} AS path FROM e WHERE a <> z UNION ALL SELECT z, {_host('target')}, {_path('target')} FROM e WHERE a <> z UNION ALL SELECT node, host, path FROM b),
+    marks AS (SELECT node, host, path, max_by(verdict, length(h || p)) AS verdict FROM ends JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) WHERE node IS NOT NULL GROUP BY 1, 2, 3),
     both_ways AS (SELECT a, z FROM e WHERE a <> z UNION SELECT z, a FROM e WHERE a <> z),
-    reach(a, z) AS (SELECT a, z FROM both_ways UNION SELECT reach.a, x.z FROM reach JOIN both_ways x ON x.a = reach.z),
-    given AS (SELECT reach.a AS node, max(CASE fit.verdict WHEN 'allow' THEN 2 WHEN 'block' THEN 1 END) AS v FROM reach JOIN b ON b.node = reach.z JOIN fit ON fit.rid = b.rid GROUP BY 1)
+    reach(a, z) AS (SELECT DISTINCT node, node FROM ends WHERE node IS NOT NULL UNION SELECT reach.a, x.z FROM reach JOIN both_ways x ON x.a = reach.z),
+    given AS (SELECT reach.a AS node, max(CASE marks.verdict WHEN 'allow' THEN 2 ELSE 1 END) AS v FROM reach JOIN marks ON marks.node = reach.z GROUP BY 1)
     SELECT page_id, host, path, rule, coalesce(fit.verdict, CASE WHEN given.v = 1 THEN 'block' END, 'allow') AS verdict FROM b LEFT JOIN fit USING (rid) LEFT JOIN given ON given.node = b.node
 """

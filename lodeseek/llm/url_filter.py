@@ -1,7 +1,8 @@
 """URL filters: rules by host and path, and block decisions that aliases inherit.
 
 A rule fits its host and all subdomains where the path starts with its own; the longest rule that fits decides. Pages without a rule inherit:
-redirects and canonical links are edges between addresses, and connected components over them make the groups of aliases. Rules decide on all
+redirects and canonical links are edges between addresses, and connected components over them make the groups of aliases. Addresses that differ only
+in scheme, default port, fragment or a last slash are one node. Rules decide on all
 addresses of a group, whether they are pages or only targets. Within a group an explicit allow takes precedence over any block; a group with a block and no
 allow is blocked; all else is allowed. A page with a rule keeps the rule's verdict. Everything is a DataFrame expression.
 """
@@ -13,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import column, connected_components, materialize
 
 #: (verdict, host, path) of the rules.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -43,58 +44,94 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def address(url: Column) -> Column:
-    """The node of a URL: without its fragment, its host with A-Z lower-cased, an empty path as /."""
-    scheme = F.lower(F.regexp_extract(url, r"^(.*?)://", 1))
+    """The node of a URL: its host with A-Z lower-cased and without a default port, its path without a last slash, its query; null without ://."""
+    host = F.regexp_replace(host_of(url), r":(?:80|443)?$", "")
     query = F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1)
-    path = path_of(url)
-    return F.when(F.instr(url, "://") > 0, F.concat(scheme, F.lit("://"), host_of(url), F.when(path == "", "/").otherwise(path), query))
+    return F.when(F.instr(url, "://") > 0, F.concat(host, F.regexp_replace(path_of(url), r"/+$", ""), query))
 
 
-def _targets(html: Column) -> Column:
-    """The targets that a page names as canonical or redirects to, as written."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), 1)
-    attribute = r"""(?is)\b{}\s*=\s*["']?\s*([^"'>]*)"""
-    canonical = F.transform(F.filter(tags, lambda t: t.rlike(r"""(?is)^<link\b[^>]*\brel\s*=\s*["']?\s*canonical\b""")), lambda t: F.regexp_extract(t, attribute.format("href"), 1))
-    moved = F.transform(F.filter(tags, lambda t: t.rlike(r"""(?is)^<meta\b[^>]*\bhttp-equiv\s*=\s*["']?\s*refresh\b""")), lambda t: F.regexp_extract(t, r"""(?is)\burl\s*=\s*["']?\s*([^"'>\s]+)""", 1))
-    return F.filter(F.concat(canonical, moved), lambda u: u != "")
+_ATTRIBUTE = r"""(?is)\b{}\s*=\s*(?:"\s*([^"]*)|'\s*([^']*)|([^\s"'>]+))"""
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """An attribute's value, quoted or not, with its ampersands decoded and without white space at its ends."""
+    value = F.concat(*[F.regexp_extract(tag, _ATTRIBUTE.format(name), i) for i in (1, 2, 3)])
+    return F.regexp_replace(F.regexp_replace(value, r"(?i)&(?:amp|#38|#x26);", "&"), r"[\x20\x09-\x0D]+$", "")
+
+
+def _targets(tags: Column) -> Column:
+    """The targets that a page's tags name as canonical or redirect to, as written."""
+    where = lambda kind, name, value: F.filter(tags, lambda t: t.rlike(f"(?i)^<{kind}") & _attribute(t, name).rlike(value))
+    canonical = F.transform(where("link", "rel", r"(?i)(^|\s)canonical(\s|$)"), lambda t: _attribute(t, "href"))
+    same = F.transform(where("meta", "property", r"(?i)^og:url$"), lambda t: _attribute(t, "content"))
+    moved = F.transform(where("meta", "http-equiv", r"(?i)^refresh$"), lambda t: F.regexp_extract(_attribute(t, "content"), r"""(?i)\burl\s*=\s*["']?\s*([^"'\s]+)""", 1))
+    return F.filter(F.concat(canonical, same, moved), lambda u: u != "")
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """The URL of a reference on a page of URL `base`; null for other kinds of reference (mailto: and the like) and where the base has no ://."""
+    scheme = F.regexp_extract(base, r"(?s)^(.*?)://", 1)
+    site = F.concat(scheme, F.lit("://"), host_of(base))
+    path = path_of(base)
+    plain = F.regexp_extract(target, r"(?s)^[^?#]*", 0)
+    rest = F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    whole = F.when(plain.startswith("/"), plain).otherwise(F.concat(F.regexp_extract(path, r"(?s)^(.*/)", 1), plain))
+    up = F.aggregate(
+        F.split(F.regexp_replace(whole, r"^/", ""), "/"), F.array().cast("array<string>"),
+        lambda kept, part: F.when(part == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).when(part == ".", kept).otherwise(F.concat(kept, F.array(part))),
+    )
+    relative = F.concat(site, F.lit("/"), F.array_join(up, "/"), rest)
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(F.instr(base, "://") == 0, F.lit(None)).when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None)).when(plain == "", F.concat(site, path, rest)).otherwise(relative)
+    )
 
 
 def links(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """(src, dst) URLs of canonical links and refresh redirects; targets that begin with / or // are completed from the page's URL."""
-    named = pages.where(F.lower(html).contains("canonical") | F.lower(html).contains("refresh")).select(F.col(url).alias("url"), F.explode(_targets(F.col(html))).alias("to"))
-    scheme = F.regexp_extract("url", r"(?s)^(.*?)://", 1)
-    whole = F.when(F.col("to").contains("://"), F.col("to")).when(F.col("to").startswith("//"), F.concat(scheme, F.lit(":"), "to")).when(F.col("to").startswith("/"), F.concat(scheme, F.lit("://"), host_of(F.col("url")), "to"))
-    return named.select(F.col("url").alias("src"), whole.alias("dst"))
+    """(src, dst) URLs of canonical links, og:url names and refresh redirects; relative targets are resolved against the page's <base>, else its URL."""
+    named = pages.where(F.lower(column(html)).rlike("canonical|refresh|og:url"))
+    named = named.select(column(url).alias("src"), F.regexp_extract_all(column(html), F.lit(r"(?is)(<(?:link|meta|base)\b[^>]*>)"), 1).alias("tags"))
+    first = F.get(F.filter(F.transform(F.filter("tags", lambda t: t.rlike("(?i)^<base")), lambda t: _attribute(t, "href")), lambda u: u != ""), F.lit(0))
+    named = named.select("src", F.coalesce(resolved(first, F.col("src")), "src").alias("base"), F.explode(_targets(F.col("tags"))).alias("to"))
+    return named.select("src", resolved(F.col("to"), F.col("base")).alias("dst"))
+
+
+def _node(url: Column) -> Column:
+    """128 bits for a URL's address, as text."""
+    return F.md5(address(url))
 
 
 def _edges(urls: DataFrame, rules) -> DataFrame:
-    """(a, b, a_allow, b_allow) of pairs of URLs with unlike addresses: hashes of these, and whether a rule that fits allows (null: none fits)."""
-    src, dst = address(F.col("src")), address(F.col("dst"))
+    """(a, b, a_allow, b_allow) of pairs of URLs with unlike addresses: their nodes, and whether a rule that fits allows (null: none fits)."""
+    src, dst = F.col("src"), F.col("dst")
     marks = [(rule_of(host_of(F.col(c)), path_of(F.col(c)), rules)["verdict"] == "allow").alias(f"{n}_allow") for c, n in (("src", "a"), ("dst", "b"))]
-    return urls.where(src.isNotNull() & dst.isNotNull() & (src != dst)).select(F.xxhash64(src).alias("a"), F.xxhash64(dst).alias("b"), *marks)
+    return urls.select(_node(src).alias("a"), _node(dst).alias("b"), *marks).where("a <> b")
 
 
 def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", *, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
     """One row for each row of pages: page_id, host, path, rule (null without one), verdict.
 
     redirects (src, dst) adds edges between URLs known from crawling. A null URL, or one without ://, has an empty host and path, no
-    rule and no aliases, and is allowed. Addresses are compared by 64-bit hashes. Repeated rows are judged alike and all returned; an empty table gives no
-    rows. Other columns aren't used, whatever their names.
+    rule and no aliases, and is allowed; null html names no target. Repeated rows are judged alike and all returned; of rules of one length that fit the first by name
+    decides; an empty table gives no rows. Html of any length is searched whole. Other columns aren't used, whatever their names.
     """
     edges = links(pages, url, html)
     if redirects is not None:
         edges = edges.union(redirects.select("src", "dst"))
     edges = materialize(_edges(edges, rules), "links")
-    groups = connected_components(edges, "a", "b")
-    host, path = host_of(F.col(url)), path_of(F.col(url))
-    rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"), F.xxhash64(address(F.col(url))).alias("node"), address(F.col(url)).isNotNull().alias("known"))
+    groups = connected_components(edges, "a", "b").select(F.col("node").alias("g_node"), "component")
+    host, path = host_of(column(url)), path_of(column(url))
+    rows = pages.select(column(page_id).alias("page_id"), host.alias("host"), path.alias("path"), _node(column(url)).alias("node"))
     rows = rows.withColumn("own", rule_of(F.col("host"), F.col("path"), rules))
-    groups = materialize(groups.select(F.col("node").alias("g_node"), "component"), "aliases")
-    marks = rows.where("own is not null and known").select("node", (F.col("own.verdict") == "allow").alias("allow"))
+    marks = rows.where("own is not null and node is not null").select("node", (F.col("own.verdict") == "allow").alias("allow"))
     for end in ("a", "b"):
         marks = marks.union(edges.where(f"{end}_allow is not null").select(end, f"{end}_allow"))
-    marks = marks.join(groups, F.col("node") == F.col("g_node"))
-    verdicts = marks.groupBy("component").agg(F.max("allow").alias("any_allow"))
-    inherited = materialize(groups.join(verdicts, "component").select("g_node", F.when(F.col("any_allow"), "allow").otherwise("block").alias("given")), "inherited")
-    out = rows.join(inherited, (F.col("node") == F.col("g_node")) & F.col("known"), "left")
-    return out.select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.coalesce("own.verdict", "given", F.lit("allow")).alias("verdict"))
+    marks = marks.groupBy("node").agg(F.max("allow").alias("allow")).join(groups, F.col("node") == F.col("g_node"), "left")
+    verdicts = marks.groupBy(F.coalesce("component", "node").alias("v_group")).agg(F.max("allow").alias("any_allow"))
+    verdicts = materialize(verdicts, "verdicts")
+    # Pages with a rule of their own, or without an address, need no look at their group.
+    bare = F.col("own").isNull() & F.col("node").isNotNull()
+    waiting = rows.where(bare).join(groups, F.col("node") == F.col("g_node"), "left").withColumn("group", F.coalesce("component", "node"))
+    given = waiting.join(verdicts, F.col("group") == F.col("v_group"), "left").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.when(~F.col("any_allow"), "block").otherwise("allow").alias("verdict"))
+    ruled = rows.where(~bare).select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.coalesce("own.verdict", F.lit("allow")).alias("verdict"))
+    return ruled.union(given)
