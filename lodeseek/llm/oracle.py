@@ -81,40 +81,6 @@ def _resolved(x: str, base: str) -> str:
       WHEN regexp_matches({x}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN {plain} = '' THEN {site} || {_path(base)} || {rest} ELSE {site} || '/' || array_to_string({up}, '/') || {rest} END"""
 
 
-_RULES = f"""
-    WITH base AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS lang FROM documents),
-    w AS (SELECT rid, lang, t, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM base),
-    c AS (SELECT rid, lang, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(t) AS len, len(lines) - len(list_distinct(lines)) AS n_dup_lines, {_CLASSES} FROM w),
-    win AS (SELECT rid, unnest(list_transform(range(1, len(words) - 1), lambda i: [words[i], words[i + 1], words[i + 2]])) AS win, unnest(range(1, len(words) - 1)) AS i FROM w),
-    dup AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS n FROM win) WHERE n > 1),
-    rep AS (SELECT rid, count(*) AS n_repeat_words FROM (SELECT DISTINCT rid, unnest([i, i + 1, i + 2]) AS i FROM dup) GROUP BY 1),
-    vocabulary(word, bin) AS (VALUES {_WORDS}),
-    common AS (SELECT rid, bin, count(*)::DOUBLE AS n FROM (SELECT rid, unnest(words) AS word FROM w) JOIN vocabulary USING (word) GROUP BY 1, 2),
-    chars AS (SELECT rid, unnest([0, 1, 2, 3, 4, 5]) AS bin, unnest([n_capital, n_digit, n_stop, n_symbol, len - word_chars, word_chars - n_capital - n_digit - n_stop - n_symbol])::DOUBLE AS n FROM c),
-    char_doc AS (SELECT * FROM chars WHERE n > 0),
-    char_ref AS (SELECT lang, bin, sum(n) AS n FROM chars JOIN base USING (rid) GROUP BY 1, 2),
-    word_ref AS (SELECT lang, bin, sum(n) AS n FROM common JOIN base USING (rid) GROUP BY 1, 2),
-    known AS (SELECT lang, count(*) >= {q.MIN_REFERENCE_DOCS} AS enough FROM base GROUP BY 1),
-    {_distance('cd', 'char_doc', 'char_ref')},
-    {_distance('wd', 'common', 'word_ref')},
-    f AS (SELECT doc_id, n_words, word_chars, n_symbol AS n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, enough AND len >= {q.MIN_CHARS} AND coalesce(cd.dist, 0) > {q.MAX_CHAR_DISTANCE} OR enough AND coalesce(wd.total, 0) >= {q.MIN_COMMON} AND coalesce(wd.dist, 0) > {q.MAX_WORD_DISTANCE} AS far
-      FROM c JOIN base USING (rid, lang) JOIN known USING (lang) LEFT JOIN rep USING (rid) LEFT JOIN cd USING (rid) LEFT JOIN wd USING (rid))
-    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT far AS kept FROM f
-"""
-
-
-def _host(x: str) -> str:
-    return f"CASE WHEN contains({x}, '://') THEN translate(regexp_extract({x}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END"
-
-
-def _path(x: str) -> str:
-    return f"CASE WHEN contains({x}, '://') THEN regexp_extract({x}, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END"
-
-
-def _address(x: str) -> str:
-    return f"CASE WHEN contains({x}, '://') THEN lower(regexp_extract({x}, '(?s)^(.*?)://', 1)) || '://' || {_host(x)} || coalesce(nullif({_path(x)}, ''), '/') || regexp_extract({x}, '(?s)^[^?#]*(\\?[^#]*)', 1) END"
-
-
 _RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in u.RULES)
 URL_FILTER = f"""
     WITH RECURSIVE r(rid, page_id, url, html) AS (SELECT row_number() OVER (), page_id, url, html FROM pages),
