@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import materialize
+from .common import column, materialize
 
 #: Bound of the sample that codebooks are fitted on: the vectors of least hash.
 SAMPLE = 16_384
@@ -122,19 +122,19 @@ def nearest(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.n
 
 def _usable(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
     """(id, x): ids with vectors that aren't null, empty or zero, and hold neither null nor non-finite components."""
-    x = F.transform(F.col(vector), lambda v: v.cast("double"))
+    x = F.transform(column(vector), lambda v: v.cast("double"))
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    rows = df.select(F.col(vec_id).cast("long").alias("id"), x.alias("x"), fine.alias("fine"))
+    rows = df.select(column(vec_id).cast("long").alias("id"), x.alias("x"), fine.alias("fine"))
     return rows.where("id is not null and fine and size(x) > 0").where(F.exists("x", lambda v: v != 0)).select("id", "x")
 
 
-def search(df: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", *, k: int = 10, sample: int = SAMPLE, again: int = AGAIN) -> DataFrame:
+def search(df: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", *, k: int = 10, sample: int = SAMPLE, again: int = AGAIN, block_rows: int = BLOCK) -> DataFrame:
     """The k nearest rows of df (all, if fewer) to each row of queries, other ids than its own: query_id, rank from 1, vec_id, score.
 
     score is the exact Euclidean distance in double precision; ties go to the smaller vec_id. Vectors that are null, empty or zero, or hold a null or
     non-finite component, take no part, nor do those whose number of components isn't the most frequent one (of equals the smallest). Rows with
     equal vectors are all candidates; a row repeated with its id is one candidate, and an id with several vectors stands once, with the nearest. Empty tables
-    give no rows.
+    give no rows. Other columns aren't used, whatever their names.
     """
     usable = _usable(df, vec_id, vector)
     counted = usable.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -183,7 +183,7 @@ def search(df: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: st
                 codes = np.stack([half & 15, half >> 4], 2).reshape(len(ids), -1)[:, :width]
                 yield pd.DataFrame(nearest(q, own, x, ids, codes, books, k, again), columns=["query_id", "vec_id", "score"])
 
-    vectors = materialize(blocks(rows, BLOCK, "v"), "vector-blocks")
+    vectors = materialize(blocks(rows, block_rows, "v"), "vector-blocks")
     asked = materialize(blocks(asked, QUERIES, "q"), "query-blocks")
     pairs = vectors.crossJoin(asked.select("q_ids", "q_vectors"))
     near = pairs.mapInPandas(met, "query_id long, vec_id long, score double")
