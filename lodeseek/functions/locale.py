@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import normalize, strip_diacritics
+from .text import normalize, strip_diacritics, trimmed
 
 #: Word edges and white space of the patterns, spelled out so that they mean the same in every engine.
 _B0, _B1 = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
@@ -154,7 +154,7 @@ def _locative_word(word: Column) -> Column:
 
 def polish_locative(city: Column) -> Column:
     """The locative of a city's name: the irregular form, else each word's, with spaces and hyphens as they are."""
-    name = F.trim(city)
+    name = trimmed(city)
     parts = F.regexp_extract_all(name, F.lit(r"([^\s-]+|\s+|-)"), 1)
     declined = F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^(\s+|-)$"), p).otherwise(_locative_word(p))), "")
     return F.coalesce(_irregular(name), F.when(name == "", "ie").otherwise(declined))

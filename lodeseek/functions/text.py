@@ -14,6 +14,15 @@ from pyspark.sql.types import StringType
 MARKS = "[\\u0300-\\u036f]"
 
 
+#: White space of any kind, no-break spaces and the byte order mark included.
+SPACE = r"[\s\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+
+
+def trimmed(text: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
 def _without_marks(c: str) -> str:
     return "".join(x for x in unicodedata.normalize("NFD", c) if not "̀" <= x <= "ͯ")
 
@@ -73,9 +82,11 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
 
 
 def is_postcode(text: Column) -> Column:
-    return F.trim(text).rlike(r"^\d{2}-?\d{3}$")
+    return trimmed(text).rlike(r"^\d{2}-?\d{3}$")
 
 
+#: Fixed value: characters that a text must have to be searched with tolerance for errors.
+MIN_SEARCH_TOKEN_LENGTH = 3
 #: Characters deleted from full-text terms.
 TERM_SYNTAX = "'\"(){}*:^~-!&|<>"
 

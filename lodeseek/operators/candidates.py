@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import bounding_box, haversine_km
 from ..functions.text import aliases_of, fts_terms, jaccard, min_overlap, trigrams_of
 from .index import TextIndex
+from .mapping import is_mapped
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -96,7 +97,10 @@ def in_category(categories: Column, wanted: Column, locale) -> Column:
 def fts_top(ranked: DataFrame, queries: DataFrame, entities: DataFrame, locale) -> DataFrame:
     """(query_id, id, fts_rank, pos): at most 3 x limit for each query, after its filters on location and category."""
     kept = ranked.join(queries.select("query_id", F.col("location_slug").alias("q_location"), F.col("category_slug").alias("q_category"), "limit"), "query_id").join(entities.select("id", "location_slug", "categories_n"), "id")
-    kept = kept.where(at_location(F.col("location_slug"), F.col("q_location")) & in_category(F.col("categories_n"), F.col("q_category"), locale))
+    if is_mapped(entities, "location_slug"):
+        kept = kept.where(at_location(F.col("location_slug"), F.col("q_location")))
+    if is_mapped(entities, "categories_n"):
+        kept = kept.where(in_category(F.col("categories_n"), F.col("q_category"), locale))
     order = Window.partitionBy("query_id").orderBy(F.round("fts_rank", PLACES), "id")
     return kept.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= 3 * F.col("limit")).select("query_id", "id", "fts_rank", "pos")
 
@@ -108,7 +112,8 @@ def fuzzy_top(queries: DataFrame, trigrams: DataFrame, entities: DataFrame) -> D
     each = asked.select("query_id", F.explode("grams").alias("trigram"))
     shared = each.join(trigrams.select("trigram", "id").distinct(), "trigram").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("shared"))
     kept = shared.join(asked.drop("grams"), "query_id").where(F.col("shared") >= min_overlap(F.col("q")))
-    kept = kept.join(entities.select("id", "location_slug"), "id").where(at_location(F.col("location_slug"), F.col("q_location")))
+    if is_mapped(entities, "location_slug"):
+        kept = kept.join(entities.select("id", "location_slug"), "id").where(at_location(F.col("location_slug"), F.col("q_location")))
     kept = kept.withColumn("fuzzy_score", F.col("shared") / F.col("q").cast("double"))
     order = Window.partitionBy("query_id").orderBy(F.desc("fuzzy_score"), "id")
     return kept.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= 2 * F.col("limit")).select("query_id", "id", "fuzzy_score", "pos")
@@ -118,7 +123,9 @@ def similarity_top(queries: DataFrame, trigrams: DataFrame, entities: DataFrame,
     """(query_id, id, fuzzy_score, pos) by the greatest Jaccard similarity of name, categories and location beyond a threshold; candidates share a trigram."""
     asked = queries.select("query_id", "limit", F.col("location_slug").alias("q_location"), trigrams_of(F.col("normalized")).alias("grams"))
     met = asked.select("query_id", F.explode("grams").alias("trigram")).join(trigrams.select("trigram", "id"), "trigram").select("query_id", "id").distinct()
-    rows = met.join(asked, "query_id").join(entities.select("id", "location_slug", "name_n", "categories_n", "location_n"), "id").where(at_location(F.col("location_slug"), F.col("q_location")))
+    rows = met.join(asked, "query_id").join(entities.select("id", "location_slug", "name_n", "categories_n", "location_n"), "id")
+    if is_mapped(entities, "location_slug"):
+        rows = rows.where(at_location(F.col("location_slug"), F.col("q_location")))
     similar = F.greatest(*[jaccard(F.col("grams"), trigrams_of(F.col(c))) for c in ("name_n", "categories_n", "location_n")])
     rows = rows.withColumn("fuzzy_score", similar).where(F.col("fuzzy_score") > threshold)
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("fuzzy_score", PLACES)), "id")
@@ -128,7 +135,9 @@ def similarity_top(queries: DataFrame, trigrams: DataFrame, entities: DataFrame,
 def location_scan(queries: DataFrame, entities: DataFrame, locale) -> DataFrame:
     """(query_id, id, distance_km, pos): the first `limit` entities by id of a location (and category), then by distance where the query has a point."""
     asked = queries.select("query_id", "limit", F.col("location_slug").alias("q_location"), F.col("category_slug").alias("q_category"), F.col("lat").alias("q_lat"), F.col("lng").alias("q_lng"))
-    rows = entities.select("id", "lat", "lng", "location_slug", "categories_n").join(asked, F.col("location_slug") == F.col("q_location")).where(in_category(F.col("categories_n"), F.col("q_category"), locale))
+    rows = entities.select("id", "lat", "lng", "location_slug", "categories_n").join(asked, F.col("location_slug") == F.col("q_location"))
+    if is_mapped(entities, "categories_n"):
+        rows = rows.where(in_category(F.col("categories_n"), F.col("q_category"), locale))
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("id"))).where("n <= limit")
     rows = rows.withColumn("distance_km", haversine_km(F.col("q_lat"), F.col("q_lng"), F.col("lat"), F.col("lng")))
     order = Window.partitionBy("query_id").orderBy(F.when(F.col("q_lat").isNotNull() & F.col("q_lng").isNotNull(), F.coalesce(F.round("distance_km", PLACES), F.lit(999.0))), "id")

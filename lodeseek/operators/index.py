@@ -12,8 +12,8 @@ from .mapping import FIELDS, field_texts
 
 
 def trigram_index(entities: DataFrame, fields=FIELDS) -> DataFrame:
-    """(trigram, id, field), each once: a field's trigrams are distinct already, so nothing is shuffled unless ids repeat."""
-    return field_texts(entities, fields).select(F.explode(trigrams_of(F.col("text"))).alias("trigram"), "id", "field")
+    """(trigram, id, field), each once, repeated ids or not."""
+    return field_texts(entities, fields).select(F.explode(trigrams_of(F.col("text"))).alias("trigram"), "id", "field").distinct()
 
 
 def replace_entries(index: DataFrame, changed: DataFrame, build) -> DataFrame:
@@ -37,6 +37,12 @@ def text_index(entities: DataFrame, fields=FIELDS) -> TextIndex:
     return TextIndex(postings, entities.select("id", sizes.cast("long").alias("doc_len")))
 
 
+def replace_text(index: TextIndex, changed: DataFrame, fields=FIELDS) -> TextIndex:
+    """A text index with postings and lengths of the changed entities replaced, both from the same rows."""
+    ids, new = changed.select("id").distinct(), text_index(changed, fields)
+    return TextIndex(index.postings.join(ids, "id", "left_anti").unionByName(new.postings), index.docs.join(ids, "id", "left_anti").unionByName(new.docs))
+
+
 def search_text(entities: DataFrame, fields=FIELDS) -> DataFrame:
     """(id, search_text): the non-empty fields joined by spaces."""
     return entities.select("id", F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for _, c in fields]).alias("search_text"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,3 +55,48 @@ def area_lookup(areas: DataFrame, locale) -> DataFrame:
     """(location_slug, areas) from (location_slug, areas_json): normalised, in order; null, empty and malformed JSON give none."""
     parsed = F.coalesce(F.from_json(F.nullif("areas_json", F.lit("")), "array<string>"), F.array().cast("array<string>"))
     return areas.select("location_slug", F.transform(parsed, locale.normalize).alias("areas"))
+
+
+@dataclass
+class Lookups:
+    """(name, slug) of locations and of categories, (location_slug, areas), and the places with their counts."""
+
+    locations: DataFrame
+    categories: DataFrame
+    areas: DataFrame | None
+    places: DataFrame
+
+
+class LookupsLoader:
+    """Keeps the resolver's lookups for a time. Sources are functions that return the tables as they are then.
+
+    load() gives the lookups held, or loads them where none are held or `seconds` have passed; reload() always loads; invalidate() lets them go.
+    """
+
+    def __init__(self, locations: Callable[[], DataFrame], categories: Callable[[], DataFrame], locale, synonyms: Callable[[], DataFrame] | None = None, areas: Callable[[], DataFrame] | None = None, seconds: float = 300.0, clock: Callable[[], float] = time.monotonic):
+        self.locations, self.categories, self.synonyms, self.areas = locations, categories, synonyms, areas
+        self.locale, self.seconds, self.clock = locale, seconds, clock
+        self._held: Lookups | None = None
+        self._since = 0.0
+
+    def load(self) -> Lookups:
+        if self._held is not None and self.clock() - self._since < self.seconds:
+            return self._held
+        return self.reload()
+
+    def reload(self) -> Lookups:
+        places = self.locations()
+        names, kinds = location_lookup(places), category_lookup(self.categories())
+        if self.synonyms is not None:
+            named = self.synonyms()
+            names, kinds = with_synonyms(names, named, ("city", "location"), self.locale), with_synonyms(kinds, named, ("style", "category"), self.locale)
+        self.invalidate()
+        self._held = Lookups(names.persist(), kinds.persist(), area_lookup(self.areas(), self.locale).persist() if self.areas else None, places.persist())
+        self._since = self.clock()
+        return self._held
+
+    def invalidate(self) -> None:
+        held, self._held = self._held, None
+        for table in (held.locations, held.categories, held.areas, held.places) if held else ():
+            if table is not None:
+                table.unpersist()

@@ -35,17 +35,23 @@ def map_entities(df: DataFrame, m: EntityMapping) -> DataFrame:
     wanted = [c for c in (m.id, m.name, m.slug, m.categories, m.location, m.location_slug, m.lat, m.lng, *m.extra) if c]
     if missing := [c for c in wanted if c not in df.columns]:
         raise ValueError(f"columns not in the table: {', '.join(missing)}")
+    absent = {"mapped": False}
     text = lambda c: m.locale.normalize(F.col(c)) if c else F.lit("")
     number = lambda c: F.col(c).cast("double") if c else F.lit(None).cast("double")
     location_slug = F.col(m.location_slug) if m.location_slug else slug_of(text(m.location)) if m.location else F.lit(None).cast("string")
     return df.select(
         F.col(m.id).alias("id"), F.col(m.name).alias("name"), (F.col(m.slug) if m.slug else slug_of(text(m.name))).alias("slug"),
         number(m.lat).alias("lat"), number(m.lng).alias("lng"),
-        text(m.name).alias("name_n"), text(m.categories).alias("categories_n"), text(m.location).alias("location_n"), location_slug.alias("location_slug"),
+        text(m.name).alias("name_n"), text(m.categories).alias("categories_n", metadata={} if m.categories else absent), text(m.location).alias("location_n"), location_slug.alias("location_slug", metadata={} if m.location or m.location_slug else absent),
         *[F.col(c) for c in m.extra],
     )
 
 
+def is_mapped(entities: DataFrame, column: str) -> bool:
+    """Does a column of mapped entities stand for one of the raw table? Filters on others are skipped. The mark is kept in the column's metadata."""
+    return entities.schema[column].metadata.get("mapped", True)
+
+
 #: Fields of the entities that are indexed, with the columns that hold their normalised texts.
 FIELDS = (("name", "name_n"), ("categories", "categories_n"), ("location", "location_n"))
 

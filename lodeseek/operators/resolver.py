@@ -61,7 +61,7 @@ def nearest_location(points: DataFrame, stats: DataFrame) -> DataFrame:
     """(query_id, slug, name, distance_km, count) from (query_id, lat, lng, exclude_slug): the nearest location with entities, of equals the first by ordinal.
 
     stats (slug, name, lat, lng, count, ordinal) is a lookup of places. All of its places are kept in one sorted array
-    that each point scans, so points are never multiplied.
+    that each point scans, so points are never multiplied. A point that is null or no number has no place: all but its id is null.
     """
     places = stats.where("count > 0 and lat is not null and lng is not null").agg(F.sort_array(F.collect_list(F.struct("ordinal", "slug", "name", "lat", "lng", "count"))).alias("places"))
     rows = points.join(places)
@@ -69,5 +69,6 @@ def nearest_location(points: DataFrame, stats: DataFrame) -> DataFrame:
         F.filter("places", lambda p: ~p["slug"].eqNullSafe(F.col("exclude_slug"))),
         lambda p: F.struct(haversine_km(F.col("p_lat"), F.col("p_lng"), p["lat"], p["lng"]).alias("d"), p["ordinal"].alias("o"), p["slug"].alias("slug"), p["name"].alias("name"), p["count"].alias("count")),
     )
-    best = rows.withColumnsRenamed({"lat": "p_lat", "lng": "p_lng"}).select("query_id", F.array_min(away).alias("b"))
+    known = F.col("p_lat").isNotNull() & F.col("p_lng").isNotNull() & ~F.isnan("p_lat") & ~F.isnan("p_lng")
+    best = rows.withColumnsRenamed({"lat": "p_lat", "lng": "p_lng"}).select("query_id", F.when(known, F.array_min(away)).alias("b"))
     return best.select("query_id", "b.slug", "b.name", F.floor(F.col("b.d") + 0.5).cast("long").alias("distance_km"), "b.count")

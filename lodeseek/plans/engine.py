@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import walking_minutes
 from ..functions.locale import GENERIC, Locale
+from ..functions.text import MIN_SEARCH_TOKEN_LENGTH, trimmed
 from ..operators import candidates, ranking
 from ..operators.index import TextIndex, text_index, trigram_index
 
@@ -26,7 +27,7 @@ class SearchConfig:
     max_terms: int = 6
     quality: float = 0.75
     few_hits: int = 5
-    least_fuzzy: int = 3
+    least_fuzzy: int = MIN_SEARCH_TOKEN_LENGTH
     #: Ranks that grow with relevance, and similarity of whole fields for the fuzzy branch.
     positive_rank: bool = False
 
@@ -36,6 +37,10 @@ class Indexes:
     text: TextIndex
     trigrams: DataFrame
 
+    def close(self) -> None:
+        for table in (self.text.postings, self.text.docs, self.trigrams):
+            table.unpersist()
+
 
 def build_indexes(entities: DataFrame) -> Indexes:
     return Indexes(text_index(entities), trigram_index(entities))
@@ -50,7 +55,7 @@ def persist_indexes(indexes: Indexes) -> Indexes:
 def routed(queries: DataFrame, config: SearchConfig) -> DataFrame:
     """queries with geo_intent, normalized and route: location, geo, none or text. limit and offset get their defaults, 20 and 0."""
     locale = config.locale
-    blank = F.trim(F.coalesce("query", F.lit(""))) == ""
+    blank = trimmed(F.coalesce("query", F.lit(""))) == ""
     intent = ~blank & locale.has_geo_intent(F.col("query"))
     rows = queries.withColumns({"location_slug": F.nullif(F.col("location_slug"), F.lit("")), "category_slug": F.nullif(F.col("category_slug"), F.lit("")), "limit": F.coalesce("limit", F.lit(20)), "offset": F.coalesce("offset", F.lit(0)), "geo_intent": intent, "cleaned": locale.strip_geo_intent(F.col("query"))})
     cleaned = F.when(F.col("geo_intent"), F.col("cleaned")).otherwise(F.coalesce("query", F.lit("")))

@@ -53,9 +53,28 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PREPARED: dict[tuple, Search] = {}
 
 
+def _state(spark: SparkSession, path: str) -> tuple:
+    """A table's path with the times of change of its files."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(path + "*"))
+    return path, tuple((str(f.getPath()), f.getModificationTime(), f.getLen()) for f in files or ())
+
+
+def forget() -> None:
+    """Free all prepared batches."""
+    for search in _PREPARED.values():
+        search.close()
+        search.indexes.close()
+        search.entities.unpersist()
+    _PREPARED.clear()
+
+
 def searched(spark: SparkSession, sf_dir: str, config: SearchConfig = CONFIG) -> Search:
-    """The fixture's batch, which a session prepares once for each folder and configuration: entities, indexes and what several stages read stay persisted."""
-    key = spark.sparkContext.applicationId, sf_dir, config.positive_rank
+    """The fixture's batch, which a session prepares once for each state of its files and configuration, until forget().
+
+    Entities, indexes and what several stages read stay persisted meanwhile.
+    """
+    key = spark.sparkContext.applicationId, _state(spark, f"{sf_dir}/part.parquet"), repr(config)
     if key not in _PREPARED:
         rows = entities(spark, sf_dir).persist()
         _PREPARED[key] = Search(rows, fx.queries(spark), fx.synonyms(spark), config, persist_indexes(build_indexes(rows)))
@@ -188,10 +207,10 @@ def location_scan(spark, sf_dir):
 _NEAR = o.haversine("p.lat::DOUBLE", "p.lng::DOUBLE", "s.lat::DOUBLE", "s.lng::DOUBLE")
 
 
-@query(f"WITH {fx.values('p', 'query_id, lat, lng, exclude_slug', fx.POINTS)}, {fx.values('s', 'slug, name, lat, lng, count, ordinal', fx.STATS)}, d AS (SELECT query_id, slug, name, count, {_NEAR} AS d, row_number() OVER (PARTITION BY query_id ORDER BY {_NEAR}, ordinal) AS n FROM p, s WHERE count > 0 AND s.lat IS NOT NULL AND slug IS DISTINCT FROM exclude_slug AND p.lat IS NOT NULL) SELECT query_id, slug, name, floor(d + 0.5)::BIGINT AS distance_km, count FROM d WHERE n = 1")
+@query(f"WITH {fx.values('p', 'query_id, lat, lng, exclude_slug', fx.POINTS)}, {fx.values('s', 'slug, name, lat, lng, count, ordinal', fx.STATS)}, d AS (SELECT query_id, slug, name, count, {_NEAR} AS d, row_number() OVER (PARTITION BY query_id ORDER BY {_NEAR}, ordinal) AS n FROM p, s WHERE count > 0 AND s.lat IS NOT NULL AND slug IS DISTINCT FROM exclude_slug AND p.lat IS NOT NULL AND p.lng IS NOT NULL) SELECT p.query_id, d.slug, d.name, floor(d.d + 0.5)::BIGINT AS distance_km, d.count FROM p LEFT JOIN d ON d.query_id = p.query_id AND d.n = 1")
 def nearest_location(spark, sf_dir):
     stats = fx.frame(spark, fx.STATS, "slug string, name string, lat double, lng double, count long, ordinal int")
-    points = fx.frame(spark, fx.POINTS, "query_id long, lat double, lng double, exclude_slug string").where("lat is not null and lng is not null")
+    points = fx.frame(spark, fx.POINTS, "query_id long, lat double, lng double, exclude_slug string")
     return resolver.nearest_location(points, stats)
 
 
