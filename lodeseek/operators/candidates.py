@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import bounding_box, haversine_km
+from ..functions.geo import KM_PER_DEGREE, bounding_box, haversine_km
 from ..functions.text import aliases_of, fts_terms, jaccard, min_overlap, trigrams_of
-from .index import TextIndex
+from .index import TextIndex, entity_trigrams, trigram_counts
 from .mapping import is_mapped
 
 K1, B = 1.2, 0.75
@@ -54,7 +54,7 @@ def prefix_matches(terms: DataFrame, tokens: DataFrame) -> DataFrame:
 def term_hits(terms: DataFrame, index: TextIndex) -> DataFrame:
     """(term, id, f): occurrences of each distinct term. The last word of a term is a prefix; words before it stand exactly and next to each other in one field."""
     words = terms.select("term").distinct().withColumn("words", F.split("term", " "))
-    vocabulary = index.postings.select("token").distinct()
+    vocabulary = index.vocabulary
     one = words.where(F.size("words") == 1).select("term", F.col("term").alias("prefix"))
     single = one.join(prefix_matches(one, vocabulary), "prefix").join(index.postings, "token").groupBy("term", "id").agg(F.sum("tf").alias("f"))
     many = words.where(F.size("words") > 1).select("term", F.size("words").alias("n"), F.posexplode("words").alias("j", "word"))
@@ -105,25 +105,49 @@ def fts_top(ranked: DataFrame, queries: DataFrame, entities: DataFrame, locale)
     return kept.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= 3 * F.col("limit")).select("query_id", "id", "fts_rank", "pos")
 
 
-def fuzzy_top(queries: DataFrame, trigrams: DataFrame, entities: DataFrame) -> DataFrame:
-    """(query_id, id, fuzzy_score, pos): at most 2 x limit entities that share enough of a query's trigrams in any field; only the location filters."""
+def rarest(asked: DataFrame, counts: DataFrame) -> DataFrame:
+    """(query_id, trigram) from (query_id, grams, least): the trigrams that suffice to find every entity that has `least` of them.
+
+    Of q trigrams, any set of `least` holds one of the q - least + 1 rarest, so the long lists of frequent trigrams aren't read. Trigrams that no entity
+    has count as rarest, which is right: they take a place and find nothing.
+    """
+    each = asked.select("query_id", F.explode("grams").alias("trigram"), (F.size("grams") - F.col("least") + 1).alias("most"))
+    order = Window.partitionBy("query_id").orderBy(F.coalesce("n", F.lit(0)), "trigram")
+    return each.join(counts, "trigram", "left").withColumn("place", F.row_number().over(order)).where("place <= most").select("query_id", "trigram")
+
+
+def probed(asked: DataFrame, trigrams: DataFrame, counts: DataFrame | None) -> DataFrame:
+    """(query_id, id), each once: entities that have one of a query's rarest trigrams."""
+    counts = trigram_counts(trigrams) if counts is None else counts
+    return rarest(asked, counts).join(trigrams.select("trigram", "id"), "trigram").select("query_id", "id").distinct()
+
+
+def fuzzy_top(queries: DataFrame, trigrams: DataFrame, entities: DataFrame, counts: DataFrame | None = None, held: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, fuzzy_score, pos): at most 2 x limit entities that share enough of a query's trigrams in any field; only the location filters.
+
+    Candidates come from the rarest trigrams; how many they share is counted on the trigrams that each holds. counts and held, of trigram_counts and
+    entity_trigrams, are made from the index where they aren't handed in.
+    """
     asked = queries.select("query_id", "limit", F.col("location_slug").alias("q_location"), trigrams_of(F.col("normalized")).alias("grams"))
-    asked = asked.select("*", F.size("grams").alias("q"))
-    each = asked.select("query_id", F.explode("grams").alias("trigram"))
-    shared = each.join(trigrams.select("trigram", "id").distinct(), "trigram").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("shared"))
-    kept = shared.join(asked.drop("grams"), "query_id").where(F.col("shared") >= min_overlap(F.col("q")))
+    asked = asked.select("*", F.size("grams").alias("q")).withColumn("least", min_overlap(F.col("q")))
+    held = entity_trigrams(trigrams) if held is None else held
+    met = probed(asked, trigrams, counts).join(asked, "query_id")
     if is_mapped(entities, "location_slug"):
-        kept = kept.join(entities.select("id", "location_slug"), "id").where(at_location(F.col("location_slug"), F.col("q_location")))
+        met = met.join(entities.select("id", "location_slug"), "id").where(at_location(F.col("location_slug"), F.col("q_location")))
+    kept = met.join(held, "id").withColumn("shared", F.size(F.array_intersect("grams", "held"))).where("shared >= least")
     kept = kept.withColumn("fuzzy_score", F.col("shared") / F.col("q").cast("double"))
     order = Window.partitionBy("query_id").orderBy(F.desc("fuzzy_score"), "id")
     return kept.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= 2 * F.col("limit")).select("query_id", "id", "fuzzy_score", "pos")
 
 
-def similarity_top(queries: DataFrame, trigrams: DataFrame, entities: DataFrame, threshold: float = 0.1) -> DataFrame:
-    """(query_id, id, fuzzy_score, pos) by the greatest Jaccard similarity of name, categories and location beyond a threshold; candidates share a trigram."""
+def similarity_top(queries: DataFrame, trigrams: DataFrame, entities: DataFrame, counts: DataFrame | None = None, threshold: float = 0.1) -> DataFrame:
+    """(query_id, id, fuzzy_score, pos) by the greatest Jaccard similarity of name, categories and location beyond a threshold.
+
+    A field beyond the threshold has more than threshold x q of a query's q trigrams, so that only the rarest others need probing.
+    """
     asked = queries.select("query_id", "limit", F.col("location_slug").alias("q_location"), trigrams_of(F.col("normalized")).alias("grams"))
-    met = asked.select("query_id", F.explode("grams").alias("trigram")).join(trigrams.select("trigram", "id"), "trigram").select("query_id", "id").distinct()
-    rows = met.join(asked, "query_id").join(entities.select("id", "location_slug", "name_n", "categories_n", "location_n"), "id")
+    asked = asked.withColumn("least", (F.floor(F.size("grams") * threshold - 1e-9) + 1).cast("int"))
+    rows = probed(asked, trigrams, counts).join(asked, "query_id").join(entities.select("id", "location_slug", "name_n", "categories_n", "location_n"), "id")
     if is_mapped(entities, "location_slug"):
         rows = rows.where(at_location(F.col("location_slug"), F.col("q_location")))
     similar = F.greatest(*[jaccard(F.col("grams"), trigrams_of(F.col(c))) for c in ("name_n", "categories_n", "location_n")])
@@ -144,15 +168,24 @@ def location_scan(queries: DataFrame, entities: DataFrame, locale) -> DataFrame:
     return rows.withColumn("pos", F.row_number().over(order)).select("query_id", "id", "distance_km", "pos")
 
 
+def _cell(degrees: Column, side: float, edge: float) -> Column:
+    """The number of a cell along one axis; what lies beyond the edge counts to the last cell, so the order of places is kept."""
+    last = int(edge / side) + 1
+    return F.greatest(F.lit(-last), F.least(F.lit(last), F.floor(degrees / side)))
+
+
 def geo_scan(queries: DataFrame, entities: DataFrame, radius_km: float) -> DataFrame:
     """(query_id, id, distance_km, pos): the nearest `limit` entities in the box around each query's point.
 
-    Box and entity meet by whole degrees of latitude, so the join is an equi-join.
+    Box and entity meet by cells of latitude and longitude about as high as the box, so the join is an equi-join and reads a few cells a query.
     """
     box = bounding_box(F.col("lat"), F.col("lng"), F.lit(radius_km))
+    side = max(2 * radius_km / KM_PER_DEGREE, 0.01)
     asked = queries.where("lat is not null and lng is not null").select("query_id", "limit", F.col("lat").alias("q_lat"), F.col("lng").alias("q_lng"), *[v.alias(k) for k, v in box.items()])
-    asked = asked.withColumn("cell", F.explode(F.sequence(F.floor("min_lat"), F.floor("max_lat"))))
-    rows = entities.where("lat is not null and lng is not null").select("id", "lat", "lng", F.floor("lat").alias("cell")).join(asked, "cell")
+    asked = asked.withColumn("row", F.explode(F.sequence(_cell(F.col("min_lat"), side, 90), _cell(F.col("max_lat"), side, 90))))
+    asked = asked.withColumn("column", F.explode(F.sequence(_cell(F.col("min_lng"), side, 180), _cell(F.col("max_lng"), side, 180))))
+    placed = entities.where("lat is not null and lng is not null").select("id", "lat", "lng", _cell(F.col("lat"), side, 90).alias("row"), _cell(F.col("lng"), side, 180).alias("column"))
+    rows = placed.join(asked, ["row", "column"])
     rows = rows.where("lat between min_lat and max_lat and lng between min_lng and max_lng").withColumn("distance_km", haversine_km(F.col("q_lat"), F.col("q_lng"), F.col("lat"), F.col("lng")))
     order = Window.partitionBy("query_id").orderBy(F.round("distance_km", PLACES), "id")
     return rows.withColumn("pos", F.row_number().over(order)).where("pos <= limit").select("query_id", "id", "distance_km", "pos")

@@ -21,12 +21,23 @@ def replace_entries(index: DataFrame, changed: DataFrame, build) -> DataFrame:
     return index.join(changed.select("id").distinct(), "id", "left_anti").unionByName(build(changed))
 
 
+def trigram_counts(index: DataFrame) -> DataFrame:
+    """(trigram, n): how many entries each trigram has; queries probe their rarest ones alone."""
+    return index.groupBy("trigram").agg(F.count(F.lit(1)).alias("n"))
+
+
+def entity_trigrams(index: DataFrame) -> DataFrame:
+    """(id, held): the distinct trigrams of each entity in any field, which verify what the probes find."""
+    return index.groupBy("id").agg(F.collect_set("trigram").alias("held"))
+
+
 @dataclass
 class TextIndex:
-    """postings (token, id, field, tf, positions) and docs (id, doc_len)."""
+    """postings (token, id, field, tf, positions), docs (id, doc_len) and vocabulary (token), each token once."""
 
     postings: DataFrame
     docs: DataFrame
+    vocabulary: DataFrame
 
 
 def text_index(entities: DataFrame, fields=FIELDS) -> TextIndex:
@@ -34,13 +45,18 @@ def text_index(entities: DataFrame, fields=FIELDS) -> TextIndex:
     each = texts.select("id", "field", F.posexplode("tokens").alias("position", "token"))
     postings = each.groupBy("token", "id", "field").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
     sizes = sum((F.size(tokens_of(F.col(c))) for _, c in fields), start=F.lit(0))
-    return TextIndex(postings, entities.select("id", sizes.cast("long").alias("doc_len")))
+    return TextIndex(postings, entities.select("id", sizes.cast("long").alias("doc_len")), vocabulary_of(postings))
+
+
+def vocabulary_of(postings: DataFrame) -> DataFrame:
+    return postings.select("token").distinct()
 
 
 def replace_text(index: TextIndex, changed: DataFrame, fields=FIELDS) -> TextIndex:
     """A text index with postings and lengths of the changed entities replaced, both from the same rows."""
     ids, new = changed.select("id").distinct(), text_index(changed, fields)
-    return TextIndex(index.postings.join(ids, "id", "left_anti").unionByName(new.postings), index.docs.join(ids, "id", "left_anti").unionByName(new.docs))
+    postings = index.postings.join(ids, "id", "left_anti").unionByName(new.postings)
+    return TextIndex(postings, index.docs.join(ids, "id", "left_anti").unionByName(new.docs), vocabulary_of(postings))
 
 
 def search_text(entities: DataFrame, fields=FIELDS) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions.geo import walking_minutes
 from ..functions.locale import GENERIC, Locale
 from ..functions.text import MIN_SEARCH_TOKEN_LENGTH, trimmed
 from ..operators import candidates, ranking
-from ..operators.index import TextIndex, text_index, trigram_index
+from ..operators.index import TextIndex, entity_trigrams, text_index, trigram_counts, trigram_index
 
 QUERY_SCHEMA = "query_id long, query string, location_slug string, category_slug string, lat double, lng double, limit int, offset int"
 SYNONYM_SCHEMA = "alias string, canonical string, category string, ordinal int"
@@ -34,22 +34,33 @@ class SearchConfig:
 
 @dataclass
 class Indexes:
+    """The text index, the trigram index, its entries by trigram and the trigrams of each entity."""
+
     text: TextIndex
     trigrams: DataFrame
+    counts: DataFrame
+    held: DataFrame
+
+    @property
+    def tables(self) -> list[DataFrame]:
+        return [self.text.postings, self.text.docs, self.text.vocabulary, self.trigrams, self.counts, self.held]
 
     def close(self) -> None:
-        for table in (self.text.postings, self.text.docs, self.trigrams):
+        for table in self.tables:
             table.unpersist()
 
 
 def build_indexes(entities: DataFrame) -> Indexes:
-    return Indexes(text_index(entities), trigram_index(entities))
+    grams = trigram_index(entities)
+    return Indexes(text_index(entities), grams, trigram_counts(grams), entity_trigrams(grams))
 
 
 def persist_indexes(indexes: Indexes) -> Indexes:
-    """The indexes, computed at first use and kept in memory or on disk."""
-    text = indexes.text
-    return Indexes(TextIndex(text.postings.persist(), text.docs.persist()), indexes.trigrams.persist())
+    """The indexes, computed at first use and kept in memory or on disk. What derives from a table reads the kept one."""
+    text, grams = indexes.text, indexes.trigrams.persist()
+    postings = text.postings.persist()
+    kept = TextIndex(postings, text.docs.persist(), text.vocabulary.persist())
+    return Indexes(kept, grams, indexes.counts.persist(), indexes.held.persist())
 
 
 def routed(queries: DataFrame, config: SearchConfig) -> DataFrame:
@@ -110,8 +121,10 @@ class Search:
 
     @cached_property
     def fuzzy(self) -> DataFrame:
-        top = candidates.similarity_top if self.config.positive_rank else candidates.fuzzy_top
-        return top(self.gated_queries.where("run_fuzzy"), self.indexes.trigrams, self.entities)
+        asked, grams, counts = self.gated_queries.where("run_fuzzy"), self.indexes.trigrams, self.indexes.counts
+        if self.config.positive_rank:
+            return candidates.similarity_top(asked, grams, self.entities, counts)
+        return candidates.fuzzy_top(asked, grams, self.entities, counts, self.indexes.held)
 
     @cached_property
     def merged(self) -> DataFrame:

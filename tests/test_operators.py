@@ -1,11 +1,13 @@
-"""Operators beyond the registered queries: unmapped columns, white space, repeated ids, loaders, sinks, budgets."""
+"""Operators beyond the registered queries: unmapped columns, white space, repeated ids, loaders, sinks, budgets; candidates by brute force."""
 
+import math
+import random
 import time
 
 import pytest
 
 from lodeseek.functions.locale import GENERIC
-from lodeseek.operators import index, lookups, resolver
+from lodeseek.operators import candidates, index, lookups, resolver
 from lodeseek.operators.mapping import EntityMapping, map_entities
 from lodeseek.plans.budget import within
 from lodeseek.plans.engine import QUERY_SCHEMA, SYNONYM_SCHEMA, Search, SearchConfig
@@ -47,10 +49,58 @@ def test_indexes_of_repeated_ids_and_of_changed_entities(spark):
     assert twice.count() == twice.distinct().count() == 2 + 3
     changed = index.replace_text(index.text_index(make((1, "red lamp"), (2, "chair"))), make((2, "blue old chair"), (3, "new")))
     fresh = index.text_index(make((1, "red lamp"), (2, "blue old chair"), (3, "new")))
-    for a, b in ((changed.postings, fresh.postings), (changed.docs, fresh.docs)):
+    for a, b in ((changed.postings, fresh.postings), (changed.docs, fresh.docs), (changed.vocabulary, fresh.vocabulary)):
         assert sorted(map(str, a.select(*sorted(a.columns)).collect())) == sorted(map(str, b.select(*sorted(b.columns)).collect()))
 
 
+def grams_of(text):
+    return {w[i : i + 3] for w in text.split() for i in range(max(len(w) - 2, 1))}
+
+
+def test_rarest_trigrams_find_what_all_of_them_find(spark):
+    """Brute force over queries of 1 to 12 trigrams, some known to no entity, and a word that a third of the entities share."""
+    pick = random.Random(5)
+    words = ["".join(pick.choices("abc", k=pick.randint(1, 6))) for _ in range(40)]
+    names = [" ".join([*(["common"] if i % 3 == 0 else []), *pick.choices(words, k=pick.randint(0, 3))]) for i in range(300)]
+    kinds = [pick.choice(words) for _ in names]
+    rows = map_entities(spark.createDataFrame([(i, n, k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))], "id long, name string, kind string"), EntityMapping("id", "name", categories="kind"))
+    texts = ["", "common", "zzz", "ab", *(" ".join(pick.choices([*words, "common", "zzzzz"], k=pick.randint(1, 3))) for _ in range(30))]
+    queries = spark.createDataFrame([(i, t, None, 1000) for i, t in enumerate(texts)], "query_id long, normalized string, location_slug string, limit int")
+    grams = index.trigram_index(rows)
+    fuzzy, similar = set(), set()
+    for q, text in enumerate(texts):
+        asked = grams_of(text)
+        n = len(asked)
+        least = max(1, n - 1) if n <= 3 else max(2, math.ceil(n * 0.45))
+        for i, fields in enumerate(zip(names, kinds, strict=True)):
+            of = [grams_of(f) for f in fields]
+            shared = len(asked & (of[0] | of[1]))
+            if asked and shared >= least:
+                fuzzy.add((q, i, round(shared / n, 6)))
+            best = max(len(asked & g) / len(asked | g) if asked | g else 0.0 for g in of) if asked else 0.0
+            if best > 0.1:
+                similar.add((q, i, round(best, 6)))
+    of = lambda df: {(r.query_id, r.id, round(r.fuzzy_score, 6)) for r in df.collect()}
+    assert of(candidates.fuzzy_top(queries, grams, rows)) == fuzzy and of(candidates.similarity_top(queries, grams, rows)) == similar
+
+
+def test_cells_find_what_boxes_hold(spark):
+    """Brute force with points near poles, the date line and beyond, where a box spans all longitudes."""
+    pick = random.Random(6)
+    points = [(i, pick.uniform(49, 51), pick.uniform(19, 21)) for i in range(200)]
+    points += [(1000 + i, pick.choice([89.95, 90.0, -89.99, 95.0]), pick.uniform(-400, 400)) for i in range(60)] + [(2000, float("nan"), 0.0), (2001, 50.0, 180.0), (2002, None, 3.0)]
+    rows = map_entities(spark.createDataFrame([(i, str(i), y, x) for i, y, x in points], "id long, name string, lat double, lng double"), EntityMapping("id", "name", lat="lat", lng="lng"))
+    asked = [(0, 50.0, 20.0), (1, 50.9, 20.9), (2, 89.97, 10.0), (3, 90.0, -170.0), (4, -89.99, 179.9), (5, 50.0, 179.9), (6, 95.0, 0.0), (7, float("nan"), 1.0)]
+    queries = spark.createDataFrame([(q, y, x, 10000) for q, y, x in asked], "query_id long, lat double, lng double, limit int")
+    for km in (15.0, 60.0):
+        expected = set()
+        for q, y, x in asked:
+            high, width = km / 111.32, math.cos(math.radians(y))
+            wide = 360.0 if abs(width) < 1e-12 else km / (111.32 * width)
+            expected |= {(q, i) for i, a, b in points if a is not None and y - high <= a <= y + high and x - wide <= b <= x + wide}
+        assert {(r.query_id, r.id) for r in candidates.geo_scan(queries, rows, km).collect()} == expected
+
+
 def test_lookups_loader_holds_reloads_and_lets_go(spark):
     now, loads = [0.0], []
 
