@@ -69,6 +69,19 @@ def trigrams_of(normalized: Column) -> Column:
     return F.when(normalized == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.flatten(parts)))
 
 
+def padded_trigrams_of(text: Column) -> Column:
+    """Distinct trigrams of each run of a-z and 0-9, with two blanks put before it and one behind, so that beginnings weigh more; null and text without such a run have none."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
+    grams = F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substr(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))))
+    return F.array_distinct(F.flatten(grams))
+
+
+def padded_similarity(a: Column, b: Column) -> Column:
+    """Shared by all distinct trigrams of two arrays; 0 where either is empty."""
+    shared = F.size(F.array_intersect(a, b)).cast("double")
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(shared / (F.size(a) + F.size(b) - shared))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Jaccard similarity of two trigram arrays: 1 for two empty ones, 0 for one."""
     shared = F.size(F.array_intersect(a, b)).cast("double")

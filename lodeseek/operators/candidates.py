@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import KM_PER_DEGREE, bounding_box, haversine_km
-from ..functions.text import aliases_of, fts_terms, jaccard, min_overlap, trigrams_of
+from ..functions.text import aliases_of, fts_terms, min_overlap, padded_similarity, padded_trigrams_of, trigrams_of
 from .index import TextIndex, entity_trigrams, trigram_counts
 from .mapping import is_mapped
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
+#: Fixed values of the positive rank: the weight of a place, the limit of the sum of 1 / j^2, and how many places of a token count.
+PLACE_WEIGHT, SQUARES, MOST_PLACES = 0.1, 1.64493406685, 255
 #: Of doubles that decide an order, so many decimal places count.
 PLACES = 9
 
@@ -51,19 +53,39 @@ def prefix_matches(terms: DataFrame, tokens: DataFrame) -> DataFrame:
     return out
 
 
-def term_hits(terms: DataFrame, index: TextIndex) -> DataFrame:
-    """(term, id, f): occurrences of each distinct term. The last word of a term is a prefix; words before it stand exactly and next to each other in one field."""
+def token_hits(terms: DataFrame, index: TextIndex) -> DataFrame:
+    """(term, token, id, f): occurrences of each token that a distinct term finds.
+
+    The last word of a term is a prefix; words before it stand exactly and next to each other in one field. A term of several words is a token of its own.
+    """
     words = terms.select("term").distinct().withColumn("words", F.split("term", " "))
     vocabulary = index.vocabulary
     one = words.where(F.size("words") == 1).select("term", F.col("term").alias("prefix"))
-    single = one.join(prefix_matches(one, vocabulary), "prefix").join(index.postings, "token").groupBy("term", "id").agg(F.sum("tf").alias("f"))
+    single = one.join(prefix_matches(one, vocabulary), "prefix").join(index.postings, "token").groupBy("term", "token", "id").agg(F.sum("tf").alias("f"))
     many = words.where(F.size("words") > 1).select("term", F.size("words").alias("n"), F.posexplode("words").alias("j", "word"))
     last = many.where("j = n - 1").withColumnRenamed("word", "prefix")
     exact = many.where("j < n - 1").select("term", "n", "j", F.col("word").alias("token"))
     parts = exact.unionByName(last.join(prefix_matches(last, vocabulary), "prefix").select("term", "n", "j", "token"))
     places = parts.join(index.postings, "token").select("term", "n", "j", "id", "field", F.explode("positions").alias("p"))
     phrases = places.groupBy("term", "id", "field", (F.col("p") - F.col("j")).alias("at")).agg(F.count_distinct("j").alias("have"), F.first("n").alias("n")).where("have = n")
-    return single.unionByName(phrases.groupBy("term", "id").agg(F.count(F.lit(1)).alias("f")))
+    return single.unionByName(phrases.groupBy("term", F.col("term").alias("token"), "id").agg(F.count(F.lit(1)).alias("f")))
+
+
+def term_hits(terms: DataFrame, index: TextIndex) -> DataFrame:
+    """(term, id, f): occurrences of each distinct term, of whatever tokens."""
+    return token_hits(terms, index).groupBy("term", "id").agg(F.sum("f").alias("f"))
+
+
+def positive_rank(terms: DataFrame, index: TextIndex) -> DataFrame:
+    """(query_id, id, fts_rank), higher is better, by the public formula of a full-text database's rank for terms joined by OR.
+
+    The n places of a token add weight x (1 + 1/4 + ... + 1/n^2) / (pi^2 / 6); the sum over the tokens of all terms is divided by the number of terms,
+    those without a match included. All places have one weight, and a token's first 255 count.
+    """
+    squares = F.aggregate(F.sequence(F.lit(1), F.least(F.col("f"), F.lit(MOST_PLACES)).cast("int")), F.lit(0.0), lambda total, j: total + 1.0 / (j * j))
+    parts = token_hits(terms, index).select("term", "id", (PLACE_WEIGHT / SQUARES * squares).alias("part")).groupBy("term", "id").agg(F.sum("part").alias("part"))
+    sizes = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("size"))
+    return terms.join(parts, "term").join(sizes, "query_id").groupBy("query_id", "id").agg((F.sum("part") / F.first("size")).alias("fts_rank"))
 
 
 def bm25(terms: DataFrame, index: TextIndex, hits: DataFrame | None = None) -> DataFrame:
@@ -140,17 +162,18 @@ def fuzzy_top(queries: DataFrame, trigrams: DataFrame, entities: DataFrame, coun
     return kept.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= 2 * F.col("limit")).select("query_id", "id", "fuzzy_score", "pos")
 
 
-def similarity_top(queries: DataFrame, trigrams: DataFrame, entities: DataFrame, counts: DataFrame | None = None, threshold: float = 0.1) -> DataFrame:
-    """(query_id, id, fuzzy_score, pos) by the greatest Jaccard similarity of name, categories and location beyond a threshold.
+def similarity_top(queries: DataFrame, padded: DataFrame, entities: DataFrame, counts: DataFrame | None = None, threshold: float = 0.1) -> DataFrame:
+    """(query_id, id, fuzzy_score, pos) by the greatest similarity of padded trigrams (see padded_similarity) of name, categories and location beyond a threshold.
 
-    A field beyond the threshold has more than threshold x q of a query's q trigrams, so that only the rarest others need probing.
+    padded is the entities' padded_index. A field beyond the threshold has more than threshold x q of a query's q trigrams, so that only the rarest others need
+    probing.
     """
-    asked = queries.select("query_id", "limit", F.col("location_slug").alias("q_location"), trigrams_of(F.col("normalized")).alias("grams"))
+    asked = queries.select("query_id", "limit", F.col("location_slug").alias("q_location"), padded_trigrams_of(F.col("normalized")).alias("grams"))
     asked = asked.withColumn("least", (F.floor(F.size("grams") * threshold - 1e-9) + 1).cast("int"))
-    rows = probed(asked, trigrams, counts).join(asked, "query_id").join(entities.select("id", "location_slug", "name_n", "categories_n", "location_n"), "id")
+    rows = probed(asked, padded, counts).join(asked, "query_id").join(entities.select("id", "location_slug", "name_n", "categories_n", "location_n"), "id")
     if is_mapped(entities, "location_slug"):
         rows = rows.where(at_location(F.col("location_slug"), F.col("q_location")))
-    similar = F.greatest(*[jaccard(F.col("grams"), trigrams_of(F.col(c))) for c in ("name_n", "categories_n", "location_n")])
+    similar = F.greatest(*[padded_similarity(F.col("grams"), padded_trigrams_of(F.col(c))) for c in ("name_n", "categories_n", "location_n")])
     rows = rows.withColumn("fuzzy_score", similar).where(F.col("fuzzy_score") > threshold)
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("fuzzy_score", PLACES)), "id")
     return rows.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= 2 * F.col("limit")).select("query_id", "id", "fuzzy_score", "pos")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens_of, trigrams_of
+from ..functions.text import padded_trigrams_of, tokens_of, trigrams_of
 from .mapping import FIELDS, field_texts
 
 
@@ -16,6 +16,11 @@ def trigram_index(entities: DataFrame, fields=FIELDS) -> DataFrame:
     return field_texts(entities, fields).select(F.explode(trigrams_of(F.col("text"))).alias("trigram"), "id", "field").distinct()
 
 
+def padded_index(entities: DataFrame, fields=FIELDS) -> DataFrame:
+    """(trigram, id), each once: the padded trigrams of an entity's fields."""
+    return field_texts(entities, fields).select(F.explode(padded_trigrams_of(F.col("text"))).alias("trigram"), "id").distinct()
+
+
 def replace_entries(index: DataFrame, changed: DataFrame, build) -> DataFrame:
     """An index with the entries of changed entities replaced by those that `build` makes of them."""
     return index.join(changed.select("id").distinct(), "id", "left_anti").unionByName(build(changed))

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine_km
+from ..functions.geo import EARTH_KM, haversine_km
 
 _EDGE0, _EDGE1 = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 POSTAL = rf"{_EDGE0}(\d{{2}})-?(\d{{3}}){_EDGE1}"
 
+#: Sides of cells in degrees, divisors of 360, small ones first.
+CELLS = (0.125, 1.0, 8.0)
+
 
 def match_tokens(queries: DataFrame, lookup: DataFrame, locale) -> DataFrame:
     """(query_id, matched, slug) from (query_id, tokens): the leftmost known pair of tokens, else the leftmost token known itself or by a stem, stems in order."""
@@ -57,18 +60,44 @@ def match_area(queries: DataFrame, areas: DataFrame, locale) -> DataFrame:
     return rows.select("query_id", F.get(fits, F.lit(0)).alias("area"))
 
 
-def nearest_location(points: DataFrame, stats: DataFrame) -> DataFrame:
+def _within(points: DataFrame, places: DataFrame, side: float) -> DataFrame:
+    """(query_id, b): the best place of each point that has one so near that none beyond its cell and the eight around it can be nearer.
+
+    What lies beyond them is at least `side` degrees off in latitude or longitude, and no nearer than the meridian so far off.
+    """
+    columns = round(360 / side)
+    row, column = F.floor(F.col("lat") / side), F.floor(F.col("lng") / side)
+    around = lambda c: F.explode(F.sequence(c - 1, c + 1))
+    bound = EARTH_KM * F.asin(F.sin(F.radians(F.lit(side))) * F.cos(F.radians("p_lat")))
+    cells = points.select("*", around(F.floor(F.col("p_lat") / side)).alias("row")).select("*", around(F.floor(F.col("p_lng") / side)).alias("column")).withColumn("column", F.pmod("column", F.lit(columns)))
+    held = places.select("*", row.alias("row"), F.pmod(column, F.lit(columns)).alias("column"))
+    met = cells.join(held, ["row", "column"]).where(~F.col("slug").eqNullSafe(F.col("exclude_slug")))
+    away = haversine_km(F.col("p_lat"), F.col("p_lng"), F.col("lat"), F.col("lng"))
+    best = met.withColumn("d", away).groupBy("query_id").agg(F.min(F.struct("d", F.col("ordinal").alias("o"), "slug", "name", "count")).alias("b"), F.first(bound).alias("bound"))
+    return best.where(F.col("b.d") < F.col("bound") * (1 - 1e-9)).select("query_id", "b")
+
+
+def nearest_location(points: DataFrame, stats: DataFrame, sides: tuple[float, ...] = CELLS) -> DataFrame:
     """(query_id, slug, name, distance_km, count) from (query_id, lat, lng, exclude_slug): the nearest location with entities, of equals the first by ordinal.
 
-    stats (slug, name, lat, lng, count, ordinal) is a lookup of places. All of its places are kept in one sorted array
-    that each point scans, so points are never multiplied. A point that is null or no number has no place: all but its id is null.
+    stats is a table of places (slug, name, lat, lng, count, ordinal); latitudes beyond 90 degrees are no places. Points meet places by cells, small ones first;
+    larger ones serve the points whose nearest place isn't settled by then. Points far from all places, and they alone, scan all places, kept in one
+    array. A point that is null or no number has no place: all but its id is null. query_id tells points apart.
     """
-    places = stats.where("count > 0 and lat is not null and lng is not null").agg(F.sort_array(F.collect_list(F.struct("ordinal", "slug", "name", "lat", "lng", "count"))).alias("places"))
-    rows = points.join(places)
+    places = stats.where("count > 0 and abs(lat) <= 90 and lng is not null and not isnan(lng)").select("ordinal", "slug", "name", "lat", "lng", "count")
+    rows = points.select("query_id", F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"), "exclude_slug")
+    known = F.col("p_lat").isNotNull() & F.col("p_lng").isNotNull() & ~F.isnan("p_lat") & ~F.isnan("p_lng")
+    open_, found = rows.where(known), None
+    for side in sides:
+        settled = _within(open_, places, side)
+        open_ = open_.join(settled.select("query_id"), "query_id", "left_anti")
+        found = settled if found is None else found.unionByName(settled)
+    listed = places.agg(F.collect_list(F.struct("ordinal", "slug", "name", "lat", "lng", "count")).alias("places"))
     away = F.transform(
         F.filter("places", lambda p: ~p["slug"].eqNullSafe(F.col("exclude_slug"))),
         lambda p: F.struct(haversine_km(F.col("p_lat"), F.col("p_lng"), p["lat"], p["lng"]).alias("d"), p["ordinal"].alias("o"), p["slug"].alias("slug"), p["name"].alias("name"), p["count"].alias("count")),
     )
-    known = F.col("p_lat").isNotNull() & F.col("p_lng").isNotNull() & ~F.isnan("p_lat") & ~F.isnan("p_lng")
-    best = rows.withColumnsRenamed({"lat": "p_lat", "lng": "p_lng"}).select("query_id", F.when(known, F.array_min(away)).alias("b"))
+    far = open_.join(listed).select("query_id", F.array_min(away).alias("b"))
+    none = rows.where(~F.coalesce(known, F.lit(False))).select("query_id", F.lit(None).cast(far.schema["b"].dataType).alias("b"))
+    best = (far if found is None else found.unionByName(far)).unionByName(none)
     return best.select("query_id", "b.slug", "b.name", F.floor(F.col("b.d") + 0.5).cast("long").alias("distance_km"), "b.count")

@@ -12,7 +12,7 @@ from ..functions.geo import walking_minutes
 from ..functions.locale import GENERIC, Locale
 from ..functions.text import MIN_SEARCH_TOKEN_LENGTH, trimmed
 from ..operators import candidates, ranking
-from ..operators.index import TextIndex, entity_trigrams, text_index, trigram_counts, trigram_index
+from ..operators.index import TextIndex, entity_trigrams, padded_index, text_index, trigram_counts, trigram_index
 
 QUERY_SCHEMA = "query_id long, query string, location_slug string, category_slug string, lat double, lng double, limit int, offset int"
 SYNONYM_SCHEMA = "alias string, canonical string, category string, ordinal int"
@@ -34,16 +34,18 @@ class SearchConfig:
 
 @dataclass
 class Indexes:
-    """The text index, the trigram index, its entries by trigram and the trigrams of each entity."""
+    """The text index, the trigram index, its entries by trigram and the trigrams of each entity; padded trigrams and their entries, which positive ranks alone need."""
 
     text: TextIndex
     trigrams: DataFrame
     counts: DataFrame
     held: DataFrame
+    padded: DataFrame
+    padded_counts: DataFrame
 
     @property
     def tables(self) -> list[DataFrame]:
-        return [self.text.postings, self.text.docs, self.text.vocabulary, self.trigrams, self.counts, self.held]
+        return [self.text.postings, self.text.docs, self.text.vocabulary, self.trigrams, self.counts, self.held, self.padded, self.padded_counts]
 
     def close(self) -> None:
         for table in self.tables:
@@ -51,8 +53,8 @@ class Indexes:
 
 
 def build_indexes(entities: DataFrame) -> Indexes:
-    grams = trigram_index(entities)
-    return Indexes(text_index(entities), grams, trigram_counts(grams), entity_trigrams(grams))
+    grams, padded = trigram_index(entities), padded_index(entities)
+    return Indexes(text_index(entities), grams, trigram_counts(grams), entity_trigrams(grams), padded, trigram_counts(padded))
 
 
 def persist_indexes(indexes: Indexes) -> Indexes:
@@ -60,7 +62,7 @@ def persist_indexes(indexes: Indexes) -> Indexes:
     text, grams = indexes.text, indexes.trigrams.persist()
     postings = text.postings.persist()
     kept = TextIndex(postings, text.docs.persist(), text.vocabulary.persist())
-    return Indexes(kept, grams, indexes.counts.persist(), indexes.held.persist())
+    return Indexes(kept, grams, indexes.counts.persist(), indexes.held.persist(), indexes.padded.persist(), indexes.padded_counts.persist())
 
 
 def routed(queries: DataFrame, config: SearchConfig) -> DataFrame:
@@ -105,6 +107,8 @@ class Search:
 
     @cached_property
     def ranked(self) -> DataFrame:
+        if self.config.positive_rank:
+            return candidates.positive_rank(self.terms, self.indexes.text).withColumn("fts_rank", -F.col("fts_rank"))
         return candidates.bm25(self.terms, self.indexes.text, self.hits)
 
     @cached_property
@@ -121,10 +125,10 @@ class Search:
 
     @cached_property
     def fuzzy(self) -> DataFrame:
-        asked, grams, counts = self.gated_queries.where("run_fuzzy"), self.indexes.trigrams, self.indexes.counts
+        asked, indexes = self.gated_queries.where("run_fuzzy"), self.indexes
         if self.config.positive_rank:
-            return candidates.similarity_top(asked, grams, self.entities, counts)
-        return candidates.fuzzy_top(asked, grams, self.entities, counts, self.indexes.held)
+            return candidates.similarity_top(asked, indexes.padded, self.entities, indexes.padded_counts)
+        return candidates.fuzzy_top(asked, indexes.trigrams, self.entities, indexes.counts, indexes.held)
 
     @cached_property
     def merged(self) -> DataFrame:

@@ -49,9 +49,6 @@ AREA_QUERIES = [(1, "zwierzyniec", "krakow"), (2, "bielany", "krakow"), (3, "mok
 POINTS = [(1, 51.94, 15.5, None), (2, 50.06, 19.94, "krakow"), (3, 52.0, 21.0, None), (4, None, 21.0, None)]
 #: query_id, name
 CITIES = [(i, c) for i, c in enumerate(["Kraków", "Warszawa", "Łódź", "Wrocław", "Bielany Wrocławskie", "Suchy Las", "Nowa Sól", "Bielsko-Biała", "Zakopane", " Ustka ", "Zamość", "Malbork", "Ostrów Wielkopolski", "Grudziądz", "Police", "Nowy Targ"], 1)]
-CITY_LOCATIVES = ["Krakowie", "Warszawie", "Łodzi", "Wrocławiu", "Bielanach Wrocławskich", "Suchym Lesie", "Nowej Sólie", "Bielskie-Białej", "Zakopanu", "Ustkie", "Zamośćie", "Malborku", "Ostrowie Wielkopolskim", "Grudziądzie", "Policach", "Nowym Targu"]
-STEM_INPUT = [(1, "krakowie"), (2, "warszawy"), (3, "krakow"), (4, "lodzi"), (5, "nowej gorze"), (6, "gdanskie")]
-STEM_OUTPUT = [["krakowie", "krakow", "krakowi"], ["warszawy", "warszaw"], ["krakow"], ["lodzi", "lodz", "lodz"], ["nowej gorze", "nowej gorz", "nowa gorze", "nowa gorz"], ["gdanskie", "gdansk", "gdanski"]]
 
 
 def frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -74,6 +71,10 @@ def literal(x) -> str:
     return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else repr(x)
 
 
+def literal_row(row: tuple) -> str:
+    return "(" + ", ".join(map(literal, row)) + ")"
+
+
 def values(name: str, columns: str, rows: list[tuple]) -> str:
     """A common table expression of the rows."""
-    return f"{name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows) + ")"
+    return f"{name}({columns}) AS (VALUES " + ", ".join(map(literal_row, rows)) + ")"

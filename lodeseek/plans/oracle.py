@@ -20,6 +20,15 @@ def trigrams(x: str) -> str:
     return f"CASE WHEN {x} = '' THEN []::VARCHAR[] ELSE list_distinct(flatten(list_transform(string_split({x}, ' '), lambda w: CASE WHEN length(w) < 3 THEN [w] ELSE list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3)) END))) END"
 
 
+def padded_trigrams(x: str) -> str:
+    return f"list_distinct(flatten(list_transform(list_filter(string_split_regex({x}, '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+
+
+def padded_similarity(a: str, b: str) -> str:
+    both = f"len(list_intersect({a}, {b}))"
+    return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0::DOUBLE ELSE {both}::DOUBLE / (len({a}) + len({b}) - {both}) END"
+
+
 def jaccard(a: str, b: str) -> str:
     both = f"len(list_intersect({a}, {b}))"
     return f"CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0::DOUBLE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0::DOUBLE ELSE {both}::DOUBLE / (len({a}) + len({b}) - {both}) END"
@@ -54,6 +63,27 @@ def without_stop_words(x: str) -> str:
     return f"array_to_string(list_filter(string_split(regexp_replace({out}, '\\s+', ' ', 'g'), ' '), lambda t: t <> '' AND NOT list_contains({fx.literal(list(POLISH_STOP_TOKENS))}, t)), ' ')"
 
 
+def stems(x: str) -> str:
+    """Of one word: itself, then what its endings give, if of 3 characters or more."""
+    from ..functions.locale import STEM_ENDINGS
+
+    cut = [f"CASE WHEN ends_with({x}, '{a}') AND length({x}) - {len(a) - len(b)} >= 3 THEN left({x}, length({x}) - {len(a)}) || '{b}' END" for a, b in STEM_ENDINGS]
+    return f"list_filter([{x}, {', '.join(cut)}], lambda s: s IS NOT NULL)"
+
+
+def pair_stems(ws: str) -> str:
+    """Of two words in a list: the name itself, then all combinations, each once."""
+    pairs = f"flatten(list_transform({stems(ws + '[1]')}, lambda h: list_transform({stems(ws + '[2]')}, lambda l: h || ' ' || l)))"
+    whole = f"list_prepend({ws}[1] || ' ' || {ws}[2], {pairs})"
+    return f"list_filter({whole}, lambda s, i: list_position({whole}, s) = i)"
+
+
+def locative_word(p: str) -> str:
+    from ..functions.locale import LOCATIVE_ENDINGS
+
+    return "CASE " + " ".join(f"WHEN ends_with({p}, '{e}') THEN left({p}, length({p}) - {drop}) || '{add}'" for e, drop, add in LOCATIVE_ENDINGS) + " END"
+
+
 LAT, LNG = "49.0 + ({0} * 7919) % 5800 / 1000.0", "14.1 + ({0} * 104729) % 10000 / 1000.0"
 ENTITIES = f"""ent0 AS (SELECT p_partkey AS id, p_name AS name, {LAT.format('p_partkey')} AS lat, {LNG.format('p_partkey')} AS lng, {normalize('p_name')} AS name_n, {normalize('p_type')} AS categories_n, {normalize('p_brand')} AS location_n FROM part),
 ent AS (SELECT id, name, replace(name_n, ' ', '-') AS slug, lat::DOUBLE AS lat, lng::DOUBLE AS lng, name_n, categories_n, location_n, replace(location_n, ' ', '-') AS location_slug FROM ent0)"""
@@ -85,6 +115,12 @@ idf AS (SELECT term, mean_len, ln((docs - n + 0.5) / (n + 0.5)) AS raw FROM (SEL
 ranked AS (SELECT query_id, id, -sum(CASE WHEN raw > 0 THEN raw ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * doc_len / mean_len))) AS fts_rank FROM terms JOIN hits USING (term) JOIN idf USING (term) JOIN dl USING (id) GROUP BY 1, 2)"""
 
 
+POSITIVE = """th AS (SELECT term, token, id, count(*) AS f FROM (SELECT DISTINCT term FROM terms WHERE NOT contains(term, ' ')) JOIN tok ON starts_with(token, term) GROUP BY 1, 2, 3
+  UNION ALL SELECT term, term, a.id, count(*) FROM (SELECT DISTINCT term FROM terms WHERE contains(term, ' ')) JOIN tok a ON a.token = split_part(term, ' ', 1) JOIN tok b ON b.id = a.id AND b.field = a.field AND b.pos = a.pos + 1 AND starts_with(b.token, split_part(term, ' ', 2)) GROUP BY 1, 2, 3),
+ranked AS (SELECT query_id, id, -sum(0.1::DOUBLE * list_sum(list_transform(range(1, least(f, 255) + 1), lambda j: 1::DOUBLE / (j * j))) / 1.64493406685::DOUBLE) / any_value(size) AS fts_rank
+  FROM terms JOIN th USING (term) JOIN (SELECT query_id, count(*) AS size FROM terms GROUP BY 1) USING (query_id) GROUP BY 1, 2)"""
+
+
 def fts(sign: str = "") -> str:
     category = normalize("replace(q.category_slug, '-', ' ')", True)
     return f"""fts AS (SELECT query_id, id, {sign}fts_rank AS fts_rank, pos FROM (SELECT r.query_id, r.id, fts_rank, q.lim, row_number() OVER (PARTITION BY r.query_id ORDER BY round(fts_rank, 9), r.id) AS pos

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
-from ..functions.locale import GENERIC, POLISH, polish_locative
+from ..functions.locale import GENERIC, LOCATIVES, POLISH, polish_locative
 from ..operators import candidates, index, lookups, ranking, resolver
 from ..operators.mapping import EntityMapping, map_entities
 from ..sources.tables import read_sf
@@ -160,14 +160,33 @@ def strip_stop_words(spark, sf_dir):
     return fx.frame(spark, fx.RAW, "query_id long, query string").select("query_id", POLISH.strip_stop_words(POLISH.normalize(F.col("query"))).alias("bare"))
 
 
-@query("WITH " + fx.values("s", "query_id, token, stems", [(i, t, out) for (i, t), out in zip(fx.STEM_INPUT, fx.STEM_OUTPUT, strict=True)]) + " SELECT * FROM s")
+_TWO = "array_to_string(list_slice(list_filter(string_split(normalized, ' '), lambda w: w <> ''), 1, 1 + (doc_id % 2)::INT), ' ')"
+
+
+@query(f"WITH n AS (SELECT doc_id, {o.normalize('text', True)} AS normalized FROM documents), t AS (SELECT doc_id, {_TWO} AS token FROM n), w AS (SELECT doc_id, token, string_split(token, ' ') AS ws FROM t) SELECT doc_id, token, CASE WHEN len(ws) = 1 THEN {o.stems('token')} ELSE {o.pair_stems('ws')} END AS stems FROM w")
 def location_stems(spark, sf_dir):
-    return fx.frame(spark, fx.STEM_INPUT, "query_id long, token string").select("query_id", "token", POLISH.stems(F.col("token")).alias("stems"))
+    """The first word, or two, of each document as a name."""
+    words = F.filter(F.split(POLISH.normalize(F.col("text")), " "), lambda w: w != "")
+    named = read_sf(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(words, F.lit(1), (1 + F.col("doc_id") % 2).cast("int")), " ").alias("token"))
+    return named.select("doc_id", "token", POLISH.stems(F.col("token")).alias("stems"))
+
 
+_LOCATED = f"""WITH n AS (SELECT doc_id, list_slice(regexp_extract_all(coalesce(text, ''), '[\\p{{L}}]+'), 1, 2) AS ws FROM documents),
+  names AS (SELECT doc_id AS query_id, CASE WHEN doc_id % 3 = 0 THEN array_to_string(ws, '-') ELSE array_to_string(ws, ' ') END AS name FROM n UNION ALL SELECT -query_id, name FROM ({"SELECT * FROM (VALUES " + ", ".join(map(fx.literal_row, fx.CITIES)) + ") v(query_id, name)"})),
+  irregular(word, form) AS (VALUES {", ".join(map(fx.literal_row, LOCATIVES.items()))}),
+  parts AS (SELECT query_id, name, trim(name) AS trimmed, regexp_extract_all(trim(name), '([^\\s-]+|\\s+|-)') AS ps FROM names),
+  each AS (SELECT query_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM parts),
+  formed AS (SELECT query_id, string_agg(CASE WHEN regexp_matches(p, '^(\\s+|-)$') THEN p ELSE coalesce(form, {o.locative_word('p')}) END, '' ORDER BY i) AS form FROM each LEFT JOIN irregular ON word = p GROUP BY 1)
+  SELECT query_id, name, CASE WHEN trimmed = '' THEN 'ie' ELSE coalesce(w.form, f.form) END AS locative FROM parts LEFT JOIN irregular w ON w.word = trimmed LEFT JOIN formed f USING (query_id)"""
 
-@query("WITH " + fx.values("s", "query_id, name, locative", [(i, n, out) for (i, n), out in zip(fx.CITIES, fx.CITY_LOCATIVES, strict=True)]) + " SELECT * FROM s")
+
+@query(_LOCATED)
 def locative_case(spark, sf_dir):
-    return fx.frame(spark, fx.CITIES, "query_id long, name string").select("query_id", "name", polish_locative(F.col("name")).alias("locative"))
+    """The first two words of each document, and names of cities, as names."""
+    words = F.slice(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(\p{L}+)"), 1), 1, 2)
+    named = read_sf(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.when(F.col("doc_id") % 3 == 0, F.array_join(words, "-")).otherwise(F.array_join(words, " ")).alias("name"))
+    cities = fx.frame(spark, fx.CITIES, "query_id long, name string").select((-F.col("query_id")).alias("query_id"), "name")
+    return named.unionByName(cities).select("query_id", "name", polish_locative(F.col("name")).alias("locative"))
 
 
 # Geo
@@ -204,13 +223,23 @@ def location_scan(spark, sf_dir):
     return searched(spark, sf_dir).by_location.withColumn("distance_km", r6("distance_km"))
 
 
-_NEAR = o.haversine("p.lat::DOUBLE", "p.lng::DOUBLE", "s.lat::DOUBLE", "s.lng::DOUBLE")
+_PLACES = "SELECT 'place-' || s_suppkey AS slug, s_name AS name, CASE WHEN s_suppkey % 11 <> 0 THEN 49.0 + s_suppkey * 7919 % 5800 / 1000.0 END::DOUBLE AS lat, (14.1 + s_suppkey * 104729 % 10000 / 1000.0)::DOUBLE AS lng, s_suppkey % 7 AS count, s_suppkey AS ordinal FROM supplier"
+_POINTS = "SELECT c_custkey AS query_id, CASE WHEN c_custkey % 50 = 0 THEN NULL WHEN c_custkey % 97 = 0 THEN -60.0 ELSE 48.0 + c_custkey * 3571 % 7800 / 1000.0 END::DOUBLE AS lat, (13.0 + c_custkey * 6607 % 12500 / 1000.0)::DOUBLE AS lng, 'place-' || c_custkey % 100 AS exclude_slug FROM customer"
+_NEAR = o.haversine("p.lat", "p.lng", "s.lat", "s.lng")
 
 
-@query(f"WITH {fx.values('p', 'query_id, lat, lng, exclude_slug', fx.POINTS)}, {fx.values('s', 'slug, name, lat, lng, count, ordinal', fx.STATS)}, d AS (SELECT query_id, slug, name, count, {_NEAR} AS d, row_number() OVER (PARTITION BY query_id ORDER BY {_NEAR}, ordinal) AS n FROM p, s WHERE count > 0 AND s.lat IS NOT NULL AND slug IS DISTINCT FROM exclude_slug AND p.lat IS NOT NULL AND p.lng IS NOT NULL) SELECT p.query_id, d.slug, d.name, floor(d.d + 0.5)::BIGINT AS distance_km, d.count FROM p LEFT JOIN d ON d.query_id = p.query_id AND d.n = 1")
+@query(f"""WITH s AS ({_PLACES}), p AS ({_POINTS}),
+  d AS (SELECT query_id, slug, name, count, {_NEAR} AS d, ordinal FROM p JOIN s ON count > 0 AND s.lat IS NOT NULL AND slug <> exclude_slug WHERE p.lat IS NOT NULL),
+  best AS (SELECT query_id, min_by({{'slug': slug, 'name': name, 'd': d, 'count': count}}, (d, ordinal)) AS b FROM d GROUP BY 1)
+  SELECT p.query_id, b.slug AS slug, b.name AS name, floor(b.d + 0.5)::BIGINT AS distance_km, b.count AS count FROM p LEFT JOIN best USING (query_id)""")
 def nearest_location(spark, sf_dir):
-    stats = fx.frame(spark, fx.STATS, "slug string, name string, lat double, lng double, count long, ordinal int")
-    points = fx.frame(spark, fx.POINTS, "query_id long, lat double, lng double, exclude_slug string")
+    """Customers as points and suppliers as places, with synthetic coordinates, some null and some far off."""
+    key = F.col("s_suppkey")
+    lat, lng = F.when(key % 11 != 0, 49.0 + key * 7919 % 5800 / 1000.0), 14.1 + key * 104729 % 10000 / 1000.0
+    stats = read_sf(spark, sf_dir, "supplier").select(F.concat(F.lit("place-"), key).alias("slug"), F.col("s_name").alias("name"), lat.alias("lat"), lng.alias("lng"), (key % 7).alias("count"), key.alias("ordinal"))
+    key = F.col("c_custkey")
+    lat = F.when(key % 50 != 0, F.when(key % 97 == 0, -60.0).otherwise(48.0 + key * 3571 % 7800 / 1000.0))
+    points = read_sf(spark, sf_dir, "customer").select(key.alias("query_id"), lat.alias("lat"), (13.0 + key * 6607 % 12500 / 1000.0).alias("lng"), F.concat(F.lit("place-"), key % 100).alias("exclude_slug"))
     return resolver.nearest_location(points, stats)
 
 
@@ -283,7 +312,7 @@ def fts_bm25_topk(spark, sf_dir):
     return searched(spark, sf_dir).fts.withColumn("fts_rank", r6("fts_rank"))
 
 
-@query(o.chain("SELECT query_id, id, round(fts_rank, 6) AS fts_rank, pos FROM fts", *o.UP_TO_FTS[:-1], o.fts("-")))
+@query(o.chain("SELECT query_id, id, round(fts_rank, 6) AS fts_rank, pos FROM fts", *o.UP_TO_FTS[:-2], o.POSITIVE, o.fts("-")))
 def fts_match_positive_rank(spark, sf_dir):
     return searched(spark, sf_dir, SearchConfig(locale=POLISH, positive_rank=True)).fts.withColumn("fts_rank", r6("fts_rank"))
 
@@ -293,9 +322,9 @@ def trigram_fuzzy(spark, sf_dir):
     return searched(spark, sf_dir).fuzzy.withColumn("fuzzy_score", r6("fuzzy_score"))
 
 
-_SIMILAR = f"""sq AS (SELECT query_id, lim, location_slug AS q_location, {o.trigrams('normalized')} AS g FROM gq WHERE run_fuzzy),
-se AS (SELECT query_id, lim, g, id, {o.trigrams('name_n')} AS gn, {o.trigrams('categories_n')} AS gc, {o.trigrams('location_n')} AS gl FROM sq JOIN ent ON q_location IS NULL OR location_slug = q_location),
-sim AS (SELECT query_id, lim, id, greatest({o.jaccard('g', 'gn')}, {o.jaccard('g', 'gc')}, {o.jaccard('g', 'gl')}) AS s FROM se)"""
+_SIMILAR = f"""sq AS (SELECT query_id, lim, location_slug AS q_location, {o.padded_trigrams('normalized')} AS g FROM gq WHERE run_fuzzy),
+se AS (SELECT query_id, lim, g, id, {o.padded_trigrams('name_n')} AS gn, {o.padded_trigrams('categories_n')} AS gc, {o.padded_trigrams('location_n')} AS gl FROM sq JOIN ent ON q_location IS NULL OR location_slug = q_location),
+sim AS (SELECT query_id, lim, id, greatest({o.padded_similarity('g', 'gn')}, {o.padded_similarity('g', 'gc')}, {o.padded_similarity('g', 'gl')}) AS s FROM se)"""
 
 
 @query(o.chain("SELECT query_id, id, round(s, 6) AS fuzzy_score, pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS pos FROM sim WHERE s > 0.1) WHERE pos <= 2 * lim", *o.UP_TO_FTS, _SIMILAR))
@@ -371,8 +400,7 @@ _CAT = fx.values("ca", "name_n, slug, aliases_n, ordinal", fx.CATEGORIES) + """,
 cn AS (SELECT name_n AS name, slug, ordinal * 10 AS p FROM ca UNION ALL SELECT unnest(list_filter(string_split(coalesce(aliases_n, ''), ' '), lambda t: t <> '')), slug, ordinal * 10 + 1 FROM ca),
 cd AS (SELECT unnest(list_filter(string_split(name_n, ' '), lambda t: length(t) > 2)) AS name, slug, ordinal FROM ca),
 cat AS (SELECT name, max_by(slug, p) AS slug FROM cn GROUP BY 1 UNION ALL SELECT name, min_by(slug, ordinal) FROM cd WHERE name NOT IN (SELECT name FROM cn) GROUP BY 1)"""
-#: Endings as in the locale's stems, for tokens of one word.
-_STEMS = "list_filter([" + ", ".join(f"CASE WHEN ends_with(t, '{a}') AND length(t) - {len(a) - len(b)} >= 3 THEN left(t, length(t) - {len(a)}) || '{b}' END" for a, b in (("owie", "ow"), ("odzi", "odz"), ("owej", "owa"), ("ach", ""), ("ami", ""), ("nie", "n"), ("cie", "c"), ("zie", "z"), ("skie", "sk"), ("y", ""), ("i", ""), ("e", ""), ("u", ""))) + "], lambda s: s IS NOT NULL)"
+_STEMS = o.stems('t')
 _PARSED = f"""{fx.values('r', 'query_id, query', fx.RAW)},
 p0 AS (SELECT query_id, query, {o.normalize('query', True)} AS normalized FROM r),
 p1 AS (SELECT *, {o.without_stop_words('normalized')} AS bare FROM p0),

@@ -2,10 +2,13 @@
 
 import math
 import random
+import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
+from lodeseek.functions import text
 from lodeseek.functions.locale import GENERIC
 from lodeseek.operators import candidates, index, lookups, resolver
 from lodeseek.operators.mapping import EntityMapping, map_entities
@@ -57,6 +60,10 @@ def grams_of(text):
     return {w[i : i + 3] for w in text.split() for i in range(max(len(w) - 2, 1))}
 
 
+def padded_of(text):
+    return {f"  {w} "[i : i + 3] for w in re.findall("[a-z0-9]+", text) for i in range(len(w) + 1)}
+
+
 def test_rarest_trigrams_find_what_all_of_them_find(spark):
     """Brute force over queries of 1 to 12 trigrams, some known to no entity, and a word that a third of the entities share."""
     pick = random.Random(5)
@@ -68,8 +75,8 @@ def test_rarest_trigrams_find_what_all_of_them_find(spark):
     queries = spark.createDataFrame([(i, t, None, 1000) for i, t in enumerate(texts)], "query_id long, normalized string, location_slug string, limit int")
     grams = index.trigram_index(rows)
     fuzzy, similar = set(), set()
-    for q, text in enumerate(texts):
-        asked = grams_of(text)
+    for q, words_of in enumerate(texts):
+        asked = grams_of(words_of)
         n = len(asked)
         least = max(1, n - 1) if n <= 3 else max(2, math.ceil(n * 0.45))
         for i, fields in enumerate(zip(names, kinds, strict=True)):
@@ -77,11 +84,48 @@ def test_rarest_trigrams_find_what_all_of_them_find(spark):
             shared = len(asked & (of[0] | of[1]))
             if asked and shared >= least:
                 fuzzy.add((q, i, round(shared / n, 6)))
-            best = max(len(asked & g) / len(asked | g) if asked | g else 0.0 for g in of) if asked else 0.0
+            best = max(len(padded_of(words_of) & g) / len(padded_of(words_of) | g) if g else 0.0 for g in map(padded_of, fields))
             if best > 0.1:
                 similar.add((q, i, round(best, 6)))
     of = lambda df: {(r.query_id, r.id, round(r.fuzzy_score, 6)) for r in df.collect()}
-    assert of(candidates.fuzzy_top(queries, grams, rows)) == fuzzy and of(candidates.similarity_top(queries, grams, rows)) == similar
+    assert of(candidates.fuzzy_top(queries, grams, rows)) == fuzzy and of(candidates.similarity_top(queries, index.padded_index(rows), rows)) == similar
+
+
+def test_positive_rank_by_hand(spark):
+    """Two tokens under one prefix, a token in two fields, a phrase, and a term that nothing has."""
+    rows = map_entities(spark.createDataFrame([(1, "red rod red", "rodeo"), (2, "rod", "blue"), (3, "green", "grass")], "id long, name string, kind string"), EntityMapping("id", "name", categories="kind"))
+    terms = spark.createDataFrame([(1, "rod"), (1, "red"), (1, "zzz"), (2, "red ro"), (3, "zzz")], "query_id long, term string")
+    one, two = 0.1 / 1.64493406685, 0.1 * 1.25 / 1.64493406685
+    found = {(r.query_id, r.id): r.fts_rank for r in candidates.positive_rank(terms, index.text_index(rows)).collect()}
+    assert found == {(1, 1): pytest.approx((one + one + two) / 3), (1, 2): pytest.approx(one / 3), (2, 1): pytest.approx(one)}
+
+
+def test_padded_trigrams(spark):
+    found = spark.createDataFrame([("cat",), ("a-b a",), ("",), (None,), ("--",)], "t string").select(text.padded_trigrams_of(F.col("t"))).collect()
+    assert [r[0] for r in found] == [["  c", " ca", "cat", "at "], ["  a", " a ", "  b", " b "], [], [], []]
+
+
+def test_nearest_place_by_cells_equals_all_pairs(spark):
+    """Points and places anywhere: near poles, the date line, equal places, points beyond 180 degrees and far from all places."""
+    pick = random.Random(8)
+    some = [(pick.uniform(45, 55), pick.uniform(10, 25)) for _ in range(60)] + [(pick.uniform(-90, 90), pick.uniform(-180, 180)) for _ in range(12)] + [(89.9, 0.0), (10.0, 179.95), (10.0, -179.95), (50.0, 20.0), (50.0, 20.0)]
+    places = [(f"p{i}", f"P{i}", a, b, 1 + i % 2, i) for i, (a, b) in enumerate(some)] + [("empty", "E", 50.0, 20.0, 0, 999), ("nowhere", "N", None, 1.0, 3, 1000)]
+    points = [(i, pick.uniform(44, 56), pick.uniform(8, 27), f"p{i % 70}") for i in range(150)] + [(200 + i, pick.uniform(-90, 90), pick.uniform(-180, 180), None) for i in range(80)]
+    points += [(400, 10.0, 180.0, None), (401, 10.0, -180.0, None), (402, 90.0, 33.0, None), (403, 50.0, 20.0, None), (404, 50.0, 380.0, None), (405, None, 2.0, None), (406, float("nan"), 2.0, None)]
+
+    def km(a, b, c, d):
+        h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+        return 12742 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+    wanted = {}
+    for i, lat, lng, slug in points:
+        away = [(km(lat, lng, p[2], p[3]), p[5], p[0]) for p in places if p[4] > 0 and p[2] is not None and p[0] != slug] if lat is not None and lat == lat else []
+        wanted[i] = min(away)[2] if away else None
+    stats = spark.createDataFrame(places, "slug string, name string, lat double, lng double, count long, ordinal int")
+    asked = spark.createDataFrame(points, "query_id long, lat double, lng double, exclude_slug string")
+    rows = resolver.nearest_location(asked, stats).collect()
+    assert len(rows) == len(points) and {r.query_id: r.slug for r in rows} == wanted
+    assert all(r.slug is None for r in resolver.nearest_location(asked, stats.limit(0)).collect())
 
 
 def test_cells_find_what_boxes_hold(spark):
