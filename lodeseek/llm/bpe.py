@@ -28,9 +28,11 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _LETTERS = r"A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF"
 PLAIN_TEXT = rf"[\t\n\r\x20-\x7E{_LETTERS}]*"
 PLAIN_PATTERN = rf" ?[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\t\n\r\x20{_LETTERS}0-9]+|[\t\n\r\x20]+(?![^\t\n\r\x20])|[\t\n\r\x20]+"
-#: Words and pairs of tokens that a worker remembers; beyond, it starts anew. Results don't depend on it.
-REMEMBERED_WORDS = 400_000
+#: Words, their bytes, and pairs of tokens that a worker remembers; beyond, it starts anew. Results don't depend on it.
+REMEMBERED_WORDS, REMEMBERED_BYTES = 400_000, 1 << 25
 REMEMBERED_PAIRS = 1_000_000
+#: Bytes of words in one trie; a longer word has one of its own.
+TRIE_BYTES = 1 << 20
 
 
 def _byte_names() -> dict[str, int]:
@@ -59,6 +61,7 @@ class ByteBpe:
         self.any_split, self.plain_split, self.plain = regex.compile(PATTERN).findall, re.compile(PLAIN_PATTERN).findall, re.compile(PLAIN_TEXT).fullmatch
         self.apart = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda t: [t]
         self.words: dict[str, tuple[str, bytes]] = {}
+        self.held = 0
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def merged(self, word: bytes) -> list[int]:
@@ -184,18 +187,25 @@ class ByteBpe:
             return self.split(text)
         return [w for part in self.apart(text) for w in ([part] if part in self.special else self.split(part))]
 
+    def remember(self, word: str, tokens: list[int]) -> None:
+        raw = b"".join([self.bytes_of[t] for t in tokens])
+        self.words[word] = ",".join([self.names[t] for t in tokens]), raw
+        self.held += len(raw)
+
     def look_up(self, cut: list[list[str]]) -> list[list[tuple[str, bytes]]]:
         """For each word of each text its ids joined by commas and the bytes that these decode to."""
-        if len(self.words) > REMEMBERED_WORDS:
+        if len(self.words) > REMEMBERED_WORDS or self.held > REMEMBERED_BYTES:
             self.words.clear()
+            self.held = 0
         known = self.words.get
         found = [[known(w) for w in words] for words in cut]
         partly = [i for i, parts in enumerate(found) if None in parts]
         fresh = {w for i in partly for w, p in zip(cut[i], found[i], strict=True) if p is None}
-        encoded = self.encode_words({w.encode() for w in fresh if w not in self.special})
-        for w in fresh:
-            tokens = [self.special[w]] if w in self.special else encoded[w.encode()]
-            self.words[w] = ",".join([self.names[t] for t in tokens]), b"".join([self.bytes_of[t] for t in tokens])
+        for run in _tries(sorted(w.encode() for w in fresh if w not in self.special)):
+            for w, tokens in self.encode_words(run).items():
+                self.remember(w.decode(), tokens)
+        for w in fresh & self.special.keys():
+            self.remember(w, [self.special[w]])
         for i in partly:
             found[i] = [known(w) for w in cut[i]]
         return found
@@ -222,6 +232,19 @@ def codec(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+def _tries(words: list[bytes]):
+    """Runs of sorted words, each the words of one trie; words that share a prefix stay side by side."""
+    run, size = [], 0
+    for w in words:
+        if run and size + len(w) > TRIE_BYTES:
+            yield run
+            run, size = [], 0
+        run.append(w)
+        size += len(w)
+    if run:
+        yield run
+
+
 #: Characters of texts cut at once.
 AT_ONCE = 1 << 21
 
@@ -260,8 +283,8 @@ def decode(ids: Column, path: str) -> Column:
 def digest(df: DataFrame, path: str, text: str = "text", out: str = "bpe") -> DataFrame:
     """df with a struct column `out`: n_tokens, ids_sha256, decoded_sha256 of encoding every whole text and decoding it again.
 
-    Null is as the empty text: no tokens, and the digests of nothing. Repeated rows get equal results; other columns stay as
-    they are (one called like `out` is replaced).
+    Null is as the empty text: no tokens, and the digests of nothing. Long texts are encoded whole, in memory that grows with the text and its longest
+    word; repeated rows get equal results, an empty table gives an empty one; other columns stay as they are (one called like `out` is replaced).
     """
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
