@@ -2,7 +2,7 @@
 
 Texts are lower-cased; their 1-, 2- and 3-grams of code points are hashed into buckets. Training counts buckets over every labelled
 row (each task sums its own rows first, so that a few rows for each language and bucket are shuffled). The matrix of log
-probabilities is broadcast: its size is languages x buckets, whatever the number of rows. Scoring gathers the rows of the matrix that a
+probabilities is broadcast: its size is languages x buckets, whatever the number of rows, and languages are bounded. Scoring gathers the rows of the matrix that a
 batch of texts touches and sums them by text.
 """
 
@@ -18,9 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import column as _column
+from .common import discard, materialize
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
+#: Bound of the matrix that is broadcast: so many languages, of half a megabyte each.
+MOST_LANGUAGES = 512
 #: Additive smoothing of bucket counts.
 ALPHA = 0.5
 #: Code points of texts hashed at once, for four languages.
@@ -76,8 +79,11 @@ def _blocks(texts: list[str], most: int):
         yield begin, len(texts)
 
 
-def train(df: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """Counts over every row whose text and language aren't null. No such row gives a model without languages."""
+def train(df: DataFrame, text: str = "text", lang: str = "lang", *, most_languages: int = MOST_LANGUAGES) -> Model:
+    """Counts over every row whose text and language aren't null. No such row, as in an empty table, gives a model without languages.
+
+    Repeated rows count as often as they stand. More than most_languages names are an error, raised before anything is collected: no language is left out.
+    """
 
     def count(batches):
         counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(BUCKETS + 1, np.int64))
@@ -94,10 +100,16 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang") -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
 
     rows = df.select(_column(text).alias("text"), _column(lang).alias("lang")).where("text is not null and lang is not null")
-    summed = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = tuple(sorted(summed.lang.unique()))
+    summed = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    summed = materialize(summed, "language-counts")
+    found = summed.agg(F.count_distinct("lang")).first()[0]
+    if found > most_languages:
+        raise ValueError(f"{found} languages, of which a model holds at most {most_languages}")
+    at_driver = summed.toPandas()
+    discard(summed)
+    languages = tuple(sorted(at_driver.lang.unique()))
     table = np.zeros((BUCKETS + 1, len(languages)))
-    table[summed.bucket.to_numpy(), np.searchsorted(np.array(languages, object), summed.lang.to_numpy()) if languages else []] = summed.n
+    table[at_driver.bucket.to_numpy(), np.searchsorted(np.array(languages, object), at_driver.lang.to_numpy()) if languages else []] = at_driver.n
     counts, docs = table[:BUCKETS] + ALPHA, table[BUCKETS]
     return Model(languages, np.log(docs / max(1, docs.sum())) if languages else docs, np.log(counts / counts.sum(axis=0)))
 
@@ -120,8 +132,9 @@ def predict(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarra
 def identify(df: DataFrame, model: Model, text: str = "text", out: str = "language") -> DataFrame:
     """df with a struct column `out` (lang, score).
 
-    Null texts and texts without a letter are `und` with score 0, and so is every text for a model without languages. Repeated
-    rows get equal results; other columns stay as they are (one called like `out` is replaced).
+    Null texts and texts without a letter are `und` with score 0, and so is every text for a model without languages. Of equally likely languages the first
+    by name counts. Whole texts are scored, in time and memory that grow with their length. Repeated rows get equal results, an empty table gives an empty
+    one; other columns stay as they are (one called like `out` is replaced).
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 

@@ -215,6 +215,28 @@ def test_language_id_equals_counting_by_hand(spark):
         assert name == best and math.isclose(score, 1 / sum(math.exp(v - logs[best]) for v in logs.values()), rel_tol=1e-6)
 
 
+def test_language_id_ties_and_too_many_languages(spark):
+    rows = spark.createDataFrame([(1, "abc", "x"), (2, "abc", "a"), (3, "abc", None), (4, None, "q")], "doc_id long, text string, lang string")
+    model = language_id.train(rows)
+    assert model.languages == ("a", "x") and language_id.predict(["abc", "", "123", None], model)[0] == ["a", "und", "und", "und"]
+    assert language_id.predict(["abc"], language_id.train(rows.limit(0)))[0] == ["und"]
+    with pytest.raises(ValueError, match="2 languages"):
+        language_id.train(rows, most_languages=1)
+
+
+def test_bpe_of_many_tries_and_a_full_memory(monkeypatch):
+    """Results don't depend on how words are dealt to tries or on what is remembered."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join("".join(rng.choice(list("abcdeéł1-"), rng.integers(1, 12))) for _ in range(60)) for _ in range(20)] + ["q" * 5000, "<|endoftext|>a<|endoftext|>"]
+    codec = bpe.ByteBpe(registry.vocabulary_path())
+    wanted = codec.encode(texts)
+    monkeypatch.setattr(bpe, "TRIE_BYTES", 16)
+    monkeypatch.setattr(bpe, "REMEMBERED_BYTES", 100)
+    again = bpe.ByteBpe(registry.vocabulary_path())
+    assert [again.encode([t])[0] for t in texts] == wanted and again.held < 10_000
+    assert again.decode(wanted[0]) == texts[0]
+
+
 def test_odd_tables_pass_all_operators(spark):
     odd = ["a.b", "doc", "v", "x y", "comp", "window", "text_", "n", "id"]
     texts = [None, "", "word " * 40000, "one\ntwo\nthree\n" * 3000, "password=abc123XYZ all rights reserved", "word " * 40000]
