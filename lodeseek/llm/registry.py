@@ -50,7 +50,7 @@ def op6_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    net = secret_scan.train(*secret_scan.labelled(docs))
+    net = secret_scan.learn(docs)
     found = secret_scan.scan(docs, net)
 
     def joined(spans: str) -> Column:

@@ -1,7 +1,7 @@
 """Secret scans: base patterns, and a character convolutional network over every candidate and its surroundings.
 
 Candidates are the base patterns' matches and all other tokens with letters and digits, or with a lower-case letter before an upper-case one. A
-small network in numpy (embedded characters, one convolution, maximum over places, one output) is trained on labelled findings: matches of base patterns
+small network in numpy (embedded characters, one convolution, maximum over places, one output) is trained on all labelled findings: matches of base patterns
 in their context, against ordinary long words of any text; candidates beyond base matches are in neither label. A part held back calibrates its output
 (Platt scaling), and the threshold is the highest with which the wanted recall of held-back secrets is reached. All candidates are
 scored; base matches count as secrets whatever their score, other candidates from the threshold on.
@@ -15,6 +15,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,13 +35,15 @@ MIXED = re.compile(r"[a-z][A-Z]")
 TOKEN_PART = re.compile(r"[A-Za-z0-9+/_=-]")
 WORD = re.compile(r"[^\W\d_]{9,}")
 
-#: Bound of the training sample for each label: the findings of least hash.
-SAMPLE = 2000
 LEFT, BODY, RIGHT = 24, 40, 8
 WIDTH = LEFT + BODY + RIGHT
 SYMBOLS, EMBED, TAPS, FILTERS = 97, 8, 5, 24
 EPOCHS, BATCH, RATE, SEED = 12, 64, 0.01, 7
 RECALL = 0.98
+#: One of so many findings is held back; with fewer of a label than LEAST nothing is trained.
+HELD_OF, LEAST = 5, 10
+#: Findings trained in one run between two averages, how many of each label these must hold (or all there are), and tasks of an epoch.
+SHARD_ROWS, LEAST_IN_SHARD, TASKS = 8192, 128, 256
 
 _FLAT = bytes(0x31 if 0x30 <= b <= 0x39 else 0x61 if 0x61 <= b <= 0x7A else 0x41 if 0x41 <= b <= 0x5A else 0x2B if b in b"+/_=-" else 0x20 for b in range(256))
 _HEX = bytes(0x68 if b in b"0123456789abcdef" else 0x20 for b in range(256))
@@ -103,67 +107,178 @@ class Network:
     threshold: float = 1.1
 
     def forward(self, x: np.ndarray) -> tuple:
-        e = self.embed[x].reshape(len(x), -1)
-        patches = np.lib.stride_tricks.sliding_window_view(e, TAPS * EMBED, axis=1)[:, ::EMBED]
-        h = patches @ self.kernel + self.bias
+        # What a symbol adds to a filter at each tap is looked up.
+        tables = self.embed @ self.kernel.reshape(TAPS, EMBED, FILTERS)
+        x, places = x.astype(np.intp), x.shape[1] - TAPS + 1
+        h = tables[0].take(x[:, :places], 0)
+        for i in range(1, TAPS):
+            h += tables[i].take(x[:, i : i + places], 0)
         at = h.argmax(axis=1)
-        top = np.maximum(np.take_along_axis(h, at[:, None, :], 1)[:, 0], 0)
-        return patches, at, top, top @ self.out + self.shift
+        top = np.maximum(np.take_along_axis(h, at[:, None, :], 1)[:, 0] + self.bias, 0)
+        return at, top, top @ self.out + self.shift
+
+    def outputs(self, x: np.ndarray) -> np.ndarray:
+        parts = [self.forward(x[i : i + 512])[2] for i in range(0, len(x), 512)]
+        return np.concatenate(parts) if parts else np.zeros(0)
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        parts = [self.forward(x[i : i + 512])[3] for i in range(0, len(x), 512)]
-        z = np.concatenate(parts) if parts else np.zeros(0)
-        return 1 / (1 + np.exp(-np.clip(self.scale * z + self.offset, -40, 40)))
+        return _sigmoid(self.scale * self.outputs(x) + self.offset)
 
 
-def train(x: np.ndarray, y: np.ndarray) -> Network:
-    """A network from windows and labels (1: secret). A fifth is held back to calibrate; with one label alone nothing is ever found."""
-    rng = np.random.default_rng(SEED)
-    net = Network(rng.normal(0, 0.3, (SYMBOLS, EMBED)), rng.normal(0, 0.2, (TAPS * EMBED, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.2, FILTERS), 0.0)
-    held = np.arange(len(y)) % 5 == 4
-    if min(y.sum(), (1 - y).sum()) < 10 or len(set(y[held])) < 2:
-        return net
-    tx, ty = x[~held], y[~held]
-    weight = np.where(ty == 1, len(ty) / (2 * ty.sum()), len(ty) / (2 * (1 - ty).sum()))
-    params = {k: getattr(net, k) for k in ("embed", "kernel", "bias", "out")} | {"shift": np.zeros(1)}
-    first = {k: np.zeros_like(v) for k, v in params.items()}
-    second = {k: np.zeros_like(v) for k, v in params.items()}
-    step = 0
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(ty))
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+class Training:
+    """Weights of a network as one vector, with Adam's moments and steps: what an epoch changes."""
+
+    SHAPES = ((SYMBOLS, EMBED), (TAPS * EMBED, FILTERS), (FILTERS,), (FILTERS,), ())
+
+    def __init__(self, rng: np.random.Generator):
+        drawn = rng.normal(0, 0.3, (SYMBOLS, EMBED)), rng.normal(0, 0.2, (TAPS * EMBED, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.2, FILTERS), np.zeros(1)
+        self.weights = np.concatenate([d.ravel() for d in drawn])
+        self.first, self.second, self.step = np.zeros_like(self.weights), np.zeros_like(self.weights), 0.0
+
+    def network(self) -> Network:
+        ends = np.cumsum([int(np.prod(shape)) for shape in self.SHAPES])
+        parts = [p.reshape(shape) for p, shape in zip(np.split(self.weights, ends[:-1]), self.SHAPES, strict=True)]
+        return Network(*parts[:4], float(parts[4]))
+
+    def vector(self) -> np.ndarray:
+        return np.concatenate([self.weights, self.first, self.second, [self.step]])
+
+    def become(self, vector: np.ndarray) -> None:
+        self.weights, self.first, self.second = vector[:-1].reshape(3, -1).copy()
+        self.step = float(vector[-1])
+
+    def epoch(self, x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> None:
+        """One pass over all windows in a random order; both labels weigh the same."""
+        weight = np.where(y == 1, len(y) / (2 * max(1, y.sum())), len(y) / (2 * max(1, (1 - y).sum())))
+        order = rng.permutation(len(y))
         for a in range(0, len(order), BATCH):
             pick = order[a : a + BATCH]
-            net.shift = float(params["shift"][0])
-            patches, at, top, z = net.forward(tx[pick])
-            d = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - ty[pick]) * weight[pick] / len(pick)
-            dh = np.outer(d, net.out) * (top > 0)
-            rows = np.arange(len(pick))[:, None]
-            chosen = patches[rows, at]
-            de = np.zeros((len(pick), WIDTH, EMBED))
-            for f in range(FILTERS):
-                part = dh[:, f, None] * net.kernel[:, f]
-                np.add.at(de, (rows, at[:, f, None] + np.arange(TAPS)), part.reshape(len(pick), TAPS, EMBED))
-            grads = {"embed": np.zeros_like(net.embed), "kernel": np.einsum("nf,nfk->kf", dh, chosen), "bias": dh.sum(0), "out": top.T @ d, "shift": np.array([d.sum()])}
-            np.add.at(grads["embed"], tx[pick], de)
-            step += 1
-            for k, g in grads.items():
-                first[k] = 0.9 * first[k] + 0.1 * g
-                second[k] = 0.999 * second[k] + 0.001 * g * g
-                params[k] -= RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-    net.shift = float(params["shift"][0])
-    z = np.concatenate([net.forward(x[held][i : i + 512])[3] for i in range(0, held.sum(), 512)])
-    scale, offset, t = 1.0, 0.0, y[held]
+            g = self.gradient(x[pick], y[pick], weight[pick])
+            self.step += 1
+            self.first += 0.1 * (g - self.first)
+            self.second += 0.001 * (g * g - self.second)
+            self.weights -= RATE * (self.first / (1 - 0.9**self.step)) / (np.sqrt(self.second / (1 - 0.999**self.step)) + 1e-8)
+
+    def gradient(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        net = self.network()
+        at, top, z = net.forward(x)
+        d = (_sigmoid(z) - y) * weight / len(y)
+        dh = np.outer(d, net.out) * (top > 0)
+        # By symbol, tap and filter: what reached a filter through this symbol there.
+        taps = np.arange(TAPS)
+        symbols = x[np.arange(len(x))[:, None, None], at[:, :, None] + taps].astype(np.intp)
+        cells = (symbols * TAPS + taps) * FILTERS + np.arange(FILTERS)[:, None]
+        through = np.bincount(cells.ravel(), np.repeat(dh.ravel(), TAPS), SYMBOLS * TAPS * FILTERS).reshape(SYMBOLS, TAPS * FILTERS)
+        embed = through @ net.kernel.reshape(TAPS, EMBED, FILTERS).transpose(0, 2, 1).reshape(-1, EMBED)
+        kernel = (net.embed.T @ through).reshape(EMBED, TAPS, FILTERS).transpose(1, 0, 2)
+        return np.concatenate([embed.ravel(), kernel.ravel(), dh.sum(0), top.T @ d, [d.sum()]])
+
+
+def calibrated(net: Network, z: np.ndarray, t: np.ndarray) -> Network:
+    """The network with scale, offset and threshold from outputs and labels held back."""
+    scale, offset = 1.0, 0.0
     n1, n0 = t.sum(), (1 - t).sum()
     soft = np.where(t == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     for _ in range(200):
-        d = (1 / (1 + np.exp(-np.clip(scale * z + offset, -40, 40))) - soft) / len(z)
+        d = (_sigmoid(scale * z + offset) - soft) / len(z)
         scale, offset = scale - 0.1 * float(d @ z), offset - 0.1 * float(d.sum())
     net.scale, net.offset = scale, offset
-    secrets = np.sort(net.probability(x[held])[t == 1])
+    secrets = np.sort(_sigmoid(scale * z[t == 1] + offset))
     net.threshold = float(secrets[int((1 - RECALL) * len(secrets))])
     return net
 
 
+def train(x: np.ndarray, y: np.ndarray) -> Network:
+    """A network from windows and labels (1: secret) in memory. A fifth is held back to calibrate; with one label alone nothing is ever found."""
+    rng = np.random.default_rng(SEED)
+    training = Training(rng)
+    held = np.arange(len(y)) % HELD_OF == HELD_OF - 1
+    if min(y.sum(), (1 - y).sum()) < LEAST or len(set(y[held])) < 2:
+        return training.network()
+    for _ in range(EPOCHS):
+        training.epoch(x[~held], y[~held], rng)
+    net = training.network()
+    return calibrated(net, net.outputs(x[held]), y[held])
+
+
+def learn(df: DataFrame, text: str = "text", *, shard_rows: int = SHARD_ROWS) -> Network:
+    """A network from all findings of a table, trained where these are: nothing is left out, however many there are.
+
+    Findings are dealt by hash to shards of about `shard_rows`. In each epoch every shard trains from the same weights over all it
+    has, and the weights are averaged; with one shard that is plain training. Findings of a label too rare for LEAST_IN_SHARD in each
+    shard stand in several. A fifth, by the hash of the window, is held back; all of it calibrates. The driver gets at most TASKS
+    sums of weights an epoch, and in the end the outputs of what is held back (9 bytes each).
+    """
+    rows = findings(df, text)
+    held = F.pmod(F.col("h"), F.lit(HELD_OF)) == HELD_OF - 1
+    counts = {(r["label"], r["held"]): r["count"] for r in rows.groupBy("label", held.alias("held")).count().collect()}
+    training = Training(np.random.default_rng(SEED))
+    trained = [counts.get((k, False), 0) for k in (0, 1)]
+    seen = trained[0] + counts.get((0, True), 0), trained[1] + counts.get((1, True), 0)
+    if min(seen) < LEAST or min(trained) == 0 or len([c for c in counts if c[1]]) < 2:
+        discard(rows)
+        return training.network()
+    n = -(-sum(trained) // shard_rows)
+    times = [min(n, -(-LEAST_IN_SHARD * n // k)) for k in trained]
+    copies = F.explode(F.sequence(F.lit(0), F.when(F.col("label") == 0, times[0] - 1).otherwise(times[1] - 1))).alias("copy")
+    dealt = rows.where(~held).select("label", "window", "h", F.xxhash64("t", "window").alias("at"), copies)
+    dealt = dealt.select("label", "window", "h", F.pmod(F.pmod("at", F.lit(n)) + F.col("copy"), F.lit(n)).cast("int").alias("shard"))
+    dealt = dealt.repartition(min(n, TASKS), "shard").sortWithinPartitions("shard", "h", "window", "label").select("shard", "label", "window").persist(StorageLevel.DISK_ONLY)
+    for number in range(EPOCHS):
+
+        def epoch(batches, start=training.vector(), number=number):
+            total, size, first, one = np.zeros_like(start), 0, None, Training(np.random.default_rng(SEED))
+            for shard, x, y in _shards(batches):
+                one.become(start)
+                one.epoch(x, y, np.random.default_rng([SEED, number, shard]))
+                total, size, first = total + len(y) * one.vector(), size + len(y), shard if first is None else first
+            if size:
+                yield pa.RecordBatch.from_pydict({"first": [first], "size": [size], "total": [total.tobytes()]}, _SUMS)
+
+        sums = sorted(dealt.mapInArrow(epoch, "first int, size long, total binary").collect(), key=lambda r: r["first"])
+        training.become(sum(np.frombuffer(r["total"]) for r in sums) / sum(r["size"] for r in sums))
+    dealt.unpersist()
+    net = training.network()
+
+    def outputs(batches):
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_pydict({"z": [net.outputs(_windows(b["window"].to_pylist())).tobytes()], "label": [bytes(b["label"].to_pylist())]}, _OUTPUTS)
+
+    parts = rows.where(held).select("label", "window").mapInArrow(outputs, "z binary, label binary").collect()
+    discard(rows)
+    z, t = np.frombuffer(b"".join(bytes(r["z"]) for r in parts)), np.frombuffer(b"".join(bytes(r["label"]) for r in parts), np.uint8).astype(int)
+    order = np.lexsort((t, z))
+    return calibrated(net, z[order], t[order])
+
+
+_SUMS = pa.schema([("first", pa.int32()), ("size", pa.int64()), ("total", pa.binary())])
+_OUTPUTS = pa.schema([("z", pa.binary()), ("label", pa.binary())])
+
+
+def _windows(rows: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(bytes(r) for r in rows), np.uint8).reshape(-1, WIDTH)
+
+
+def _shards(batches):
+    """(shard, windows, labels) of runs of rows of one shard, which may reach over batches."""
+    now, windows, labels = None, [], []
+    for b in batches:
+        for shard, label, shown in zip(b["shard"].to_pylist(), b["label"].to_pylist(), b["window"].to_pylist(), strict=True):
+            if shard != now:
+                if labels:
+                    yield now, _windows(windows), np.array(labels)
+                now, windows, labels = shard, [], []
+            windows.append(shown)
+            labels.append(label)
+    if labels:
+        yield now, _windows(windows), np.array(labels)
+
+
 def ordinary(text: str, base: list[tuple[int, int, int]]) -> tuple[int, int] | None:
     """The span of a text's first long word that neither meets a base match nor is a part of a candidate."""
     for m in WORD.finditer(text):
@@ -179,15 +294,15 @@ def example(text: str, begin: int, end: int, bare: bool) -> bytes:
     return window(text[begin:end], 0, end - begin).tobytes() if bare and zlib.crc32(shown) & 1 else shown
 
 
-def labelled(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and labels of at most `sample` findings of each label, those of least hash over all rows, in the order of the hash; copies of a text count once.
+def findings(df: DataFrame, text: str = "text") -> DataFrame:
+    """All labelled findings, written in the shared folder: t (hash of the text), label, window, h (hash of the window); copies of a text count once.
 
     Base matches are secrets, one ordinary word of each text is none. An assigned value is shown with what names it, for it may be
     a plain word. The texts are read once.
     """
 
     @F.pandas_udf("array<struct<label:int,window:binary>>")
-    def findings(texts: pd.Series) -> pd.Series:
+    def of_texts(texts: pd.Series) -> pd.Series:
         out = []
         for t in texts:
             raw = (t or "").encode("utf-8", "surrogatepass")
@@ -198,13 +313,17 @@ def labelled(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> tuple[n
             out.append(rows)
         return pd.Series(out, dtype=object)
 
-    rows = df.select(F.xxhash64(column(text)).alias("t"), F.explode(findings(column(text))).alias("f"))
-    rows = materialize(rows.select("t", "f.label", "f.window", F.xxhash64("f.window").alias("h")).distinct(), "findings")
-    parts = [rows.where(F.col("label") == k).orderBy("h", "window").limit(sample).collect() for k in (1, 0)]
+    rows = df.select(F.xxhash64(column(text)).alias("t"), F.explode(of_texts(column(text))).alias("f"))
+    return materialize(rows.select("t", "f.label", "f.window", F.xxhash64("f.window").alias("h")).distinct(), "findings")
+
+
+def labelled(df: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Windows and labels of all findings, in the order of their hash, in the driver's memory: for `train`, on tables whose findings fit there."""
+    rows = findings(df, text)
+    got = rows.select("label", "window", "h").collect()
     discard(rows)
-    both = sorted((r for p in parts for r in p), key=lambda r: (r["h"], bytes(r["window"])))
-    x = np.frombuffer(b"".join(bytes(r["window"]) for r in both), np.uint8).reshape(-1, WIDTH)
-    return x, np.array([r["label"] for r in both], int)
+    got.sort(key=lambda r: (r["h"], bytes(r["window"]), r["label"]))
+    return _windows([r["window"] for r in got]), np.array([r["label"] for r in got], int)
 
 
 def found(texts: list[str | None], net: Network) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], list[float | None]]]:

@@ -257,3 +257,42 @@ def test_odd_tables_pass_all_operators(spark):
             assert stage(spark, df, "").columns == df.columns, name
     pages = spark.createDataFrame([(1, None, None), (2, "http://u.com/de/1", "<" * 50000)], "page_id long, url string, html string").withColumns({c: F.lit(c) for c in ("a.b", "host", "node", "own")})
     assert url_filter.judge(pages).count() == 2 and url_filter.judge(pages.limit(0)).count() == 0
+
+
+def drawn(rng, letters, n):
+    return "".join(rng.choice(list(letters), n))
+
+
+def texts_with_secrets(n_secrets, n_plain):
+    rng = np.random.default_rng(21)
+    words = ["".join(rng.choice(["ver", "lan", "tion", "keit", "mor", "sel"], 5)) for _ in range(400)]
+    about = rng.integers(0, 400, (n_secrets + n_plain, 2))
+    return [f"{words[a]} uses {drawn(rng, 'abcdef0123456789', 32) if i < n_secrets else i} in {words[b]}" for i, (a, b) in enumerate(about)]
+
+
+KEYS = [f"it wrote {drawn(np.random.default_rng(i), 'abcdef0123456789', 20)}-{drawn(np.random.default_rng(i + 100), 'abcdef0123456789', 20)} once" for i in range(20)]
+
+
+def test_secrets_are_learnt_from_every_finding(spark):
+    n = 2100
+    df = frame(spark, texts_with_secrets(n, n))
+    x, y = secret_scan.labelled(df)
+    assert y.sum() == n and (1 - y).sum() == 2 * n, "no finding is left out"
+    net = secret_scan.learn(df, shard_rows=100_000)
+    rows = sorted(secret_scan.findings(df).collect(), key=lambda r: (r.h, bytes(r.window), r.label))
+    rows = [r for r in rows if r.h % 5 != 4]
+    training = secret_scan.Training(np.random.default_rng(secret_scan.SEED))
+    for epoch in range(secret_scan.EPOCHS):
+        training.epoch(secret_scan._windows([r.window for r in rows]), np.array([r.label for r in rows]), np.random.default_rng([secret_scan.SEED, epoch, 0]))
+    assert np.allclose(net.kernel, training.network().kernel, rtol=0, atol=1e-9) and net.threshold <= 1
+    several, again = secret_scan.learn(df, shard_rows=1000), secret_scan.learn(df.repartition(3), shard_rows=1000)
+    assert np.array_equal(several.kernel, again.kernel) and several.threshold == again.threshold and not np.allclose(several.kernel, net.kernel)
+    for learnt in (net, several):
+        assert all(spans for _, spans, _ in secret_scan.found(KEYS, learnt)) and (learnt.probability(x[y == 0]) < learnt.threshold).mean() > 0.95
+
+
+def test_secrets_rarer_than_shards_are_learnt_in_each(spark):
+    df = frame(spark, texts_with_secrets(30, 3000))
+    net = secret_scan.learn(df, shard_rows=60)
+    assert net.threshold <= 1 and sum(bool(spans) for _, spans, _ in secret_scan.found(KEYS, net)) >= 15
+    assert secret_scan.learn(frame(spark, texts_with_secrets(0, 50))).threshold > 1 and secret_scan.learn(df.limit(0)).threshold > 1
