@@ -296,3 +296,13 @@ def test_secrets_rarer_than_shards_are_learnt_in_each(spark):
     net = secret_scan.learn(df, shard_rows=60)
     assert net.threshold <= 1 and sum(bool(spans) for _, spans, _ in secret_scan.found(KEYS, net)) >= 15
     assert secret_scan.learn(frame(spark, texts_with_secrets(0, 50))).threshold > 1 and secret_scan.learn(df.limit(0)).threshold > 1
+
+
+def test_pipeline_learns_secrets_from_every_finding(spark, monkeypatch):
+    docs = frame(spark, texts_with_secrets(2100, 2100))
+    nets, scan, learn = [], secret_scan.scan, secret_scan.learn
+    monkeypatch.setattr(secret_scan, "learn", lambda df: learn(df, shard_rows=2000))
+    monkeypatch.setattr(secret_scan, "scan", lambda df, net, **more: nets.append(net) or scan(df, net, **more))
+    left = corpus_pipeline.secrets(spark, docs, "")
+    assert np.array_equal(nets[0].kernel, secret_scan.learn(docs).kernel) and nets[0].threshold <= 1
+    assert left.where("text like '%[SECRET]%'").count() >= 2100 and left.count() == 4200
