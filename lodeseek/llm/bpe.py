@@ -3,16 +3,18 @@
 Texts are cut into words by the vocabulary's pattern. The distinct words of a batch go into a trie of bytes in sorted order,
 which is the trie's depth-first order. A node holds the last token of its prefix's encoding: the one token that ends there and may follow the
 last token of what stands before it. So each prefix that words share is encoded once, and the encoding of a word is read
-backwards from its node. Two tokens may stand side by side if merging their bytes gives just these two again. Decoding joins the
-bytes of tokens and replaces what isn't UTF-8.
+backwards from its node. An automaton of all tokens gives those that end at a node. Two tokens may stand side by side if merging their bytes
+gives just these two again. Decoding joins the bytes of tokens and replaces what isn't UTF-8.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
 from collections.abc import Iterable
+from contextlib import contextmanager
 from functools import lru_cache
 
 import pandas as pd
@@ -42,6 +44,18 @@ def _byte_names() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@contextmanager
+def _without_cycle_search():
+    """Python's search for cycles of garbage pauses: what is made here has none, and the remembered words are costly to walk."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 class ByteBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -57,7 +71,7 @@ class ByteBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of = {i: b for b, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
         self.names = {i: str(i) for i in self.bytes_of}
-        self._reversed_tokens()
+        self._automaton()
         self.any_split, self.plain_split, self.plain = regex.compile(PATTERN).findall, re.compile(PLAIN_PATTERN).findall, re.compile(PLAIN_TEXT).fullmatch
         self.apart = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda t: [t]
         self.words: dict[str, tuple[str, bytes]] = {}
@@ -122,38 +136,37 @@ class ByteBpe:
     def encode_words(self, words: Iterable[bytes]) -> dict[bytes, list[int]]:
         """Encodings of distinct words by way of one trie.
 
-        The tokens that end a prefix are met by going back from its end through the trie of reversed tokens; the longest that may
-        follow is the one.
+        The tokens that end a prefix are listed with the state that an automaton of all tokens (Aho-Corasick) is in at its end; the
+        longest that may follow is the one.
         """
+        if len(self.moves) > len(self.edges) + REMEMBERED_PAIRS:
+            self.moves = dict(self.edges)
         child: dict[int, int] = {}
-        last, before = [-1], [0]
-        back, ending, adjacent, pairs = self.back.get, self.ending, self.adjacent, self.pairs.get
+        last, before, states = [-1], [0], [0]
+        moves, ending, adjacent, pairs = self.moves.get, self.ending, self.adjacent, self.pairs.get
         out = {}
         for word in sorted(words):
             node, path = 0, [0]
-            for end, byte in enumerate(word):
+            for end, byte in enumerate(word, 1):
                 key = node << 8 | byte
-                node = child.get(key)
-                if node is None:
-                    fits, begin, at = [], end, back(byte)
-                    while at is not None:
-                        token = ending[at]
-                        if token >= 0:
-                            fits.append((begin, token))
-                        begin -= 1
-                        if begin < 0:
-                            break
-                        at = back(at << 8 | word[begin])
-                    for begin, token in reversed(fits):
-                        a = last[path[begin]]
+                found = child.get(key)
+                if found is None:
+                    state = moves(states[node] << 8 | byte)
+                    if state is None:
+                        state = self.move(states[node], byte)
+                    for size, token in ending[state]:
+                        begin = path[end - size]
+                        a = last[begin]
                         ok = pairs((a, token))
                         if ok or ok is None and adjacent(a, token):
                             break
                     else:
-                        raise ValueError(f"no token of the vocabulary ends {word[: end + 1]!r}")
-                    node = child[key] = len(last)
+                        raise ValueError(f"no token of the vocabulary ends {word[:end]!r}")
+                    found = child[key] = len(last)
                     last.append(token)
-                    before.append(path[begin])
+                    before.append(begin)
+                    states.append(state)
+                node = found
                 path.append(node)
             tokens = []
             while node:
@@ -162,19 +175,43 @@ class ByteBpe:
             out[word] = tokens[::-1]
         return out
 
-    def _reversed_tokens(self) -> None:
-        """A trie of the tokens read from their ends: children by node and byte, and the token (else -1) of each node; the root is 0."""
-        self.back: dict[int, int] = {}
-        self.ending = [-1]
-        for raw, token in self.ids.items():
-            node = 0
-            for byte in reversed(raw):
-                key = node << 8 | byte
-                node = self.back.get(key, 0)
-                if not node:
-                    node = self.back[key] = len(self.ending)
-                    self.ending.append(-1)
-            self.ending[node] = token
+    def move(self, state: int, byte: int) -> int:
+        """The state after one more byte: the longest end of what was read that begins a token. Remembered."""
+        at = state
+        while (found := self.edges.get(at << 8 | byte)) is None and at:
+            at = self.fails[at]
+        self.moves[state << 8 | byte] = found = found or 0
+        return found
+
+    def _automaton(self) -> None:
+        """States are the beginnings of tokens, the root is 0: edges by state and byte, the state of the longest other end of each,
+        and the tokens that end there (size, token), longest first."""
+        self.edges: dict[int, int] = {}
+        self.fails, whole, level = [0], [None], []
+        for raw, token in sorted(self.ids.items()):
+            state = 0
+            for depth, byte in enumerate(raw):
+                key = state << 8 | byte
+                found = self.edges.get(key)
+                if found is None:
+                    found = self.edges[key] = len(whole)
+                    whole.append(None)
+                    self.fails.append(0)
+                    level.append((depth, state, byte, found))
+                state = found
+            if raw:
+                whole[state] = (len(raw), token)
+        self.ending: list[tuple] = [()] * len(whole)
+        for depth, parent, byte, state in sorted(level):
+            at = parent
+            while depth and at:
+                at = self.fails[at]
+                if (found := self.edges.get(at << 8 | byte)) is not None:
+                    self.fails[state] = found
+                    break
+            rest = self.ending[self.fails[state]]
+            self.ending[state] = (whole[state], *rest) if whole[state] else rest
+        self.moves = dict(self.edges)
 
     def split(self, text: str) -> list[str]:
         return self.plain_split(text) if self.plain(text) else self.any_split(text)
@@ -192,6 +229,7 @@ class ByteBpe:
         self.words[word] = ",".join([self.names[t] for t in tokens]), raw
         self.held += len(raw)
 
+    @_without_cycle_search()
     def look_up(self, cut: list[list[str]]) -> list[list[tuple[str, bytes]]]:
         """For each word of each text its ids joined by commas and the bytes that these decode to."""
         if len(self.words) > REMEMBERED_WORDS or self.held > REMEMBERED_BYTES:

@@ -306,3 +306,21 @@ def test_pipeline_learns_secrets_from_every_finding(spark, monkeypatch):
     left = corpus_pipeline.secrets(spark, docs, "")
     assert np.array_equal(nets[0].kernel, secret_scan.learn(docs).kernel) and nets[0].threshold <= 1
     assert left.where("text like '%[SECRET]%'").count() >= 2100 and left.count() == 4200
+
+
+def test_bpe_automaton_lists_the_tokens_that_end_at_each_place():
+    import gc
+
+    codec = bpe.ByteBpe(registry.vocabulary_path())
+    rng = np.random.default_rng(31)
+    tokens = [t for t in codec.ids if t]
+    for _ in range(40):
+        word, state = b"".join(tokens[i] for i in rng.integers(0, len(tokens), 4)), 0
+        for end, byte in enumerate(word, 1):
+            state = codec.move(state, byte)
+            assert list(codec.ending[state]) == [(n, codec.ids[word[end - n : end]]) for n in range(end, 0, -1) if word[end - n : end] in codec.ids]
+    held, codec.moves = codec.look_up([["word", " words"]]), {}
+    assert gc.isenabled() and codec.look_up([["word", " words"]]) == held
+    for text in ["sword swords", "é" * 30, "0" * 50, " \n\t  x", "日本語 テスト"]:
+        codec.words.clear()
+        assert codec.encode([text])[0] == [i for w in codec.cut(text) for i in codec.merged(w.encode())]
