@@ -49,6 +49,11 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def finite(x: Column) -> Column:
+    """Is an array of doubles there, with no component null or non-finite? An empty one is."""
+    return F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))), F.lit(False))
+
+
 def spaced(text: Column) -> Column:
     """text with a space for each character of white space; null is empty. Splitting at one fixed character needs no regular expression."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D]", " ")

@@ -102,3 +102,35 @@ URL_FILTER = f"""
     given AS (SELECT reach.a AS node, max(CASE marks.verdict WHEN 'allow' THEN 2 ELSE 1 END) AS v FROM reach JOIN marks ON marks.node = reach.z GROUP BY 1)
     SELECT page_id, host, path, rule, coalesce(fit.verdict, CASE WHEN given.v = 1 THEN 'block' END, 'allow') AS verdict FROM b LEFT JOIN fit USING (rid) LEFT JOIN given ON given.node = b.node
 """
+
+
+_FINITE = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+HARD_NEGATIVES = f"""WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND {_FINITE}),
+s AS (SELECT a.vec_id AS anchor_id, a.label = v.label AS same, v.vec_id, list_dot_product(a.q, v.q)::BIGINT AS score FROM v AS a JOIN v ON a.vec_id % 100 = 0 AND v.vec_id <> a.vec_id AND len(v.q) = len(a.q)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM s WHERE same) WHERE n <= 5),
+r AS (SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT * FROM r WHERE rank <= 10"""
+
+
+def _clustering(k: int = 16, rounds: int = 3) -> str:
+    """Assignments and means, round after round; distances from inner products of integers held as doubles, which are exact."""
+    steps = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = 64 AND {_FINITE})",
+        f"c0 AS (SELECT n - 1 AS cluster, x AS c FROM (SELECT x, row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, x) AS n FROM v) WHERE n <= {k})",
+    ]
+    for r in range(rounds + 1):
+        away = "list_dot_product(x, x) - 2 * list_dot_product(x, c) + list_dot_product(c, c)"
+        steps.append(f"a{r} AS MATERIALIZED (SELECT row, vec_id, x, b.cluster, b.d::BIGINT AS distance FROM (SELECT row, any_value(vec_id) AS vec_id, any_value(x) AS x, min({{'d': {away}, 'cluster': cluster}}) AS b FROM v, c{r} GROUP BY row))")
+        if r < rounds:
+            steps.append(f"e{r} AS (SELECT cluster, i, sum(y)::HUGEINT AS s, count(*) AS n FROM (SELECT cluster, unnest(x)::BIGINT AS y, generate_subscripts(x, 1) AS i FROM a{r}) GROUP BY cluster, i)")
+            moved = f"SELECT cluster, list(((s - (s % n + n) % n) // n)::DOUBLE ORDER BY i) AS c FROM e{r} GROUP BY cluster"
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT cluster, coalesce(m.c, o.c) AS c FROM c{r} o LEFT JOIN ({moved}) m USING (cluster))")
+    last = f"""SELECT vec_id, cluster::INT AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(c, lambda y: y::BIGINT), ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (cluster)"""
+    return "WITH " + ",\n".join(steps) + "\n" + last
+
+
+CLUSTERING = _clustering()

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, license_scan, line_dedup, near_dedup, oracle, packing, quality_rules, secret_scan, url_filter, vector_search
+from . import bpe, clustering, hard_negatives, language_id, license_scan, line_dedup, near_dedup, oracle, packing, quality_rules, secret_scan, token_counts, url_filter, vector_search
 from .common import table
 
 
-#: The vocabulary of op2; a deployment points this at its own copy.
+#: The vocabulary of op2 and op12; a deployment points this at its own copy.
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -79,6 +79,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs.select("doc_id", "text", "lang"), keep=["doc_id"]).select("doc_id", *[F.col(f"quality.{f}") for f in fields])
 
 
+#: Fixed value: texts of more tokens are over the limit.
+TOKEN_LIMIT = 512
+
+
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives.mine(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts.count_tokens(docs, token_counts.vocabulary(vocabulary_path()), out="n_tokens")
+    return counted.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_bpe": op2_bpe,
@@ -90,9 +110,14 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_token_counts": op12_token_counts,
+    "op13_clustering": op13_clustering,
 }
 ORACLE: dict[str, str] = {
     "op5_url_filter": oracle.URL_FILTER,
     "op8_line_dedup": oracle.LINE_DEDUP,
     "op10_quality_rules": oracle.QUALITY_RULES,
+    "op11_hard_negatives": oracle.HARD_NEGATIVES,
+    "op13_clustering": oracle.CLUSTERING,
 }
