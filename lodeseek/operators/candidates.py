@@ -116,15 +116,24 @@ def in_category(categories: Column, wanted: Column, locale) -> Column:
     return wanted.isNull() | F.contains(F.lower(categories), category_name(wanted, locale))
 
 
-def fts_top(ranked: DataFrame, queries: DataFrame, entities: DataFrame, locale) -> DataFrame:
-    """(query_id, id, fts_rank, pos): at most 3 x limit for each query, after its filters on location and category."""
+def first_rows(rows: DataFrame, order: list[Column], times: int, most: int | None) -> DataFrame:
+    """rows (query_id, limit, ...) with pos, their place in a query's order; the first times x limit of each stay.
+
+    most is the greatest limit of the batch: a literal, which tasks apply to their own rows before a query's rows meet in one.
+    """
+    placed = rows.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    placed = placed if most is None else placed.where(F.col("pos") <= times * most)
+    return placed.where(F.col("pos") <= times * F.col("limit"))
+
+
+def fts_top(ranked: DataFrame, queries: DataFrame, entities: DataFrame, locale, most: int | None = None) -> DataFrame:
+    """(query_id, id, fts_rank, pos): at most 3 x limit for each query, after its filters on location and category. most: see first_rows."""
     kept = ranked.join(queries.select("query_id", F.col("location_slug").alias("q_location"), F.col("category_slug").alias("q_category"), "limit"), "query_id").join(entities.select("id", "location_slug", "categories_n"), "id")
     if is_mapped(entities, "location_slug"):
         kept = kept.where(at_location(F.col("location_slug"), F.col("q_location")))
     if is_mapped(entities, "categories_n"):
         kept = kept.where(in_category(F.col("categories_n"), F.col("q_category"), locale))
-    order = Window.partitionBy("query_id").orderBy(F.round("fts_rank", PLACES), "id")
-    return kept.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= 3 * F.col("limit")).select("query_id", "id", "fts_rank", "pos")
+    return first_rows(kept, [F.round("fts_rank", PLACES), F.col("id")], 3, most).select("query_id", "id", "fts_rank", "pos")
 
 
 def rarest(asked: DataFrame, counts: DataFrame) -> DataFrame:
@@ -144,7 +153,7 @@ def probed(asked: DataFrame, trigrams: DataFrame, counts: DataFrame | None) -> D
     return rarest(asked, counts).join(trigrams.select("trigram", "id"), "trigram").select("query_id", "id").distinct()
 
 
-def fuzzy_top(queries: DataFrame, trigrams: DataFrame, entities: DataFrame, counts: DataFrame | None = None, held: DataFrame | None = None) -> DataFrame:
+def fuzzy_top(queries: DataFrame, trigrams: DataFrame, entities: DataFrame, counts: DataFrame | None = None, held: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """(query_id, id, fuzzy_score, pos): at most 2 x limit entities that share enough of a query's trigrams in any field; only the location filters.
 
     Candidates come from the rarest trigrams; how many they share is counted on the trigrams that each holds. counts and held, of trigram_counts and
@@ -158,11 +167,10 @@ def fuzzy_top(queries: DataFrame, trigrams: DataFrame, entities: DataFrame, coun
         met = met.join(entities.select("id", "location_slug"), "id").where(at_location(F.col("location_slug"), F.col("q_location")))
     kept = met.join(held, "id").withColumn("shared", F.size(F.array_intersect("grams", "held"))).where("shared >= least")
     kept = kept.withColumn("fuzzy_score", F.col("shared") / F.col("q").cast("double"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("fuzzy_score"), "id")
-    return kept.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= 2 * F.col("limit")).select("query_id", "id", "fuzzy_score", "pos")
+    return first_rows(kept, [F.desc("fuzzy_score"), F.col("id")], 2, most).select("query_id", "id", "fuzzy_score", "pos")
 
 
-def similarity_top(queries: DataFrame, padded: DataFrame, entities: DataFrame, counts: DataFrame | None = None, threshold: float = 0.1) -> DataFrame:
+def similarity_top(queries: DataFrame, padded: DataFrame, entities: DataFrame, counts: DataFrame | None = None, threshold: float = 0.1, most: int | None = None) -> DataFrame:
     """(query_id, id, fuzzy_score, pos) by the greatest similarity of padded trigrams (see padded_similarity) of name, categories and location beyond a threshold.
 
     padded is the entities' padded_index. A field beyond the threshold has more than threshold x q of a query's q trigrams, so that only the rarest others need
@@ -175,17 +183,16 @@ def similarity_top(queries: DataFrame, padded: DataFrame, entities: DataFrame, c
         rows = rows.where(at_location(F.col("location_slug"), F.col("q_location")))
     similar = F.greatest(*[padded_similarity(F.col("grams"), padded_trigrams_of(F.col(c))) for c in ("name_n", "categories_n", "location_n")])
     rows = rows.withColumn("fuzzy_score", similar).where(F.col("fuzzy_score") > threshold)
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("fuzzy_score", PLACES)), "id")
-    return rows.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= 2 * F.col("limit")).select("query_id", "id", "fuzzy_score", "pos")
+    return first_rows(rows, [F.desc(F.round("fuzzy_score", PLACES)), F.col("id")], 2, most).select("query_id", "id", "fuzzy_score", "pos")
 
 
-def location_scan(queries: DataFrame, entities: DataFrame, locale) -> DataFrame:
+def location_scan(queries: DataFrame, entities: DataFrame, locale, most: int | None = None) -> DataFrame:
     """(query_id, id, distance_km, pos): the first `limit` entities by id of a location (and category), then by distance where the query has a point."""
     asked = queries.select("query_id", "limit", F.col("location_slug").alias("q_location"), F.col("category_slug").alias("q_category"), F.col("lat").alias("q_lat"), F.col("lng").alias("q_lng"))
     rows = entities.select("id", "lat", "lng", "location_slug", "categories_n").join(asked, F.col("location_slug") == F.col("q_location"))
     if is_mapped(entities, "categories_n"):
         rows = rows.where(in_category(F.col("categories_n"), F.col("q_category"), locale))
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("id"))).where("n <= limit")
+    rows = first_rows(rows, [F.col("id")], 1, most)
     rows = rows.withColumn("distance_km", haversine_km(F.col("q_lat"), F.col("q_lng"), F.col("lat"), F.col("lng")))
     order = Window.partitionBy("query_id").orderBy(F.when(F.col("q_lat").isNotNull() & F.col("q_lng").isNotNull(), F.coalesce(F.round("distance_km", PLACES), F.lit(999.0))), "id")
     return rows.withColumn("pos", F.row_number().over(order)).select("query_id", "id", "distance_km", "pos")
@@ -197,7 +204,7 @@ def _cell(degrees: Column, side: float, edge: float) -> Column:
     return F.greatest(F.lit(-last), F.least(F.lit(last), F.floor(degrees / side)))
 
 
-def geo_scan(queries: DataFrame, entities: DataFrame, radius_km: float) -> DataFrame:
+def geo_scan(queries: DataFrame, entities: DataFrame, radius_km: float, most: int | None = None) -> DataFrame:
     """(query_id, id, distance_km, pos): the nearest `limit` entities in the box around each query's point.
 
     Box and entity meet by cells of latitude and longitude about as high as the box, so the join is an equi-join and reads a few cells a query.
@@ -210,5 +217,4 @@ def geo_scan(queries: DataFrame, entities: DataFrame, radius_km: float) -> DataF
     placed = entities.where("lat is not null and lng is not null").select("id", "lat", "lng", _cell(F.col("lat"), side, 90).alias("row"), _cell(F.col("lng"), side, 180).alias("column"))
     rows = placed.join(asked, ["row", "column"])
     rows = rows.where("lat between min_lat and max_lat and lng between min_lng and max_lng").withColumn("distance_km", haversine_km(F.col("q_lat"), F.col("q_lng"), F.col("lat"), F.col("lng")))
-    order = Window.partitionBy("query_id").orderBy(F.round("distance_km", PLACES), "id")
-    return rows.withColumn("pos", F.row_number().over(order)).where("pos <= limit").select("query_id", "id", "distance_km", "pos")
+    return first_rows(rows, [F.round("distance_km", PLACES), F.col("id")], 1, most).select("query_id", "id", "distance_km", "pos")

@@ -12,7 +12,9 @@ from ..functions.geo import walking_minutes
 from ..functions.locale import GENERIC, Locale
 from ..functions.text import MIN_SEARCH_TOKEN_LENGTH, trimmed
 from ..operators import candidates, ranking
+from ..operators.blockmax import BlockMaxSearch
 from ..operators.index import TextIndex, entity_trigrams, padded_index, text_index, trigram_counts, trigram_index
+from ..operators.segments import StoredIndex
 
 QUERY_SCHEMA = "query_id long, query string, location_slug string, category_slug string, lat double, lng double, limit int, offset int"
 SYNONYM_SCHEMA = "alias string, canonical string, category string, ordinal int"
@@ -34,7 +36,10 @@ class SearchConfig:
 
 @dataclass
 class Indexes:
-    """The text index, the trigram index, its entries by trigram and the trigrams of each entity; padded trigrams and their entries, which positive ranks alone need."""
+    """The text index, the trigram index, its entries by trigram and the trigrams of each entity; padded trigrams and their entries, which positive ranks alone need.
+
+    stored is the index in files that these are read from, if any: full-text search then skips its blocks.
+    """
 
     text: TextIndex
     trigrams: DataFrame
@@ -42,6 +47,7 @@ class Indexes:
     held: DataFrame
     padded: DataFrame
     padded_counts: DataFrame
+    stored: StoredIndex | None = None
 
     @property
     def tables(self) -> list[DataFrame]:
@@ -57,6 +63,14 @@ def build_indexes(entities: DataFrame) -> Indexes:
     return Indexes(text_index(entities), grams, trigram_counts(grams), entity_trigrams(grams), padded, trigram_counts(padded))
 
 
+def stored_indexes(index: StoredIndex) -> Indexes:
+    """The indexes of a stored one, read as they lie. Entries of dead rows stay among the trigrams: what they find is verified on live rows' own."""
+    grams = index.table("trigrams").select("trigram", "id", "field")
+    counts = index.table("gram_counts").groupBy("trigram").agg(F.sum("n").alias("n"))
+    padded = padded_index(index.entities())
+    return Indexes(index.text(), grams, counts, index.live.select("id", "held"), padded, trigram_counts(padded), index)
+
+
 def persist_indexes(indexes: Indexes) -> Indexes:
     """The indexes, computed at first use and kept in memory or on disk. What derives from a table reads the kept one."""
     text, grams = indexes.text, indexes.trigrams.persist()
@@ -81,7 +95,7 @@ class Search:
     """The stages of a batch, each a DataFrame; only what is asked for is computed.
 
     The routed queries, their terms and hits, and the full-text rows (3 x limit for each query at most) are read by several stages and
-    persisted; close() frees them. Indexes are best built once, persisted or written, and handed in.
+    persisted; close() frees them. Indexes are best built once, persisted or written, and handed in. stored() searches an index in files.
     """
 
     def __init__(self, entities: DataFrame, queries: DataFrame, synonyms: DataFrame, config: SearchConfig = SearchConfig(), indexes: Indexes | None = None):
@@ -89,6 +103,15 @@ class Search:
         self.indexes = indexes or build_indexes(entities)
         self.queries = routed(queries, config).persist()
 
+    @classmethod
+    def stored(cls, index: StoredIndex, queries: DataFrame, synonyms: DataFrame, config: SearchConfig = SearchConfig()) -> Search:
+        return cls(index.entities(), queries, synonyms, config, stored_indexes(index))
+
+    @cached_property
+    def most(self) -> int:
+        """The greatest limit of the batch."""
+        return self.queries.agg(F.max("limit").alias("most")).first()["most"] or 0
+
     @cached_property
     def text(self) -> DataFrame:
         return self.queries.where("route = 'text'")
@@ -111,9 +134,15 @@ class Search:
             return candidates.positive_rank(self.terms, self.indexes.text).withColumn("fts_rank", -F.col("fts_rank"))
         return candidates.bm25(self.terms, self.indexes.text, self.hits)
 
+    @cached_property
+    def blocks(self) -> BlockMaxSearch:
+        return BlockMaxSearch(self.terms, self.indexes.stored, self.text, self.config.locale)
+
     @cached_property
     def fts(self) -> DataFrame:
-        top = candidates.fts_top(self.ranked, self.text, self.entities, self.config.locale)
+        if self.indexes.stored is not None and not self.config.positive_rank:
+            return self.blocks.top.persist()
+        top = candidates.fts_top(self.ranked, self.text, self.entities, self.config.locale, self.most)
         return (top.withColumn("fts_rank", -F.col("fts_rank")) if self.config.positive_rank else top).persist()
 
     @cached_property
@@ -127,8 +156,8 @@ class Search:
     def fuzzy(self) -> DataFrame:
         asked, indexes = self.gated_queries.where("run_fuzzy"), self.indexes
         if self.config.positive_rank:
-            return candidates.similarity_top(asked, indexes.padded, self.entities, indexes.padded_counts)
-        return candidates.fuzzy_top(asked, indexes.trigrams, self.entities, indexes.counts, indexes.held)
+            return candidates.similarity_top(asked, indexes.padded, self.entities, indexes.padded_counts, most=self.most)
+        return candidates.fuzzy_top(asked, indexes.trigrams, self.entities, indexes.counts, indexes.held, self.most)
 
     @cached_property
     def merged(self) -> DataFrame:
@@ -156,16 +185,18 @@ class Search:
 
     @cached_property
     def by_location(self) -> DataFrame:
-        return candidates.location_scan(self.queries.where("route = 'location'"), self.entities, self.config.locale)
+        return candidates.location_scan(self.queries.where("route = 'location'"), self.entities, self.config.locale, self.most)
 
     @cached_property
     def by_point(self) -> DataFrame:
-        return candidates.geo_scan(self.queries.where("route = 'geo'"), self.entities, self.config.primary_km)
+        return candidates.geo_scan(self.queries.where("route = 'geo'"), self.entities, self.config.primary_km, self.most)
 
     def close(self) -> None:
         self.queries.unpersist()
         for name in {"terms", "hits", "fts"} & self.__dict__.keys():
             getattr(self, name).unpersist()
+        if "blocks" in self.__dict__:
+            self.blocks.close()
 
     def results(self) -> DataFrame:
         """query_id, section, rank, id, name, slug, lat, lng, distance_km, walking_min, score (null for scans)."""

@@ -11,6 +11,8 @@ from ..functions import geo, text
 from ..functions.locale import GENERIC, LOCATIVES, POLISH, polish_locative
 from ..operators import candidates, index, lookups, ranking, resolver
 from ..operators.mapping import EntityMapping, map_entities
+from ..operators.segments import StoredIndex
+from ..sources.shared import fresh_path
 from ..sources.tables import read_sf
 from ..streaming import events
 from . import fixtures as fx
@@ -38,9 +40,12 @@ def query(sql: str | None) -> Callable:
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts with synthetic coordinates, which the tables lack."""
+    return with_coordinates(read_sf(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand"))
+
+
+def with_coordinates(raw: DataFrame) -> DataFrame:
     key = F.col("p_partkey")
-    raw = read_sf(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand", (49.0 + key * 7919 % 5800 / 1000.0).alias("lat"), (14.1 + key * 104729 % 10000 / 1000.0).alias("lng"))
-    return raw
+    return raw.withColumns({"lat": 49.0 + key * 7919 % 5800 / 1000.0, "lng": 14.1 + key * 104729 % 10000 / 1000.0})
 
 
 MAPPING = EntityMapping("p_partkey", "p_name", categories="p_type", location="p_brand", lat="lat", lng="lng")
@@ -51,6 +56,7 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PREPARED: dict[tuple, Search] = {}
+_STORED: dict[tuple, StoredIndex] = {}
 
 
 def _state(spark: SparkSession, path: str) -> tuple:
@@ -67,6 +73,10 @@ def forget() -> None:
         search.indexes.close()
         search.entities.unpersist()
     _PREPARED.clear()
+    for stored in _STORED.values():
+        stored.close()
+        stored.folder.delete()
+    _STORED.clear()
 
 
 def searched(spark: SparkSession, sf_dir: str, config: SearchConfig = CONFIG) -> Search:
@@ -81,6 +91,31 @@ def searched(spark: SparkSession, sf_dir: str, config: SearchConfig = CONFIG) ->
     return _PREPARED[key]
 
 
+def stored(spark: SparkSession, sf_dir: str) -> StoredIndex:
+    """The parts as an index in files, built once for each state of them until forget()."""
+    key = spark.sparkContext.applicationId, _state(spark, f"{sf_dir}/part.parquet"), "whole"
+    if key not in _STORED:
+        _STORED[key] = StoredIndex.create(entities(spark, sf_dir), fresh_path(spark, "index"))
+    return _STORED[key]
+
+
+def changed(spark: SparkSession, sf_dir: str) -> StoredIndex:
+    """The parts as an index in files after two changes: renamed and deleted parts, then new ones, some renamed again and some deleted ones back."""
+    key = spark.sparkContext.applicationId, _state(spark, f"{sf_dir}/part.parquet"), "changed"
+    if key not in _STORED:
+        raw, at = parts(spark, sf_dir), F.col("p_partkey")
+        renamed = raw.where(at % 7 == 2).withColumn("p_name", F.concat("p_name", F.lit(" "), "p_type"))
+        again = raw.where(at % 21 == 2).withColumn("p_name", F.concat("p_brand", F.lit(" "), "p_name"))
+        new = raw.where(at % 13 == 0).withColumn("p_partkey", at + 1_000_000)
+        one = StoredIndex.create(entities(spark, sf_dir), fresh_path(spark, "index"))
+        two = one.apply(map_entities(renamed, MAPPING), raw.where((at % 11 == 3) & (at % 7 != 2)).select(at.alias("id")))
+        three = two.apply(map_entities(again.unionByName(with_coordinates(new)), MAPPING))
+        for before in (one, two):
+            before.close()
+        _STORED[key] = three
+    return _STORED[key]
+
+
 def r6(c: str | Column) -> Column:
     return F.round(c, 6)
 
@@ -366,8 +401,11 @@ def radius_split(spark, sf_dir):
     return entities(spark, sf_dir).select("id", ranking.section(km, 150.0, 300.0).alias("section"))
 
 
-@query(o.chain("""SELECT query_id, section, rank, id, name, slug, lat, lng, round(distance_km, 6) AS distance_km, walking_min, round(score, 6) AS score FROM pages
-  UNION ALL SELECT query_id, 'primary', pos::INT, s.id, name, slug, lat, lng, round(distance_km, 6), floor(distance_km * 1.3 / 4.8 * 60 + 0.5)::INT, NULL FROM scans s JOIN ent ON ent.id = s.id""", *o.EVERYTHING))
+_RESULTS = """SELECT query_id, section, rank, id, name, slug, lat, lng, round(distance_km, 6) AS distance_km, walking_min, round(score, 6) AS score FROM pages
+  UNION ALL SELECT query_id, 'primary', pos::INT, s.id, name, slug, lat, lng, round(distance_km, 6), floor(distance_km * 1.3 / 4.8 * 60 + 0.5)::INT, NULL FROM scans s JOIN ent ON ent.id = s.id"""
+
+
+@query(o.chain(_RESULTS, *o.EVERYTHING))
 def search_text(spark, sf_dir):
     return searched(spark, sf_dir).results().withColumns({"distance_km": r6("distance_km"), "score": r6("score")})
 
@@ -384,6 +422,39 @@ def route_queries(spark, sf_dir):
     return searched(spark, sf_dir).queries.select("query_id", "route", "geo_intent", "normalized")
 
 
+# Stored index
+
+
+_CHANGED = """changed AS (SELECT p_partkey, CASE WHEN p_partkey % 21 = 2 THEN p_brand || ' ' || p_name WHEN p_partkey % 7 = 2 THEN p_name || ' ' || p_type ELSE p_name END AS p_name, p_type, p_brand
+  FROM part WHERE NOT (p_partkey % 11 = 3 AND p_partkey % 7 <> 2) UNION ALL SELECT p_partkey + 1000000, p_name, p_type, p_brand FROM part WHERE p_partkey % 13 = 0)"""
+_RENEWED = (_CHANGED, o.ENTITIES.replace("FROM part)", "FROM changed)"))
+
+
+@query(ORACLE["fts_bm25_topk"])
+def stored_fts_topk(spark, sf_dir):
+    """The full-text rows of the batch from an index in files, blocks without a result skipped."""
+    search = Search.stored(stored(spark, sf_dir), fx.queries(spark), fx.synonyms(spark), CONFIG)
+    return search.fts.withColumn("fts_rank", r6("fts_rank"))
+
+
+@query(o.chain("SELECT token, id, field, count(*)::INT AS tf, list(pos::INT ORDER BY pos) AS positions FROM tok GROUP BY 1, 2, 3", *_RENEWED, o.TEXTS))
+def stored_postings_changed(spark, sf_dir):
+    """Postings after changes, against those of an index built anew."""
+    return changed(spark, sf_dir).postings()
+
+
+@query(o.chain(f"SELECT id, field, unnest({o.trigrams('text')}) AS trigram FROM ft", *_RENEWED, o.TEXTS))
+def stored_trigrams_changed(spark, sf_dir):
+    return changed(spark, sf_dir).trigrams()
+
+
+@query(o.chain(_RESULTS, *_RENEWED, *o.EVERYTHING[1:]))
+def stored_search_changed(spark, sf_dir):
+    """The whole search on an index in files after changes."""
+    search = Search.stored(changed(spark, sf_dir), fx.queries(spark), fx.synonyms(spark), CONFIG)
+    return search.results().withColumns({"distance_km": r6("distance_km"), "score": r6("score")})
+
+
 # Resolver
 
 
