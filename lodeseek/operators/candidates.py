@@ -27,13 +27,12 @@ def expand_synonyms(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
 
     Canonicals stand in the order of their first alias, then by name.
     """
-    words = F.filter(F.split("normalized", " "), lambda t: t != "")
-    rows = queries.select("query_id", words.alias("words"))
-    named = rows.select("query_id", "words", F.posexplode(aliases_of(F.col("words"))).alias("place", "alias"))
-    found = named.join(synonyms.select("alias", "canonical"), "alias").where(~F.array_contains("words", F.col("canonical")))
-    least = found.groupBy("query_id", "canonical").agg(F.min("place").alias("place"))
-    added = least.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "canonical"))), lambda s: s["canonical"]).alias("added"))
-    joined = rows.join(added, "query_id", "left").select("query_id", F.concat("words", F.coalesce("added", F.array().cast("array<string>"))).alias("tokens"))
+    rows = queries.select("query_id", F.filter(F.split("normalized", " "), lambda t: t != "").alias("words"))
+    named = rows.select("query_id", F.posexplode(aliases_of(F.col("words"))).alias("place", "alias"))
+    found = named.join(synonyms.select("alias", "canonical"), "alias").groupBy("query_id", "canonical").agg(F.min("place").alias("place"))
+    added = found.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "canonical"))), lambda s: s["canonical"]).alias("added"))
+    new = F.array_except(F.coalesce("added", F.array().cast("array<string>")), F.col("words"))
+    joined = rows.join(added, "query_id", "left").select("query_id", F.concat("words", new).alias("tokens"))
     return queries.join(joined, "query_id")
 
 

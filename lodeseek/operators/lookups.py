@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, materialize
+from .ordered import handed_down, last_before, numbered, reaches
+
 
 def location_lookup(locations: DataFrame) -> DataFrame:
     """(name, slug) from (name_n, slug, ordinal): of equal names the last."""
@@ -31,24 +35,31 @@ def category_lookup(categories: DataFrame) -> DataFrame:
 
 
 def with_synonyms(lookup: DataFrame, synonyms: DataFrame, kinds: tuple[str, ...], locale) -> DataFrame:
-    """lookup with the aliases of synonyms (alias, canonical, category, ordinal) of the given kinds.
+    """lookup with the aliases of synonyms (alias, canonical, category, ordinal) of the given kinds. Materialized.
 
-    Rows apply in order: an alias gets the slug that its canonical has by then, so a chain resolves only forwards. The fold runs over the
-    table of synonyms, a configuration table, and those names of the lookup that it mentions.
+    Rows apply in order, of equal ordinals by alias and canonical: an alias gets the slug that its canonical has by then, so a chain resolves only forwards; a
+    row whose canonical has none by then does nothing. Each row points to the last one before it that names its canonical. Which rows do anything
+    is found first, by reaching back to a name of the lookup; then slugs are handed down along the pointers between those.
     """
     rows = synonyms.where(F.col("category").isin(*kinds)).select("ordinal", locale.normalize(F.col("alias")).alias("alias"), locale.normalize(F.col("canonical")).alias("canonical"))
-    mentioned = rows.select(F.col("canonical").alias("name")).distinct()
-    known = lookup.join(mentioned, "name", "left_semi").where("slug is not null and slug <> ''")
-    state = known.agg(F.collect_list(F.struct("name", "slug")).alias("known"))
-    listed = rows.agg(F.sort_array(F.collect_list(F.struct("ordinal", "alias", "canonical"))).alias("rows"))
-
-    def put(held: Column, row: Column) -> Column:
-        of = lambda key: F.filter(held, lambda h: h["name"] == key)
-        slug = F.get(F.transform(of(row["canonical"]), lambda h: h["slug"]), F.lit(0))
-        return F.when(slug.isNull(), held).otherwise(F.concat(F.filter(held, lambda h: h["name"] != row["alias"]), F.array(F.struct(row["alias"].alias("name"), slug.alias("slug")))))
-
-    folded = state.join(listed).select(F.explode(F.aggregate("rows", F.col("known"), put)).alias("h")).select("h.name", F.col("h.slug").alias("slug"))
-    return lookup.join(folded.select("name"), "name", "left_anti").unionByName(folded)
+    rows = numbered(rows, "ordinal", "alias", "canonical")
+    known = lookup.where("slug is not null and slug <> ''").select(F.col("name").alias("canonical"), F.col("slug").alias("root"))
+    rooted = materialize(rows.join(known, "canonical", "left").select("k", "alias", "canonical", "root"), "synonyms")
+    events = rooted.select(F.col("alias").alias("name"), "k")
+    back = last_before(rooted.select(F.col("canonical").alias("name"), "k"), events).select("k", F.col("before").alias("source"))
+    again = last_before(events, events).select("k", F.col("before").alias("earlier"))
+    edges = materialize(rooted.select("k", "root").join(back, "k").join(again, "k"), "edges")
+    to = F.array_distinct(F.array_compact(F.array("source", "earlier")))
+    defined = reaches(edges.select("k", F.when(F.col("root").isNotNull(), True).alias("yes"), to.alias("to")))
+    acts = edges.join(defined.where("yes").select(F.col("k").alias("source"), "yes"), "source", "left").where("root is not null or yes").select("k")
+    acting = materialize(rooted.join(acts, "k"), "acting")
+    up = last_before(acting.select(F.col("canonical").alias("name"), "k", "root"), acting.select(F.col("alias").alias("name"), "k"))
+    given = handed_down(up.select("k", F.when(F.col("before").isNull(), F.col("root")).alias("value"), F.col("before").alias("up")))
+    last = acting.select("k", F.col("alias").alias("name")).join(given, "k").groupBy("name").agg(F.max_by("value", "k").alias("slug"))
+    out = materialize(lookup.join(last.select("name"), "name", "left_anti").unionByName(last.select(*lookup.columns)), "lookup")
+    for table in (rows, rooted, edges, acting):
+        discard(table)
+    return out
 
 
 def area_lookup(areas: DataFrame, locale) -> DataFrame:
@@ -66,11 +77,16 @@ class Lookups:
     areas: DataFrame | None
     places: DataFrame
 
+    @property
+    def tables(self) -> list[DataFrame]:
+        return [t for t in (self.locations, self.categories, self.areas, self.places) if t is not None]
+
 
 class LookupsLoader:
     """Keeps the resolver's lookups for a time. Sources are functions that return the tables as they are then.
 
-    load() gives the lookups held, or loads them where none are held or `seconds` have passed; reload() always loads; invalidate() lets them go.
+    load() gives the lookups held, or loads them where none are held or `seconds` have passed; reload() always loads; invalidate() lets them go. Of callers
+    at the same time one loads, and those that wait get what it loaded. Lookups are computed before the former ones go.
     """
 
     def __init__(self, locations: Callable[[], DataFrame], categories: Callable[[], DataFrame], locale, synonyms: Callable[[], DataFrame] | None = None, areas: Callable[[], DataFrame] | None = None, seconds: float = 300.0, clock: Callable[[], float] = time.monotonic):
@@ -78,25 +94,38 @@ class LookupsLoader:
         self.locale, self.seconds, self.clock = locale, seconds, clock
         self._held: Lookups | None = None
         self._since = 0.0
+        self._loads = 0
+        self._one = threading.RLock()
 
     def load(self) -> Lookups:
-        if self._held is not None and self.clock() - self._since < self.seconds:
-            return self._held
-        return self.reload()
+        with self._one:
+            if self._held is not None and self.clock() - self._since < self.seconds:
+                return self._held
+            return self._load()
 
     def reload(self) -> Lookups:
+        before = self._loads
+        with self._one:
+            # A load that began after the call is as fresh as one of its own.
+            return self._held if self._loads > before + 1 and self._held is not None else self._load()
+
+    def _load(self) -> Lookups:
         places = self.locations()
         names, kinds = location_lookup(places), category_lookup(self.categories())
         if self.synonyms is not None:
             named = self.synonyms()
             names, kinds = with_synonyms(names, named, ("city", "location"), self.locale), with_synonyms(kinds, named, ("style", "category"), self.locale)
+        areas = area_lookup(self.areas(), self.locale).persist() if self.areas else None
+        held = Lookups(names.persist(), kinds.persist(), areas, places.persist())
+        for table in held.tables:
+            table.count()
         self.invalidate()
-        self._held = Lookups(names.persist(), kinds.persist(), area_lookup(self.areas(), self.locale).persist() if self.areas else None, places.persist())
-        self._since = self.clock()
-        return self._held
+        self._held, self._since = held, self.clock()
+        self._loads += 1
+        return held
 
     def invalidate(self) -> None:
-        held, self._held = self._held, None
-        for table in (held.locations, held.categories, held.areas, held.places) if held else ():
-            if table is not None:
+        with self._one:
+            held, self._held = self._held, None
+            for table in held.tables if held else ():
                 table.unpersist()

@@ -53,11 +53,23 @@ def parse_queries(queries: DataFrame, locations: DataFrame, categories: DataFram
 
 
 def match_area(queries: DataFrame, areas: DataFrame, locale) -> DataFrame:
-    """(query_id, area) from (query_id, query, location_slug): the first area of the location that stands in the query as whole words; else null."""
-    rows = queries.select("query_id", "location_slug", locale.normalize(F.col("query")).alias("q")).join(areas, "location_slug", "left")
+    """(query_id, area) from (query_id, query, location_slug): the first area of the location that stands in the query as whole words; else null.
+
+    areas: (location_slug, areas). An area is looked for where its rarest word occurs, by a join on location and word; the few areas that a query may hold are
+    verified on its whole text. query_id tells queries apart; a null location has no area.
+    """
+    rows = queries.select("query_id", "location_slug", locale.normalize(F.col("query")).alias("q"))
+    each = areas.select("location_slug", F.posexplode("areas").alias("place", "area")).where("area is not null")
+    words = each.select("*", F.explode(F.array_distinct(F.split("area", " "))).alias("word"))
+    said = rows.select("query_id", "location_slug", F.explode(F.array_distinct(F.split("q", " "))).alias("word"))
+    key = ["location_slug", "word"]
+    counts = said.join(words.select(*key).distinct(), key).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    rarity = F.struct(F.coalesce("n", F.lit(0)), F.col("word"))
+    anchors = words.join(counts, key, "left").groupBy("location_slug", "place", "area").agg(F.min_by("word", rarity).alias("word"))
+    met = said.join(anchors, key).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("place", "area"))).alias("maybe"))
     padded = F.concat(F.lit(" "), "q", F.lit(" "))
-    fits = F.filter(F.coalesce("areas", F.array().cast("array<string>")), lambda a: F.contains(padded, F.concat(F.lit(" "), a, F.lit(" "))))
-    return rows.select("query_id", F.get(fits, F.lit(0)).alias("area"))
+    fits = F.filter("maybe", lambda m: F.contains(padded, F.concat(F.lit(" "), m["area"], F.lit(" "))))
+    return rows.join(met, "query_id", "left").select("query_id", F.get(fits, F.lit(0))["area"].alias("area"))
 
 
 def _within(points: DataFrame, places: DataFrame, side: float) -> DataFrame:

@@ -12,12 +12,12 @@ from ..functions.locale import GENERIC, LOCATIVES, POLISH, polish_locative
 from ..operators import candidates, index, lookups, ranking, resolver
 from ..operators.mapping import EntityMapping, map_entities
 from ..operators.segments import StoredIndex
-from ..sources.shared import fresh_path
+from ..sources.shared import fresh_path, materialize
 from ..sources.tables import read_sf
 from ..streaming import events
 from . import fixtures as fx
 from . import oracle as o
-from .engine import Search, SearchConfig, build_indexes, persist_indexes
+from .engine import Search, SearchConfig, build_indexes, persist_indexes, routed
 
 FLAGSHIP = "search_text"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,13 +169,6 @@ def is_postcode(spark, sf_dir):
     return read_sf(spark, sf_dir, "customer").select(key.alias("id"), text.is_postcode(code).alias("is_postcode"))
 
 
-@query(o.chain("SELECT query_id, list_sort(ts) AS terms, array_to_string(list_transform(ts, lambda t: '\"' || t || '\"*'), ' OR ') AS fts_query FROM qt", o.ROUTED, o.TERMS))
-def fts_query_build(spark, sf_dir):
-    expanded = searched(spark, sf_dir).expanded
-    terms = text.fts_terms(F.col("tokens"))
-    return expanded.select("query_id", F.sort_array(terms).alias("terms"), text.fts_query(terms).alias("fts_query"))
-
-
 @query("SELECT DISTINCT p_size AS n, CASE WHEN p_size <= 3 THEN greatest(1, p_size - 1) ELSE greatest(2, ceil(p_size * 0.45)::INT) END AS overlap FROM part")
 def trigram_min_overlap(spark, sf_dir):
     return read_sf(spark, sf_dir, "part").select(F.col("p_size").alias("n")).distinct().select("n", text.min_overlap(F.col("n")).alias("overlap"))
@@ -184,15 +177,26 @@ def trigram_min_overlap(spark, sf_dir):
 # Locale
 
 
-@query(f"WITH {fx.values('q0', 'query_id, query, a, b, c, d, e, f', fx.QUERIES)} SELECT query_id, {o.has_intent(chr(99) + 'oalesce(query, ' + chr(39) * 2 + ')')} AS geo_intent, {o.without_intent('coalesce(query, ' + chr(39) * 2 + ')')} AS stripped FROM q0")
+_ASKED = "CASE doc_id % 7 WHEN 0 THEN text || ' blisko mnie' WHEN 1 THEN 'yoga near me w ' || text WHEN 2 THEN text || ' w okolicy, niedaleko' WHEN 3 THEN 'joga w studio na ' || text WHEN 4 THEN CASE doc_id % 4 WHEN 0 THEN ' ' WHEN 1 THEN 'near me' WHEN 2 THEN '' END ELSE text END"
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, query): whole documents as queries, some with words of intent or nothing at all."""
+    key, body = F.col("doc_id"), F.col("text")
+    short = F.when(key % 4 == 0, " ").when(key % 4 == 1, "near me").when(key % 4 == 2, "")
+    query = F.when(key % 7 == 0, F.concat(body, F.lit(" blisko mnie"))).when(key % 7 == 1, F.concat(F.lit("yoga near me w "), body)).when(key % 7 == 2, F.concat(body, F.lit(" w okolicy, niedaleko")))
+    return read_sf(spark, sf_dir, "documents").select("doc_id", query.when(key % 7 == 3, F.concat(F.lit("joga w studio na "), body)).when(key % 7 == 4, short).otherwise(body).alias("query"))
+
+
+@query(f"WITH q0 AS (SELECT doc_id, coalesce({_ASKED}, '') AS query FROM documents) SELECT doc_id, {o.has_intent('query')} AS geo_intent, {o.without_intent('query')} AS stripped FROM q0")
 def geo_intent(spark, sf_dir):
     q = F.coalesce("query", F.lit(""))
-    return fx.queries(spark).select("query_id", POLISH.has_geo_intent(q).alias("geo_intent"), POLISH.strip_geo_intent(q).alias("stripped"))
+    return asked(spark, sf_dir).select("doc_id", POLISH.has_geo_intent(q).alias("geo_intent"), POLISH.strip_geo_intent(q).alias("stripped"))
 
 
-@query(f"WITH {fx.values('r', 'query_id, query', fx.RAW)}, n AS (SELECT query_id, {o.normalize('query', True)} AS normalized FROM r) SELECT query_id, {o.without_stop_words('normalized')} AS bare FROM n")
+@query(f"WITH n AS (SELECT doc_id, {o.normalize(_ASKED, True)} AS normalized FROM documents) SELECT doc_id, {o.without_stop_words('normalized')} AS bare FROM n")
 def strip_stop_words(spark, sf_dir):
-    return fx.frame(spark, fx.RAW, "query_id long, query string").select("query_id", POLISH.strip_stop_words(POLISH.normalize(F.col("query"))).alias("bare"))
+    return asked(spark, sf_dir).select("doc_id", POLISH.strip_stop_words(POLISH.normalize(F.col("query"))).alias("bare"))
 
 
 _TWO = "array_to_string(list_slice(list_filter(string_split(normalized, ' '), lambda w: w <> ''), 1, 1 + (doc_id % 2)::INT), ' ')"
@@ -367,9 +371,48 @@ def trgm_similarity_scan(spark, sf_dir):
     return searched(spark, sf_dir, SearchConfig(locale=POLISH, positive_rank=True)).fuzzy.withColumn("fuzzy_score", r6("fuzzy_score"))
 
 
-@query(o.chain("SELECT query_id, tokens FROM expanded", o.ROUTED, o.TERMS))
+_DOCUMENT_QUERIES = f"""q0 AS (SELECT doc_id AS query_id, {_ASKED} AS query, CASE WHEN doc_id % 8 = 4 THEN 'brand-' || doc_id % 25 END AS location_slug, NULL AS category_slug,
+  CASE WHEN doc_id % 3 = 0 THEN 51.5 END AS lat, CASE WHEN doc_id % 3 = 0 THEN 18.2 END AS lng, 20 AS lim, 0 AS off FROM documents)"""
+_ROUTED_DOCUMENTS = _DOCUMENT_QUERIES + o.ROUTED[o.ROUTED.index(",\nq1 AS"):]
+#: Synonyms are words near the beginning of each document: the first for the third (and fourth), the first two for the fifth.
+_WORD_SYNONYMS = f"""sw AS (SELECT doc_id, list_filter(string_split({o.normalize('text', True)}, ' '), lambda w: w <> '') AS ws FROM documents),
+syn AS (SELECT DISTINCT ws[1] AS alias, ws[3] || CASE WHEN doc_id % 2 = 0 THEN '' ELSE ' ' || ws[4] END AS canonical FROM sw WHERE len(ws) > 3 UNION SELECT ws[1] || ' ' || ws[2], ws[5] FROM sw WHERE len(ws) > 4)"""
+_DOCUMENT_TERMS = (_ROUTED_DOCUMENTS, _WORD_SYNONYMS + o.TERMS[o.TERMS.index(",\nqw AS"):])
+
+
+def document_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as a batch of queries."""
+    key = F.col("doc_id")
+    point = lambda v: F.when(key % 3 == 0, F.lit(v))
+    return asked(spark, sf_dir).select(
+        key.alias("query_id"), "query", F.when(key % 8 == 4, F.concat(F.lit("brand-"), key % 25)).alias("location_slug"), F.lit(None).cast("string").alias("category_slug"),
+        point(51.5).alias("lat"), point(18.2).alias("lng"), F.lit(20).alias("limit"), F.lit(0).alias("offset"),
+    )
+
+
+def word_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.filter(F.split(POLISH.normalize(F.col("text")), " "), lambda w: w != "")
+    w = lambda i: F.get("ws", F.lit(i))
+    rows = read_sf(spark, sf_dir, "documents").select("doc_id", words.alias("ws"))
+    one = rows.where("size(ws) > 3").select(w(0).alias("alias"), F.when(F.col("doc_id") % 2 == 0, w(2)).otherwise(F.concat(w(2), F.lit(" "), w(3))).alias("canonical"))
+    two = rows.where("size(ws) > 4").select(F.concat(w(0), F.lit(" "), w(1)).alias("alias"), w(4).alias("canonical"))
+    return one.unionByName(two).distinct()
+
+
+def expanded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_queries = routed(document_queries(spark, sf_dir), CONFIG).where("route = 'text'").select("query_id", "normalized")
+    return candidates.expand_synonyms(materialize(text_queries, "queries"), word_synonyms(spark, sf_dir))
+
+
+@query(o.chain("SELECT query_id, tokens FROM expanded", *_DOCUMENT_TERMS))
 def synonym_expand(spark, sf_dir):
-    return searched(spark, sf_dir).expanded.select("query_id", "tokens")
+    return expanded_documents(spark, sf_dir).select("query_id", "tokens")
+
+
+@query(o.chain("SELECT query_id, list_sort(ts) AS terms, array_to_string(list_transform(ts, lambda t: '\"' || t || '\"*'), ' OR ') AS fts_query FROM qt", *_DOCUMENT_TERMS))
+def fts_query_build(spark, sf_dir):
+    terms = text.fts_terms(F.col("tokens"))
+    return expanded_documents(spark, sf_dir).select("query_id", F.sort_array(terms).alias("terms"), text.fts_query(terms).alias("fts_query"))
 
 
 @query(o.chain("SELECT query_id, fts_rows, run_fuzzy FROM gq", *o.UP_TO_FTS))
@@ -417,9 +460,9 @@ def search_summary(spark, sf_dir):
     return searched(spark, sf_dir).summary()
 
 
-@query(o.chain("SELECT query_id, route, geo_intent, normalized FROM q", o.ROUTED))
+@query(o.chain("SELECT query_id, route, geo_intent, normalized FROM q", _ROUTED_DOCUMENTS))
 def route_queries(spark, sf_dir):
-    return searched(spark, sf_dir).queries.select("query_id", "route", "geo_intent", "normalized")
+    return routed(document_queries(spark, sf_dir), CONFIG).select("query_id", "route", "geo_intent", "normalized")
 
 
 # Stored index
@@ -458,21 +501,51 @@ def stored_search_changed(spark, sf_dir):
 # Resolver
 
 
-def _locations(spark: SparkSession) -> DataFrame:
-    return lookups.location_lookup(fx.frame(spark, fx.LOCATIONS, "name_n string, slug string, ordinal int"))
+_WORDS = f"dw AS (SELECT doc_id, list_filter(string_split({o.normalize('text', True)}, ' '), lambda w: w <> '') AS ws FROM documents)"
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_sf(spark, sf_dir, "documents").select("doc_id", F.filter(F.split(POLISH.normalize(F.col("text")), " "), lambda w: w != "").alias("ws"))
+
+
+def _named(begin: int, n: int | Column) -> Column:
+    return F.array_join(F.slice("ws", F.lit(begin), F.lit(n) if isinstance(n, int) else n), " ")
+
+
+def _locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first word, or two, of each document is the name of a place; many documents begin alike."""
+    slug = F.when(F.col("doc_id") % 9 == 0, "").otherwise(F.concat(F.lit("place-"), "doc_id"))
+    return lookups.location_lookup(_words(spark, sf_dir).select(_named(1, (1 + F.col("doc_id") % 2).cast("int")).alias("name_n"), slug.alias("slug"), F.col("doc_id").alias("ordinal")))
 
 
-def _categories(spark: SparkSession) -> DataFrame:
-    return lookups.category_lookup(fx.frame(spark, fx.CATEGORIES, "name_n string, slug string, aliases_n string, ordinal int"))
+def _categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third and fourth word are the name of a category, the next two its aliases."""
+    aliases = F.when(F.col("doc_id") % 4 != 0, _named(5, 2))
+    return lookups.category_lookup(_words(spark, sf_dir).select(_named(3, 2).alias("name_n"), F.concat(F.lit("kind-"), "doc_id").alias("slug"), aliases.alias("aliases_n"), F.col("doc_id").alias("ordinal")))
 
 
-_LOC = fx.values("lo", "name_n, slug, ordinal", fx.LOCATIONS) + ", loc AS (SELECT name_n AS name, max_by(slug, ordinal) AS slug FROM lo GROUP BY 1)"
-_CAT = fx.values("ca", "name_n, slug, aliases_n, ordinal", fx.CATEGORIES) + """,
-cn AS (SELECT name_n AS name, slug, ordinal * 10 AS p FROM ca UNION ALL SELECT unnest(list_filter(string_split(coalesce(aliases_n, ''), ' '), lambda t: t <> '')), slug, ordinal * 10 + 1 FROM ca),
+_LOC = _WORDS + """,
+lo AS (SELECT array_to_string(list_slice(ws, 1, 1 + (doc_id % 2)::INT), ' ') AS name_n, CASE WHEN doc_id % 9 = 0 THEN '' ELSE 'place-' || doc_id END AS slug, doc_id AS ordinal FROM dw),
+loc AS (SELECT name_n AS name, max_by(slug, ordinal) AS slug FROM lo GROUP BY 1)"""
+_CAT = """ca AS (SELECT array_to_string(list_slice(ws, 3, 4), ' ') AS name_n, 'kind-' || doc_id AS slug, CASE WHEN doc_id % 4 <> 0 THEN array_to_string(list_slice(ws, 5, 6), ' ') END AS aliases_n, doc_id AS ordinal FROM dw),
+cn AS (SELECT name_n AS name, slug, ordinal * 10 AS p FROM ca UNION ALL SELECT unnest(al), slug, ordinal * 10 + unnest(range(1, len(al) + 1)) FROM (SELECT *, list_filter(string_split(coalesce(aliases_n, ''), ' '), lambda t: t <> '') AS al FROM ca)),
 cd AS (SELECT unnest(list_filter(string_split(name_n, ' '), lambda t: length(t) > 2)) AS name, slug, ordinal FROM ca),
 cat AS (SELECT name, max_by(slug, p) AS slug FROM cn GROUP BY 1 UNION ALL SELECT name, min_by(slug, ordinal) FROM cd WHERE name NOT IN (SELECT name FROM cn) GROUP BY 1)"""
+_RAW = """r AS (SELECT conv_id * 1000 + turn AS query_id, CASE WHEN conv_id % 29 = 3 THEN NULL ELSE CASE (conv_id + turn) % 5 WHEN 0 THEN text || ' blisko mnie' WHEN 1 THEN text || ' 30-' || lpad((conv_id % 1000)::VARCHAR, 3, '0') || ' w studio'
+  WHEN 2 THEN 'joga w ' || text ELSE text END END AS query FROM conversations)"""
+
+
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, query): whole turns of conversations, some with words of intent, a postcode or stop words."""
+    conv, body = F.col("conv_id"), F.col("text")
+    kind = (conv + F.col("turn")) % 5
+    code = F.concat(body, F.lit(" 30-"), F.lpad((conv % 1000).cast("string"), 3, "0"), F.lit(" w studio"))
+    query = F.when(kind == 0, F.concat(body, F.lit(" blisko mnie"))).when(kind == 1, code).when(kind == 2, F.concat(F.lit("joga w "), body)).otherwise(body)
+    return read_sf(spark, sf_dir, "conversations").select((conv * 1000 + F.col("turn")).alias("query_id"), F.when(conv % 29 != 3, query).alias("query"))
+
+
 _STEMS = o.stems('t')
-_PARSED = f"""{fx.values('r', 'query_id, query', fx.RAW)},
+_PARSED = f"""{_RAW},
 p0 AS (SELECT query_id, query, {o.normalize('query', True)} AS normalized FROM r),
 p1 AS (SELECT *, {o.without_stop_words('normalized')} AS bare FROM p0),
 p2 AS (SELECT *, bare <> '' AND {o.has_intent("coalesce(query, '')")} AS geo_intent FROM p1),
@@ -486,58 +559,87 @@ pc AS (SELECT query_id, t || ' ' || tokens[i + 1] AS name, t || ' ' || tokens[i
 _MATCH = "SELECT query_id, min_by(matched, p) AS matched, min_by(slug, p) AS slug FROM pc JOIN {} USING (name) WHERE slug <> '' GROUP BY 1"
 
 
-def _tokens(spark: SparkSession) -> DataFrame:
-    return fx.frame(spark, fx.RAW, "query_id long, query string").select("query_id", F.filter(F.split(POLISH.strip_stop_words(POLISH.normalize(F.col("query"))), " "), lambda t: t != "").alias("tokens"))
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = F.filter(F.split(POLISH.strip_stop_words(POLISH.normalize(F.col("query"))), " "), lambda t: t != "")
+    return _raw(spark, sf_dir).select("query_id", parsed.alias("tokens"))
+
 
+_BARE = _PARSED[: _PARSED.index("p2 AS")] + _PARSED[_PARSED.index("pt AS"):].replace("working", "bare").replace("FROM p5", "FROM p1")
 
-@query(o.chain(_MATCH.format("loc"), _LOC, _PARSED))
+
+@query(o.chain(_MATCH.format("loc"), _LOC, _BARE))
 def resolve_location(spark, sf_dir):
-    return resolver.match_tokens(_tokens(spark), _locations(spark), POLISH)
+    return resolver.match_tokens(_tokens(spark, sf_dir), _locations(spark, sf_dir), POLISH)
 
 
-@query(o.chain(_MATCH.format("cat"), _CAT, _PARSED))
+@query(o.chain(_MATCH.format("cat"), _WORDS, _CAT, _BARE))
 def resolve_category(spark, sf_dir):
-    return resolver.match_tokens(_tokens(spark), _categories(spark), POLISH)
+    return resolver.match_tokens(_tokens(spark, sf_dir), _categories(spark, sf_dir), POLISH)
 
 
 @query(o.chain("SELECT query_id, normalized, working, geo_intent, postal, l.matched AS location_matched, l.slug AS location, c.matched AS category_matched, c.slug AS category, list_filter(tokens, lambda t: t IS DISTINCT FROM l.matched AND t IS DISTINCT FROM c.matched) AS rest FROM pt LEFT JOIN ml l USING (query_id) LEFT JOIN mc c USING (query_id)", _LOC, _CAT, _PARSED, f"ml AS ({_MATCH.format('loc')})", f"mc AS ({_MATCH.format('cat')})"))
 def parse_query(spark, sf_dir):
-    rows = fx.frame(spark, fx.RAW, "query_id long, query string")
-    parsed = resolver.parse_queries(rows, _locations(spark), _categories(spark), POLISH)
+    parsed = resolver.parse_queries(_raw(spark, sf_dir), _locations(spark, sf_dir), _categories(spark, sf_dir), POLISH)
     return parsed.select("query_id", "normalized", "working", "geo_intent", "postal", F.col("location.matched").alias("location_matched"), F.col("location.slug").alias("location"), F.col("category.matched").alias("category_matched"), F.col("category.slug").alias("category"), "rest")
 
 
-def _areas(spark: SparkSession) -> DataFrame:
-    return lookups.area_lookup(fx.frame(spark, fx.AREAS, "location_slug string, areas_json string"), POLISH)
+def _areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas of a hundred places: words of the turns of conversations, one or two for each, as JSON; some places have none, an empty or a broken list."""
+    words = F.filter(F.split(POLISH.normalize(F.col("text")), " "), lambda w: w != "")
+    turns = read_sf(spark, sf_dir, "conversations").select("conv_id", "turn", words.alias("ws")).withColumn("name", _named(4, (1 + F.col("turn") % 2).cast("int")))
+    listed = turns.groupBy((F.col("conv_id") % 100).alias("place")).agg(F.sort_array(F.collect_list(F.struct("conv_id", "turn", "name"))).alias("all"))
+    json = F.to_json(F.transform("all", lambda a: a["name"]))
+    odd = F.when(F.col("place") % 20 == 3, F.lit(None)).when(F.col("place") % 20 == 4, "").when(F.col("place") % 20 == 5, '["broken').otherwise(json)
+    return lookups.area_lookup(listed.select(F.concat(F.lit("place-"), "place").alias("location_slug"), odd.alias("areas_json")), POLISH)
 
 
-_AREAS = fx.values("ar", "location_slug, areas_json", fx.AREAS) + f", al AS (SELECT location_slug, list_transform(coalesce(from_json(nullif(areas_json, ''), '[\"VARCHAR\"]'), []::VARCHAR[]), lambda a: {o.normalize('a', True)}) AS areas FROM ar)"
+_AREAS = f"""tw AS (SELECT conv_id, turn, list_filter(string_split({o.normalize('text', True)}, ' '), lambda w: w <> '') AS ws FROM conversations),
+al AS (SELECT 'place-' || conv_id % 100 AS location_slug, CASE WHEN conv_id % 100 % 20 IN (3, 4, 5) THEN [] ELSE list(array_to_string(list_slice(ws, 4, 4 + turn % 2), ' ') ORDER BY conv_id, turn) END AS areas FROM tw GROUP BY conv_id % 100)"""
 
 
-@query(o.chain(f"SELECT query_id, list_filter(coalesce(areas, []::VARCHAR[]), lambda a: contains(' ' || {o.normalize('query', True)} || ' ', ' ' || a || ' '))[1] AS area FROM aq LEFT JOIN al USING (location_slug)", _AREAS, fx.values("aq", "query_id, query, location_slug", fx.AREA_QUERIES)))
+@query(o.chain(f"""SELECT query_id, list_filter(coalesce(areas, []::VARCHAR[]), lambda a: contains(' ' || q || ' ', ' ' || a || ' '))[1] AS area
+  FROM (SELECT doc_id AS query_id, {o.normalize('text', True)} AS q, 'place-' || doc_id % 107 AS location_slug FROM documents) LEFT JOIN al USING (location_slug)""", _AREAS))
 def match_area(spark, sf_dir):
-    return resolver.match_area(fx.frame(spark, fx.AREA_QUERIES, "query_id long, query string, location_slug string"), _areas(spark), POLISH)
+    """Documents as texts, each of one of the places."""
+    texts = read_sf(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"), F.concat(F.lit("place-"), F.col("doc_id") % 107).alias("location_slug"))
+    return resolver.match_area(texts, _areas(spark, sf_dir), POLISH)
 
 
 @query(o.chain("SELECT * FROM al", _AREAS))
 def lookups_areas(spark, sf_dir):
-    return _areas(spark)
+    return _areas(spark, sf_dir)
 
 
 @query(o.chain("SELECT * FROM loc", _LOC))
 def lookups_locations(spark, sf_dir):
-    return _locations(spark)
+    return _locations(spark, sf_dir)
 
 
-@query(o.chain("SELECT * FROM cat", _CAT))
+@query(o.chain("SELECT * FROM cat", _WORDS, _CAT))
 def lookups_categories(spark, sf_dir):
-    return _categories(spark)
+    return _categories(spark, sf_dir)
+
+
+_SYNONYM_ROWS = """SELECT l_orderkey * 8 + l_linenumber AS k, CASE WHEN l_linenumber % 8 = 7 THEN 's' || l_suppkey ELSE 'p' || l_partkey END AS alias,
+  CASE WHEN (l_orderkey + l_linenumber) % 4 = 0 THEN 's' || l_suppkey * 3 ELSE 'p' || (l_partkey * 7 + l_linenumber * 13) % 1999 END AS canonical, CASE WHEN l_linenumber = 5 THEN 'style' ELSE 'city' END AS category FROM lineitem"""
 
 
-@query(o.chain("SELECT unnest(map_keys(m)) AS name, unnest(map_values(m)) AS slug FROM st WHERE n = (SELECT max(n) FROM st)", _LOC, fx.values("ps", "alias, canonical, category, ordinal", fx.PLACE_SYNONYMS), f"""pn AS (SELECT {o.normalize('alias', True)} AS a, {o.normalize('canonical', True)} AS c, row_number() OVER (ORDER BY ordinal) AS k FROM ps WHERE category IN ('city', 'location')),
-st(n, m) AS (SELECT 0::BIGINT, map_from_entries(list((name, slug))) FROM loc UNION ALL SELECT n + 1, CASE WHEN coalesce(m[c], '') <> '' THEN map_concat(m, MAP {{a: m[c]}}) ELSE m END FROM st JOIN pn ON k = n + 1)""", recursive=True))
+@query(o.chain("""SELECT name, slug FROM final UNION ALL SELECT name, slug FROM base WHERE name NOT IN (SELECT name FROM final)""", f"""rows0 AS ({_SYNONYM_ROWS}),
+rs AS MATERIALIZED (SELECT row_number() OVER (ORDER BY k, alias, canonical) AS k, alias, canonical FROM rows0 WHERE category = 'city'),
+base AS (SELECT 's' || s_suppkey AS name, 'supplier-' || s_suppkey AS slug FROM supplier),
+acts(k, alias) AS (SELECT k, alias FROM rs WHERE canonical IN (SELECT name FROM base) UNION SELECT rs.k, rs.alias FROM acts JOIN rs ON rs.canonical = acts.alias AND rs.k > acts.k),
+ef AS MATERIALIZED (SELECT DISTINCT rs.* FROM rs JOIN acts USING (k)),
+up AS MATERIALIZED (SELECT e.k, e.alias, e.canonical, a.k AS above FROM ef e ASOF LEFT JOIN ef a ON e.canonical = a.alias AND e.k > a.k),
+down(k, slug) AS (SELECT up.k, base.slug FROM up JOIN base ON base.name = up.canonical WHERE above IS NULL UNION ALL SELECT up.k, down.slug FROM down JOIN up ON up.above = down.k),
+final AS (SELECT alias AS name, max_by(slug, k) AS slug FROM down JOIN up USING (k) GROUP BY 1)""", recursive=True))
 def lookups_synonyms(spark, sf_dir):
-    return lookups.with_synonyms(_locations(spark), fx.frame(spark, fx.PLACE_SYNONYMS, "alias string, canonical string, category string, ordinal int"), ("city", "location"), POLISH)
+    """Suppliers as places, and a synonym for each line of the orders, in their order."""
+    line, order, part, supplier = F.col("l_linenumber"), F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
+    alias = F.when(line % 8 == 7, F.concat(F.lit("s"), supplier)).otherwise(F.concat(F.lit("p"), part))
+    canonical = F.when((order + line) % 4 == 0, F.concat(F.lit("s"), supplier * 3)).otherwise(F.concat(F.lit("p"), (part * 7 + line * 13) % 1999))
+    rows = read_sf(spark, sf_dir, "lineitem").select((order * 8 + line).alias("ordinal"), alias.alias("alias"), canonical.alias("canonical"), F.when(line == 5, "style").otherwise("city").alias("category"))
+    places = read_sf(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("name"), F.concat(F.lit("supplier-"), "s_suppkey").alias("slug"))
+    return lookups.with_synonyms(places, rows, ("city", "location"), POLISH)
 
 
 # Events (an extension)
