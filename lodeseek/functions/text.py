@@ -31,24 +31,59 @@ def _without_marks(c: str) -> str:
 def folding(ascii_only: bool) -> tuple[str, str]:
     """Characters that lose their marks without changing in number, and what they become."""
     pairs = []
-    for code in (*range(0x80, 0xD800), *range(0xE000, min(0x30000, sys.maxunicode))):
+    for code in (*range(0x80, 0xD800), *range(0xE000, sys.maxunicode + 1)):
         plain = _without_marks(c := chr(code))
         if len(plain) == 1 and plain != c and (not ascii_only or plain < "\x80"):
             pairs.append((c, plain))
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+#: Fixed values of the syllables of Hangul: the first one, and the numbers of vowels and of ends.
+HANGUL, VOWELS, ENDS = 0xAC00, 21, 28
+#: The letters that they are made of, in their order: beginnings, vowels, ends.
+LEADS, MIDDLES, TAILS = ("".join(map(chr, range(first, first + n))) for first, n in ((0x1100, 19), (0x1161, VOWELS), (0x11A8, ENDS - 1)))
+
+
+@lru_cache(1)
+def expanding() -> dict[str, str]:
+    """Characters that become none or several when decomposed, Hangul's syllables and the marks themselves aside, and what they become without marks."""
+    codes = (c for c in (*range(0x80, 0xD800), *range(0xE000, sys.maxunicode + 1)) if not HANGUL <= c < HANGUL + len(LEADS) * VOWELS * ENDS and not 0x300 <= c <= 0x36F)
+    plain = ((chr(c), _without_marks(chr(c))) for c in codes)
+    return {c: to for c, to in plain if to != c and len(to) != 1}
+
+
+def _expanded(c: Column) -> Column:
+    """One character as it is decomposed: a syllable of Hangul by arithmetic, others by the table."""
+    at = F.ascii(c) - HANGUL
+    letter = lambda letters, i: F.substr(F.lit(letters), (i + 1).cast("int"), F.lit(1))
+    tail = at % ENDS
+    syllable = F.concat(letter(LEADS, F.floor(at / (VOWELS * ENDS))), letter(MIDDLES, F.floor(at % (VOWELS * ENDS) / ENDS)), F.when(tail > 0, letter(TAILS, tail - 1)).otherwise(""))
+    table = F.create_map(*[F.lit(x) for pair in expanding().items() for x in pair])
+    return F.when((at >= 0) & (at < len(LEADS) * VOWELS * ENDS), syllable).otherwise(F.coalesce(F.element_at(table, c), c))
+
+
 def strip_diacritics(text: Column, extra: dict[str, str] | None = None) -> Column:
-    """Marks removed after canonical decomposition; characters that decompose into several others stay whole (see strip_diacritics_exact)."""
+    """Marks removed after canonical decomposition, of every character as the Unicode tables have it.
+
+    Characters that become one are translated; only texts that hold one of the few that become several (Hangul's syllables among them) are taken apart
+    character by character. Marks outside U+0300 to U+036F stay, in the order that they had.
+    """
     source, target = folding(False)
     extra = extra or {}
-    return F.regexp_replace(F.translate(text, "".join(extra) + source, "".join(extra.values()) + target), MARKS, "")
+    held = "[" + "".join(map(_escaped, expanding())) + f"\\x{{{HANGUL:X}}}-\\x{{{HANGUL + len(LEADS) * VOWELS * ENDS - 1:X}}}]"
+    plain = F.translate(text, "".join(extra) + source, "".join(extra.values()) + target)
+    whole = F.when(plain.rlike(held), F.array_join(F.transform(F.split(plain, ""), _expanded), "")).otherwise(plain)
+    return F.regexp_replace(whole, MARKS, "")
+
+
+def _escaped(c: str) -> str:
+    return f"\\x{{{ord(c):X}}}"
 
 
 @F.pandas_udf(StringType())
 def strip_diacritics_exact(text: pd.Series) -> pd.Series:
-    """The same with full decomposition, also of Hangul and other characters that become several."""
-    return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFD", t) if not "̀" <= c <= "ͯ"))
+    """The same in Python, and marks that stay in canonical order too."""
+    return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFD", t) if not "\u0300" <= c <= "\u036f"))
 
 
 def normalize(text: Column, extra: dict[str, str] | None = None) -> Column:

@@ -91,3 +91,36 @@ def null_vectors(entities: DataFrame, vector: str) -> DataFrame:
     """One row as in sync_report for a vector column kept in the entity table itself: rows whose vector is null are missing."""
     missing = F.count(F.when(F.col(vector).isNull(), 1))
     return entities.agg(F.count(F.lit(1)).alias("in_entities"), (F.count(F.lit(1)) - missing).alias("in_index"), missing.alias("missing_from_index"), F.lit(0).cast("long").alias("orphaned_in_index"))
+
+
+#: What a drift report compares: all that is indexed of an entity.
+CONTENT = ("name_n", "categories_n", "location_n")
+
+
+def fingerprints(rows: DataFrame, columns: tuple[str, ...] = CONTENT) -> DataFrame:
+    """(id, h): 64 bits of each row's id and content; nulls differ from empty texts."""
+    return rows.select("id", F.xxhash64("id", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in columns]).alias("h"))
+
+
+def bucket_sums(prints: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, n, total, mixed): number, sum and exclusive or of the fingerprints of each bucket of ids. Worth keeping beside an index."""
+    bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("bucket")
+    return prints.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("total"), F.bit_xor("h").alias("mixed"))
+
+
+def drift(entities: DataFrame, indexed: DataFrame, columns: tuple[str, ...] = CONTENT, buckets: int = 65_536, sums: DataFrame | None = None) -> DataFrame:
+    """(id, state) of ids whose content in the index isn't that of the entities: missing from the index, orphaned in it, or stale.
+
+    Both sides have one row for each id. Buckets of ids are compared by the sums of their fingerprints first (sums: those kept of the index); only rows of
+    buckets that differ are compared by id. Rows alike in 64 bits of hash count as equal.
+    """
+    mine, theirs = fingerprints(entities, columns), fingerprints(indexed, columns)
+    sums = bucket_sums(theirs, buckets) if sums is None else sums
+    both = bucket_sums(mine, buckets).alias("e").join(sums.alias("i"), F.col("e.bucket") == F.col("i.bucket"), "full")
+    equal = F.col("e.n").eqNullSafe(F.col("i.n")) & F.col("e.total").eqNullSafe(F.col("i.total")) & F.col("e.mixed").eqNullSafe(F.col("i.mixed"))
+    unequal = both.where(~equal).select(F.coalesce("e.bucket", "i.bucket").alias("bucket"))
+    inside = lambda prints: prints.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets))).join(unequal, "bucket", "left_semi")
+    marks = inside(mine).select("id", F.col("h").alias("e"), F.lit(None).cast("long").alias("i")).unionByName(inside(theirs).select("id", F.lit(None).cast("long").alias("e"), F.col("h").alias("i")))
+    met = marks.groupBy("id").agg(F.max("e").alias("e"), F.max("i").alias("i"))
+    state = F.when(F.col("i").isNull(), "missing").when(F.col("e").isNull(), "orphaned").when(F.col("e") != F.col("i"), "stale")
+    return met.select("id", state.alias("state")).where("state is not null")

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_KM, haversine_km
+from ..sources.shared import discard, materialize
 
 _EDGE0, _EDGE1 = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 POSTAL = rf"{_EDGE0}(\d{{2}})-?(\d{{3}}){_EDGE1}"
 
 #: Sides of cells in degrees, divisors of 360, small ones first.
 CELLS = (0.125, 1.0, 8.0)
+#: Fineness of the cubes around the globe, step by step; cubes with no more spots than FEW aren't divided. Distances that differ by less than SLACK may be equal.
+LEVELS, FEW, SLACK = (2, 4, 6, 8, 10, 12, 14, 16, 18, 20), 32, 1e-9
 
 
 def match_tokens(queries: DataFrame, lookup: DataFrame, locale) -> DataFrame:
@@ -89,12 +92,94 @@ def _within(points: DataFrame, places: DataFrame, side: float) -> DataFrame:
     return best.where(F.col("b.d") < F.col("bound") * (1 - 1e-9)).select("query_id", "b")
 
 
+def _unit(lat: Column, lng: Column) -> list[Column]:
+    """The point of the unit sphere at a latitude and longitude."""
+    return [F.cos(F.radians(lat)) * F.cos(F.radians(lng)), F.cos(F.radians(lat)) * F.sin(F.radians(lng)), F.sin(F.radians(lat))]
+
+
+def _cube(axes: list[Column], level: int) -> Column:
+    """The number of the cube that holds a point, of 2^level along each axis."""
+    n = 1 << level
+    along = [F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((a + 1) / 2 * n))) for a in axes]
+    return (along[0] * n + along[1]) * n + along[2]
+
+
+def _key(slug: Column) -> Column:
+    """A slug or its absence as a text."""
+    return F.coalesce(F.concat(F.lit("="), slug), F.lit(""))
+
+
+def _spots(places: DataFrame) -> DataFrame:
+    """(lat, lng, one, two, x, y, z): of the places at one spot the first, and the first of another slug for points that exclude that one."""
+    place = F.struct("ordinal", "slug", "name", "count")
+    one = places.groupBy("lat", "lng").agg(F.min(place).alias("one"))
+    rest = places.join(one, ["lat", "lng"]).where(~F.col("slug").eqNullSafe(F.col("one.slug")))
+    two = rest.groupBy("lat", "lng").agg(F.min(place).alias("two"))
+    axes = _unit(F.col("lat"), F.col("lng"))
+    return one.join(two, ["lat", "lng"], "left").select("lat", "lng", "one", "two", *[a.alias(n) for a, n in zip(axes, "xyz", strict=True)])
+
+
+def _bounds(level: int) -> tuple[Column, Column]:
+    """The least and the greatest straight distance of a point (p_x, p_y, p_z) from a cube."""
+    side = 2.0 / (1 << level)
+    near = far = F.lit(0.0)
+    for i, axis in enumerate("xyz"):
+        low = F.shiftright("cube", (2 - i) * level).bitwiseAND((1 << level) - 1) * side - 1.0
+        before, behind = low - F.col(f"p_{axis}"), F.col(f"p_{axis}") - (low + side)
+        near = near + F.pow(F.greatest(before, behind, F.lit(0.0)), 2)
+        far = far + F.pow(F.greatest(F.abs(before), F.abs(behind)), 2)
+    return F.sqrt(near), F.sqrt(far)
+
+
+def _settled_by_cubes(points: DataFrame, places: DataFrame) -> DataFrame:
+    """(query_id, b): the best place of each point, wherever both are, by branch and bound over cubes around the sphere. Materialized.
+
+    Cubes of growing fineness hold at least one spot; those of few spots aren't divided. A point begins with the whole sphere. In each step its cubes are
+    replaced by those within them, and cubes stay whose nearest point isn't farther off than the farthest one of some cube with a place that counts. Distances are
+    straight ones, which order places as those on the sphere do, so no pole and no date line is special. Steps are joins on the numbers of cubes.
+    """
+    spots = materialize(_spots(places).withColumn("inside", F.lit(0).cast("long")), "spots")
+    own = ["query_id", "p_lat", "p_lng", "exclude_slug", "p_x", "p_y", "p_z"]
+    at = points.select("query_id", "p_lat", "p_lng", "exclude_slug", *[a.alias(f"p_{n}") for a, n in zip(_unit(F.col("p_lat"), F.col("p_lng")), "xyz", strict=True)], F.lit(0).cast("long").alias("inside"))
+    written, found, open_ = [spots], None, spots
+    for level in LEVELS:
+        held = open_.withColumn("cube", _cube([F.col(n) for n in "xyz"], level))
+        first, second = _key(F.col("one.slug")), F.when(F.col("two").isNotNull(), _key(F.col("two.slug")))
+        cubes = held.groupBy("inside", "cube").agg(F.count(F.lit(1)).alias("n"), F.min(F.least(first, second)).alias("low"), F.max(F.greatest(first, second)).alias("high"))
+        excluded = _key(F.col("exclude_slug"))
+        near, far = _bounds(level)
+        met = at.join(cubes, "inside").where((F.col("low") != excluded) | (F.col("high") != excluded)).withColumns({"near": near, "far": far})
+        kept = met.withColumn("least", F.min("far").over(Window.partitionBy("query_id"))).where(F.col("near") <= F.col("least") + SLACK)
+        kept = materialize(kept.select(*own, F.col("cube").alias("inside"), (F.col("n") > (FEW if level < LEVELS[-1] else float("inf"))).alias("divided")), "cubes")
+        within = held.drop("inside").withColumnRenamed("cube", "inside")
+        leaves = materialize(_best_spots(kept.where("not divided"), within), "leaves")
+        found = leaves if found is None else found.unionByName(leaves)
+        written += [kept, leaves]
+        at = kept.where("divided").select(*own, "inside")
+        if at.isEmpty():
+            break
+        open_ = materialize(within.join(at.select("inside").distinct(), "inside", "left_semi"), "spots")
+        written.append(open_)
+    best = materialize(found.groupBy("query_id").agg(F.min("b").alias("b")), "nearest")
+    for table in written:
+        discard(table)
+    return best
+
+
+def _best_spots(pairs: DataFrame, spots: DataFrame) -> DataFrame:
+    """(query_id, b): the best place of each point among the spots of its cubes."""
+    met = pairs.join(spots.select("inside", "lat", "lng", "one", "two"), "inside")
+    place = F.when(F.col("one.slug").eqNullSafe(F.col("exclude_slug")), F.col("two")).otherwise(F.col("one"))
+    rows = met.withColumns({"place": place, "d": haversine_km(F.col("p_lat"), F.col("p_lng"), F.col("lat"), F.col("lng"))}).where("place is not null")
+    return rows.groupBy("query_id").agg(F.min(F.struct("d", F.col("place.ordinal").alias("o"), "place.slug", "place.name", "place.count")).alias("b"))
+
+
 def nearest_location(points: DataFrame, stats: DataFrame, sides: tuple[float, ...] = CELLS) -> DataFrame:
     """(query_id, slug, name, distance_km, count) from (query_id, lat, lng, exclude_slug): the nearest location with entities, of equals the first by ordinal.
 
-    stats is a table of places (slug, name, lat, lng, count, ordinal); latitudes beyond 90 degrees are no places. Points meet places by cells, small ones first;
-    larger ones serve the points whose nearest place isn't settled by then. Points far from all places, and they alone, scan all places, kept in one
-    array. A point that is null or no number has no place: all but its id is null. query_id tells points apart.
+    stats is a table of places (slug, name, lat, lng, count, ordinal); latitudes beyond 90 degrees are no places. Points meet places by cells of latitude and
+    longitude, small ones first; those far from all places are settled by cubes around the globe. A point that is null or no number, and one
+    without any place, has none: all but its id is null. query_id tells points apart.
     """
     places = stats.where("count > 0 and abs(lat) <= 90 and lng is not null and not isnan(lng)").select("ordinal", "slug", "name", "lat", "lng", "count")
     rows = points.select("query_id", F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"), "exclude_slug")
@@ -104,12 +189,9 @@ def nearest_location(points: DataFrame, stats: DataFrame, sides: tuple[float, ..
         settled = _within(open_, places, side)
         open_ = open_.join(settled.select("query_id"), "query_id", "left_anti")
         found = settled if found is None else found.unionByName(settled)
-    listed = places.agg(F.collect_list(F.struct("ordinal", "slug", "name", "lat", "lng", "count")).alias("places"))
-    away = F.transform(
-        F.filter("places", lambda p: ~p["slug"].eqNullSafe(F.col("exclude_slug"))),
-        lambda p: F.struct(haversine_km(F.col("p_lat"), F.col("p_lng"), p["lat"], p["lng"]).alias("d"), p["ordinal"].alias("o"), p["slug"].alias("slug"), p["name"].alias("name"), p["count"].alias("count")),
-    )
-    far = open_.join(listed).select("query_id", F.array_min(away).alias("b"))
-    none = rows.where(~F.coalesce(known, F.lit(False))).select("query_id", F.lit(None).cast(far.schema["b"].dataType).alias("b"))
-    best = (far if found is None else found.unionByName(far)).unionByName(none)
+    open_ = materialize(open_, "far-points")
+    if not open_.isEmpty():
+        far = _settled_by_cubes(open_, places)
+        found = far if found is None else found.unionByName(far)
+    best = rows.select("query_id").join(found, "query_id", "left")
     return best.select("query_id", "b.slug", "b.name", F.floor(F.col("b.d") + 0.5).cast("long").alias("distance_km"), "b.count")

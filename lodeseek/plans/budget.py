@@ -13,6 +13,16 @@ from pyspark.sql import SparkSession
 FULL_TEXT, FUZZY = 5.0, 3.0
 
 
+#: Seconds between two cancellations of what runs on beyond its budget, which may be between two jobs at the first.
+AGAIN = 0.05
+
+
+def _cancel_until(spark: SparkSession, tag: str, done: threading.Event) -> None:
+    while not done.is_set():
+        spark.sparkContext.cancelJobsWithTag(tag)
+        done.wait(AGAIN)
+
+
 def within[T](spark: SparkSession, seconds: float, run: Callable[[], T], otherwise: T | None = None) -> T | None:
     """run(), or `otherwise` if it takes more than `seconds`; its jobs are cancelled then, and no others. Its errors are raised."""
     tag, done, out = f"budget-{uuid.uuid4().hex}", threading.Event(), {}
@@ -29,7 +39,7 @@ def within[T](spark: SparkSession, seconds: float, run: Callable[[], T], otherwi
 
     InheritableThread(target=tagged, daemon=True).start()
     if not done.wait(seconds):
-        spark.sparkContext.cancelJobsWithTag(tag)
+        threading.Thread(target=_cancel_until, args=(spark, tag, done), daemon=True).start()
         return otherwise
     if "error" in out:
         raise out["error"]

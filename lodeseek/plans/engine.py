@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -15,6 +16,8 @@ from ..operators import candidates, ranking
 from ..operators.blockmax import BlockMaxSearch
 from ..operators.index import TextIndex, entity_trigrams, padded_index, text_index, trigram_counts, trigram_index
 from ..operators.segments import StoredIndex
+from ..sources.shared import discard, materialize
+from .budget import within
 
 QUERY_SCHEMA = "query_id long, query string, location_slug string, category_slug string, lat double, lng double, limit int, offset int"
 SYNONYM_SCHEMA = "alias string, canonical string, category string, ordinal int"
@@ -32,6 +35,9 @@ class SearchConfig:
     least_fuzzy: int = MIN_SEARCH_TOKEN_LENGTH
     #: Ranks that grow with relevance, and similarity of whole fields for the fuzzy branch.
     positive_rank: bool = False
+    #: Seconds that the full-text and the fuzzy branch of a batch may take; a branch that takes longer is cancelled and gives no rows. None: no bound.
+    fts_seconds: float | None = None
+    fuzzy_seconds: float | None = None
 
 
 @dataclass
@@ -94,14 +100,22 @@ def routed(queries: DataFrame, config: SearchConfig) -> DataFrame:
 class Search:
     """The stages of a batch, each a DataFrame; only what is asked for is computed.
 
-    The routed queries, their terms and hits, and the full-text rows (3 x limit for each query at most) are read by several stages and
-    persisted; close() frees them. Indexes are best built once, persisted or written, and handed in. stored() searches an index in files.
+    What several stages read is written as a table at first use, which keeps plans short and outlives lost executors: the routed queries, their terms and
+    hits, and the rows of the full-text and the fuzzy branch (3 and 2 x limit for each query at most). close() deletes the tables. Indexes are best built once,
+    persisted or written, and handed in. stored() searches an index in files.
     """
 
     def __init__(self, entities: DataFrame, queries: DataFrame, synonyms: DataFrame, config: SearchConfig = SearchConfig(), indexes: Indexes | None = None):
         self.entities, self.config, self.synonyms = entities, config, synonyms
         self.indexes = indexes or build_indexes(entities)
-        self.queries = routed(queries, config).persist()
+        #: Branches that went beyond their budgets.
+        self.timed_out: list[str] = []
+        self._written: list[DataFrame] = []
+        self.queries = self._kept(routed(queries, config), "queries")
+
+    def _kept(self, df: DataFrame, name: str) -> DataFrame:
+        self._written.append(materialize(df, f"search-{name}"))
+        return self._written[-1]
 
     @classmethod
     def stored(cls, index: StoredIndex, queries: DataFrame, synonyms: DataFrame, config: SearchConfig = SearchConfig()) -> Search:
@@ -122,11 +136,11 @@ class Search:
 
     @cached_property
     def terms(self) -> DataFrame:
-        return candidates.query_terms(self.expanded, self.config.max_terms).persist()
+        return self._kept(candidates.query_terms(self.expanded, self.config.max_terms), "terms")
 
     @cached_property
     def hits(self) -> DataFrame:
-        return candidates.term_hits(self.terms, self.indexes.text).persist()
+        return self._kept(candidates.term_hits(self.terms, self.indexes.text), "hits")
 
     @cached_property
     def ranked(self) -> DataFrame:
@@ -138,12 +152,28 @@ class Search:
     def blocks(self) -> BlockMaxSearch:
         return BlockMaxSearch(self.terms, self.indexes.stored, self.text, self.config.locale)
 
+    def _in_time(self, name: str, seconds: float | None, build: Callable[[], DataFrame], schema: str) -> DataFrame:
+        """A branch's rows, written; none, if its budget is over first."""
+        if seconds is None:
+            return self._kept(build(), name)
+        spark = self.queries.sparkSession
+        done = within(spark, seconds, lambda: materialize(build(), f"search-{name}"))
+        if done is None:
+            self.timed_out.append(name)
+            return spark.createDataFrame([], schema)
+        self._written.append(done)
+        return done
+
     @cached_property
     def fts(self) -> DataFrame:
+        id_type = self.entities.schema["id"].dataType.simpleString()
+        return self._in_time("fts", self.config.fts_seconds, self._fts, f"query_id long, id {id_type}, fts_rank double, pos int")
+
+    def _fts(self) -> DataFrame:
         if self.indexes.stored is not None and not self.config.positive_rank:
-            return self.blocks.top.persist()
+            return self.blocks.top
         top = candidates.fts_top(self.ranked, self.text, self.entities, self.config.locale, self.most)
-        return (top.withColumn("fts_rank", -F.col("fts_rank")) if self.config.positive_rank else top).persist()
+        return top.withColumn("fts_rank", -F.col("fts_rank")) if self.config.positive_rank else top
 
     @cached_property
     def gated_queries(self) -> DataFrame:
@@ -154,6 +184,10 @@ class Search:
 
     @cached_property
     def fuzzy(self) -> DataFrame:
+        id_type = self.entities.schema["id"].dataType.simpleString()
+        return self._in_time("fuzzy", self.config.fuzzy_seconds, self._fuzzy, f"query_id long, id {id_type}, fuzzy_score double, pos int")
+
+    def _fuzzy(self) -> DataFrame:
         asked, indexes = self.gated_queries.where("run_fuzzy"), self.indexes
         if self.config.positive_rank:
             return candidates.similarity_top(asked, indexes.padded, self.entities, indexes.padded_counts, most=self.most)
@@ -192,11 +226,11 @@ class Search:
         return candidates.geo_scan(self.queries.where("route = 'geo'"), self.entities, self.config.primary_km, self.most)
 
     def close(self) -> None:
-        self.queries.unpersist()
-        for name in {"terms", "hits", "fts"} & self.__dict__.keys():
-            getattr(self, name).unpersist()
         if "blocks" in self.__dict__:
             self.blocks.close()
+        for table in self._written:
+            discard(table)
+        self._written.clear()
 
     def results(self) -> DataFrame:
         """query_id, section, rank, id, name, slug, lat, lng, distance_km, walking_min, score (null for scans)."""

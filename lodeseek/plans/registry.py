@@ -326,6 +326,18 @@ def vector_sync_check(spark, sf_dir):
     return index.null_vectors(read_sf(spark, sf_dir, "part").withColumn("vector", F.when(F.col("p_size") % 9 != 0, F.col("p_name"))), "vector")
 
 
+_LATER = "CASE WHEN p_partkey % 17 = 3 THEN p_name || ' old' ELSE p_name END"
+
+
+@query(o.chain(f"""SELECT coalesce(e.id, i.id) AS id, CASE WHEN i.id IS NULL THEN 'missing' WHEN e.id IS NULL THEN 'orphaned' ELSE 'stale' END AS state
+  FROM (SELECT id, name_n FROM ent WHERE id % 23 <> 5) e FULL JOIN (SELECT p_partkey AS id, {o.normalize(_LATER)} AS name_n FROM part WHERE p_partkey % 19 <> 7) i ON e.id = i.id WHERE e.name_n IS DISTINCT FROM i.name_n""", o.ENTITIES))
+def index_drift(spark, sf_dir):
+    """Parts of which the index lacks some, holds others no more there, and has former names of a third kind."""
+    raw, at = parts(spark, sf_dir), F.col("p_partkey")
+    then = raw.where(at % 19 != 7).withColumn("p_name", F.when(at % 17 == 3, F.concat("p_name", F.lit(" old"))).otherwise(F.col("p_name")))
+    return index.drift(map_entities(raw.where(at % 23 != 5), MAPPING), map_entities(then, MAPPING))
+
+
 # Candidates
 
 
