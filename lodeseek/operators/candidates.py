@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import KM_PER_DEGREE, bounding_box, haversine_km
-from ..functions.text import aliases_of, fts_terms, min_overlap, padded_similarity, padded_trigrams_of, trigrams_of
+from ..functions.text import aliases_of, fts_terms, min_overlap, trigrams_of
 from .index import TextIndex, entity_trigrams, trigram_counts
 from .mapping import is_mapped
 
@@ -169,22 +169,6 @@ def fuzzy_top(queries: DataFrame, trigrams: DataFrame, entities: DataFrame, coun
     return first_rows(kept, [F.desc("fuzzy_score"), F.col("id")], 2, most).select("query_id", "id", "fuzzy_score", "pos")
 
 
-def similarity_top(queries: DataFrame, padded: DataFrame, entities: DataFrame, counts: DataFrame | None = None, threshold: float = 0.1, most: int | None = None) -> DataFrame:
-    """(query_id, id, fuzzy_score, pos) by the greatest similarity of padded trigrams (see padded_similarity) of name, categories and location beyond a threshold.
-
-    padded is the entities' padded_index. A field beyond the threshold has more than threshold x q of a query's q trigrams, so that only the rarest others need
-    probing.
-    """
-    asked = queries.select("query_id", "limit", F.col("location_slug").alias("q_location"), padded_trigrams_of(F.col("normalized")).alias("grams"))
-    asked = asked.withColumn("least", (F.floor(F.size("grams") * threshold - 1e-9) + 1).cast("int"))
-    rows = probed(asked, padded, counts).join(asked, "query_id").join(entities.select("id", "location_slug", "name_n", "categories_n", "location_n"), "id")
-    if is_mapped(entities, "location_slug"):
-        rows = rows.where(at_location(F.col("location_slug"), F.col("q_location")))
-    similar = F.greatest(*[padded_similarity(F.col("grams"), padded_trigrams_of(F.col(c))) for c in ("name_n", "categories_n", "location_n")])
-    rows = rows.withColumn("fuzzy_score", similar).where(F.col("fuzzy_score") > threshold)
-    return first_rows(rows, [F.desc(F.round("fuzzy_score", PLACES)), F.col("id")], 2, most).select("query_id", "id", "fuzzy_score", "pos")
-
-
 def location_scan(queries: DataFrame, entities: DataFrame, locale, most: int | None = None) -> DataFrame:
     """(query_id, id, distance_km, pos): the first `limit` entities by id of a location (and category), then by distance where the query has a point."""
     asked = queries.select("query_id", "limit", F.col("location_slug").alias("q_location"), F.col("category_slug").alias("q_category"), F.col("lat").alias("q_lat"), F.col("lng").alias("q_lng"))

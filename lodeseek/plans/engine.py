@@ -14,8 +14,9 @@ from ..functions.locale import GENERIC, Locale
 from ..functions.text import MIN_SEARCH_TOKEN_LENGTH, trimmed
 from ..operators import candidates, ranking
 from ..operators.blockmax import BlockMaxSearch
-from ..operators.index import TextIndex, entity_trigrams, padded_index, text_index, trigram_counts, trigram_index
+from ..operators.index import TextIndex, entity_trigrams, text_index, trigram_counts, trigram_index
 from ..operators.segments import StoredIndex
+from ..operators.similarity import SimilarityIndex, persisted, similarity_index, similarity_top
 from ..sources.shared import discard, materialize
 from .budget import within
 
@@ -42,7 +43,7 @@ class SearchConfig:
 
 @dataclass
 class Indexes:
-    """The text index, the trigram index, its entries by trigram and the trigrams of each entity; padded trigrams and their entries, which positive ranks alone need.
+    """The text index, the trigram index, its entries by trigram and the trigrams of each entity; the index of similar fields, which positive ranks alone need.
 
     stored is the index in files that these are read from, if any: full-text search then skips its blocks.
     """
@@ -51,13 +52,12 @@ class Indexes:
     trigrams: DataFrame
     counts: DataFrame
     held: DataFrame
-    padded: DataFrame
-    padded_counts: DataFrame
+    similar: SimilarityIndex
     stored: StoredIndex | None = None
 
     @property
     def tables(self) -> list[DataFrame]:
-        return [self.text.postings, self.text.docs, self.text.vocabulary, self.trigrams, self.counts, self.held, self.padded, self.padded_counts]
+        return [self.text.postings, self.text.docs, self.text.vocabulary, self.trigrams, self.counts, self.held, *self.similar.tables]
 
     def close(self) -> None:
         for table in self.tables:
@@ -65,16 +65,15 @@ class Indexes:
 
 
 def build_indexes(entities: DataFrame) -> Indexes:
-    grams, padded = trigram_index(entities), padded_index(entities)
-    return Indexes(text_index(entities), grams, trigram_counts(grams), entity_trigrams(grams), padded, trigram_counts(padded))
+    grams = trigram_index(entities)
+    return Indexes(text_index(entities), grams, trigram_counts(grams), entity_trigrams(grams), similarity_index(entities))
 
 
 def stored_indexes(index: StoredIndex) -> Indexes:
     """The indexes of a stored one, read as they lie. Entries of dead rows stay among the trigrams: what they find is verified on live rows' own."""
     grams = index.table("trigrams").select("trigram", "id", "field")
     counts = index.table("gram_counts").groupBy("trigram").agg(F.sum("n").alias("n"))
-    padded = padded_index(index.entities())
-    return Indexes(index.text(), grams, counts, index.live.select("id", "held"), padded, trigram_counts(padded), index)
+    return Indexes(index.text(), grams, counts, index.live.select("id", "held"), similarity_index(index.entities()), index)
 
 
 def persist_indexes(indexes: Indexes) -> Indexes:
@@ -82,7 +81,7 @@ def persist_indexes(indexes: Indexes) -> Indexes:
     text, grams = indexes.text, indexes.trigrams.persist()
     postings = text.postings.persist()
     kept = TextIndex(postings, text.docs.persist(), text.vocabulary.persist())
-    return Indexes(kept, grams, indexes.counts.persist(), indexes.held.persist(), indexes.padded.persist(), indexes.padded_counts.persist())
+    return Indexes(kept, grams, indexes.counts.persist(), indexes.held.persist(), persisted(indexes.similar))
 
 
 def routed(queries: DataFrame, config: SearchConfig) -> DataFrame:
@@ -190,7 +189,7 @@ class Search:
     def _fuzzy(self) -> DataFrame:
         asked, indexes = self.gated_queries.where("run_fuzzy"), self.indexes
         if self.config.positive_rank:
-            return candidates.similarity_top(asked, indexes.padded, self.entities, indexes.padded_counts, most=self.most)
+            return similarity_top(asked, indexes.similar, self.entities, most=self.most)
         return candidates.fuzzy_top(asked, indexes.trigrams, self.entities, indexes.counts, indexes.held, self.most)
 
     @cached_property

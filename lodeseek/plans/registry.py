@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..functions.locale import GENERIC, LOCATIVES, POLISH, polish_locative
-from ..operators import candidates, index, lookups, ranking, resolver
+from ..operators import blockmax, candidates, index, lookups, ranking, resolver
 from ..operators.mapping import EntityMapping, map_entities
 from ..operators.segments import StoredIndex
 from ..sources.shared import fresh_path, materialize
@@ -351,11 +351,14 @@ def filter_category(spark, sf_dir):
     return entities(spark, sf_dir).where(candidates.in_category(F.col("categories_n"), F.lit("Econ-"), GENERIC)).select("id")
 
 
-@query(o.chain("SELECT DISTINCT term AS prefix, token FROM terms JOIN (SELECT DISTINCT token FROM tok) ON starts_with(token, term) WHERE NOT contains(term, ' ')", o.ENTITIES, o.TEXTS, o.ROUTED, o.TERMS))
+@query(o.chain("""SELECT DISTINCT prefix, token FROM (SELECT unnest([left(token, 1), left(token, 2), left(token, 3), token]) AS prefix FROM tok UNION SELECT term FROM terms WHERE NOT contains(term, ' '))
+  JOIN (SELECT DISTINCT token FROM tok) ON starts_with(token, prefix)""", o.ENTITIES, o.TEXTS, o.ROUTED, o.TERMS))
 def fts_prefix_match(spark, sf_dir):
-    s = searched(spark, sf_dir)
-    prefixes = s.terms.where("not contains(term, ' ')").select(F.col("term").alias("prefix"))
-    return candidates.prefix_matches(prefixes, index.text_index(s.entities).postings.select("token").distinct())
+    """Beginnings of all tokens, of one character and more, and the batch's terms, against the sorted dictionary of the stored index."""
+    at, tokens = stored(spark, sf_dir), index.text_index(entities(spark, sf_dir)).vocabulary
+    begun = tokens.select(F.explode(F.array(*[F.substring("token", 1, n) for n in (1, 2, 3)], "token")).alias("prefix"))
+    asked = searched(spark, sf_dir).terms.where("not contains(term, ' ')").select(F.col("term").alias("prefix"))
+    return blockmax.tokens_of_prefixes(begun.unionByName(asked), at)
 
 
 @query(o.chain("SELECT query_id, id, round(fts_rank, 6) AS fts_rank, pos FROM fts", *o.UP_TO_FTS))
@@ -660,3 +663,12 @@ def lookups_synonyms(spark, sf_dir):
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def search_event_rollup(spark, sf_dir):
     return events.rollup(read_sf(spark, sf_dir, "events"))
+
+
+@query("""WITH s AS (SELECT user_id, ts, event_id, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 43200000000 THEN 0 ELSE 1 END AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM s)
+SELECT left(sha256(user_id || ':' || epoch_us(min(ts))), 32) AS session_id, user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n FROM r GROUP BY user_id, run""")
+def event_sessions(spark, sf_dir):
+    """Sessions of all events with a gap of half a day, every tenth of which was sent again."""
+    sent = read_sf(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return events.track(sent.unionByName(sent.where("event_id % 10 = 3")), gap_seconds=43_200)

@@ -15,6 +15,7 @@ from lodeseek.operators.mapping import EntityMapping, map_entities
 from lodeseek.plans.budget import within
 from lodeseek.plans.engine import QUERY_SCHEMA, SYNONYM_SCHEMA, Search, SearchConfig
 from lodeseek.sources import tables
+from lodeseek.operators.similarity import similarity_index, similarity_top
 
 
 def test_filters_on_unmapped_columns_are_skipped(spark):
@@ -88,7 +89,7 @@ def test_rarest_trigrams_find_what_all_of_them_find(spark):
             if best > 0.1:
                 similar.add((q, i, round(best, 6)))
     of = lambda df: {(r.query_id, r.id, round(r.fuzzy_score, 6)) for r in df.collect()}
-    assert of(candidates.fuzzy_top(queries, grams, rows)) == fuzzy and of(candidates.similarity_top(queries, index.padded_index(rows), rows)) == similar
+    assert of(candidates.fuzzy_top(queries, grams, rows)) == fuzzy and of(similarity_top(queries, similarity_index(rows), rows)) == similar
 
 
 def test_positive_rank_by_hand(spark):
