@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import normalize, strip_diacritics, trimmed
+from .text import bound, normalize, strip_diacritics, trimmed
 
 #: Word edges and white space of the patterns, spelled out so that they mean the same in every engine.
 _B0, _B1 = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+_NEVER = "(?!)()"
 _S = r"[\s\x{00A0}\x{FEFF}\x{2028}\x{2029}]"
 
 
+def _letters(pattern: str) -> str:
+    """The longest run of letters that whatever fits a pattern must hold; nothing for patterns of more than letters, edges and white space."""
+    plain = pattern.replace(_B0, " ").replace(_B1, " ").replace(_S, " ").replace("[A-Za-z0-9_]", " ")
+    return max(re.findall("[a-z]+", plain), key=len, default="") if re.fullmatch("(?:[a-z]+| [+*]?)*", plain) else ""
+
+
 @dataclass(frozen=True)
 class Locale:
     name: str = "generic"
@@ -32,28 +42,38 @@ class Locale:
 
     def has_geo_intent(self, query: Column) -> Column:
         """Whether a pattern occurs in the folded, lower-cased query; never without patterns."""
-        if not self.geo_patterns:
-            return F.lit(False)
-        return F.lower(self.fold(F.coalesce(query, F.lit("")))).rlike("(?i)" + "|".join(self.geo_patterns))
+        found = lambda text: reduce(or_, [F.contains(text, F.lit(_letters(p))) & text.rlike(f"(?i){p}") for p in self.geo_patterns])
+        return bound(F.lower(self.fold(F.coalesce(query, F.lit("")))), found) if self.geo_patterns else F.lit(False)
 
     def strip_geo_intent(self, query: Column) -> Column:
         """The query with the first occurrence of each pattern, in order, removed; spaces collapsed. Unchanged without patterns."""
         if not self.geo_patterns:
             return query
-        out = F.lower(self.fold(F.coalesce(query, F.lit(""))))
-        for p in self.geo_patterns:
-            out = F.regexp_replace(out, f"(?is)^(.*?){p}(.*)$", "$1$2")
+        out = bound(F.lower(self.fold(F.coalesce(query, F.lit("")))), lambda text: self._without_intent(text, ""))
         return F.trim(F.regexp_replace(out, r"\s+", " "))
 
+    def _without_intent(self, text: Column, by: str) -> Column:
+        """Lower-case text with the first occurrence of each pattern, in order, replaced.
+
+        A pattern is looked for only in texts that hold its longest run of letters. What stands beside a place that was replaced is no letter, so no such run
+        can come about on the way.
+        """
+        out = text
+        for p in self.geo_patterns:
+            out = F.regexp_replace(out, F.when(F.contains(text, F.lit(_letters(p))), f"(?is)\\A(.*?){p}").otherwise(_NEVER), F.lit(f"$1{by}"))
+        return out
+
+    def _without_phrases(self, normalized: Column) -> Column:
+        out = self._without_intent(normalized, " ")
+        for phrase in sorted(self.stop_phrases, key=len, reverse=True):
+            out = F.regexp_replace(out, F.when(F.contains(normalized, F.lit(phrase)), f"{_B0}{phrase}{_B1}").otherwise(_NEVER), F.lit(" "))
+        return out
+
     def strip_stop_words(self, normalized: Column) -> Column:
         """Normalised text without geo intent, stop phrases (longest first) and stop tokens. Unchanged in a locale without any."""
         if not (self.geo_patterns or self.stop_phrases or self.stop_tokens):
             return normalized
-        out = normalized
-        for p in self.geo_patterns:
-            out = F.regexp_replace(out, f"(?is)^(.*?){p}(.*)$", "$1 $2")
-        for phrase in sorted(self.stop_phrases, key=len, reverse=True):
-            out = F.regexp_replace(out, f"{_B0}{phrase}{_B1}", " ")
+        out = bound(normalized, self._without_phrases)
         tokens = F.filter(F.split(F.regexp_replace(out, r"\s+", " "), " "), lambda t: (t != "") & ~t.isin(list(self.stop_tokens)) if self.stop_tokens else t != "")
         return F.array_join(tokens, " ")
 

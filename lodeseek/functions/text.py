@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
@@ -18,6 +19,11 @@ MARKS = "[\\u0300-\\u036f]"
 SPACE = r"[\s\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once for each row however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trimmed(text: Column) -> Column:
     """The text without white space of any kind at its ends."""
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
@@ -70,14 +76,27 @@ def strip_diacritics(text: Column, extra: dict[str, str] | None = None) -> Colum
     """
     source, target = folding(False)
     extra = extra or {}
-    held = "[" + "".join(map(_escaped, expanding())) + f"\\x{{{HANGUL:X}}}-\\x{{{HANGUL + len(LEADS) * VOWELS * ENDS - 1:X}}}]"
+    held = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in _ranges()) + "]"
     plain = F.translate(text, "".join(extra) + source, "".join(extra.values()) + target)
     whole = F.when(plain.rlike(held), F.array_join(F.transform(F.split(plain, ""), _expanded), "")).otherwise(plain)
-    return F.regexp_replace(whole, MARKS, "")
+    return _unless_ascii(text, F.regexp_replace(whole, MARKS, ""))
+
 
+def _unless_ascii(text: Column, folded: Column) -> Column:
+    """Text of ASCII alone folds to itself, which is quicker to see than to do. (All folds are of other characters.)"""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), folded).otherwise(text)
 
-def _escaped(c: str) -> str:
-    return f"\\x{{{ord(c):X}}}"
+
+@lru_cache(1)
+def _ranges(gap: int = 0x80) -> list[list[int]]:
+    """Few ranges of code points that hold all characters which become several; those less than a gap apart are in one."""
+    out: list[list[int]] = []
+    for code in sorted([*map(ord, expanding()), *range(HANGUL, HANGUL + len(LEADS) * VOWELS * ENDS)]):
+        if out and code - out[-1][1] < gap:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return out
 
 
 @F.pandas_udf(StringType())
@@ -90,7 +109,8 @@ def normalize(text: Column, extra: dict[str, str] | None = None) -> Column:
     """Marks removed, lower case, all but a-z, 0-9, white space and hyphens to spaces, spaces collapsed and trimmed; null gives ''."""
     source, target = folding(True)
     extra = extra or {}
-    plain = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "".join(extra) + source, "".join(extra.values()) + target), MARKS, "")
+    text = F.coalesce(text, F.lit(""))
+    plain = _unless_ascii(text, F.regexp_replace(F.translate(text, "".join(extra) + source, "".join(extra.values()) + target), MARKS, ""))
     words = F.regexp_replace(F.lower(plain), r"[^a-z0-9\s-]", " ")
     return F.trim(F.regexp_replace(words, r"\s+", " "))
 

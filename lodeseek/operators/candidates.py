@@ -28,10 +28,14 @@ def expand_synonyms(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     Canonicals stand in the order of their first alias, then by name.
     """
     rows = queries.select("query_id", F.filter(F.split("normalized", " "), lambda t: t != "").alias("words"))
-    named = rows.select("query_id", F.posexplode(aliases_of(F.col("words"))).alias("place", "alias"))
-    found = named.join(synonyms.select("alias", "canonical"), "alias").groupBy("query_id", "canonical").agg(F.min("place").alias("place"))
-    added = found.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "canonical"))), lambda s: s["canonical"]).alias("added"))
-    new = F.array_except(F.coalesce("added", F.array().cast("array<string>")), F.col("words"))
+    # Hashes stand for aliases on their way; that they are the same is seen where the words are at hand.
+    named = rows.select("query_id", F.posexplode(F.array_distinct(F.transform(aliases_of(F.col("words")), lambda a: F.xxhash64(a)))).alias("place", "h"))
+    found = named.join(synonyms.select(F.xxhash64("alias").alias("h"), "alias", "canonical"), "h")
+    added = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("place", "canonical", "alias"))).alias("added"))
+    known = F.array_intersect(F.transform("added", lambda s: s["alias"]), aliases_of(F.col("words")))
+    # An array of one element names the known aliases, which are so found once for a query and not for each element.
+    said = F.get(F.transform(F.array(known), lambda k: F.transform(F.filter("added", lambda s: F.array_contains(k, s["alias"])), lambda s: s["canonical"])), F.lit(0))
+    new = F.array_except(F.coalesce(said, F.array().cast("array<string>")), F.col("words"))
     joined = rows.join(added, "query_id", "left").select("query_id", F.concat("words", new).alias("tokens"))
     return queries.join(joined, "query_id")
 

@@ -63,15 +63,16 @@ def match_area(queries: DataFrame, areas: DataFrame, locale) -> DataFrame:
     """
     rows = queries.select("query_id", "location_slug", locale.normalize(F.col("query")).alias("q"))
     each = areas.select("location_slug", F.posexplode("areas").alias("place", "area")).where("area is not null")
-    words = each.select("*", F.explode(F.array_distinct(F.split("area", " "))).alias("word"))
-    said = rows.select("query_id", "location_slug", F.explode(F.array_distinct(F.split("q", " "))).alias("word"))
-    key = ["location_slug", "word"]
-    counts = said.join(words.select(*key).distinct(), key).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    rarity = F.struct(F.coalesce("n", F.lit(0)), F.col("word"))
-    anchors = words.join(counts, key, "left").groupBy("location_slug", "place", "area").agg(F.min_by("word", rarity).alias("word"))
-    met = said.join(anchors, key).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("place", "area"))).alias("maybe"))
+    # Of a location and a word only the hash travels; whether an area stands in a text is seen on the text.
+    hashed = F.xxhash64("location_slug", "word").alias("h")
+    words = each.select("*", F.explode(F.array_distinct(F.split("area", " "))).alias("word")).select("location_slug", "place", "area", hashed)
+    said = rows.where("location_slug is not null").select("query_id", "location_slug", F.explode(F.array_distinct(F.split("q", " "))).alias("word")).select("query_id", hashed)
+    counts = said.join(words.select("h").distinct(), "h").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    rarity = F.struct(F.coalesce("n", F.lit(0)), F.col("h"))
+    anchors = words.join(counts, "h", "left").groupBy("location_slug", "place", "area").agg(F.min_by("h", rarity).alias("h"))
+    met = said.join(anchors, "h").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("place", "area", "location_slug"))).alias("maybe"))
     padded = F.concat(F.lit(" "), "q", F.lit(" "))
-    fits = F.filter("maybe", lambda m: F.contains(padded, F.concat(F.lit(" "), m["area"], F.lit(" "))))
+    fits = F.filter("maybe", lambda m: (m["location_slug"] == F.col("location_slug")) & F.contains(padded, F.concat(F.lit(" "), m["area"], F.lit(" "))))
     return rows.join(met, "query_id", "left").select("query_id", F.get(fits, F.lit(0))["area"].alias("area"))
 
 

@@ -7,7 +7,9 @@ import threading
 
 import pytest
 
-from lodeseek.functions.locale import GENERIC, POLISH
+from pyspark.sql import functions as F
+
+from lodeseek.functions.locale import GENERIC, POLISH, Locale
 from lodeseek.operators import candidates, lookups, ordered, resolver
 
 
@@ -115,3 +117,12 @@ def test_a_load_that_fails_keeps_the_former_lookups(spark):
         held.reload()
     assert held.load() is first and first.locations.count() == 1
     held.invalidate()
+
+
+def test_patterns_of_any_form_are_looked_for(spark):
+    """Only patterns of plain letters are prefiltered by them."""
+    locale = Locale("own", geo_patterns=(r"(?:close|next) to", r"clos?e", r"\d+ km"))
+    rows = spark.createDataFrame([("next to me",), ("cloe",), ("5 km off",), ("far",), (None,)], "q string")
+    got = [tuple(r) for r in rows.select(locale.has_geo_intent(F.col("q")), locale.strip_geo_intent(F.col("q"))).collect()]
+    assert got == [(True, "me"), (True, ""), (True, "off"), (False, "far"), (False, "")]
+    assert POLISH.strip_geo_intent(F.lit("x")) is not None and Locale().has_geo_intent(F.lit("x")) is not None
