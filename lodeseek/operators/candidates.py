@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import KM_PER_DEGREE, bounding_box, haversine_km
+from ..functions.locale import Locale
 from ..functions.text import aliases_of, fts_terms, min_overlap, trigrams_of
 from .index import TextIndex, entity_trigrams, trigram_counts
 from .mapping import is_mapped
+from .prefilter import may_be_among
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -28,14 +30,11 @@ def expand_synonyms(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     Canonicals stand in the order of their first alias, then by name.
     """
     rows = queries.select("query_id", F.filter(F.split("normalized", " "), lambda t: t != "").alias("words"))
-    # Hashes stand for aliases on their way; that they are the same is seen where the words are at hand.
-    named = rows.select("query_id", F.posexplode(F.array_distinct(F.transform(aliases_of(F.col("words")), lambda a: F.xxhash64(a)))).alias("place", "h"))
-    found = named.join(synonyms.select(F.xxhash64("alias").alias("h"), "alias", "canonical"), "h")
-    added = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("place", "canonical", "alias"))).alias("added"))
-    known = F.array_intersect(F.transform("added", lambda s: s["alias"]), aliases_of(F.col("words")))
-    # An array of one element names the known aliases, which are so found once for a query and not for each element.
-    said = F.get(F.transform(F.array(known), lambda k: F.transform(F.filter("added", lambda s: F.array_contains(k, s["alias"])), lambda s: s["canonical"])), F.lit(0))
-    new = F.array_except(F.coalesce(said, F.array().cast("array<string>")), F.col("words"))
+    named = rows.select("query_id", F.posexplode(F.array_distinct(aliases_of(F.col("words")))).alias("place", "alias"))
+    named = may_be_among(named, F.col("alias"), synonyms, F.col("alias"))
+    found = named.join(synonyms.select("alias", "canonical"), "alias").groupBy("query_id", "canonical").agg(F.min("place").alias("place"))
+    added = found.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "canonical"))), lambda s: s["canonical"]).alias("added"))
+    new = F.array_except(F.coalesce("added", F.array().cast("array<string>")), F.col("words"))
     joined = rows.join(added, "query_id", "left").select("query_id", F.concat("words", new).alias("tokens"))
     return queries.join(joined, "query_id")
 
@@ -119,6 +118,13 @@ def in_category(categories: Column, wanted: Column, locale) -> Column:
     return wanted.isNull() | F.contains(F.lower(categories), category_name(wanted, locale))
 
 
+def in_wanted_category(met: DataFrame, entities: DataFrame, locale: Locale | None) -> DataFrame:
+    """met (id, q_category, ...) of entities in the category wanted; all of it without a locale, or where categories aren't mapped."""
+    if locale is None or not is_mapped(entities, "categories_n"):
+        return met
+    return met.join(entities.select("id", "categories_n"), "id").where(in_category(F.col("categories_n"), F.col("q_category"), locale)).drop("categories_n")
+
+
 def first_rows(rows: DataFrame, order: list[Column], times: int, most: int | None) -> DataFrame:
     """rows (query_id, limit, ...) with pos, their place in a query's order; the first times x limit of each stay.
 
@@ -156,18 +162,21 @@ def probed(asked: DataFrame, trigrams: DataFrame, counts: DataFrame | None) -> D
     return rarest(asked, counts).join(trigrams.select("trigram", "id"), "trigram").select("query_id", "id").distinct()
 
 
-def fuzzy_top(queries: DataFrame, trigrams: DataFrame, entities: DataFrame, counts: DataFrame | None = None, held: DataFrame | None = None, most: int | None = None) -> DataFrame:
-    """(query_id, id, fuzzy_score, pos): at most 2 x limit entities that share enough of a query's trigrams in any field; only the location filters.
+def fuzzy_top(queries: DataFrame, trigrams: DataFrame, entities: DataFrame, counts: DataFrame | None = None, held: DataFrame | None = None, most: int | None = None, strict: Locale | None = None) -> DataFrame:
+    """(query_id, id, fuzzy_score, pos): at most 2 x limit entities that share enough of a query's trigrams in any field; only the location filters, with a
+    locale as `strict` the category too.
 
     Candidates come from the rarest trigrams; how many they share is counted on the trigrams that each holds. counts and held, of trigram_counts and
     entity_trigrams, are made from the index where they aren't handed in.
     """
-    asked = queries.select("query_id", "limit", F.col("location_slug").alias("q_location"), trigrams_of(F.col("normalized")).alias("grams"))
+    wanted = [F.col("category_slug").alias("q_category")] if strict else []
+    asked = queries.select("query_id", "limit", F.col("location_slug").alias("q_location"), *wanted, trigrams_of(F.col("normalized")).alias("grams"))
     asked = asked.select("*", F.size("grams").alias("q")).withColumn("least", min_overlap(F.col("q")))
     held = entity_trigrams(trigrams) if held is None else held
     met = probed(asked, trigrams, counts).join(asked, "query_id")
     if is_mapped(entities, "location_slug"):
         met = met.join(entities.select("id", "location_slug"), "id").where(at_location(F.col("location_slug"), F.col("q_location")))
+    met = in_wanted_category(met, entities, strict)
     kept = met.join(held, "id").withColumn("shared", F.size(F.array_intersect("grams", "held"))).where("shared >= least")
     kept = kept.withColumn("fuzzy_score", F.col("shared") / F.col("q").cast("double"))
     return first_rows(kept, [F.desc("fuzzy_score"), F.col("id")], 2, most).select("query_id", "id", "fuzzy_score", "pos")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_KM, haversine_km
 from ..sources.shared import discard, materialize
+from .prefilter import may_be_among
 
 _EDGE0, _EDGE1 = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 POSTAL = rf"{_EDGE0}(\d{{2}})-?(\d{{3}}){_EDGE1}"
@@ -67,6 +68,7 @@ def match_area(queries: DataFrame, areas: DataFrame, locale) -> DataFrame:
     hashed = F.xxhash64("location_slug", "word").alias("h")
     words = each.select("*", F.explode(F.array_distinct(F.split("area", " "))).alias("word")).select("location_slug", "place", "area", hashed)
     said = rows.where("location_slug is not null").select("query_id", "location_slug", F.explode(F.array_distinct(F.split("q", " "))).alias("word")).select("query_id", hashed)
+    said = may_be_among(said, F.col("h"), words, F.col("h"))
     counts = said.join(words.select("h").distinct(), "h").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     rarity = F.struct(F.coalesce("n", F.lit(0)), F.col("h"))
     anchors = words.join(counts, "h", "left").groupBy("location_slug", "place", "area").agg(F.min_by("h", rarity).alias("h"))

@@ -12,9 +12,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.locale import Locale
 from ..functions.text import padded_similarity, padded_trigrams_of
 from ..sources.shared import discard, materialize
-from .candidates import PLACES, at_location, first_rows
+from .candidates import PLACES, at_location, first_rows, in_wanted_category
 from .mapping import FIELDS, field_texts, is_mapped
 
 #: Degrees of similarity with which a batch begins, before its threshold.
@@ -65,20 +66,23 @@ def met(asked: DataFrame, index: SimilarityIndex, degree: float) -> DataFrame:
     return each.join(index.entries, "trigram").where(fits).select("query_id", "id", "field")
 
 
-def similarity_top(queries: DataFrame, index: SimilarityIndex, entities: DataFrame, threshold: float = 0.1, most: int | None = None) -> DataFrame:
-    """(query_id, id, fuzzy_score, pos): at most 2 x limit entities by the greatest padded_similarity of a field, beyond a threshold; only the location filters.
+def similarity_top(queries: DataFrame, index: SimilarityIndex, entities: DataFrame, threshold: float = 0.1, most: int | None = None, strict: Locale | None = None) -> DataFrame:
+    """(query_id, id, fuzzy_score, pos): at most 2 x limit entities by the greatest padded_similarity of a field, beyond a threshold; only the location filters,
+    with a locale as `strict` the category too.
 
     query_id tells queries apart. The rows of each degree are written as a small table.
     """
-    asked = queries.select("query_id", "limit", F.col("location_slug").alias("q_location"), F.explode_outer(padded_trigrams_of(F.col("normalized"))).alias("trigram"))
+    wanted = F.col("category_slug") if strict else F.lit(None).cast("string")
+    asked = queries.select("query_id", "limit", F.col("location_slug").alias("q_location"), wanted.alias("q_category"), F.explode_outer(padded_trigrams_of(F.col("normalized"))).alias("trigram"))
     rare = F.transform(F.sort_array(F.collect_list(F.when(F.col("trigram").isNotNull(), F.struct(F.coalesce("n", F.lit(0)), "trigram")))), lambda g: g["trigram"])
-    open_ = materialize(asked.join(index.counts, "trigram", "left").groupBy("query_id", "limit", "q_location").agg(rare.alias("grams")), "similar-queries")
+    open_ = materialize(asked.join(index.counts, "trigram", "left").groupBy("query_id", "limit", "q_location", "q_category").agg(rare.alias("grams")), "similar-queries")
     out, written = None, [open_]
     degrees = [d for d in DEGREES if d > threshold] + [threshold]
     for degree in degrees:
         pairs = met(open_, index, degree).distinct().join(index.fields.withColumnRenamed("grams", "held"), ["id", "field"]).join(open_, "query_id")
         if is_mapped(entities, "location_slug"):
             pairs = pairs.join(entities.select("id", "location_slug"), "id").where(at_location(F.col("location_slug"), F.col("q_location")))
+        pairs = in_wanted_category(pairs, entities, strict)
         score = padded_similarity(F.col("grams"), F.col("held"))
         alike = pairs.withColumn("fuzzy_score", score).where(F.col("fuzzy_score") > threshold).groupBy("query_id", "id", "limit").agg(F.max("fuzzy_score").alias("fuzzy_score"))
         last = degree == threshold

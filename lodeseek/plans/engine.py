@@ -36,6 +36,8 @@ class SearchConfig:
     least_fuzzy: int = MIN_SEARCH_TOKEN_LENGTH
     #: Ranks that grow with relevance, and similarity of whole fields for the fuzzy branch.
     positive_rank: bool = False
+    #: Does the category filter the fuzzy branch too?
+    strict_category: bool = False
     #: Seconds that the full-text and the fuzzy branch of a batch may take; a branch that takes longer is cancelled and gives no rows. None: no bound.
     fts_seconds: float | None = None
     fuzzy_seconds: float | None = None
@@ -188,9 +190,10 @@ class Search:
 
     def _fuzzy(self) -> DataFrame:
         asked, indexes = self.gated_queries.where("run_fuzzy"), self.indexes
+        strict = self.config.locale if self.config.strict_category else None
         if self.config.positive_rank:
-            return similarity_top(asked, indexes.similar, self.entities, most=self.most)
-        return candidates.fuzzy_top(asked, indexes.trigrams, self.entities, indexes.counts, indexes.held, self.most)
+            return similarity_top(asked, indexes.similar, self.entities, most=self.most, strict=strict)
+        return candidates.fuzzy_top(asked, indexes.trigrams, self.entities, indexes.counts, indexes.held, self.most, strict)
 
     @cached_property
     def merged(self) -> DataFrame:

@@ -376,6 +376,19 @@ def trigram_fuzzy(spark, sf_dir):
     return searched(spark, sf_dir).fuzzy.withColumn("fuzzy_score", r6("fuzzy_score"))
 
 
+_CATEGORY = o.normalize("replace(q_category, '-', ' ')", True)
+_STRICT = o.FUZZY.replace("fq AS (SELECT query_id, lim,", "fq AS (SELECT query_id, lim, category_slug AS q_category,").replace("FROM gq WHERE run_fuzzy", "FROM q WHERE route = 'text'").replace(
+    "WHERE (q_location IS NULL", f"WHERE (q_category IS NULL OR contains(categories_n, {_CATEGORY})) AND (q_location IS NULL")
+
+
+@query(o.chain("SELECT query_id, id, round(fuzzy_score, 6) AS fuzzy_score, pos FROM fuzzy", *o.UP_TO_FTS, _STRICT))
+def fuzzy_strict_category(spark, sf_dir):
+    """The fuzzy branch of all text queries with their categories as filters too."""
+    s = searched(spark, sf_dir)
+    found = candidates.fuzzy_top(s.text, s.indexes.trigrams, s.entities, s.indexes.counts, s.indexes.held, s.most, POLISH)
+    return found.withColumn("fuzzy_score", r6("fuzzy_score"))
+
+
 _SIMILAR = f"""sq AS (SELECT query_id, lim, location_slug AS q_location, {o.padded_trigrams('normalized')} AS g FROM gq WHERE run_fuzzy),
 se AS (SELECT query_id, lim, g, id, {o.padded_trigrams('name_n')} AS gn, {o.padded_trigrams('categories_n')} AS gc, {o.padded_trigrams('location_n')} AS gl FROM sq JOIN ent ON q_location IS NULL OR location_slug = q_location),
 sim AS (SELECT query_id, lim, id, greatest({o.padded_similarity('g', 'gn')}, {o.padded_similarity('g', 'gc')}, {o.padded_similarity('g', 'gl')}) AS s FROM se)"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 EVENT_SCHEMA = "query string, query_normalized string, page string, location_context string, action string, layer string, result_count int, clicked_type string, clicked_id string, session_id string"
 
 
-def read(spark: SparkSession, path: str, kind: str = "parquet", schema: str | None = None, **options) -> DataFrame:
+def read(spark: SparkSession, path: str | None, kind: str = "parquet", schema: str | None = None, **options) -> DataFrame:
     reader = spark.read.format(kind).options(**options)
     return (reader.schema(schema) if schema else reader).load(path)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.functions.locale import GENERIC, POLISH, Locale
 from lodeseek.operators import candidates, lookups, ordered, resolver
+from lodeseek.operators.prefilter import may_be_among
 
 
 def folded(lookup, rows, kinds):
@@ -126,3 +127,11 @@ def test_patterns_of_any_form_are_looked_for(spark):
     got = [tuple(r) for r in rows.select(locale.has_geo_intent(F.col("q")), locale.strip_geo_intent(F.col("q"))).collect()]
     assert got == [(True, "me"), (True, ""), (True, "off"), (False, "far"), (False, "")]
     assert POLISH.strip_geo_intent(F.lit("x")) is not None and Locale().has_geo_intent(F.lit("x")) is not None
+
+
+def test_the_prefilter_lets_all_keys_pass_and_few_others(spark):
+    rows = spark.range(50_000).selectExpr("concat('w', id) as word", "id as n")
+    held = spark.range(0, 50_000, 100).selectExpr("concat('w', id) as alias")
+    passed = {r.word for r in may_be_among(rows, F.col("word"), held, F.col("alias")).collect()}
+    assert {f"w{i}" for i in range(0, 50_000, 100)} <= passed and len(passed) < 700
+    assert may_be_among(rows, F.col("word"), held.limit(0), F.col("alias")).count() == 0

@@ -190,3 +190,23 @@ def test_budgets_cancel_what_takes_too_long_and_nothing_else(spark):
     assert within(spark, 60.0, lambda: spark.range(5).count()) == 5
     with pytest.raises(ZeroDivisionError):
         within(spark, 60.0, lambda: 1 // 0)
+
+
+def test_a_category_filters_the_fuzzy_branch_if_asked_to(spark):
+    rows = [(i, "bakori", "tool" if i % 2 else "toy", None) for i in range(6)]
+    entities = map_entities(spark.createDataFrame(rows, "id long, name string, kind string, city string"), EntityMapping("id", "name", categories="kind"))
+    asked = spark.createDataFrame([(1, "bakorx", None, "tool", None, None, 20, 0)], QUERY_SCHEMA)
+    for positive in (False, True):
+        for strict, want in ((False, set(range(6))), (True, {1, 3, 5})):
+            search = Search(entities, asked, spark.createDataFrame([], SYNONYM_SCHEMA), SearchConfig(strict_category=strict, positive_rank=positive))
+            assert {r.id for r in search.fuzzy.collect()} == want
+            search.close()
+
+
+def test_a_database_is_read_by_a_query_and_in_parts(spark):
+    url, driver = "jdbc:derby:memory:lodeseek;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    spark.range(100).selectExpr("id", "concat('place ', id) as name").write.format("jdbc").options(url=url, dbtable="places", driver=driver).mode("overwrite").save()
+    some = tables.read_jdbc(spark, url, 'SELECT * FROM places WHERE "id" < 7', driver=driver)
+    assert sorted(r.id for r in some.collect()) == list(range(7))
+    whole = tables.read(spark, None, "jdbc", url=url, dbtable="places", driver=driver, partitionColumn="id", lowerBound="0", upperBound="100", numPartitions="4")
+    assert whole.rdd.getNumPartitions() == 4 and whole.count() == 100
