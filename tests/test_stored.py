@@ -184,7 +184,7 @@ def test_the_index_side_of_joins_has_no_exchange(spark, common):
     try:
         search = Search.stored(index, queries(spark, "all", "filer", "rar"), spark.createDataFrame([], SYNONYM_SCHEMA))
         scored = search.blocks.scored(search.blocks.pairs.select("query_id", "block"))
-        for df, least in ((scored, 2), (search.fuzzy, 2)):
+        for df, least in ((scored, 2), (search._fuzzy(), 2)):
             seen, found = exchanged_scans(df)
             assert seen >= least and not found, found
         search.close()
