@@ -49,6 +49,13 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def free_prefix(wanted: str, columns: list[str]) -> str:
+    """A prefix with which no column begins, in whatever case: `wanted`, with further underscores before it while there is one."""
+    while any(c.lower().startswith(wanted.lower()) for c in columns):
+        wanted = "_" + wanted
+    return wanted
+
+
 def finite(x: Column) -> Column:
     """Is an array of doubles there, with no component null or non-finite? An empty one is."""
     return F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))), F.lit(False))

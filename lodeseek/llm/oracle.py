@@ -11,13 +11,17 @@ LINE_DEDUP = """
     texts AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS t FROM docs),
     lines AS (SELECT doc_id, text, t, line, pos, row_number() OVER (PARTITION BY t ORDER BY pos) AS i FROM entries JOIN texts USING (doc_id, text) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
     pairs AS (SELECT x.t, x.i, y.t AS t0, y.i AS i0, x.i - row_number() OVER (PARTITION BY x.t, y.t, x.i - y.i ORDER BY x.i) AS island FROM lines x JOIN lines y ON x.line = y.line AND (y.t < x.t OR y.t = x.t AND y.i < x.i)),
-    copies AS (SELECT *, count(*) OVER run AS n, min(i0) OVER run AS begin0 FROM pairs WINDOW run AS (PARTITION BY t, t0, i - i0, island)),
+    copies AS (SELECT *, count(*) OVER run AS n, min(i0) OVER run AS begin0, max(i) OVER run - i + 1 AS ahead FROM pairs WINDOW run AS (PARTITION BY t, t0, i - i0, island)),
+    tops AS (SELECT t, i, ahead, t0, i0 FROM copies WHERE ahead >= 3 QUALIFY row_number() OVER (PARTITION BY t, i ORDER BY floor(log2(ahead / 3)) DESC, t0, i0) = 1),
+    starts AS (SELECT * FROM tops WINDOW before AS (PARTITION BY t ORDER BY i) QUALIFY coalesce(lag(i) OVER before <> i - 1 OR lag(t0) OVER before <> t0 OR lag(i0) OVER before <> i0 - 1, true)),
+    maximal AS (SELECT * FROM starts QUALIFY i + ahead > coalesce(max(i + ahead) OVER (PARTITION BY t ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)),
+    runs AS (SELECT x.doc_id, x.text, string_agg(concat_ws(':', i - 1, ahead, y.doc_id, i0 - 1), ',' ORDER BY i) AS runs FROM maximal m JOIN texts x ON m.t = x.t JOIN texts y ON m.t0 = y.t GROUP BY 1, 2),
     copied AS (SELECT DISTINCT t, i FROM copies WHERE n >= 3 AND (t <> t0 OR i >= begin0 + 3)),
     gone AS (SELECT l.doc_id, l.text, l.pos, length(line) >= 40 AND row_number() OVER (PARTITION BY line ORDER BY l.t, l.pos) > 1 OR c.t IS NOT NULL AS del FROM lines l LEFT JOIN copied c USING (t, i)),
     back AS (SELECT e.doc_id, e.text, count(*) FILTER (WHERE g.pos IS NOT NULL) AS n_lines, count(*) FILTER (WHERE g.del) AS n_deleted, string_agg(e.line, chr(10) ORDER BY e.pos) FILTER (WHERE NOT coalesce(g.del, false)) AS kept
              FROM entries e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.text = g.text AND e.pos = g.pos GROUP BY 1, 2)
-    SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_deleted, 0) AS n_deleted, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text
-    FROM documents d LEFT JOIN back b ON d.doc_id = b.doc_id AND d.text = b.text
+    SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_deleted, 0) AS n_deleted, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text, coalesce(r.runs, '') AS runs
+    FROM documents d LEFT JOIN back b ON d.doc_id = b.doc_id AND d.text = b.text LEFT JOIN runs r ON d.doc_id = r.doc_id AND d.text = r.text
 """
 
 _WORDS = ", ".join(f"('{w}', {i}), ('{w.capitalize()}', {i})" for i, w in enumerate(dict.fromkeys(q.COMMON_WORDS)))

@@ -64,7 +64,9 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup(docs).select("doc_id", "lines.n_lines", "lines.n_deleted", "lines.text")
+    run = lambda r: F.concat_ws(":", r["begin"], r["lines"], r["source"]["doc"], r["source"]["i"])
+    runs = F.array_join(F.transform(F.coalesce("lines.runs", F.array()), run), ",").alias("runs")
+    return line_dedup.dedup(docs).select("doc_id", "lines.n_lines", "lines.n_deleted", "lines.text", runs)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,6 +85,29 @@ def brute_line_dedup(rows, min_lines=3, min_chars=40):
     return out
 
 
+def brute_runs(texts, least=3):
+    """doc, begin, lines, from_doc, from_begin of the maximal runs, by comparing each place with all before it."""
+    lines = [[x for x in t.split("\n") if x.strip(" \t\n\v\f\r")] for t in texts]
+    at = [(t, i) for t in range(len(texts)) for i in range(len(lines[t]))]
+    out, last, reach = set(), None, 0
+    for k, (t, i) in enumerate(at):
+        best = (0, 0, None)
+        for t0, i0 in at[:k]:
+            n = 0
+            while i + n < len(lines[t]) and i0 + n < len(lines[t0]) and lines[t][i + n] == lines[t0][i0 + n]:
+                n += 1
+            if n >= least and (n // least).bit_length() > best[0]:
+                best = ((n // least).bit_length(), n, (t0, i0))
+        reach = reach if i else 0
+        source = best[2]
+        follows = i > 0 and last is not None and source == (last[0], last[1] + 1)
+        if source is not None and not follows and i + best[1] > reach:
+            out.add((t, i, best[1], *source))
+            reach = i + best[1]
+        last = source
+    return out
+
+
 def test_line_dedup_of_overlapping_periodic_and_long_runs(spark):
     rng = np.random.default_rng(7)
     long = [f"line number {i} of a long run" for i in range(150)]
@@ -96,9 +119,36 @@ def test_line_dedup_of_overlapping_periodic_and_long_runs(spark):
     assert got == want and got[0] == (5, 1, "x\nx\nx\nend")
     con = duckdb.connect()
     con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
-    assert {r[0]: tuple(r[1:]) for r in con.execute(f"SELECT doc_id, n_lines, n_deleted, text FROM ({oracle.LINE_DEDUP})").fetchall()} == want
-    runs = {tuple(r) for r in line_dedup.repeated_runs(df).where("doc = 4 or doc = 6").collect()}
-    assert runs == {(4, 1, 130, 3, 20), (6, 0, 75, 3, 0), (6, 76, 75, 3, 75)}
+    rows = con.execute(f"SELECT doc_id, n_lines, n_deleted, text, runs FROM ({oracle.LINE_DEDUP})").fetchall()
+    assert {r[0]: tuple(r[1:4]) for r in rows} == want
+    runs = {tuple(r) for r in line_dedup.repeated_runs(df).collect()}
+    assert {r for r in runs if r[0] in (4, 6)} == {(4, 1, 130, 3, 20), (6, 0, 75, 3, 0), (6, 76, 75, 3, 75)}
+    assert runs == brute_runs(texts)
+    assert {r[0]: r[4] for r in rows if r[4]} == {d: ",".join(":".join(map(str, r[1:])) for r in sorted(runs) if r[0] == d) for d in {r[0] for r in runs}}
+
+
+def test_line_dedup_needs_all_its_doublings(spark):
+    long = [f"line {i}" for i in range(50)]
+    df = frame(spark, ["\n".join(long), "\n".join(["q", *long[7:], "r"])])
+    single, levels = line_dedup._levels(df, "doc_id", "text", 3, 12)
+    short = {tuple(r)[2:4] for r in line_dedup._maximal(single, levels).collect()}
+    assert short != {(1, 43)} == {tuple(r)[1:3] for r in line_dedup.repeated_runs(df).collect()}
+
+
+@pytest.mark.parametrize("least", [1, 2, 4])
+def test_line_dedup_of_other_lengths(spark, least):
+    rng = np.random.default_rng(least)
+    texts = ["\n".join(rng.choice(["a", "b", "c"], rng.integers(1, 25))) for _ in range(15)]
+    df = frame(spark, texts)
+    assert {tuple(r) for r in line_dedup.repeated_runs(df, min_lines=least).collect()} == brute_runs(texts, least)
+    got = {r.doc_id: tuple(r)[1:] for r in line_dedup.dedup(df, min_lines=least, min_chars=1 if least == 1 else 40).select("doc_id", "lines.n_lines", "lines.n_deleted", "lines.text").collect()}
+    assert got == brute_line_dedup(list(enumerate(texts)), least, 1 if least == 1 else 40)
+
+
+def test_line_dedup_beside_columns_named_like_its_own(spark):
+    rows = [(1, "a\nb\nc", "x", "y"), (2, "a\nb\nc\nd", "z", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __line_key string, ___LINE_gone string")
+    assert [tuple(r) for r in line_dedup.dedup(df).drop("lines").orderBy("doc_id").collect()] == rows
 
 
 def test_url_filter_equals_sql_on_made_up_pages(spark):
