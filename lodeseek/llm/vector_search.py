@@ -12,6 +12,7 @@ each meeting leaves the nearest few for each query.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -85,7 +86,7 @@ def fit(x: np.ndarray, rounds: int = ROUNDS) -> Codebooks:
 
 
 def nearest(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, codes: np.ndarray, books: Codebooks, k: int, again: int) -> list[tuple[int, int, float]]:
-    """(query, id, distance) of each query's k nearest ids in a block whose ids are sorted and whose pairs of id and vector are distinct.
+    """(place of the query, id, distance) of each query's k nearest ids in a block whose ids are sorted and whose pairs of id and vector are distinct.
 
     Equal vectors are scanned once; each has its k least ids (and one) ranked. Of the vectors of one id the nearest counts: where ids stand more
     than once, as many vectors are ranked again as hold `again` ids.
@@ -103,7 +104,7 @@ def nearest(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.n
     wanted = min(again, len(np.unique(ids)))
     repeated = len(np.unique(ids)) < len(ids)
     out = []
-    for q, own, some, score in zip(queries, query_ids, best, scores, strict=True):
+    for place, (q, own, some, score) in enumerate(zip(queries, query_ids, best, scores, strict=True)):
         rows = np.concatenate([order[starts[j] : min(starts[j + 1], starts[j] + k + 1)] for j in some])
         while repeated and len(some) < len(kinds) and len(np.unique(ids[rows])) < wanted:
             some = np.argsort(-score, kind="stable")[: 2 * len(some)]
@@ -116,7 +117,7 @@ def nearest(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.n
         if repeated:
             ranked = ranked[np.sort(np.unique(ids[rows[ranked]], return_index=True)[1])]
         for i in ranked[:k]:
-            out.append((int(own), int(ids[rows[i]]), float(far[i])))
+            out.append((place, int(ids[rows[i]]), float(far[i])))
     return out
 
 
@@ -132,20 +133,27 @@ def search(df: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: st
     """The k nearest rows of df (all, if fewer) to each row of queries, other ids than its own: query_id, rank from 1, vec_id, score.
 
     score is the exact Euclidean distance in double precision; ties go to the smaller vec_id. Vectors that are null, empty or zero, or hold a null or
-    non-finite component, take no part, nor do those whose number of components isn't the most frequent one (of equals the smallest). Rows with
-    equal vectors are all candidates; a row repeated with its id is one candidate, and an id with several vectors stands once, with the nearest. Empty tables
-    give no rows. Other columns aren't used, whatever their names.
+    non-finite component, take no part. A query meets the vectors of as many components as its own; each such number is searched by itself, so the work
+    grows with how many of them queries have. Rows with equal vectors are all candidates; a row repeated with its id is one candidate, and an id with several
+    vectors stands once, with the nearest. A query repeated with its vector is one query; of an id with several vectors each is searched, with ranks of
+    its own under the one query_id. Empty tables give no rows. Other columns aren't used, whatever their names.
     """
+    asked = materialize(_usable(queries, vec_id, vector).dropDuplicates(["id", "x"]), "queries")
     usable = _usable(df, vec_id, vector)
-    counted = usable.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    spark = df.sparkSession
+    lengths = sorted(r["d"] for r in asked.select(F.size("x").alias("d")).distinct().collect())
+    parts = [_of_length(usable.where(F.size("x") == d), asked.where(F.size("x") == d), d, k, sample, again, block_rows) for d in lengths]
     schema = "query_id long, rank int, vec_id long, score double"
-    if counted is None:
-        return spark.createDataFrame([], schema)
-    dim = counted["d"]
-    rows = materialize(usable.where(F.size("x") == dim).dropDuplicates(["id", "x"]), "vectors")
-    asked = _usable(queries, vec_id, vector).where(F.size("x") == dim).dropDuplicates(["id"])
+    found = [part for part in parts if part is not None]
+    return reduce(DataFrame.union, found) if found else df.sparkSession.createDataFrame([], schema)
+
+
+def _of_length(usable: DataFrame, asked: DataFrame, dim: int, k: int, sample: int, again: int, block_rows: int) -> DataFrame | None:
+    """The search among vectors of `dim` components; None without any."""
+    spark = usable.sparkSession
+    rows = materialize(usable.dropDuplicates(["id", "x"]), "vectors")
     drawn = rows.select("x", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(sample).collect()
+    if not drawn:
+        return None
     books = fit(np.array([r["x"] for r in drawn]))
     shared = spark.sparkContext.broadcast(books)
 
@@ -168,9 +176,11 @@ def search(df: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: st
             x = np.array(pdf["x"].tolist(), float).reshape(len(pdf), dim)
             codes = encode(x, shared.value)
             low = codes if codes.shape[1] % 2 == 0 else np.pad(codes, ((0, 0), (0, 1)))
-            return pd.DataFrame({"ids": [pdf["id"].to_numpy(np.int64).tobytes()], "vectors": [x.tobytes()], "codes": [(low[:, ::2] | low[:, 1::2] << 4).tobytes()]})
+            return pd.DataFrame({"ids": [pdf["id"].to_numpy(np.int64).tobytes()], "keys": [pdf["key"].to_numpy(np.int64).tobytes()], "vectors": [x.tobytes()], "codes": [(low[:, ::2] | low[:, 1::2] << 4).tobytes()]})
 
-        return frame.mapInPandas(packed, "ids binary, vectors binary, codes binary").select(*[F.col(c).alias(f"{name}_{c}") for c in ("ids", "vectors", "codes")])
+        # Vectors of one id are told apart by their hash.
+        keyed = frame.withColumn("key", F.xxhash64("x"))
+        return keyed.mapInPandas(packed, "ids binary, keys binary, vectors binary, codes binary").select(*[F.col(c).alias(f"{name}_{c}") for c in ("ids", "keys", "vectors", "codes")])
 
     def met(batches):
         books = shared.value
@@ -181,12 +191,14 @@ def search(df: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: st
                 x, q = np.frombuffer(row.v_vectors).reshape(-1, dim), np.frombuffer(row.q_vectors).reshape(-1, dim)
                 half = np.frombuffer(row.v_codes, np.uint8).reshape(len(ids), -1)
                 codes = np.stack([half & 15, half >> 4], 2).reshape(len(ids), -1)[:, :width]
-                yield pd.DataFrame(nearest(q, own, x, ids, codes, books, k, again), columns=["query_id", "vec_id", "score"])
+                near = pd.DataFrame(nearest(q, own, x, ids, codes, books, k, again), columns=["place", "vec_id", "score"])
+                place = near["place"].to_numpy(np.int64)
+                yield pd.DataFrame({"query_id": own[place], "key": np.frombuffer(row.q_keys, np.int64)[place], "vec_id": near["vec_id"], "score": near["score"]})
 
     vectors = materialize(blocks(rows, block_rows, "v"), "vector-blocks")
     asked = materialize(blocks(asked, QUERIES, "q"), "query-blocks")
-    pairs = vectors.crossJoin(asked.select("q_ids", "q_vectors"))
-    near = pairs.mapInPandas(met, "query_id long, vec_id long, score double")
-    best = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
+    pairs = vectors.drop("v_keys").crossJoin(asked.select("q_ids", "q_keys", "q_vectors"))
+    near = pairs.mapInPandas(met, "query_id long, key long, vec_id long, score double")
+    best = near.groupBy("query_id", "key", "vec_id").agg(F.min("score").alias("score"))
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "key").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -235,6 +235,24 @@ def test_vector_search_recall_ties_and_odd_vectors(spark):
     assert vector_search.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_vector_search_of_several_lengths_and_query_ids_of_several_vectors(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, [float(v) for v in rng.normal(size=6 if i % 3 else 4)]) for i in range(90)]
+    rows += [(0, [float(v) for v in rng.normal(size=4)]), (0, [float(v) for v in rng.normal(size=6)]), rows[0], (500, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = []
+    for q in {(i, tuple(x)) for i, x in rows if i % 100 == 0}:
+        near = {}
+        for i, x in rows:
+            if i != q[0] and len(x) == len(q[1]):
+                d = float(np.sqrt(((np.array(x) - q[1]) ** 2).sum()))
+                near[i] = min(d, near.get(i, d))
+        want += [(q[0], r, i, round(d, 9)) for r, (d, i) in enumerate(sorted((d, i) for i, d in near.items())[:10], 1)]
+    got = [(*tuple(r)[:3], round(r.score, 9)) for r in vector_search.search(df, df.where("vec_id % 100 = 0")).collect()]
+    assert sorted(got) == sorted(want) and len(got) == 30
+    assert vector_search.search(df.where("size(embedding) = 4"), df.where("vec_id = 500")).count() == 0
+
+
 def test_vector_search_of_repeated_rows(spark):
     rng = np.random.default_rng(14)
     x = rng.normal(size=(600, 8))
