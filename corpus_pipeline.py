@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.llm import line_dedup, near_dedup, packing, quality_rules, secret_scan
-from lodeseek.llm.common import column, materialize, table
+from lodeseek.llm.common import column, free_prefix, materialize, table
 
 
 def _with_text(rows: DataFrame, columns: list[str], text) -> DataFrame:
@@ -29,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs go from the texts; a document of which no line with a word is left goes."""
-    out = "__lines"
+    out = free_prefix("__lines", docs.columns)
     found = line_dedup.dedup(docs, out=out).where(F.col(f"{out}.n_deleted") < F.greatest(F.col(f"{out}.n_lines"), F.lit(1)))
     return _with_text(found, docs.columns, F.col(f"{out}.text"))
 
@@ -40,20 +40,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows are told apart by a key of their own: rows that share an id, or have none, are documents like others. Texts without a
     word are alike with none but rows of their id.
     """
-    rows = materialize(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed")
-    found = near_dedup.near_duplicates(rows, "__key").select(F.col("doc_id").alias("__node"), "component_id", (F.col("n_shingles") > 0).alias("__worded"))
-    both = rows.select("__key", "doc_id").join(found, F.col("__key") == F.col("__node"))
-    empty = ~F.col("__worded")
-    group = [F.when(F.col("__worded"), F.col("component_id")), F.when(empty, F.col("doc_id")), F.when(empty & F.col("doc_id").isNull(), F.col("__key"))]
-    first = both.groupBy(*[g.alias(f"__g{i}") for i, g in enumerate(group)]).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")).alias("first"))
-    kept = first.select(F.col("first.__key").alias("__kept"))
-    return rows.join(kept, F.col("__key") == F.col("__kept"), "left_semi").select(*[column(c) for c in docs.columns])
+    own = free_prefix("__near_", docs.columns)
+    key, node, worded, kept = (own + name for name in ("key", "node", "worded", "kept"))
+    rows = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    found = near_dedup.near_duplicates(rows, key).select(F.col("doc_id").alias(node), "component_id", (F.col("n_shingles") > 0).alias(worded))
+    both = rows.select(key, "doc_id").join(found, F.col(key) == F.col(node))
+    empty = ~F.col(worded)
+    group = [F.when(F.col(worded), F.col("component_id")), F.when(empty, F.col("doc_id")), F.when(empty & F.col("doc_id").isNull(), F.col(key))]
+    first = both.groupBy(*[g.alias(f"{own}g{i}") for i, g in enumerate(group)]).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key)).alias("first"))
+    ids = first.select(F.col(f"first.{key}").alias(kept))
+    return rows.join(ids, F.col(key) == F.col(kept), "left_semi").select(*[column(c) for c in docs.columns])
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts become marks; all documents stay."""
     net = secret_scan.learn(docs)
-    return _with_text(secret_scan.scan(docs, net, out="__secrets"), docs.columns, F.col("__secrets.redacted"))
+    out = free_prefix("__secrets", docs.columns)
+    return _with_text(secret_scan.scan(docs, net, out=out), docs.columns, F.col(f"{out}.redacted"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
