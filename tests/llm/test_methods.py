@@ -374,3 +374,13 @@ def test_bpe_automaton_lists_the_tokens_that_end_at_each_place():
     for text in ["sword swords", "é" * 30, "0" * 50, " \n\t  x", "日本語 テスト"]:
         codec.words.clear()
         assert codec.encode([text])[0] == [i for w in codec.cut(text) for i in codec.merged(w.encode())]
+
+
+def test_pipeline_stages_beside_columns_named_like_their_own(spark):
+    text = "one\ntwo\nthree\nfour\nfive six seven eight nine ten"
+    rows = [(1, text, "x", "p", "q", "s"), (2, text, None, "p", "q", "s"), (3, "z", "y", "p", "q", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __key string, __near_node string, __LINES string, __secrets string")
+    first_and_last = [rows[0], rows[2]]
+    for stage in (corpus_pipeline.lines, corpus_pipeline.near_duplicates):
+        assert [tuple(r) for r in stage(spark, df, "").orderBy("doc_id").collect()] == first_and_last
+    assert [tuple(r) for r in corpus_pipeline.secrets(spark, df, "").orderBy("doc_id").collect()] == rows
