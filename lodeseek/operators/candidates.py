@@ -1,7 +1,7 @@
 """Candidates of a batch of queries: scans by place, full-text top-k by BM25, fuzzy top-k by trigrams, and synonyms.
 
-Queries are a DataFrame; nothing here loops over them. Joins are equi-joins: prefixes meet tokens by their first characters. Sizes decide
-whether a side is broadcast, so no hint is given.
+Queries are a DataFrame; nothing here loops over them. Joins are equi-joins: prefixes meet tokens by their first characters. Tables that grow with the
+entities are never broadcast: their files are far smaller than their rows, so an estimate by files would send millions of rows through the driver.
 """
 
 from __future__ import annotations
@@ -63,12 +63,12 @@ def token_hits(terms: DataFrame, index: TextIndex) -> DataFrame:
     words = terms.select("term").distinct().withColumn("words", F.split("term", " "))
     vocabulary = index.vocabulary
     one = words.where(F.size("words") == 1).select("term", F.col("term").alias("prefix"))
-    single = one.join(prefix_matches(one, vocabulary), "prefix").join(index.postings, "token").groupBy("term", "token", "id").agg(F.sum("tf").alias("f"))
+    single = one.join(prefix_matches(one, vocabulary), "prefix").join(index.postings.hint("merge"), "token").groupBy("term", "token", "id").agg(F.sum("tf").alias("f"))
     many = words.where(F.size("words") > 1).select("term", F.size("words").alias("n"), F.posexplode("words").alias("j", "word"))
     last = many.where("j = n - 1").withColumnRenamed("word", "prefix")
     exact = many.where("j < n - 1").select("term", "n", "j", F.col("word").alias("token"))
     parts = exact.unionByName(last.join(prefix_matches(last, vocabulary), "prefix").select("term", "n", "j", "token"))
-    places = parts.join(index.postings, "token").select("term", "n", "j", "id", "field", F.explode("positions").alias("p"))
+    places = parts.join(index.postings.hint("merge"), "token").select("term", "n", "j", "id", "field", F.explode("positions").alias("p"))
     phrases = places.groupBy("term", "id", "field", (F.col("p") - F.col("j")).alias("at")).agg(F.count_distinct("j").alias("have"), F.first("n").alias("n")).where("have = n")
     return single.unionByName(phrases.groupBy("term", F.col("term").alias("token"), "id").agg(F.count(F.lit(1)).alias("f")))
 
@@ -100,7 +100,7 @@ def bm25(terms: DataFrame, index: TextIndex, hits: DataFrame | None = None) -> D
     seen = hits.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("n"))
     idf = F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     weighed = seen.crossJoin(corpus).select("term", "mean_len", F.when(idf > 0, idf).otherwise(LEAST_IDF).alias("idf"))
-    scored = hits.join(weighed, "term").join(index.docs, "id")
+    scored = hits.join(weighed, "term").join(index.docs.hint("merge"), "id")
     part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("doc_len") / F.col("mean_len")))
     by_term = scored.select("term", "id", part.alias("part"))
     return terms.join(by_term, "term").groupBy("query_id", "id").agg((-F.sum("part")).alias("fts_rank"))
@@ -122,7 +122,7 @@ def in_wanted_category(met: DataFrame, entities: DataFrame, locale: Locale | Non
     """met (id, q_category, ...) of entities in the category wanted; all of it without a locale, or where categories aren't mapped."""
     if locale is None or not is_mapped(entities, "categories_n"):
         return met
-    return met.join(entities.select("id", "categories_n"), "id").where(in_category(F.col("categories_n"), F.col("q_category"), locale)).drop("categories_n")
+    return met.join(entities.select("id", "categories_n").hint("merge"), "id").where(in_category(F.col("categories_n"), F.col("q_category"), locale)).drop("categories_n")
 
 
 def first_rows(rows: DataFrame, order: list[Column], times: int, most: int | None) -> DataFrame:
@@ -137,7 +137,7 @@ def first_rows(rows: DataFrame, order: list[Column], times: int, most: int | Non
 
 def fts_top(ranked: DataFrame, queries: DataFrame, entities: DataFrame, locale, most: int | None = None) -> DataFrame:
     """(query_id, id, fts_rank, pos): at most 3 x limit for each query, after its filters on location and category. most: see first_rows."""
-    kept = ranked.join(queries.select("query_id", F.col("location_slug").alias("q_location"), F.col("category_slug").alias("q_category"), "limit"), "query_id").join(entities.select("id", "location_slug", "categories_n"), "id")
+    kept = ranked.join(queries.select("query_id", F.col("location_slug").alias("q_location"), F.col("category_slug").alias("q_category"), "limit"), "query_id").join(entities.select("id", "location_slug", "categories_n").hint("merge"), "id")
     if is_mapped(entities, "location_slug"):
         kept = kept.where(at_location(F.col("location_slug"), F.col("q_location")))
     if is_mapped(entities, "categories_n"):
@@ -159,7 +159,7 @@ def rarest(asked: DataFrame, counts: DataFrame) -> DataFrame:
 def probed(asked: DataFrame, trigrams: DataFrame, counts: DataFrame | None) -> DataFrame:
     """(query_id, id), each once: entities that have one of a query's rarest trigrams."""
     counts = trigram_counts(trigrams) if counts is None else counts
-    return rarest(asked, counts).join(trigrams.select("trigram", "id"), "trigram").select("query_id", "id").distinct()
+    return rarest(asked, counts).join(trigrams.select("trigram", "id").hint("merge"), "trigram").select("query_id", "id").distinct()
 
 
 def fuzzy_top(queries: DataFrame, trigrams: DataFrame, entities: DataFrame, counts: DataFrame | None = None, held: DataFrame | None = None, most: int | None = None, strict: Locale | None = None) -> DataFrame:
@@ -175,9 +175,9 @@ def fuzzy_top(queries: DataFrame, trigrams: DataFrame, entities: DataFrame, coun
     held = entity_trigrams(trigrams) if held is None else held
     met = probed(asked, trigrams, counts).join(asked, "query_id")
     if is_mapped(entities, "location_slug"):
-        met = met.join(entities.select("id", "location_slug"), "id").where(at_location(F.col("location_slug"), F.col("q_location")))
+        met = met.join(entities.select("id", "location_slug").hint("merge"), "id").where(at_location(F.col("location_slug"), F.col("q_location")))
     met = in_wanted_category(met, entities, strict)
-    kept = met.join(held, "id").withColumn("shared", F.size(F.array_intersect("grams", "held"))).where("shared >= least")
+    kept = met.join(held.hint("merge"), "id").withColumn("shared", F.size(F.array_intersect("grams", "held"))).where("shared >= least")
     kept = kept.withColumn("fuzzy_score", F.col("shared") / F.col("q").cast("double"))
     return first_rows(kept, [F.desc("fuzzy_score"), F.col("id")], 2, most).select("query_id", "id", "fuzzy_score", "pos")
 

@@ -25,7 +25,7 @@ def merge(fts: DataFrame, fuzzy: DataFrame) -> DataFrame:
 def score(merged: DataFrame, queries: DataFrame, entities: DataFrame, positive_rank: bool = False) -> DataFrame:
     """merged with the entities' columns, score, distance_km, walking_min and has_fts."""
     asked = queries.select("query_id", "normalized", "geo_intent", F.col("lat").alias("q_lat"), F.col("lng").alias("q_lng"), trigrams_of(F.col("normalized")).alias("grams"))
-    rows = merged.join(asked, "query_id").join(entities.select("id", "name", "slug", "lat", "lng", "name_n", "categories_n", "location_n"), "id")
+    rows = merged.join(asked, "query_id").join(entities.select("id", "name", "slug", "lat", "lng", "name_n", "categories_n", "location_n").hint("merge"), "id")
     rank = F.col("fts_rank") if positive_rank else F.greatest(F.lit(0.0), -F.col("fts_rank") / RANK_SCALE)
     alike = lambda c: jaccard(F.col("grams"), trigrams_of(F.col(c)))
     rows = rows.withColumn("distance_km", haversine_km(F.col("q_lat"), F.col("q_lng"), F.col("lat"), F.col("lng")))

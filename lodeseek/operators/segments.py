@@ -125,7 +125,7 @@ class StoredIndex:
         rows = self.table("entities")
         if not self.manifest.dirty:
             return rows
-        return rows.join(self.dead.withColumnRenamed("id", "gone"), (F.col("id") == F.col("gone")) & (F.col("segment") < F.col("until")), "left_anti")
+        return rows.join(self.dead.withColumnRenamed("id", "gone").hint("merge"), (F.col("id") == F.col("gone")) & (F.col("segment") < F.col("until")), "left_anti")
 
     @property
     def dirty_blocks(self) -> DataFrame:
@@ -142,7 +142,7 @@ class StoredIndex:
         """rows (id, segment, ...) of live entities, with columns of these. Segments are compared by two inequalities: as a further key of the join they would
         make Spark shuffle the entities, which lie in buckets by id."""
         live = self.live.select(F.col("id").alias("live_id"), F.col("segment").alias("live_segment"), *columns)
-        met = rows.join(live, (F.col("id") == F.col("live_id")) & (F.col("segment") >= F.col("live_segment")) & (F.col("segment") <= F.col("live_segment")), how)
+        met = rows.join(live.hint("merge"), (F.col("id") == F.col("live_id")) & (F.col("segment") >= F.col("live_segment")) & (F.col("segment") <= F.col("live_segment")), how)
         return met.drop("live_id", "live_segment")
 
     def _live_rows(self, name: str) -> DataFrame:
@@ -247,7 +247,7 @@ class StoredIndex:
         superseded = write("superseded", dead)
         each = field_texts(stored).withColumn("tokens", tokens_of(F.col("text"))).select("id", "field", F.posexplode("tokens").alias("position", "token"))
         counted = each.groupBy("token", "id", "field").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
-        postings = write("postings", counted.join(stored.select("id", "block", "doc_len"), "id").select("token", "block", "id", "field", "tf", "positions", "doc_len"))
+        postings = write("postings", counted.join(stored.select("id", "block", "doc_len").hint("merge"), "id").select("token", "block", "id", "field", "tf", "positions", "doc_len"))
         ends = F.sequence(F.lit(1), F.least(F.length("token"), F.lit(LONGEST_PREFIX)))
         whole = postings.groupBy("token", "block", "id").agg(F.sum("tf").alias("f"), F.first("doc_len").alias("doc_len"))
         begun = whole.select(F.explode(F.transform(ends, lambda n: F.substring("token", F.lit(1), n))).alias("prefix"), "block", "id", "f", "doc_len")

@@ -63,7 +63,7 @@ def met(asked: DataFrame, index: SimilarityIndex, degree: float) -> DataFrame:
     shared = _least((F.col("q") + F.col("size")) * (degree / (1 + degree)))
     left = F.least(F.col("q") - F.col("q_place"), F.col("size") - F.col("place"))
     fits = (F.col("size") >= _least(F.col("q") * degree)) & (F.col("size") * degree <= F.col("q") + 1e-9) & (F.col("place") <= F.col("size") - _least(F.col("size") * degree)) & (left >= shared)
-    return each.join(index.entries, "trigram").where(fits).select("query_id", "id", "field")
+    return each.join(index.entries.hint("merge"), "trigram").where(fits).select("query_id", "id", "field")
 
 
 def similarity_top(queries: DataFrame, index: SimilarityIndex, entities: DataFrame, threshold: float = 0.1, most: int | None = None, strict: Locale | None = None) -> DataFrame:
@@ -79,9 +79,9 @@ def similarity_top(queries: DataFrame, index: SimilarityIndex, entities: DataFra
     out, written = None, [open_]
     degrees = [d for d in DEGREES if d > threshold] + [threshold]
     for degree in degrees:
-        pairs = met(open_, index, degree).distinct().join(index.fields.withColumnRenamed("grams", "held"), ["id", "field"]).join(open_, "query_id")
+        pairs = met(open_, index, degree).distinct().join(index.fields.withColumnRenamed("grams", "held").hint("merge"), ["id", "field"]).join(open_, "query_id")
         if is_mapped(entities, "location_slug"):
-            pairs = pairs.join(entities.select("id", "location_slug"), "id").where(at_location(F.col("location_slug"), F.col("q_location")))
+            pairs = pairs.join(entities.select("id", "location_slug").hint("merge"), "id").where(at_location(F.col("location_slug"), F.col("q_location")))
         pairs = in_wanted_category(pairs, entities, strict)
         score = padded_similarity(F.col("grams"), F.col("held"))
         alike = pairs.withColumn("fuzzy_score", score).where(F.col("fuzzy_score") > threshold).groupBy("query_id", "id", "limit").agg(F.max("fuzzy_score").alias("fuzzy_score"))

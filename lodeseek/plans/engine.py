@@ -237,7 +237,7 @@ class Search:
     def results(self) -> DataFrame:
         """query_id, section, rank, id, name, slug, lat, lng, distance_km, walking_min, score (null for scans)."""
         columns = ["query_id", "section", "rank", "id", "name", "slug", "lat", "lng", "distance_km", "walking_min", "score"]
-        scans = self.by_location.unionByName(self.by_point).join(self.entities.select("id", "name", "slug", "lat", "lng"), "id")
+        scans = self.by_location.unionByName(self.by_point).join(self.entities.select("id", "name", "slug", "lat", "lng").hint("merge"), "id")
         scans = scans.select("*", F.lit("primary").alias("section"), F.col("pos").cast("int").alias("rank"), walking_minutes(F.col("distance_km")).alias("walking_min"), F.lit(None).cast("double").alias("score"))
         return self.pages.select(*columns).unionByName(scans.select(*columns))
 

@@ -118,3 +118,13 @@ def test_index_maintenance(spark, studios):
     report = index.sync_report(studios, studios.select("id").where("id <> 3").union(spark.createDataFrame([(77,)], "id long"))).first()
     assert tuple(report) == (9, 9, 1, 1)
     assert tuple(index.sync_report(studios.limit(0), studios.select("id").limit(0)).first()) == (0, 0, 0, 0)
+
+
+def test_tables_of_entities_are_not_broadcast(spark, studios):
+    """However small their files are: the plans of a search send no table that grows with the entities through the driver."""
+    queries = spark.createDataFrame([(1, "yoga", None, None, None, None, 20, 0)], QUERY_SCHEMA)
+    search = Search(studios, queries, spark.createDataFrame([], SYNONYM_SCHEMA), SearchConfig(locale=POLISH))
+    for stage in (search.ranked, search.scored, candidates.fuzzy_top(search.text, search.indexes.trigrams, studios)):
+        optimized = stage._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=merge" in optimized
+    search.close()
