@@ -39,6 +39,14 @@ def expand_synonyms(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     return queries.join(joined, "query_id")
 
 
+def expand_for_terms(queries: DataFrame, synonyms: DataFrame, most: int = 6) -> DataFrame:
+    """expand_synonyms as far as the first `most` full-text terms go: only queries whose own words give fewer are expanded, the others keep their words."""
+    words = F.filter(F.split("normalized", " "), lambda t: t != "")
+    enough = F.size(fts_terms(words, most)) >= most
+    whole = queries.where(enough).withColumn("tokens", words)
+    return whole.unionByName(expand_synonyms(queries.where(F.coalesce(~enough, F.lit(True))), synonyms))
+
+
 def query_terms(expanded: DataFrame, most: int = 6) -> DataFrame:
     """(query_id, term): the distinct full-text terms of expanded queries."""
     return expanded.select("query_id", F.explode(F.array_distinct(fts_terms(F.col("tokens"), most))).alias("term"))

@@ -144,3 +144,13 @@ def test_candidates_of_small_files_are_not_broadcast(spark, tmp_path):
     found = resolver.match_tokens(spark.read.parquet(f"{tmp_path}/queries"), spark.read.parquet(f"{tmp_path}/lookup"), POLISH)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert {(r["matched"], r["slug"]) for r in found.collect()} == {("word", "w")} and found.count() == 200
+
+
+def test_queries_with_enough_words_need_no_synonyms(spark):
+    queries = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b"), (3, "- a - b c d e"), (4, "")], "query_id long, normalized string")
+    synonyms = spark.createDataFrame([("a", f"s{i:03}") for i in range(200)] + [("a b", "-")], "alias string, canonical string")
+    short, whole = (f(queries, synonyms).collect() for f in (candidates.expand_for_terms, candidates.expand_synonyms))
+    sizes = {r.query_id: len(r.tokens) for r in short}
+    assert sizes[1] == 7 and sizes[2] > 200 and len(short) == 4
+    terms = lambda rows: {r.query_id: [t for t in (x.replace("-", "") for x in r.tokens) if t][:6] for r in rows}
+    assert terms(short) == terms(whole)
