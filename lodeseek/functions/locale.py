@@ -15,7 +15,6 @@ from .text import bound, normalize, strip_diacritics, trimmed
 
 #: Word edges and white space of the patterns, spelled out so that they mean the same in every engine.
 _B0, _B1 = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
-_NEVER = "(?!)()"
 _S = r"[\s\x{00A0}\x{FEFF}\x{2028}\x{2029}]"
 
 
@@ -25,6 +24,16 @@ def _letters(pattern: str) -> str:
     return max(re.findall("[a-z]+", plain), key=len, default="") if re.fullmatch("(?:[a-z]+| [+*]?)*", plain) else ""
 
 
+def _replaced(text: Column, letters: str, pattern: str, by: str) -> Column:
+    """text with what fits the pattern replaced, if it holds the letters; else text itself, unread by the pattern."""
+    return bound(text, lambda x: F.when(F.contains(x, F.lit(letters)), F.regexp_replace(x, pattern, by)).otherwise(x))
+
+
+def _spaced(text: Column) -> Column:
+    """Runs of white space collapsed, ends trimmed."""
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
 @dataclass(frozen=True)
 class Locale:
     name: str = "generic"
@@ -42,38 +51,45 @@ class Locale:
 
     def has_geo_intent(self, query: Column) -> Column:
         """Whether a pattern occurs in the folded, lower-cased query; never without patterns."""
-        found = lambda text: reduce(or_, [F.contains(text, F.lit(_letters(p))) & text.rlike(f"(?i){p}") for p in self.geo_patterns])
-        return bound(F.lower(self.fold(F.coalesce(query, F.lit("")))), found) if self.geo_patterns else F.lit(False)
+        return bound(F.lower(self.fold(F.coalesce(query, F.lit("")))), self._found) if self.geo_patterns else F.lit(False)
+
+    def geo(self, query: Column) -> Column:
+        """has_geo_intent and strip_geo_intent as a structure of `intent` and `rest`; the query is folded once."""
+        if not self.geo_patterns:
+            return F.struct(F.lit(False).alias("intent"), query.alias("rest"))
+        both = lambda text: F.struct(self._found(text).alias("intent"), _spaced(self._without_intent(text, "")).alias("rest"))
+        return bound(F.lower(self.fold(F.coalesce(query, F.lit("")))), both)
+
+    def _found(self, text: Column) -> Column:
+        return reduce(or_, [F.contains(text, F.lit(_letters(p))) & text.rlike(f"(?i){p}") for p in self.geo_patterns])
 
     def strip_geo_intent(self, query: Column) -> Column:
         """The query with the first occurrence of each pattern, in order, removed; spaces collapsed. Unchanged without patterns."""
         if not self.geo_patterns:
             return query
-        out = bound(F.lower(self.fold(F.coalesce(query, F.lit("")))), lambda text: self._without_intent(text, ""))
-        return F.trim(F.regexp_replace(out, r"\s+", " "))
+        return _spaced(self._without_intent(F.lower(self.fold(F.coalesce(query, F.lit("")))), ""))
 
     def _without_intent(self, text: Column, by: str) -> Column:
         """Lower-case text with the first occurrence of each pattern, in order, replaced.
 
-        A pattern is looked for only in texts that hold its longest run of letters. What stands beside a place that was replaced is no letter, so no such run
-        can come about on the way.
+        A pattern is looked for only in texts that hold its longest run of letters; others stay as they are.
         """
         out = text
         for p in self.geo_patterns:
-            out = F.regexp_replace(out, F.when(F.contains(text, F.lit(_letters(p))), f"(?is)\\A(.*?){p}").otherwise(_NEVER), F.lit(f"$1{by}"))
+            out = _replaced(out, _letters(p), f"(?is)\\A(.*?){p}", f"$1{by}")
         return out
 
     def _without_phrases(self, normalized: Column) -> Column:
         out = self._without_intent(normalized, " ")
         for phrase in sorted(self.stop_phrases, key=len, reverse=True):
-            out = F.regexp_replace(out, F.when(F.contains(normalized, F.lit(phrase)), f"{_B0}{phrase}{_B1}").otherwise(_NEVER), F.lit(" "))
+            out = _replaced(out, phrase, f"{_B0}{phrase}{_B1}", " ")
         return out
 
     def strip_stop_words(self, normalized: Column) -> Column:
         """Normalised text without geo intent, stop phrases (longest first) and stop tokens. Unchanged in a locale without any."""
         if not (self.geo_patterns or self.stop_phrases or self.stop_tokens):
             return normalized
-        out = bound(normalized, self._without_phrases)
+        out = self._without_phrases(normalized)
         tokens = F.filter(F.split(F.regexp_replace(out, r"\s+", " "), " "), lambda t: (t != "") & ~t.isin(list(self.stop_tokens)) if self.stop_tokens else t != "")
         return F.array_join(tokens, " ")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import walking_minutes
 from ..functions.locale import GENERIC, Locale
-from ..functions.text import MIN_SEARCH_TOKEN_LENGTH, trimmed
+from ..functions.text import MIN_SEARCH_TOKEN_LENGTH, is_blank
 from ..operators import candidates, ranking
 from ..operators.blockmax import BlockMaxSearch
 from ..operators.index import TextIndex, entity_trigrams, text_index, trigram_counts, trigram_index
@@ -89,13 +89,14 @@ def persist_indexes(indexes: Indexes) -> Indexes:
 def routed(queries: DataFrame, config: SearchConfig) -> DataFrame:
     """queries with geo_intent, normalized and route: location, geo, none or text. limit and offset get their defaults, 20 and 0."""
     locale = config.locale
-    blank = trimmed(F.coalesce("query", F.lit(""))) == ""
-    intent = ~blank & locale.has_geo_intent(F.col("query"))
-    rows = queries.withColumns({"location_slug": F.nullif(F.col("location_slug"), F.lit("")), "category_slug": F.nullif(F.col("category_slug"), F.lit("")), "limit": F.coalesce("limit", F.lit(20)), "offset": F.coalesce("offset", F.lit(0)), "geo_intent": intent, "cleaned": locale.strip_geo_intent(F.col("query"))})
+    queries = queries.withColumns({"blank": is_blank(F.coalesce("query", F.lit(""))), "geo": locale.geo(F.col("query"))})
+    blank = F.col("blank")
+    intent = ~blank & F.col("geo.intent")
+    rows = queries.withColumns({"location_slug": F.nullif(F.col("location_slug"), F.lit("")), "category_slug": F.nullif(F.col("category_slug"), F.lit("")), "limit": F.coalesce("limit", F.lit(20)), "offset": F.coalesce("offset", F.lit(0)), "geo_intent": intent, "cleaned": F.col("geo.rest")})
     cleaned = F.when(F.col("geo_intent"), F.col("cleaned")).otherwise(F.coalesce("query", F.lit("")))
     rows = rows.withColumn("normalized", locale.normalize(cleaned)).drop("cleaned")
     place = F.when(F.coalesce("location_slug", F.lit("")) != "", "location").when(F.col("lat").isNotNull() & F.col("lng").isNotNull(), "geo").otherwise("none")
-    return rows.withColumn("route", F.when(blank | (F.col("geo_intent") & (F.col("normalized") == "")), place).otherwise("text"))
+    return rows.withColumn("route", F.when(blank | (F.col("geo_intent") & (F.col("normalized") == "")), place).otherwise("text")).drop("blank", "geo")
 
 
 class Search:

@@ -84,3 +84,23 @@ def test_geo(spark):
     box = geo.bounding_box(F.lit(50.0), F.lit(20.0), F.lit(10.0))
     row = spark.range(1).select(*[v.alias(k) for k, v in box.items()]).first()
     assert 50 - row.min_lat == pytest.approx(row.max_lat - 50) and 20 - row.min_lng == pytest.approx(row.max_lng - 20)
+
+
+def test_intent_and_rest_come_from_one_fold(spark):
+    """Texts are folded once, and no pattern stands for texts that lack its letters."""
+    said = ["Żółw BLISKO   mnie i dalej", "blisko", "nearme closest", "W  Okolicy, niedaleko", "étude Å 각 w poblizu", "", None, " x  y ", "najblizszy near me around me"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, q string").repartition(2)
+    both = rows.select("i", POLISH.geo(F.col("q")).alias("geo"), POLISH.has_geo_intent(F.col("q")).alias("intent"), POLISH.strip_geo_intent(F.col("q")).alias("rest"))
+    assert all((r.geo.intent, r.geo.rest) == (r.intent, r.rest) for r in both.collect())
+    plan = rows.select("i", POLISH.geo(F.col("q")).alias("geo"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "(?!)" not in plan
+    assert "x y" in {r.geo.rest for r in both.collect()}
+
+
+def test_words_are_found_by_ranges(spark):
+    """Runs of what is no letter, digit or hyphen become one space, whatever they are made of; blank is what trims to nothing."""
+    every = "".join(map(chr, [*range(1, 0xD800, 1), *range(0xE000, 0x11000)]))
+    rows = spark.createDataFrame([(every,), ("a  -b\t\n{|}~c,./:d",), (" 　 ﻿",), (" x",), ("",)], "t string")
+    slow = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(F.translate(F.col("t"), text.folding(True)[0], text.folding(True)[1]), text.MARKS, "")), r"[^a-z0-9\s-]", " "), r"\s+", " "))
+    got = rows.select(text.normalize(F.col("t")).alias("fast"), slow.alias("slow"), text.is_blank(F.col("t")).alias("blank"), (text.trimmed(F.col("t")) == "").alias("none")).collect()
+    assert all(r.fast == r.slow and r.blank == r.none for r in got) and [r.blank for r in got] == [False, False, True, False, True]
