@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import threading
 
 import pytest
@@ -154,3 +155,20 @@ def test_queries_with_enough_words_need_no_synonyms(spark):
     assert sizes[1] == 7 and sizes[2] > 200 and len(short) == 4
     terms = lambda rows: {r.query_id: [t for t in (x.replace("-", "") for x in r.tokens) if t][:6] for r in rows}
     assert terms(short) == terms(whole)
+
+
+def test_synonyms_travel_in_lists_of_their_alias(spark, monkeypatch):
+    monkeypatch.setattr(candidates, "LISTED_BITS", 3)
+    named = {"a": [f"c{i:02}" for i in range(40)], "b": [f"c{i:02}" for i in range(0, 60, 3)], "b a": ["a", "zz", "c01"], "x": ["y"]}
+    synonyms = spark.createDataFrame([(a, c) for a, cs in named.items() for c in cs + cs[:2]] + [("a", None)], "alias string, canonical string")
+    queries = spark.createDataFrame([(1, "b a"), (2, "a b c05"), (3, "q"), (4, "")], "query_id long, normalized string")
+    got = candidates.expand_synonyms(queries, synonyms)
+
+    def model(text):
+        words = text.split()
+        aliases = words + [" ".join(p) for p in zip(words, words[1:])]
+        return words + [c for c in dict.fromkeys(c for a in aliases for c in sorted(named.get(a, []))) if c not in words]
+
+    assert {r.query_id: r.tokens for r in got.collect()} == {r.query_id: model(r.normalized) for r in queries.collect()}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"keys=\[query_id#\d+L?, canonical", plan), "a row for each query and canonical isn't shuffled"
