@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import discard, materialize
 
 #: Numbers of rows that share a window are alike but for so many low bits: a name that stands in very many rows is spread over windows.
-WINDOW_BITS = 12
+WINDOW_BITS = 20
 
 
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
@@ -19,16 +19,18 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
 def last_before(asks: DataFrame, events: DataFrame) -> DataFrame:
     """asks (name, k, ...) with `before`, the greatest k of an event (name, k) of that name strictly less than the ask's; else null. ks of asks are unique.
 
-    Within a run of numbers a window finds it; across runs each run's last event is carried on. So no task sorts all rows of a name.
+    Within a run of numbers a window finds it; across runs each run's last event is carried on. So no task sorts all rows of a name. The asks' other columns
+    travel with them and needn't be joined again.
     """
+    extra = [c for c in asks.columns if c not in ("name", "k")]
     run = F.shiftright("k", WINDOW_BITS).alias("run")
-    marks = events.select("name", "k", F.lit(1).alias("event")).unionByName(asks.select("name", "k", F.lit(0).alias("event"))).select("*", run)
+    marks = events.select("name", "k", F.lit(1).alias("event")).unionByName(asks.select("*", F.lit(0).alias("event")), allowMissingColumns=True).select("*", run)
     inside = Window.partitionBy("name", "run").orderBy("k", "event")
-    near = marks.withColumn("near", F.last(F.when(F.col("event") == 1, F.col("k")), ignorenulls=True).over(inside)).where("event = 0").select("name", "k", "run", "near")
+    near = marks.withColumn("near", F.last(F.when(F.col("event") == 1, F.col("k")), ignorenulls=True).over(inside)).where("event = 0").select(*asks.columns, "run", "near")
     lasts = marks.groupBy("name", "run").agg(F.max(F.when(F.col("event") == 1, F.col("k"))).alias("last"))
     carried = lasts.withColumn("far", F.last("last", ignorenulls=True).over(Window.partitionBy("name").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)))
-    found = near.join(carried.select("name", "run", "far"), ["name", "run"]).select("k", F.coalesce("near", "far").alias("before"))
-    return asks.join(found, "k")
+    carried = carried.where("far is not null").select("name", "run", "far")
+    return near.join(carried, ["name", "run"], "left").select("name", "k", *extra, F.coalesce("near", "far").alias("before"))
 
 
 def reaches(graph: DataFrame) -> DataFrame:

@@ -188,3 +188,12 @@ def test_first_areas_settle_queries_in_their_rows(spark, monkeypatch, first, few
     assert {r.query_id: r.area for r in got.collect()} == {1: "a", 2: "b c", 3: "c d", 4: "", 5: "late", 6: None, 7: None, 8: None, 9: "d", 10: None}
     open_ = [{r.query_id for r in t.where("q is not null").collect()} for t in tried]
     assert open_ == {0: [{1, 2, 3, 4, 5, 8, 9, 10}], 2: [{3, 4, 5, 8, 9, 10}], 64: []}[first]
+
+
+def test_what_an_ask_carries_is_not_joined_again(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "WINDOW_BITS", 2)
+    asks = spark.createDataFrame([("a", k, f"r{k}") for k in range(0, 40, 3)] + [("b", 5, None), ("none", 7, "x")], "name string, k long, root string")
+    events = spark.createDataFrame([("a", 0), ("a", 17), ("a", 18), ("b", 5), ("b", 4)], "name string, k long")
+    got = ordered.last_before(asks, events)
+    assert {(r.name, r.k, r.root, r.before) for r in got.collect()} == {("a", k, f"r{k}", None if k == 0 else 0 if k <= 17 else 17 if k == 18 else 18) for k in range(0, 40, 3)} | {("b", 5, None, 4), ("none", 7, "x", None)}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
