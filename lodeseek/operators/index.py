@@ -11,9 +11,14 @@ from ..functions.text import tokens_of, trigrams_of
 from .mapping import FIELDS, field_texts
 
 
+def field_trigrams(entities: DataFrame, fields=FIELDS) -> DataFrame:
+    """(trigram, id, field), each once where each id is."""
+    return field_texts(entities, fields).select(F.explode(trigrams_of(F.col("text"))).alias("trigram"), "id", "field")
+
+
 def trigram_index(entities: DataFrame, fields=FIELDS) -> DataFrame:
     """(trigram, id, field), each once, repeated ids or not."""
-    return field_texts(entities, fields).select(F.explode(trigrams_of(F.col("text"))).alias("trigram"), "id", "field").distinct()
+    return field_trigrams(entities, fields).distinct()
 
 
 def replace_entries(index: DataFrame, changed: DataFrame, build) -> DataFrame:

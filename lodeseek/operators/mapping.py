@@ -56,7 +56,7 @@ def is_mapped(entities: DataFrame, column: str) -> bool:
 FIELDS = (("name", "name_n"), ("categories", "categories_n"), ("location", "location_n"))
 
 
-def field_texts(entities: DataFrame, fields=FIELDS) -> DataFrame:
-    """(id, field, text), one row for each non-empty field."""
+def field_texts(entities: DataFrame, fields=FIELDS, others: tuple[str, ...] = ()) -> DataFrame:
+    """(id, field, text) and other columns, one row for each non-empty field."""
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(c).alias("text")) for f, c in fields])
-    return entities.select("id", F.explode(pairs).alias("f")).select("id", "f.field", "f.text").where("text is not null and text <> ''")
+    return entities.select("id", *others, F.explode(pairs).alias("f")).select("id", "f.field", "f.text", *others).where("text is not null and text <> ''")

@@ -28,9 +28,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens_of
+from ..functions.text import tokens_of, trigrams_of
 from ..sources.shared import Folder
-from .index import TextIndex, trigram_index
+from .index import TextIndex, field_trigrams
 from .mapping import FIELDS, field_texts
 
 #: Entities of a block and tokens of a part of the dictionary, as powers of two.
@@ -39,6 +39,8 @@ BLOCK_BITS, PART_BITS = 10, 12
 LONGEST_PREFIX = 24
 #: The latest segments are compacted while together they have at least one row for so many of the segment before them.
 GROWTH = 4
+#: Tokens of the longest entity that is counted within its row, by comparing all with all.
+SHORT = 64
 #: Bits that number blocks and parts within a segment.
 WITHIN = 44
 
@@ -69,6 +71,31 @@ def _numbered(rows: DataFrame, key: str, bits: int, segment: int, out: str) -> D
     return ordered.withColumn(out, F.shiftright(F.monotonically_increasing_id(), bits) + F.lit(segment << WITHIN))
 
 
+def _postings(stored: DataFrame) -> DataFrame:
+    """(token, block, id, field, tf, positions, doc_len) of entities, each id once. Short texts are counted within their row, long ones by groups."""
+    each = field_texts(stored, others=("block", "doc_len")).withColumn("tokens", tokens_of(F.col("text")))
+    places = lambda t: F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.get(F.col("tokens"), i) == t)
+    inside = F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("token"), places(t).alias("positions")))
+    short = each.where(F.col("doc_len") <= SHORT).select("id", "field", "block", "doc_len", F.explode(inside).alias("t")).select("t.token", "block", "id", "field", F.size("t.positions").alias("tf"), "t.positions", "doc_len")
+    long = each.where(F.col("doc_len") > SHORT).select("id", "field", "block", "doc_len", F.posexplode("tokens").alias("position", "token"))
+    counted = long.groupBy("token", "block", "id", "field", "doc_len").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
+    return short.unionByName(counted)
+
+
+def _prefixes(stored: DataFrame) -> DataFrame:
+    """(prefix, block, n, max_f, min_len) of entities, each id once. Those of a block come to one task, so that few rows leave it."""
+    tokens = F.concat(*[tokens_of(F.coalesce(F.col(c), F.lit(""))) for _, c in FIELDS])
+    each = stored.select("id", "block", "doc_len", *[c for _, c in FIELDS]).repartition("block").select("id", "block", "doc_len", tokens.alias("tokens"))
+    begins = lambda t: F.transform(F.sequence(F.lit(1), F.least(F.length(t), F.lit(LONGEST_PREFIX))), lambda n: F.substring(t, F.lit(1), n))
+    distinct = F.array_distinct(F.flatten(F.transform(F.array_distinct("tokens"), begins)))
+    inside = F.transform(distinct, lambda p: F.struct(p.alias("prefix"), F.size(F.filter("tokens", lambda t: F.startswith(t, p))).cast("long").alias("f")))
+    short = each.where(F.col("doc_len") <= SHORT).select("block", "doc_len", F.explode(inside).alias("p")).select("p.prefix", "block", "p.f", "doc_len")
+    counted = each.where(F.col("doc_len") > SHORT).select("id", "block", "doc_len", F.explode("tokens").alias("token")).groupBy("token", "block", "id", "doc_len").agg(F.count(F.lit(1)).alias("f"))
+    begun = counted.select(F.explode(begins(F.col("token"))).alias("prefix"), "block", "id", "doc_len", "f")
+    long = begun.groupBy("prefix", "block", "id", "doc_len").agg(F.sum("f").alias("f")).select("prefix", "block", "f", "doc_len")
+    return short.unionByName(long).groupBy("prefix", "block").agg(F.count(F.lit(1)).alias("n"), F.max("f").alias("max_f"), F.min("doc_len").alias("min_len"))
+
+
 class StoredIndex:
     """A version of an index in a folder. create() makes one, open() reads the latest version; apply() and compact() return the next one.
 
@@ -234,28 +261,22 @@ class StoredIndex:
             entities = entities.select(*known)
         others = [c for c in entities.columns if c != "id"]
         one = entities.where("id is not null").groupBy("id").agg(F.min(F.struct(*others)).alias("one")).select("id", "one.*").select(*entities.columns)
-        grams = trigram_index(one)
-        held = grams.groupBy("id").agg(F.collect_set("trigram").alias("held"))
+        empty = F.array().cast("array<string>")
+        held = F.array_distinct(F.concat(*[F.coalesce(trigrams_of(F.col(c)), empty) for _, c in FIELDS]))
         sizes = sum((F.size(tokens_of(F.col(c))) for _, c in FIELDS), start=F.lit(0)).cast("long")
-        rows = _numbered(one, "id", m.block_bits, version, "block").withColumn("doc_len", sizes).join(held, "id", "left")
-        stored = write("entities", rows.withColumn("held", F.coalesce("held", F.array().cast("array<string>"))))
+        rows = _numbered(one, "id", m.block_bits, version, "block").withColumn("doc_len", sizes)
+        stored = write("entities", rows.withColumn("held", held))
         if keep:
             ids = stored.select("id") if of is None else stored.select("id").limit(0)
             dead = (ids if gone is None else ids.unionByName(gone.select("id"))).where("id is not null").distinct()
         else:
             dead = stored.select("id").limit(0)
         superseded = write("superseded", dead)
-        each = field_texts(stored).withColumn("tokens", tokens_of(F.col("text"))).select("id", "field", F.posexplode("tokens").alias("position", "token"))
-        counted = each.groupBy("token", "id", "field").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
-        postings = write("postings", counted.join(stored.select("id", "block", "doc_len").hint("merge"), "id").select("token", "block", "id", "field", "tf", "positions", "doc_len"))
-        ends = F.sequence(F.lit(1), F.least(F.length("token"), F.lit(LONGEST_PREFIX)))
-        whole = postings.groupBy("token", "block", "id").agg(F.sum("tf").alias("f"), F.first("doc_len").alias("doc_len"))
-        begun = whole.select(F.explode(F.transform(ends, lambda n: F.substring("token", F.lit(1), n))).alias("prefix"), "block", "id", "f", "doc_len")
-        found = begun.groupBy("prefix", "block", "id").agg(F.sum("f").alias("f"), F.first("doc_len").alias("doc_len"))
-        write("prefixes", found.groupBy("prefix", "block").agg(F.count(F.lit(1)).alias("n"), F.max("f").alias("max_f"), F.min("doc_len").alias("min_len")))
+        postings = write("postings", _postings(stored))
+        write("prefixes", _prefixes(stored))
         words = write("dictionary", _numbered(postings.select("token").distinct(), "token", PART_BITS, version, "part").select("part", "token"))
         write("fences", words.groupBy("part").agg(F.min("token").alias("first"), F.max("token").alias("last")))
-        trigrams = write("trigrams", trigram_index(stored))
+        trigrams = write("trigrams", field_trigrams(stored))
         write("gram_counts", trigrams.groupBy("trigram").agg(F.count(F.lit(1)).alias("n")))
 
         new = stored.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("length")).first()

@@ -211,3 +211,42 @@ def test_a_greatest_limit_reaches_every_task(spark):
     assert top.count() == 12 and candidates.first_rows(rows, [F.col("fts_rank"), F.col("id")], 2, None).count() == 12
 
 
+
+
+def shuffled_records(spark):
+    """Records that all stages so far have written for others."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_a_build_shuffles_what_it_writes_not_what_derives_from_each_row(spark, tmp_path):
+    words = [f"{a}{b}" for a in ("wonder", "redund", "machin", "bright") for b in ("ful", "ant", "ery", "ness", "able")]
+    n, rnd = 2000, random.Random(6)
+    rows = [(i, " ".join(rnd.choices(words, k=4)), "tool", "lodz") for i in range(n)]
+    before = shuffled_records(spark)
+    index = StoredIndex.create(entities(spark, rows), f"file://{tmp_path}/ix", buckets=2)
+    moved = shuffled_records(spark) - before
+    written = index.table("postings").count() + index.table("trigrams").count()
+    prefixes, tasks = index.table("prefixes").count(), 8
+    assert moved <= written + 4 * n + tasks * (prefixes + len(words)), "each entity moves four times itself; prefixes and trigrams are counted where it lies"
+
+
+@pytest.mark.parametrize("short", [0, 2, 64])
+def test_short_and_long_entities_are_counted_alike(spark, tmp_path, monkeypatch, short):
+    monkeypatch.setattr("lodeseek.operators.segments.SHORT", short)
+    rows = [*made(11, range(20)), (20, "red red rings ring red", "red", "nowa sol"), (21, None, None, None), (22, "x " * 3, "xx", "lodz")]
+    index = StoredIndex.create(entities(spark, rows), f"file://{tmp_path}/ix", buckets=2, block_bits=3)
+    want = text_index(entities(spark, rows)).postings.select("token", "id", "field", "tf", "positions").collect()
+    assert sorted(index.postings().collect()) == sorted(want)
+    block = {r.id: r.block for r in index.table("entities").collect()}
+    size, found = {}, {}
+    for r in want:
+        size[r.id] = size.get(r.id, 0) + r.tf
+        for k in range(1, min(len(r.token), 24) + 1):
+            per_id = found.setdefault((r.token[:k], block[r.id]), {})
+            per_id[r.id] = per_id.get(r.id, 0) + r.tf
+    got = {(r.prefix, r.block): (r.n, r.max_f, r.min_len) for r in index.table("prefixes").collect()}
+    assert got == {k: (len(f), max(f.values()), min(size[i] for i in f)) for k, f in found.items()}
+    assert all(sorted(r.held) == sorted({t.trigram for t in index.trigrams().where(F.col("id") == r.id).collect()}) for r in index.table("entities").where("id >= 19").collect())
