@@ -6,12 +6,13 @@ import random
 import re
 import threading
 
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
 
 from lodeseek.functions.locale import GENERIC, POLISH, Locale
-from lodeseek.operators import candidates, lookups, ordered, resolver
+from lodeseek.operators import candidates, expansion, lookups, ordered, resolver
 from lodeseek.operators.prefilter import may_be_among
 
 
@@ -174,6 +175,48 @@ def test_synonyms_travel_in_lists_of_their_alias(spark, monkeypatch):
     assert not re.search(r"keys=\[query_id#\d+L?, canonical", plan), "a row for each query and canonical isn't shuffled"
 
 
+def expanded_by_model(text, named):
+    if text is None:
+        return None
+    words = [w for w in text.split(" ") if w]
+    aliases = words + [" ".join(p) for p in zip(words, words[1:])]
+    return words + [c for c in dict.fromkeys(c for a in aliases for c in sorted(named.get(a, []))) if c not in words]
+
+
+def test_expanded_queries_are_not_shuffled(spark, monkeypatch):
+    """Queries meet copies of the synonyms, and nothing stands above that: what is found grows with queries x canonicals."""
+    monkeypatch.setattr(candidates, "LISTED_BITS", 2)
+    monkeypatch.setattr(candidates, "CHUNKS", 5)
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    named = {a: rnd.sample([*words, "w1 w2", "ą", "x y"], rnd.randrange(1, 30)) for a in [*words[::2], "w1 w2", "w3 w3", "w1 w2 w3", ""]}
+    texts = [" ".join(rnd.choices(words, k=rnd.randrange(12))) for _ in range(300)] + ["", "  w3  w3 ", None, "none known", "w1 w2", "w1", "w2"]
+    queries = spark.createDataFrame([(f"s{i % 7}", i, t) for i, t in enumerate(texts)], "query string, query_id long, normalized string")
+    got = candidates.expand_synonyms(queries, spark.createDataFrame([(a, c) for a, cs in named.items() for c in [*cs, None]] + [(None, "n")], "alias string, canonical string"))
+    assert [tuple(r) for r in got.orderBy("query_id").collect()] == [(f"s{i % 7}", i, t, expanded_by_model(t, named)) for i, t in enumerate(texts)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.index("MapInArrow") < plan.index("Exchange")
+    none = candidates.expand_synonyms(queries, spark.createDataFrame([], "alias string, canonical string"))
+    assert {r.query_id: r.tokens for r in none.collect()} == {i: expanded_by_model(t, {}) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize(("together", "tokens"), [(1, 1), (2, 7), (3, 1000)])
+def test_expansion_in_small_batches(monkeypatch, together, tokens):
+    monkeypatch.setattr(expansion, "TOGETHER", together)
+    monkeypatch.setattr(expansion, "BATCH_TOKENS", tokens)
+    named = {"a": ["b", "c", "z"], "b a": ["c", "d"], "b": ["a b", "y"]}
+    lists = [{"alias": a, "list": k, "canonicals": cs[k : k + 1]} for a, cs in named.items() for k in range(len(cs))]
+    texts = ["b a b", None, "", "a", "b", "a", "q", "b a"]
+    schema = pa.schema([("chunk", pa.int64()), ("lists", pa.list_(pa.struct(list(expansion.LISTS)))), ("query", pa.struct([("query_id", pa.int64()), ("normalized", pa.string())]))])
+    chunk = lambda n: {"chunk": n, "lists": lists[n::2], "query": None}
+    rows = [chunk(0), chunk(0), chunk(1), *({"chunk": None, "lists": None, "query": {"query_id": i, "normalized": t}} for i, t in enumerate(texts))]
+    batches = [pa.RecordBatch.from_pylist(rows[:2], schema), pa.RecordBatch.from_pylist(rows[2:6], schema), pa.RecordBatch.from_pylist(rows[6:], schema)]
+    got = [r for batch in expansion.expanded(iter(batches)) for r in batch.to_pylist()]
+    assert got == [{"query_id": i, "normalized": t, "tokens": expanded_by_model(t, named)} for i, t in enumerate(texts)]
+    with pytest.raises(ValueError, match="after queries"):
+        list(expansion.expanded(iter([batches[2], batches[0]])))
+
+
 @pytest.mark.parametrize(("first", "few"), [(0, 100), (2, 100), (64, 3)])
 def test_first_areas_settle_queries_in_their_rows(spark, monkeypatch, first, few):
     """Only texts that hold none of the first areas are taken apart; too many areas for every task are met by joins alone."""
